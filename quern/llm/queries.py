@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from quern.llm.ordermin import op7_order_minhash
+from quern.llm.planes import op2_token_planes
+from quern.llm.secretscan import op10_secret_scan
 from quern.llm.tokens import op5_token_counts, op8_bpe_codec
 
 QUERIES = {
+    "op2_token_planes": op2_token_planes,
     "op5_token_counts": op5_token_counts,
+    "op7_order_minhash": op7_order_minhash,
     "op8_bpe_codec": op8_bpe_codec,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLE: dict[str, str] = {}
