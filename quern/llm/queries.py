@@ -2,17 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import DataFrame
+
+from quern.llm.neardup import op6_hamming_neardup
 from quern.llm.ordermin import op7_order_minhash
 from quern.llm.planes import op2_token_planes
 from quern.llm.secretscan import op10_secret_scan
 from quern.llm.tokens import op5_token_counts, op8_bpe_codec
+from quern.session import ship
+
+
+
+def shipped(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The query, after this package has been sent to the executors."""
+
+    @wraps(query)
+    def run(spark, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
 
-QUERIES = {
+_ALL = {
     "op2_token_planes": op2_token_planes,
     "op5_token_counts": op5_token_counts,
+    "op6_hamming_neardup": op6_hamming_neardup,
     "op7_order_minhash": op7_order_minhash,
     "op8_bpe_codec": op8_bpe_codec,
     "op10_secret_scan": op10_secret_scan,
 }
+QUERIES = {name: shipped(query) for name, query in _ALL.items()}
 
 ORACLE: dict[str, str] = {}
