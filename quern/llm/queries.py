@@ -7,6 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame
 
+from quern.llm.linededup import op3_fuzzy_lines
 from quern.llm.neardup import op6_hamming_neardup
 from quern.llm.ordermin import op7_order_minhash
 from quern.llm.planes import op2_token_planes
@@ -29,6 +30,7 @@ def shipped(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
 
 _ALL = {
     "op2_token_planes": op2_token_planes,
+    "op3_fuzzy_lines": op3_fuzzy_lines,
     "op5_token_counts": op5_token_counts,
     "op6_hamming_neardup": op6_hamming_neardup,
     "op7_order_minhash": op7_order_minhash,
