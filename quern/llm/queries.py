@@ -11,6 +11,8 @@ from quern.llm.linededup import op3_fuzzy_lines
 from quern.llm.neardup import op6_hamming_neardup
 from quern.llm.ordermin import op7_order_minhash
 from quern.llm.planes import op2_token_planes
+from quern.llm.robust import ORACLE as QUALITY_SQL
+from quern.llm.robust import op1_robust_quality
 from quern.llm.secretscan import op10_secret_scan
 from quern.llm.tokens import op5_token_counts, op8_bpe_codec
 from quern.session import ship
@@ -29,6 +31,7 @@ def shipped(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
 
 
 _ALL = {
+    "op1_robust_quality": op1_robust_quality,
     "op2_token_planes": op2_token_planes,
     "op3_fuzzy_lines": op3_fuzzy_lines,
     "op5_token_counts": op5_token_counts,
@@ -39,4 +42,4 @@ _ALL = {
 }
 QUERIES = {name: shipped(query) for name, query in _ALL.items()}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op1_robust_quality": QUALITY_SQL}
