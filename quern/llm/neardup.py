@@ -133,6 +133,17 @@ def near_duplicates(df: DataFrame, percent: int = 85, id_col: str = "doc_id", te
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 
+def drop_near_duplicates(df: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`df` with one document of each group: the one of least doc_id. Rows without a doc_id stay.
+
+    Only the ids that go are joined to the texts. Repeated rows of a doc_id that stays all stay; a doc_id that has
+    several texts goes if one of them goes.
+    """
+    groups = near_duplicates(df, percent, id_col, text_col)
+    gone = written(groups.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    return df.join(gone, df[id_col].cast("long") == F.col("_gone"), "left_anti")
+
+
 def op6_hamming_neardup(spark, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all whole documents."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

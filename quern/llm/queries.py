@@ -7,9 +7,11 @@ from functools import wraps
 
 from pyspark.sql import DataFrame
 
+from quern.llm.hierbayes import op4_hierarchical_quality
 from quern.llm.linededup import op3_fuzzy_lines
 from quern.llm.neardup import op6_hamming_neardup
 from quern.llm.ordermin import op7_order_minhash
+from quern.llm.packing import op9_best_fit_packing
 from quern.llm.planes import op2_token_planes
 from quern.llm.robust import ORACLE as QUALITY_SQL
 from quern.llm.robust import op1_robust_quality
@@ -34,10 +36,12 @@ _ALL = {
     "op1_robust_quality": op1_robust_quality,
     "op2_token_planes": op2_token_planes,
     "op3_fuzzy_lines": op3_fuzzy_lines,
+    "op4_hierarchical_quality": op4_hierarchical_quality,
     "op5_token_counts": op5_token_counts,
     "op6_hamming_neardup": op6_hamming_neardup,
     "op7_order_minhash": op7_order_minhash,
     "op8_bpe_codec": op8_bpe_codec,
+    "op9_best_fit_packing": op9_best_fit_packing,
     "op10_secret_scan": op10_secret_scan,
 }
 QUERIES = {name: shipped(query) for name, query in _ALL.items()}
