@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,13 +53,93 @@ def bucket_members(keys: DataFrame) -> DataFrame:
     return written(keys.join(shared, "key").distinct(), "buckets")
 
 
-def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+#: Rows of a key that one block holds; a key of more rows is compared block by block, in tasks of their own.
+BLOCK = 20_000
+#: Rows compared at once.
+TILE = 512
+
+
+def _close(one: dict, two: dict, limit: int, percent: int, same: bool, first_key: Callable | None, key: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of pairs of different components that may be similar enough, by their sizes and sketches."""
+    left, right = [], []
+    for a in range(0, len(one["id"]), TILE):
+        for b in range(a if same else 0, len(two["id"]), TILE):
+            x, y = slice(a, a + TILE), slice(b, b + TILE)
+            n, m = one["n"][x, None], two["n"][None, y]
+            ok = (one["c"][x, None] != two["c"][None, y]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+            if same and a == b:
+                ok &= np.tri(*ok.shape, k=-1, dtype=bool)
+            i, j = np.nonzero(ok)
+            if first_key is not None and len(i):
+                keep = first_key(one["sig"][x][i], two["sig"][y][j], key)
+                i, j = i[keep], j[keep]
+            for t in range(0, len(i), 100_000):
+                p, q = i[t : t + 100_000], j[t : t + 100_000]
+                differ = np.bitwise_count(one["sketch"][x][p] ^ two["sketch"][y][q]).sum(axis=1, dtype=np.int64)
+                p, q = p[differ <= limit], q[differ <= limit]
+                left.append(one["id"][x][p])
+                right.append(two["id"][y][q])
+    empty = np.empty(0, np.int64)
+    return np.concatenate(left or [empty]), np.concatenate(right or [empty])
+
+
+def close_pairs(rest: DataFrame, traits: DataFrame, percent: int, limit: int, first_key: Callable | None = None) -> DataFrame:
+    """(a, b): pairs of `rest` (key, id, c) with a common key and different c that `traits` (id, n, sketch[, sig]) allow.
+
+    Pairs are compared within tasks and only those that remain are given out. A key of many rows is split into blocks
+    by a hash of the id, and each pair of blocks is a task's work of its own, so neither memory nor time of a task
+    grows with the key. `first_key` picks one of several keys that a pair shares.
+    """
+    parts = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    rows = rest.join(traits, "id").join(parts, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("other", "parts")
+    wide = "sig" in rows.columns
+
+    def arrays(b: pa.RecordBatch) -> dict:
+        out = {k: b.column(k).to_numpy() for k in ("key", "lo", "hi", "own", "id", "c", "n")}
+        for k in ("sketch", *(("sig",) if wide else ())):
+            flat = b.column(k).flatten().to_numpy()
+            out[k] = flat.view(np.uint64).reshape(b.num_rows, -1)
+        return out
+
+    def compared(held: list[dict]) -> pa.RecordBatch:
+        group = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
+        key, lo, hi = int(group["key"][0]), int(group["lo"][0]), int(group["hi"][0])
+        pick = lambda side: {k: v[group["own"] == side] for k, v in group.items()}
+        one = pick(lo)
+        a, b = _close(one, one if lo == hi else pick(hi), limit, percent, lo == hi, first_key, key)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        at = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = arrays(b)
+            change = np.flatnonzero((np.diff(cols["key"]) != 0) | (np.diff(cols["lo"]) != 0) | (np.diff(cols["hi"]) != 0)) + 1
+            for s, e in zip([0, *change.tolist()], [*change.tolist(), b.num_rows], strict=True):
+                here = (cols["key"][s], cols["lo"][s], cols["hi"][s])
+                if held and here != at:
+                    yield compared(held)
+                    held = []
+                at = here
+                held.append({k: v[s:e] for k, v in cols.items()})
+        if held:
+            yield compared(held)
+
+    placed = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "id")
+    return placed.mapInArrow(run, "a long, b long").distinct()
+
+
+def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], pairs_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, component) of the ids that `verify` links, as if all pairs of ids with a common key had been verified.
 
     `verify` takes pairs (a, b) and returns those that are linked. A pair within a component tells nothing new, so:
     first each id meets the least of its leads, then its other leads, then, in keys that still hold several
-    components, the ids of different components meet. A large group of alike ids takes a pair for each id in the
-    first two rounds, and none in the third.
+    components, the ids of different components meet: `pairs_of` gives from rows (key, id, c) the pairs that can be
+    linked at all. A large group of alike ids takes a pair for each id in the first two rounds, and none in the third.
     """
     stars = members.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))
     first = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
@@ -79,9 +161,7 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -
     mixed = now.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("key")
     rest = written(now.join(mixed, "key"), "mixed")
     if not rest.isEmpty():
-        other = rest.select("key", F.col("id").alias("id2"), F.col("c").alias("c2"))
-        pairs = rest.join(other, "key").filter("c < c2").select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
-        third = written(pairs.join(tried, ["a", "b"], "left_anti"), "tried")
+        third = written(pairs_of(rest).join(tried, ["a", "b"], "left_anti"), "tried")
         if not third.isEmpty():
             edges = edges.union(written(verify(third), "linked"))
             comp = components(edges)

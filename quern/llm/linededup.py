@@ -16,9 +16,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.components import bucket_members, link_buckets
+from quern.llm.components import bucket_members, close_pairs, link_buckets
 from quern.llm.ordermin import mix
 from quern.llm.pretok import slices
+from quern.llm.shingles import sketch, sketch_limit
 from quern.session import written
 
 #: Characters of a shingle. Shorter lines are one shingle.
@@ -150,6 +151,18 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([line_check(x) for x in lines], pa.int64()), pa.array(lines, pa.string())], names=["id", "check", "text"])
 
 
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        n, bits = [], []
+        for part in slices(b.column("text").to_pylist()):
+            h, counts = shingle_hashes(part)
+            for own in np.split(h, np.cumsum(counts)[:-1]):
+                own = np.unique(own)
+                n.append(len(own))
+                bits.append(sketch(own))
+        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(bits, pa.list_(pa.int64()))], names=["id", "n", "sketch"])
+
+
 def _verified(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -186,12 +199,16 @@ def line_removals(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     texts = docs.select("text").mapInArrow(_texts, "id long, check long, text string").join(wanted, "id", "left_semi")
     texts = written(texts.groupBy("id").agg(F.min(F.struct("check", "text")).alias("t")).select("id", "t.*"), "texts")
 
+    def pairs_of(rest: DataFrame) -> DataFrame:
+        some = texts.select("id", "text").join(rest.select("id").distinct(), "id", "left_semi")
+        return close_pairs(rest, some.mapInArrow(_sketched, "id long, n long, sketch array<long>"), percent, sketch_limit(percent))
+
     def verify(pairs: DataFrame) -> DataFrame:
         left, right = (texts.select(F.col("id").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
         both = pairs.join(right, "b").join(left, "a")
         return both.select("a", "b", "ta", "tb").mapInArrow(_verified(percent), "a long, b long")
 
-    linked = link_buckets(members, verify)
+    linked = link_buckets(members, verify, pairs_of)
     # Occurrences of a line, or of lines that are linked, come together as counts and firsts only.
     seen = written(lines.groupBy("id", "check").agg(F.min(place).alias("first"), F.count("*").alias("n")), "seen")
     # The second hash ties a component to the line that was verified, should two lines have one id.

@@ -4,7 +4,8 @@ A signature has 66 MinHash values of 8 bits. It is split into 11 chunks of 6 val
 signatures that differ in at most 21 values differ in at most one value of some chunk, and then agree in that chunk
 with one value left out. So each signature is listed under its 66 chunks with one value left out, and every pair
 within distance 21 shares a key. At a similarity of 0.85 the distance is 9.6 on average; beyond 21 lie fewer than one
-pair in ten thousand. Candidates are confirmed on full shingle sets.
+pair in ten thousand. Documents that share keys get a second, finer signature, by which pairs that cannot be similar
+enough are put aside; the rest is confirmed on full shingle sets.
 """
 
 from __future__ import annotations
@@ -16,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.components import bucket_members, link_buckets
+from quern.llm.components import bucket_members, close_pairs, link_buckets
 from quern.llm.pretok import slices
-from quern.llm.shingles import minhash, set_digest, shingle_sets
+from quern.llm.shingles import minhash, set_digest, shingle_sets, sketch, sketch_limit
 from quern.session import written
 
 CHUNKS, VALUES, ERRORS = 11, 6, 1
@@ -50,6 +51,15 @@ def chunk_keys(signatures: np.ndarray) -> np.ndarray:
     return out.reshape(len(signatures), -1)
 
 
+def first_shared_key(a: np.ndarray, b: np.ndarray, key: int) -> np.ndarray:
+    """For pairs of packed signatures within the distance: whether `key` is the first of the keys that they share."""
+    split = lambda x: np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1)[:, :POSITIONS]
+    chunks = (split(a) != split(b)).reshape(-1, CHUNKS, VALUES).sum(axis=2)
+    chunk, left_out = divmod(key >> (8 * (VALUES - 1)), VALUES)
+    first = (chunks <= ERRORS).argmax(axis=1) == chunk
+    return first & ((chunks[:, chunk] == ERRORS) | (left_out == 0)) & (chunks.sum(axis=1) <= DISTANCE)
+
+
 def distance(a: str, b: str):
     """Column: in how many values two packed signatures differ."""
     total = F.lit(0)
@@ -86,7 +96,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices([t or "" for t in b.column("text").to_pylist()]):
             sets = shingle_sets(part)
             arrays = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("id").slice(at, len(part)), b.column("digest").slice(at, len(part)), pa.array([set_digest(s) for s in sets]), arrays], names=["id", "digest", "own", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column("id").slice(at, len(part)), b.column("digest").slice(at, len(part)), pa.array([set_digest(s) for s in sets]), arrays, pa.array([sketch(s) if len(s) else None for s in sets], pa.list_(pa.int64()))], names=["id", "digest", "own", "shingles", "sketch"])
             at += len(part)
 
 
@@ -110,11 +120,15 @@ def near_duplicates(df: DataFrame, percent: int = 85, id_col: str = "doc_id", te
     members = bucket_members(classes.select("id", "sig").mapInArrow(_keyed, "key long, id long"))
 
     wanted = classes.join(members.select("id").distinct(), "id", "left_semi").select("id", "digest", "doc_id")
-    texts = docs.join(wanted, "doc_id").select("id", "digest", "text").mapInArrow(_sets, "id long, digest string, own string, shingles array<long>")
+    texts = docs.join(wanted, "doc_id").select("id", "digest", "text").mapInArrow(_sets, "id long, digest string, own string, shingles array<long>, sketch array<long>")
     # A doc_id with several texts brings other sets too; a repeated row brings its set twice.
-    sets = written(texts.filter("own = digest").dropDuplicates(["id"]).select("id", "shingles"), "sets")
+    sets = written(texts.filter("own = digest").dropDuplicates(["id"]).select("id", "shingles", "sketch"), "sets")
     short = classes.select("id", "n", "sig")
 
+    def pairs_of(rest: DataFrame) -> DataFrame:
+        return close_pairs(rest, short.join(sets.select("id", "sketch"), "id"), percent, sketch_limit(percent), first_shared_key)
+
+
     def verify(pairs: DataFrame) -> DataFrame:
         a, b = (short.select(*(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "sig"))) for x in "ab")
         near = pairs.join(a, F.col("a") == F.col("id_a")).join(b, F.col("b") == F.col("id_b"))
@@ -124,7 +138,7 @@ def near_duplicates(df: DataFrame, percent: int = 85, id_col: str = "doc_id", te
         common = both.select("a", "b", F.size(F.array_intersect("s_a", "s_b")).alias("i"), (F.size("s_a") + F.size("s_b")).alias("t"))
         return common.filter(F.lit(100) * F.col("i") >= F.lit(percent) * (F.col("t") - F.col("i"))).select("a", "b")
 
-    linked = link_buckets(members, verify)
+    linked = link_buckets(members, verify, pairs_of)
     least = linked.join(classes.select(F.col("id").alias("node"), "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = linked.join(least, "component").select(F.col("node").alias("id"), "component_id")
     groups = written(classes.join(named, "id", "left").select("digest", F.coalesce("component_id", "doc_id").alias("group_id")), "groups")

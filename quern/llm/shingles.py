@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 
@@ -16,6 +17,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[_LOWER]
 CELLS = 1_000_000
+#: Bits of a sketch: a second, finer signature for ids that share buckets.
+SKETCH = 2048
 
 
 def powers(n: int) -> np.ndarray:
@@ -70,5 +73,16 @@ def minhash(shingles: np.ndarray, positions: int) -> np.ndarray:
     return mix(out)
 
 
+def sketch(shingles: np.ndarray, positions: int = SKETCH) -> list[int]:
+    """One bit of each of many MinHash values, packed into signed 64-bit integers."""
+    return np.packbits((minhash(shingles, positions) & np.uint64(1)).astype(np.uint8)).view("<i8").tolist()
+
+
+def sketch_limit(percent: int) -> int:
+    """A pair of this similarity differs in more bits with a probability of less than one in 100,000."""
+    share = (100 - percent) / 200
+    return math.ceil(SKETCH * share + 4.5 * math.sqrt(SKETCH * share * (1 - share)))
+
+
 def set_digest(shingles: np.ndarray) -> str:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).hexdigest()
