@@ -141,3 +141,27 @@ def test_lines_against_brute_force(spark):
 def test_no_lines(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert L.line_removals(empty).count() == 0 and L.dedup_lines(empty).count() == 0
+
+
+def test_keys_of_many_rows_are_compared_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from quern.llm import components as C
+    from quern.llm.shingles import SKETCH
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(-(2**63), 2**63 - 1, (4, SKETCH // 64))
+    rows = [(int(rng.integers(2)), k, int(rng.integers(4))) for k in range(60)]
+    traits = [(k, int(rng.integers(80, 101)), [int(v) for v in base[rng.integers(4)]]) for k in range(60)]
+    by_id = {t[0]: t for t in traits}
+    want = set()
+    for key, a, c in rows:
+        for key2, b, c2 in rows:
+            (_, n, s), (_, m, t) = by_id[a], by_id[b]
+            if key == key2 and a < b and c != c2 and 100 * min(n, m) >= 85 * max(n, m) and s == t:
+                want.add((a, b))
+    rest = spark.createDataFrame(rows, "key long, id long, c long")
+    more = spark.createDataFrame(traits, "id long, n long, sketch array<long>")
+    for block in (20_000, 7):
+        monkeypatch.setattr(C, "BLOCK", block)
+        assert {tuple(r) for r in C.close_pairs(rest, more, 85, 100).collect()} == want
