@@ -23,9 +23,9 @@ from quern.llm.shingles import sketch, sketch_limit
 from quern.session import written
 
 #: Characters of a shingle. Shorter lines are one shingle.
-WIDTH = 9
-#: A pair of similarity 0.8 is missed by all bands with a probability of (1 - 0.8^3)^14 < 1/20,000.
-BANDS, ROWS = 14, 3
+WIDTH = 5
+#: A pair of similarity 0.8 is missed by all bands with a probability of (1 - 0.8^4)^19 < 1/20,000.
+BANDS, ROWS = 19, 4
 BINS = BANDS * ROWS
 _P = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.iinfo(np.uint64).max
@@ -186,7 +186,7 @@ def line_removals(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     """(doc_id, text_id, removed): the numbers of the lines that go, for documents that lose any.
 
     Lines end at \\n; blank lines are left alone. Two lines are linked at 100 * intersection >= percent * union of
-    their sets of 9-character shingles. The first line of a component stays: the one of the least doc_id (nulls
+    their sets of 5-character shingles. The first line of a component stays: the one of the least doc_id (nulls
     first), then text_id, then line number. Rows of one doc_id and one text are one document and get the same lines.
     Null and empty texts have no lines.
     """

@@ -138,6 +138,23 @@ def test_lines_against_brute_force(spark):
     assert {500, 501} <= {r.doc_id for r in clean}
 
 
+def test_lines_of_one_changed_word_are_alike(spark):
+    rng = random.Random(8)
+    words = lambda n: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(n)]
+    rows, want = [], {}
+    for k in range(0, 80, 2):
+        base = words(14)
+        other = [*base]
+        other[7] = words(1)[0] if k % 4 else base[7][:3] + "0" + base[7][4:]
+        a, b = " ".join(base), " ".join(other)
+        rows += [(k, a), (k + 1, b)]
+        s, t = ({x[i : i + 5] for i in range(len(x) - 4)} for x in (a, b))
+        if 100 * len(s & t) >= 80 * len(s | t):
+            want[k + 1] = [0]
+    assert len(want) > 30
+    assert {r.doc_id: r.removed for r in L.line_removals(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
 def test_no_lines(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert L.line_removals(empty).count() == 0 and L.dedup_lines(empty).count() == 0
