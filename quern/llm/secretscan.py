@@ -27,6 +27,7 @@ class Rule(NamedTuple):
     regex: str
     least: int = 0  # length of the match
     value: int = 0  # length of the last group
+    more: str = ""  # what may follow and belongs to the match; it does not change where matches begin
 
 
 def either_case(word: str) -> str:
@@ -35,6 +36,15 @@ def either_case(word: str) -> str:
 
 _KEYWORDS = "|".join([*map(either_case, ("password", "passwd", "secret", "token")), f"{either_case('api')}_?{either_case('key')}"])
 
+#: What follows the first line of a PEM key. Up to the END line all is key, whatever the layout; without one the header
+#: fields and the runs of base64 at line ends (raw or escaped), and long runs after spaces with a short last one, are.
+_EOL = r"[\x20\t\"',+]*(\r?\n|\r|\\+r\\+n|\\+n|\\+r)[\x20\t>\"'+]*"
+_KEY = r"[A-Za-z0-9+/=]"
+_PEM = (
+    r"(-?[\t-\r\x20-,.-~\x80-\xf4])*-----END [A-Z ]*PRIVATE KEY-----"
+    rf"|({_EOL}([A-Za-z0-9]+(-[A-Za-z0-9]+)*:[\x20-\x5b\x5d-~]*)?)*{_KEY}*({_EOL}{_KEY}*|[\x20\t]+{_KEY}{{16,}}([\x20\t]+{_KEY}+)?)*"
+)
+
 BASE = (
     Rule("assign", f"({_KEYWORDS})[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)", value=6),
     Rule("access", "AKIA[A-Z0-9]+", least=20),
@@ -46,7 +56,7 @@ ADDED = (
     Rule("chat", "xox[abprs]-[A-Za-z0-9-]+", least=20),
     Rule("payment", "[sr]k_live_[A-Za-z0-9]+", least=24),
     Rule("web_token", "eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+", least=36),
-    Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", more=_PEM),
 )
 RULES = BASE + ADDED
 #: Stands between texts; no UTF-8 text has it, and no rule may match it.
@@ -59,7 +69,7 @@ class Scanner:
         self.rules, self.whole = rules, Dfa([reverse(t) for t in trees], search=True)
         self.each, self.groups = [], []
         for r, tree in zip(rules, trees, strict=True):
-            d = Dfa([tree], search=False)
+            d = Dfa([parse(f"{r.regex}(?:{r.more})?") if r.more else tree], search=False)
             dead = [s for s in range(len(d.step)) if (d.step[s] == s).all() and not d.accepts[s]]
             self.each.append((d.column.tolist(), d.step.tolist(), d.accepts.tolist(), dead[0] if dead else -1))
             self.groups.append(re.compile(r.regex.encode("latin-1")) if r.value else None)
