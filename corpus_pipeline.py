@@ -27,9 +27,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates one document stays."""
+    """Of each group of near-duplicates, linked from a similarity of 0.8 on, one document stays."""
     ship(spark)
-    return drop_near_duplicates(docs)
+    return drop_near_duplicates(docs, percent=80)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,14 +3,17 @@
 A signature has 66 MinHash values of 8 bits. It is split into 11 chunks of 6 values. By the pigeonhole principle two
 signatures that differ in at most 21 values differ in at most one value of some chunk, and then agree in that chunk
 with one value left out. So each signature is listed under its 66 chunks with one value left out, and every pair
-within distance 21 shares a key. At a similarity of 0.85 the distance is 9.6 on average; beyond 21 lie fewer than one
-pair in ten thousand. Documents that share keys get a second, finer signature, by which pairs that cannot be similar
+within distance 21 shares a key. At a similarity of 0.85 the distance is 9.8 on average; beyond 21 lie 1.5 pairs in ten
+thousand. For similarities from 0.8 on there is a layout of 75 values in 15 chunks of 5, whose keys hold all pairs
+within distance 29: on average the distance is 14.9 at 0.8, and beyond 29 lie 0.5 pairs in ten thousand. Documents that share keys get a second, finer signature, by which pairs that cannot be similar
 enough are put aside; the rest is confirmed on full shingle sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,48 +25,73 @@ from quern.llm.pretok import slices
 from quern.llm.shingles import minhash, set_digest, shingle_sets, sketch, sketch_limit
 from quern.session import written
 
-CHUNKS, VALUES, ERRORS = 11, 6, 1
-POSITIONS = CHUNKS * VALUES
-#: The largest distance of which all pairs are found.
-DISTANCE = CHUNKS * (ERRORS + 1) - 1
-LONGS = -(-POSITIONS // 8)
+ERRORS = 1
 
 
-def signature(shingles: np.ndarray) -> list[int]:
+class Layout(NamedTuple):
+    chunks: int
+    values: int  # of a chunk
+
+    @property
+    def positions(self) -> int:
+        return self.chunks * self.values
+
+    @property
+    def distance(self) -> int:
+        """The largest distance of which all pairs are found."""
+        return self.chunks * (ERRORS + 1) - 1
+
+    @property
+    def longs(self) -> int:
+        return -(-self.positions // 8)
+
+
+#: The least percentage that a layout serves, and the layout.
+LAYOUTS = ((85, Layout(11, 6)), (80, Layout(15, 5)))
+
+
+def layout_for(percent: int) -> Layout:
+    for least, layout in LAYOUTS:
+        if percent >= least:
+            return layout
+    raise ValueError(f"the signatures are laid out for {LAYOUTS[-1][0]} percent and more")
+
+
+def signature(shingles: np.ndarray, layout: Layout) -> list[int]:
     """8 bits of each MinHash value, packed into signed 64-bit integers."""
-    low = np.zeros(8 * LONGS, np.uint8)
-    low[:POSITIONS] = minhash(shingles, POSITIONS).astype(np.uint8)
+    low = np.zeros(8 * layout.longs, np.uint8)
+    low[: layout.positions] = minhash(shingles, layout.positions).astype(np.uint8)
     return low.view("<i8").tolist()
 
 
-def chunk_keys(signatures: np.ndarray) -> np.ndarray:
-    """(n, LONGS) signatures -> (n, POSITIONS) keys: each chunk without one of its values, marked with both places."""
-    values = np.ascontiguousarray(signatures).view(np.uint8).reshape(len(signatures), -1)[:, :POSITIONS].astype(np.int64)
-    chunks = values.reshape(-1, CHUNKS, VALUES)
+def chunk_keys(signatures: np.ndarray, layout: Layout) -> np.ndarray:
+    """(n, longs) signatures -> (n, positions) keys: each chunk without one of its values, marked with both places."""
+    values = np.ascontiguousarray(signatures).view(np.uint8).reshape(len(signatures), -1)[:, : layout.positions].astype(np.int64)
+    chunks = values.reshape(-1, layout.chunks, layout.values)
     out = np.empty_like(chunks)
-    for left_out in range(VALUES):
-        key = np.arange(CHUNKS, dtype=np.int64) * VALUES + left_out
+    for left_out in range(layout.values):
+        key = np.arange(layout.chunks, dtype=np.int64) * layout.values + left_out
         key = np.broadcast_to(key, chunks.shape[:2])
-        for v in range(VALUES):
+        for v in range(layout.values):
             if v != left_out:
                 key = (key << 8) | chunks[:, :, v]
         out[:, :, left_out] = key
     return out.reshape(len(signatures), -1)
 
 
-def first_shared_key(a: np.ndarray, b: np.ndarray, key: int) -> np.ndarray:
+def first_shared_key(a: np.ndarray, b: np.ndarray, key: int, layout: Layout) -> np.ndarray:
     """For pairs of packed signatures within the distance: whether `key` is the first of the keys that they share."""
-    split = lambda x: np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1)[:, :POSITIONS]
-    chunks = (split(a) != split(b)).reshape(-1, CHUNKS, VALUES).sum(axis=2)
-    chunk, left_out = divmod(key >> (8 * (VALUES - 1)), VALUES)
+    split = lambda x: np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1)[:, : layout.positions]
+    chunks = (split(a) != split(b)).reshape(-1, layout.chunks, layout.values).sum(axis=2)
+    chunk, left_out = divmod(key >> (8 * (layout.values - 1)), layout.values)
     first = (chunks <= ERRORS).argmax(axis=1) == chunk
-    return first & ((chunks[:, chunk] == ERRORS) | (left_out == 0)) & (chunks.sum(axis=1) <= DISTANCE)
+    return first & ((chunks[:, chunk] == ERRORS) | (left_out == 0)) & (chunks.sum(axis=1) <= layout.distance)
 
 
-def distance(a: str, b: str):
+def distance(a: str, b: str, layout: Layout):
     """Column: in how many values two packed signatures differ."""
     total = F.lit(0)
-    for k in range(LONGS):
+    for k in range(layout.longs):
         x = F.col(a)[k].bitwiseXOR(F.col(b)[k])
         for s in (4, 2, 1):
             x = x.bitwiseOR(F.shiftrightunsigned(x, s))
@@ -71,23 +99,29 @@ def distance(a: str, b: str):
     return total
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        n, digests, signed = [], [], []
-        for part in slices([t or "" for t in b.column("text").to_pylist()]):
-            for s in shingle_sets(part):
-                n.append(len(s))
-                digests.append(set_digest(s) if len(s) else None)
-                signed.append(signature(s) if len(s) else None)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(signed, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "sig"])
+def _signed(layout: Layout):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, digests, signed = [], [], []
+            for part in slices([t or "" for t in b.column("text").to_pylist()]):
+                for s in shingle_sets(part):
+                    n.append(len(s))
+                    digests.append(set_digest(s) if len(s) else None)
+                    signed.append(signature(s, layout) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(signed, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "sig"])
 
+    return run
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, b.num_rows, 2000):
-            part = b.slice(at, 2000)
-            keys = chunk_keys(part.column("sig").flatten().to_numpy().reshape(-1, LONGS))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(part.column("id").to_numpy(), POSITIONS))], names=["key", "id"])
+
+def _keyed(layout: Layout):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 2000):
+                part = b.slice(at, 2000)
+                keys = chunk_keys(part.column("sig").flatten().to_numpy().reshape(-1, layout.longs), layout)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(part.column("id").to_numpy(), layout.positions))], names=["key", "id"])
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,17 +141,16 @@ def near_duplicates(df: DataFrame, percent: int = 85, id_col: str = "doc_id", te
     component_id is the least doc_id that links reach. Equal shingle sets are one class and are linked without
     comparison. Null, empty and blank texts have no shingles and only themselves as component. A row without a doc_id
     links nothing: its component_id is null and it is kept. Rows of one doc_id and different texts belong each to the
-    component of their text. percent below 85 would need a wider signature and is refused.
+    component of their text. percent below 80 would need a wider signature and is refused.
     """
-    if percent < 85:
-        raise ValueError("the signature is laid out for 85 percent and more")
+    layout = layout_for(percent)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = written(docs.mapInArrow(_signed, "doc_id long, n_shingles long, digest string, sig array<long>"), "signed")
+    signed = written(docs.mapInArrow(_signed(layout), "doc_id long, n_shingles long, digest string, sig array<long>"), "signed")
     known = signed.filter("digest is not null and doc_id is not null")
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.min("sig").alias("sig"))
     # The ids are written, so that they are the same wherever the table is read.
     classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
-    members = bucket_members(classes.select("id", "sig").mapInArrow(_keyed, "key long, id long"))
+    members = bucket_members(classes.select("id", "sig").mapInArrow(_keyed(layout), "key long, id long"))
 
     wanted = classes.join(members.select("id").distinct(), "id", "left_semi").select("id", "digest", "doc_id")
     texts = docs.join(wanted, "doc_id").select("id", "digest", "text").mapInArrow(_sets, "id long, digest string, own string, shingles array<long>, sketch array<long>")
@@ -126,13 +159,13 @@ def near_duplicates(df: DataFrame, percent: int = 85, id_col: str = "doc_id", te
     short = classes.select("id", "n", "sig")
 
     def pairs_of(rest: DataFrame) -> DataFrame:
-        return close_pairs(rest, short.join(sets.select("id", "sketch"), "id"), percent, sketch_limit(percent), first_shared_key)
+        return close_pairs(rest, short.join(sets.select("id", "sketch"), "id"), percent, sketch_limit(percent), partial(first_shared_key, layout=layout))
 
 
     def verify(pairs: DataFrame) -> DataFrame:
         a, b = (short.select(*(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "sig"))) for x in "ab")
         near = pairs.join(a, F.col("a") == F.col("id_a")).join(b, F.col("b") == F.col("id_b"))
-        near = near.filter((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (distance("sig_a", "sig_b") <= DISTANCE)).select("a", "b")
+        near = near.filter((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (distance("sig_a", "sig_b", layout) <= layout.distance)).select("a", "b")
         left, right = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s_{x}")) for x in "ab")
         both = near.join(right, "b").join(left, "a")
         common = both.select("a", "b", F.size(F.array_intersect("s_a", "s_b")).alias("i"), (F.size("s_a") + F.size("s_b")).alias("t"))

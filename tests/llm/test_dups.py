@@ -81,6 +81,24 @@ def test_near_duplicates_against_brute_force(spark):
     assert kept == {i for i, (_, c) in want.items() if i == c}
 
 
+def test_pipeline_links_near_duplicates_from_80_percent(spark):
+    import corpus_pipeline
+
+    rng = random.Random(7)
+    rows, n = [], 0
+    for k in range(0, 120, 2):
+        base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+        rows += [(k, " ".join(base)), (k + 1, " ".join(edited(rng, base, rng.randint(2, 3))))]
+        s, t = shingles(rows[-2][1]), shingles(rows[-1][1])
+        n += 80 * len(s | t) <= 100 * len(s & t) < 85 * len(s | t)
+    assert n > 5
+    want = brute(rows, 80)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(df, 80).collect()} == want
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()}
+    assert kept == {i for i, (_, c) in want.items() if i == c}
+
+
 def test_near_duplicates_on_odd_rows(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "A B C d e f"), (2, "other words stand in here now")]
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
