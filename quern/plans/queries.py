@@ -180,15 +180,15 @@ def stage_backtest(spark: SparkSession, sf_dir: str, stage: str = "stage1", fore
 
 
 def gbt_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tree forecasts for one cutoff, trained on the references of the two years before."""
+    """Tree forecasts for one cutoff, trained on all references before it."""
     w = World(spark, sf_dir, dates=("1999-05-10",))
-    return gradient_boosted(w.inputs, C.day_types(spark, w.config), rounds=8, refs_after="1997-05-10")
+    return gradient_boosted(w.inputs, C.day_types(spark, w.config), rounds=8)
 
 
 def full_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The blend of the hand-made head and two tree heads, of absolute and squared loss."""
     w = World(spark, sf_dir, dates=("1999-05-10",))
-    heads = [gradient_boosted(w.inputs, C.day_types(spark, w.config), loss, rounds=5, refs_after="1998-05-10") for loss in ("absolute", "squared")]
+    heads = [gradient_boosted(w.inputs, C.day_types(spark, w.config), loss, rounds=5) for loss in ("absolute", "squared")]
     return P.bursty_blend(w.inputs, P.hand(w.inputs), *heads)
 
 

@@ -22,7 +22,7 @@ def _filled(rows: DataFrame) -> DataFrame:
     return rows.withColumns(flags | {c: F.coalesce(F.col(c).cast("double"), F.lit(-1.0)) for c in NUMBERS})
 
 
-def gradient_boosted(x: Inputs, day_type: DataFrame, loss: str = "absolute", rounds: int = 10, depth: int = 5, step: float = 0.1, weekdays: tuple[int, ...] = (0,), refs_after: str | None = None) -> DataFrame:
+def gradient_boosted(x: Inputs, day_type: DataFrame, loss: str = "absolute", rounds: int = 10, depth: int = 5, step: float = 0.1, weekdays: tuple[int, ...] = (0, 3), refs_after: str | None = None) -> DataFrame:
     """One model for each cutoff, as each may only see what was known then; the cutoffs are those of the configuration.
 
     Training itself is distributed; rows without a level over 1 are forecast as 0.

@@ -128,3 +128,27 @@ def test_captures_and_config(spark, tmp_path):
     y.write_text("changed")
     with pytest.raises(ValueError):
         files.check_lock([str(y)], str(lock))
+
+
+def test_registered_trees_train_on_all_references(spark, monkeypatch):
+    from quern.plans import queries as Q
+    from quern.plans import trees as T
+
+    class Stop(Exception):
+        pass
+
+    seen = []
+
+    def rows(known, special, day_type, edges, refs, horizon):
+        seen.append({r.ref for r in refs.select("ref").distinct().collect()})
+        raise Stop
+
+    monkeypatch.setattr(T, "feature_rows", rows)
+    for query in (Q.gbt_forecast, Q.full_blend):
+        try:
+            query(spark, "/root/testdata/sf0.001")
+        except Stop:
+            pass
+    world = Q.World(spark, "/root/testdata/sf0.001", dates=("1999-05-10",))
+    want = {r.ref for r in Q.X.training_refs(world.panel, world.cutoffs).collect()}
+    assert len(want) == 417 and seen == [want, want]
