@@ -1,13 +1,16 @@
 """Quality rules: text statistics, hard limits, and robust multivariate outliers.
 
 Each document's statistics become a vector of four transformed values. For every language and source, every language,
-and all documents, a minimum-covariance-determinant estimate is fitted by concentration steps: of the rows, the three
-quarters of least Mahalanobis distance give the next mean and scatter. A document far from the estimate of its own
-language and source (or, where few documents have passed the limits there, of its language, or of all) is rejected.
+and all documents, a minimum-covariance-determinant estimate is fitted: from each of two fixed starts (coordinate
+medians with the floors as scatter; mean and covariance of all rows) concentration steps take the three quarters of
+rows of least Mahalanobis distance for the next mean and scatter, STEPS times; of the two ends that of the
+lesser determinant stays. A document far from the estimate of its own language and source (or, where few documents
+have passed the limits there, of its language, or of all) is rejected.
 
 Everything is DataFrame and SQL expressions. The values are fixed-point integers, so sums do not depend on the order
-of rows, and the quantiles of distances are read from histograms of at most 512 bins a group, so no group meets in
-one task however large it is. The same statements, as common table expressions, are the query's SQL.
+of rows. Equal vectors of a group become one row with a count before anything else; the quantiles of distances are
+read from histograms of at most 512 bins; and where estimates are joined to rows, both carry a salt. So the rows of a
+group, however many, never have to meet in one task. The same statements, as common table expressions, are the query's SQL.
 """
 
 from __future__ import annotations
@@ -15,17 +18,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.session import written
+from quern.session import discard, written
 
 #: A group needs so many documents for an estimate of its own.
 LEAST_ROWS = 200
-STEPS = 3
+#: Concentration steps from each start. After four the verdicts on the test tables no longer change.
+STEPS = 5
+#: Parts that the rows of a group are dealt to where they are joined.
+SALTS = 64
 #: Share of rows that a concentration step takes, in percent, and what makes their scatter that of a normal sample.
 HALF, CONSISTENT = 75, 1.485
-#: Squared distance above which a document is rejected; far beyond the 0.99999 quantile of chi-square with 4 degrees.
-CUTOFF = 50.0
-#: Standard deviations, in units of 1e-4, that are added to the scatter: less than that never counts as unusual.
-FLOORS = (1000, 5000, 1500, 500)
+#: Squared distance above which a document is rejected: the 0.99999 quantile of chi-square with 4 degrees of freedom.
+CUTOFF = 28.5
+#: Standard deviations, in units of 1e-4, that are added to the scatter, so that a group of alike documents does not
+#: make every other one an outlier. Each is small enough for its statistic to reject a document by itself.
+FLOORS = (1000, 5000, 1000, 350)
 #: Pseudo-counts: a short text says little about its ratios.
 WORDS, LENGTH, LINES = 50, 5, 5
 
@@ -40,8 +47,10 @@ def text_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
     a line is a duplicate if it equals an earlier one; a word is repeated if it lies in a window of 5 words that
     occurs twice or more in the text. A null text has none of anything.
     """
-    t, flat, words, keys, runs = "_q_text", "_q_flat", "_q_words", "_q_keys", "_q_runs"
-    lines, sure, order, places = "_q_lines", "_q_sure", "_q_order", "_q_places"
+    mark = "_q"
+    while any(c.lower().startswith(mark) for c in df.columns):
+        mark += "_"
+    t, flat, words, keys, runs, lines, sure, order, places = (f"{mark}_{c}" for c in ("text", "flat", "words", "keys", "runs", "lines", "sure", "order", "places"))
     out = df.withColumn(t, F.coalesce(F.col(text_col), F.lit("")))
     clean = F.col(t)
     for c in "\t\n\x0b\x0c\r":
@@ -83,19 +92,21 @@ _NONE, _SEP = "chr(2)", "chr(1)"
 _LANG = f"concat('1', {_SEP}, coalesce(lang, {_NONE}))"
 _BOTH = f"concat('0', {_SEP}, coalesce(lang, {_NONE}), {_SEP}, coalesce(source, {_NONE}))"
 
-#: Rows for the fits: each document that passes the limits, for its source, its language, and all.
-FIT = f"""SELECT CASE v.k WHEN 0 THEN {_BOTH} WHEN 1 THEN {_LANG} ELSE '2' END AS g, {_X}
-FROM {{rows}} CROSS JOIN (VALUES (0), (1), (2)) AS v(k) WHERE NOT base_failed"""
+#: Rows for the fits: each document that passes the limits, for its source, its language, and all; equal ones as one.
+FIT = f"""SELECT g, {_X}, count(*) AS c FROM (SELECT CASE v.k WHEN 0 THEN {_BOTH} WHEN 1 THEN {_LANG} ELSE '2' END AS g, {_X}
+FROM {{rows}} CROSS JOIN (VALUES (0), (1), (2)) AS v(k) WHERE NOT base_failed) AS r GROUP BY g, {_X}"""
 
 _VALUE = "CASE v.k " + " ".join(f"WHEN {i} THEN x{i}" for i in DIMS) + " END"
-#: The start: coordinate medians to 0.01, and the floors as scatter.
-START = f"""SELECT g, CAST(0 AS BIGINT) AS n, {", ".join(f"{_d(f'max(CASE WHEN k = {i} THEN b END) * 100 + 50')} AS m{i}" for i in DIMS)},
+#: The first start: coordinate medians to 0.01, and the floors as scatter.
+MEDIANS = f"""SELECT g, 0 AS s, {", ".join(f"{_d(f'max(CASE WHEN k = {i} THEN b END) * 100 + 50')} AS m{i}" for i in DIMS)},
   {", ".join(f"{_d(FLOORS[i - 1] if i == j else 0)} AS l{i}{j}" for i, j in LOWER)}
 FROM (SELECT g, k, min(b) AS b
   FROM (SELECT g, k, b, sum(c) OVER (PARTITION BY g, k ORDER BY b) AS upto, sum(c) OVER (PARTITION BY g, k) AS total
-    FROM (SELECT g, v.k, CAST(floor({_d(_VALUE)} / 100) AS BIGINT) AS b, count(*) AS c
+    FROM (SELECT g, v.k, CAST(floor({_d(_VALUE)} / 100) AS BIGINT) AS b, sum(c) AS c
       FROM {{fit}} CROSS JOIN (VALUES (1), (2), (3), (4)) AS v(k) GROUP BY g, v.k, CAST(floor({_d(_VALUE)} / 100) AS BIGINT)) AS counted) AS summed
   WHERE 2 * upto >= total GROUP BY g, k) AS medians GROUP BY g"""
+#: For the second: all rows in one bin.
+ALL_ROWS = f"SELECT g, 1 AS s, {_X}, c, CAST(0 AS BIGINT) AS b FROM {{fit}}"
 
 
 def _distance(x: str, p: str) -> str:
@@ -108,16 +119,21 @@ def _distance(x: str, p: str) -> str:
 
 
 #: Distances of the fit's rows, as bins of their logarithm.
-BINNED = f"SELECT f.g, {_X}, CAST(least(511, floor(16 * ln(1 + {_distance('f.', 'p.')}))) AS BIGINT) AS b FROM {{fit}} AS f JOIN {{params}} AS p ON f.g = p.g"
+BINNED = f"SELECT f.g, p.s, {_X}, c, CAST(least(511, floor(16 * ln(1 + {_distance('f.', 'p.')}))) AS BIGINT) AS b FROM {{fit}} AS f JOIN {{params}} AS p ON f.g = p.g"
 
-_SUMS = ", ".join([*(f"{_d(f'sum(CAST(x{i} AS DECIMAL(10, 0)))')} AS s{i}" for i in DIMS), *(f"{_d(f'sum(CAST(x{i} AS DECIMAL(10, 0)) * CAST(x{j} AS DECIMAL(10, 0)))')} AS q{i}{j}" for i, j in LOWER)])
+
+def _dec(*factors: str) -> str:
+    return _d("sum(CAST(c AS DECIMAL(18, 0))" + "".join(f" * CAST({x} AS DECIMAL(9, 0))" for x in factors) + ")")
+
+
+_SUMS = ", ".join([*(f"{_dec(f'x{i}')} AS s{i}" for i in DIMS), *(f"{_dec(f'x{i}', f'x{j}')} AS q{i}{j}" for i, j in LOWER)])
 #: Counts and sums by bin come first; the least bins that hold the share are added up.
-MOMENTS = f"""SELECT g, count(*) AS c, b, {_SUMS} FROM {{binned}} GROUP BY g, b"""
+MOMENTS = f"""SELECT g, s, CAST(sum(c) AS BIGINT) AS c, b, {_SUMS} FROM {{binned}} GROUP BY g, s, b"""
 _TAKEN = ", ".join([f"sum({c}) AS {c}" for c in ("c", *(f"s{i}" for i in DIMS), *(f"q{i}{j}" for i, j in LOWER))])
-TAKEN = f"""SELECT g, {_TAKEN}, CAST(max(total) AS BIGINT) AS n
-FROM (SELECT *, sum(c) OVER (PARTITION BY g ORDER BY b) AS upto, sum(c) OVER (PARTITION BY g) AS total FROM {{moments}}) AS t
-WHERE 100 * (upto - c) < {HALF} * total GROUP BY g"""
-SCATTER = "SELECT g, n, " + ", ".join([*(f"s{i} / c AS m{i}" for i in DIMS), *(f"{CONSISTENT}E0 * (q{i}{j} - s{i} * s{j} / c) / c + {float(FLOORS[i - 1]) ** 2 if i == j else 0.0}E0 AS a{i}{j}" for i, j in LOWER)]) + " FROM {taken}"
+TAKEN = f"""SELECT g, s, {_TAKEN}
+FROM (SELECT *, sum(c) OVER (PARTITION BY g, s ORDER BY b) AS upto, sum(c) OVER (PARTITION BY g, s) AS total FROM {{moments}}) AS t
+WHERE 100 * (upto - c) < {HALF} * total GROUP BY g, s"""
+SCATTER = "SELECT g, s, " + ", ".join([*(f"s{i} / c AS m{i}" for i in DIMS), *(f"{CONSISTENT}E0 * (q{i}{j} - s{i} * s{j} / c) / c + {float(FLOORS[i - 1]) ** 2 if i == j else 0.0}E0 AS a{i}{j}" for i, j in LOWER)]) + " FROM {taken}"
 
 
 def _cholesky() -> list[str]:
@@ -133,16 +149,20 @@ def _cholesky() -> list[str]:
             if i > j:
                 new.append(f"(a{i}{j}" + "".join(f" - l{i}{k} * l{j}{k}" for k in DIMS if k < j) + f") / sqrt({root}) AS l{i}{j}")
         rest = [c for c in todo if c[2] != str(j)]
-        out.append(f"SELECT g, n, {', '.join([means, *done, *new, *rest])} FROM {{triangle}}")
+        out.append(f"SELECT g, s, {', '.join([means, *done, *new, *rest])} FROM {{triangle}}")
     return out
 
 
 TRIANGLE = _cholesky()
-_PARAMS = ["n", *(f"m{i}" for i in DIMS), *(f"l{i}{j}" for i, j in LOWER)]
-#: Each document against the finest estimate that enough documents stand behind.
-_PICK = ", ".join(f"CASE WHEN p0.n >= {LEAST_ROWS} THEN p0.{c} WHEN p1.n >= {LEAST_ROWS} THEN p1.{c} ELSE p2.{c} END AS {c}" for c in _PARAMS[1:])
-PLACED = f"""SELECT r.*, {_PICK} FROM {{rows}} AS r LEFT JOIN {{params}} AS p0 ON p0.g = {_BOTH}
-LEFT JOIN {{params}} AS p1 ON p1.g = {_LANG} LEFT JOIN {{params}} AS p2 ON p2.g = '2'"""
+_PARAMS = [*(f"m{i}" for i in DIMS), *(f"l{i}{j}" for i, j in LOWER)]
+#: Of each group the estimate of least determinant, with the number of its rows.
+BEST = f"""SELECT d.g, n, {", ".join(_PARAMS)} FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY {" * ".join(f"l{i}{i}" for i in DIMS)}, s) AS place FROM {{params}}) AS d
+JOIN (SELECT g, CAST(sum(c) AS BIGINT) AS n FROM {{fit}} GROUP BY g) AS sizes ON d.g = sizes.g WHERE place = 1"""
+#: For each language and source the finest estimate that enough documents stand behind.
+_PICK = ", ".join(f"CASE WHEN p0.n >= {LEAST_ROWS} THEN p0.{c} WHEN p1.n >= {LEAST_ROWS} THEN p1.{c} ELSE p2.{c} END AS {c}" for c in _PARAMS)
+CHOSEN = f"""SELECT k.g AS own, {_PICK} FROM (SELECT DISTINCT {_BOTH} AS g, {_LANG} AS l FROM {{rows}}) AS k LEFT JOIN {{best}} AS p0 ON p0.g = k.g
+LEFT JOIN {{best}} AS p1 ON p1.g = k.l LEFT JOIN (SELECT * FROM {{best}} WHERE g = '2') AS p2 ON TRUE"""
+PLACED = f"SELECT r.*, {', '.join(_PARAMS)} FROM {{rows}} AS r LEFT JOIN {{chosen}} AS q ON q.own = {_BOTH}"
 BASE = "n_words < 10 OR 100 * n_repeat_words > 20 * n_words"
 FLAG = f"NOT base_failed AND coalesce({_distance('', '')} <= {CUTOFF}E0, TRUE)"
 
@@ -160,34 +180,44 @@ def quality_rules(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     names = [c for c in df.columns if c not in extra]
     # All other columns travel as one, so that none can clash with those of the fit.
     stats = text_statistics(df.select(F.struct(*(F.col(f"`{c}`") for c in names if c != text_col)).alias("row"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{source_col}`").cast("string").alias("source")))
-    # The row number ends the optimiser's substitution: a filter on the verdict would else be written out down to the text.
-    stats = stats.withColumn("rid", F.monotonically_increasing_id())
-    rows = spark.sql(f"SELECT *, {VECTOR}, ({BASE}) AS base_failed FROM {{stats}}", stats=stats)
-    return _judged(rows, names, text_col, extra)
+    # Written with the texts: the statistics, which are most of the work, are computed once.
+    flagged = judged(written(spark.sql(f"SELECT *, {VECTOR}, ({BASE}) AS base_failed FROM {{stats}}", stats=stats), "stats"))
+    return flagged.select(*(F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in names), *extra)
+
+
+def _salted(df: DataFrame, every: bool) -> DataFrame:
+    """`df` with a salt: a row for every salt, or one of them for each row, in turn."""
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))) if every else (F.monotonically_increasing_id() % SALTS).cast("int"))
 
 
 def fit(rows: DataFrame) -> DataFrame:
-    """Estimates from rows (lang, source, base_failed, x1..x4): one row for each group."""
+    """The estimate of each group, from rows (lang, source, base_failed, x1..x4): (g, n, m1.., l11..)."""
     spark = rows.sparkSession
-    fitted = spark.sql(FIT, rows=rows)
-    params = written(spark.sql(START, fit=fitted), "start")
-    for _ in range(STEPS):
-        binned = spark.sql(BINNED, fit=fitted, params=params)
-        taken = spark.sql(TAKEN, moments=spark.sql(MOMENTS, binned=binned))
-        params = spark.sql(SCATTER, taken=taken)
+    fitted = written(_salted(spark.sql(FIT, rows=rows), False), "vectors")
+
+    def step(binned: DataFrame) -> DataFrame:
+        out = spark.sql(SCATTER, taken=spark.sql(TAKEN, moments=spark.sql(MOMENTS, binned=binned)))
         for statement in TRIANGLE:
-            params = spark.sql(statement, triangle=params)
-        params = written(params, "scatter")
-    return params
+            out = spark.sql(statement, triangle=out)
+        return out.select("g", "s", *_PARAMS)
 
+    params = written(spark.sql(MEDIANS, fit=fitted).select("g", "s", *_PARAMS).unionByName(step(spark.sql(ALL_ROWS, fit=fitted))), "start")
+    for _ in range(STEPS):
+        binned = spark.sql(f"{BINNED} AND f.salt = p.salt", fit=fitted, params=_salted(params, True))
+        new = written(step(binned), "scatter")
+        discard(params)
+        params = new
+    best = written(spark.sql(BEST, params=params, fit=fitted), "best")
+    discard(params, fitted)
+    return best
 
-def _judged(rows: DataFrame, names: list[str], text_col: str, extra: list[str]) -> DataFrame:
+
+def judged(rows: DataFrame) -> DataFrame:
+    """Written rows of statistics with `kept`. The estimates read the few small columns only."""
     spark = rows.sparkSession
-    # The estimates need the small columns only; they are written once and read in every step.
-    small = written(rows.select("lang", "source", "base_failed", *(f"x{i}" for i in DIMS)), "vectors")
-    placed = spark.sql(PLACED, rows=rows, params=fit(small))
-    flagged = spark.sql(f"SELECT *, {FLAG} AND rid >= 0 AS kept FROM {{placed}}", placed=placed)
-    return flagged.select(*(F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in names), *extra)
+    chosen = _salted(written(spark.sql(CHOSEN, rows=rows, best=fit(rows)), "chosen"), True)
+    placed = spark.sql(f"{PLACED} AND q.salt = r.salt", rows=_salted(rows, False), chosen=chosen)
+    return spark.sql(f"SELECT *, {FLAG} AS kept FROM {{placed}}", placed=placed)
 
 
 def op1_robust_quality(spark, sf_dir: str) -> DataFrame:
@@ -196,9 +226,7 @@ def op1_robust_quality(spark, sf_dir: str) -> DataFrame:
     stats = text_statistics(docs).drop("text")
     # The statistics are a few numbers a document: written once, they serve the fit and the result.
     rows = written(spark.sql(f"SELECT *, {VECTOR}, ({BASE}) AS base_failed FROM {{stats}}", stats=stats), "stats")
-    placed = spark.sql(PLACED, rows=rows, params=fit(rows))
-    flagged = spark.sql(f"SELECT *, {FLAG} AS kept FROM {{placed}}", placed=placed)
-    return flagged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judged(rows).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def _oracle() -> str:
@@ -217,8 +245,14 @@ def _oracle() -> str:
         ),
         ("rows_", f"SELECT *, {VECTOR}, ({BASE}) AS base_failed FROM stats"),
         ("fit", FIT.format(rows="rows_")),
-        ("params0", START.format(fit="fit")),
+        ("moments", MOMENTS.format(binned=f"({ALL_ROWS.format(fit='fit')}) AS a")),
+        ("taken", TAKEN.format(moments="moments")),
+        ("triangle0", SCATTER.format(taken="taken")),
     ]
+    columns = ", ".join(["g", "s", *_PARAMS])
+    for k, statement in enumerate(TRIANGLE):
+        parts.append((f"triangle{k + 1}", statement.format(triangle=f"triangle{k}")))
+    parts.append(("params0", f"SELECT {columns} FROM ({MEDIANS.format(fit='fit')}) AS a UNION ALL SELECT {columns} FROM triangle{len(TRIANGLE)}"))
     for s in range(STEPS):
         parts += [
             (f"binned{s}", BINNED.format(fit="fit", params=f"params{s}")),
@@ -228,7 +262,9 @@ def _oracle() -> str:
         ]
         for k, statement in enumerate(TRIANGLE):
             parts.append((f"params{s + 1}" if k == len(TRIANGLE) - 1 else f"triangle{s}{k + 1}", statement.format(triangle=f"triangle{s}{k}")))
-    parts.append(("placed", PLACED.format(rows="rows_", params=f"params{STEPS}")))
+    parts.append(("best", BEST.format(params=f"params{STEPS}", fit="fit")))
+    parts.append(("chosen", CHOSEN.format(rows="rows_", best="best")))
+    parts.append(("placed", PLACED.format(rows="rows_", chosen="chosen")))
     chain = ",\n".join(f"{name} AS MATERIALIZED ({body})" for name, body in parts)
     return f"WITH {chain}\nSELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, {FLAG} AS kept FROM placed"
 
