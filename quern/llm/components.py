@@ -6,20 +6,24 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.session import written
+from quern.llm.ordermin import distinct, mix
+from quern.session import discard, release, written
 
 
 def _flat(parents: DataFrame) -> DataFrame:
     """Pointer jumping: (node, up) with every up a root. Parents are less than their nodes, so there are no cycles."""
+    before = None
     while True:
         nxt = parents.select(F.col("node").alias("n2"), F.col("up").alias("u2"))
         jumped = written(parents.join(nxt, parents.up == nxt.n2, "left").select("node", F.coalesce("u2", "up").alias("up"), F.col("u2").isNotNull().alias("moved")), "jump")
-        parents = jumped.select("node", "up")
+        discard(before)
         if jumped.filter("moved").isEmpty():
-            return parents
+            return jumped
+        parents, before = jumped.select("node", "up"), jumped
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -33,6 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
     e = written(e.filter("hi <> lo").distinct(), "edges")
     first, labels = e, None
     while not e.isEmpty():
+        old = e, labels
         roots = _flat(e.groupBy("hi").agg(F.min("lo").alias("lo")).select(F.col("hi").alias("node"), F.col("lo").alias("up")))
         if labels is None:
             nodes = first.select(F.explode(F.array("hi", "lo")).alias("node")).distinct()
@@ -44,92 +49,219 @@ def components(edges: DataFrame) -> DataFrame:
         low = roots.select(F.col("node").alias("lo"), F.col("up").alias("u"))
         moved = e.join(high, "hi").join(low, "lo", "left").select("a", F.coalesce("u", "lo").alias("b")).filter("a <> b")
         e = written(moved.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges")
+        discard(roots, *old)
     return labels if labels is not None else first.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
 
 
-def bucket_members(keys: DataFrame) -> DataFrame:
-    """Of `keys` (key, id): the rows of keys that more than one id has, with the least of their ids as `lead`."""
-    shared = keys.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).filter("lead <> last").select("key", "lead")
-    return written(keys.join(shared, "key").distinct(), "buckets")
+#: Bits of a filter. Its size does not depend on the data: with more numbers it only lets more of the others pass.
+FILTER_BITS = 1 << 26
+
+
+def filter_places(numbers: np.ndarray) -> np.ndarray:
+    return (mix(numbers.astype(np.int64).view(np.uint64)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+
+
+def number_filter(df: DataFrame, column: str) -> Broadcast:
+    """A filter of FILTER_BITS bits (8 MiB) that lets all numbers of a column pass, and few others.
+
+    Bits are put together by Spark, 64 to a row, so what comes to the driver and is sent out has a fixed bound.
+    """
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = filter_places(b.column(0).to_numpy())
+            bits = np.left_shift(np.uint64(1), (at & 63).astype(np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((at >> 6).astype(np.int32)), pa.array(bits)], names=["word", "bits"])
+
+    found = df.select(F.col(column).cast("long")).dropna().mapInArrow(words, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = np.zeros(FILTER_BITS // 64, np.int64)
+    table[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return df.sparkSession.sparkContext.broadcast(table)
+
+
+def may_hold(table: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Whether the filter lets each number pass."""
+    at = filter_places(numbers)
+    return (table[at >> 6] >> (at & 63)) & 1 == 1
+
+
+#: Numbers that a task holds before it hands them out.
+HELD = 1_000_000
+#: Times this, keys of any form are spread over 48 bits evenly; it can be undone.
+SPREAD = np.uint64(0x9E3779B97F4B)
+
+
+def shared_keys(rows: DataFrame, parts: int) -> DataFrame:
+    """(key): the keys of `rows` (key, id), 48 bits each, that more than one id has.
+
+    Nearly all keys have one id, so they travel packed: a row for each of `parts` ranges of keys holds many numbers,
+    each a key and 16 bits of its id. Equal ones are put together before the shuffle, so a hot key does not weigh more
+    than others. Two ids with a key in common are told apart but for one pair in 65,536.
+    """
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            x = distinct(np.concatenate(held))
+            at = np.searchsorted(x, np.array([(k << 64) // parts for k in range(parts + 1)][1:-1], np.uint64))
+            cut = [0, *at.tolist(), len(x)]
+            pieces = [(k, x[i:j].tobytes()) for k, (i, j) in enumerate(zip(cut, cut[1:], strict=False)) if i < j]
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in pieces], pa.int32()), pa.array([d for _, d in pieces], pa.binary())], names=["part", "data"])
+
+        for b in batches:
+            if b.num_rows:
+                spread = b.column("key").to_numpy().astype(np.uint64) * SPREAD  # the shift cuts it to 48 bits
+                held.append((spread << np.uint64(16)) | (mix(b.column("id").to_numpy().view(np.uint64)) >> np.uint64(48)))
+                size += b.num_rows
+            if size > HELD:
+                yield out()
+                held, size = [], 0
+        if held:
+            yield out()
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, []
+
+        def out() -> pa.RecordBatch:
+            keys = distinct(np.concatenate(held)) >> np.uint64(16)
+            keys = distinct(keys[1:][keys[1:] == keys[:-1]]) * np.uint64(pow(int(SPREAD), -1, 1 << 48))
+            return pa.RecordBatch.from_arrays([pa.array((keys & np.uint64((1 << 48) - 1)).astype(np.int64))], names=["key"])
+
+        for b in batches:
+            for k, data in zip(b.column("part").to_pylist(), b.column("data"), strict=True):
+                if held and k != part:
+                    yield out()
+                    held = []
+                part = k
+                held.append(np.frombuffer(data.as_py(), np.uint64))
+        if held:
+            yield out()
+
+    placed = rows.mapInArrow(packed, "part int, data binary").repartition("part").sortWithinPartitions("part")
+    return placed.mapInArrow(shared, "key long")
+
+
+def bucket_members(keys_of: Callable[[Broadcast | None], DataFrame], n_keys: int) -> DataFrame:
+    """The rows (key, id) of keys that more than one id has, with the least of their ids as `lead`.
+
+    `keys_of` makes the rows, all or those that a filter lets pass; there are about `n_keys` of them. The keys that
+    are shared are found first. The rows are then made again without the others, and only those are joined.
+    """
+    spark = keys_of(None).sparkSession
+    found = written(shared_keys(keys_of(None), max(64, n_keys // HELD)), "shared")
+    rows = written(keys_of(number_filter(found, "key")), "keyed")
+    release(spark)
+    counted = rows.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last"))
+    members = written(rows.join(counted.filter("lead <> last").select("key", "lead"), "key").distinct(), "buckets")
+    discard(found, rows)
+    return members
 
 
 #: Rows of a key that one block holds; a key of more rows is compared block by block, in tasks of their own.
 BLOCK = 20_000
-#: Rows compared at once.
-TILE = 512
-
-
-def _close(one: dict, two: dict, limit: int, percent: int, same: bool, first_key: Callable | None, key: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of pairs of different components that may be similar enough, by their sizes and sketches."""
-    left, right = [], []
-    for a in range(0, len(one["id"]), TILE):
-        for b in range(a if same else 0, len(two["id"]), TILE):
-            x, y = slice(a, a + TILE), slice(b, b + TILE)
-            n, m = one["n"][x, None], two["n"][None, y]
-            ok = (one["c"][x, None] != two["c"][None, y]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-            if same and a == b:
-                ok &= np.tri(*ok.shape, k=-1, dtype=bool)
-            i, j = np.nonzero(ok)
-            if first_key is not None and len(i):
-                keep = first_key(one["sig"][x][i], two["sig"][y][j], key)
-                i, j = i[keep], j[keep]
-            for t in range(0, len(i), 100_000):
-                p, q = i[t : t + 100_000], j[t : t + 100_000]
-                differ = np.bitwise_count(one["sketch"][x][p] ^ two["sketch"][y][q]).sum(axis=1, dtype=np.int64)
-                p, q = p[differ <= limit], q[differ <= limit]
-                left.append(one["id"][x][p])
-                right.append(two["id"][y][q])
-    empty = np.empty(0, np.int64)
-    return np.concatenate(left or [empty]), np.concatenate(right or [empty])
-
-
-def close_pairs(rest: DataFrame, traits: DataFrame, percent: int, limit: int, first_key: Callable | None = None) -> DataFrame:
-    """(a, b): pairs of `rest` (key, id, c) with a common key and different c that `traits` (id, n, sketch[, sig]) allow.
-
-    Pairs are compared within tasks and only those that remain are given out. A key of many rows is split into blocks
-    by a hash of the id, and each pair of blocks is a task's work of its own, so neither memory nor time of a task
-    grows with the key. `first_key` picks one of several keys that a pair shares.
+#: Pairs compared at once.
+PAIRS = 200_000
+
+
+def _near(rows: dict, p: np.ndarray, q: np.ndarray, least: int, percent: int, first_key: Callable | None) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of places in `rows` those of different components that may be similar enough, by sizes and sketches."""
+
+    def keep(ok: np.ndarray) -> None:
+        nonlocal p, q
+        p, q = p[ok], q[ok]
+
+    keep(rows["c"][p] != rows["c"][q])
+    if "n" in rows:
+        n, m = rows["n"][p], rows["n"][q]
+        keep(100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+    if first_key is not None and len(p):
+        keep(first_key(rows["sig"][p], rows["sig"][q], rows["key"][p]))
+    keep(agreement(rows["sketch"][p], rows["sketch"][q]) >= least)
+    return p, q
+
+
+def _close(rows: dict, least: int, percent: int, first_key: Callable | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids of the close pairs of many units (key, lo, hi), whose rows are sorted by (key, lo, hi, own).
+
+    In a unit of one block each row meets those before it, in one of two blocks each row of the second meets all of
+    the first. Pairs are laid out for many small units, or for a part of a large one, at a time.
     """
-    parts = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    rows = rest.join(traits, "id").join(parts, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("other", "parts")
-    wide = "sig" in rows.columns
+    n = len(rows["id"])
+    new = np.concatenate([[True], (rows["key"][1:] != rows["key"][:-1]) | (rows["lo"][1:] != rows["lo"][:-1]) | (rows["hi"][1:] != rows["hi"][:-1])])
+    begin = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    firsts = np.bincount(begin, weights=rows["own"] == rows["lo"], minlength=n).astype(np.int64)[begin]
+    partners = np.where(rows["lo"] == rows["hi"], np.arange(n) - begin, np.where(rows["own"] == rows["hi"], firsts, 0))
+    upto = np.cumsum(partners)
+    for t in range(0, int(upto[-1]) if n else 0, PAIRS):
+        # Pairs t to t + PAIRS in the order of rows: whole rows, and parts of the first and the last.
+        pair = np.arange(t, min(t + PAIRS, int(upto[-1])))
+        p = np.searchsorted(upto, pair, side="right")
+        q = begin[p] + pair - (upto[p] - partners[p])
+        p, q = _near(rows, p, q, least, percent, first_key)
+        yield rows["id"][p], rows["id"][q]
+
+
+def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many bytes the rows of two arrays of 64-bit numbers are equal."""
+    return (np.ascontiguousarray(a).view(np.uint8) == np.ascontiguousarray(b).view(np.uint8)).sum(axis=1)
+
+
+def close_pairs(rest: DataFrame, traits: DataFrame, percent: int, least: int, first_key: Callable | None = None) -> DataFrame:
+    """(a, b): pairs of `rest` (key, id, c) with a common key and different c that `traits` (id, sketch[, n, sig]) allow:
+    sketches must agree in `least` bytes.
+
+    Pairs are compared within tasks and only those that remain are given out. The rows of a key are split into blocks
+    by a hash of the id, those of its largest component and the others apart, and each pair of blocks is a task's work
+    of its own, so neither memory nor time of a task grows with the key. Two blocks of the largest component have
+    nothing to compare, so a key whose ids are nearly all linked already takes work in proportion to its rows.
+    `first_key` picks one of several keys that a pair shares.
+    """
+    kinds = rest.groupBy("key", "c").agg(F.count("*").alias("n"))
+    kinds = kinds.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all")).filter("all > most")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    kinds = kinds.select("key", "main", blocks(F.col("most")).alias("m"), blocks(F.col("all") - F.col("most")).alias("g"))
+    rows = rest.join(traits, "id").join(kinds, "key").withColumn("spread", F.xxhash64("id"))
+    rows = rows.withColumn("own", F.when(F.col("c") == F.col("main"), F.pmod("spread", "m")).otherwise(F.col("m") + F.pmod("spread", "g")).cast("int"))
+    first = F.when(F.col("own") < F.col("m"), F.col("m")).otherwise(0)
+    rows = rows.withColumn("other", F.explode(F.sequence(first, F.col("m") + F.col("g") - 1)))
+    rows = rows.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("other", "main", "m", "g", "spread")
+    wide = {"sig", "n"} & set(rows.columns)
 
     def arrays(b: pa.RecordBatch) -> dict:
-        out = {k: b.column(k).to_numpy() for k in ("key", "lo", "hi", "own", "id", "c", "n")}
-        for k in ("sketch", *(("sig",) if wide else ())):
+        out = {k: b.column(k).to_numpy() for k in ("key", "lo", "hi", "own", "id", "c", *(wide - {"sig"}))}
+        for k in ("sketch", *(wide - {"n"})):
             flat = b.column(k).flatten().to_numpy()
             out[k] = flat.view(np.uint64).reshape(b.num_rows, -1)
         return out
 
-    def compared(held: list[dict]) -> pa.RecordBatch:
+    def compared(held: list[dict]) -> Iterator[pa.RecordBatch]:
         group = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
-        key, lo, hi = int(group["key"][0]), int(group["lo"][0]), int(group["hi"][0])
-        pick = lambda side: {k: v[group["own"] == side] for k, v in group.items()}
-        one = pick(lo)
-        a, b = _close(one, one if lo == hi else pick(hi), limit, percent, lo == hi, first_key, key)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        for a, b in _close(group, least, percent, first_key):
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
-        at = None
         for b in batches:
             if not b.num_rows:
                 continue
             cols = arrays(b)
-            change = np.flatnonzero((np.diff(cols["key"]) != 0) | (np.diff(cols["lo"]) != 0) | (np.diff(cols["hi"]) != 0)) + 1
-            for s, e in zip([0, *change.tolist()], [*change.tolist(), b.num_rows], strict=True):
-                here = (cols["key"][s], cols["lo"][s], cols["hi"][s])
-                if held and here != at:
-                    yield compared(held)
-                    held = []
-                at = here
-                held.append({k: v[s:e] for k, v in cols.items()})
+            # Units that end in this batch are compared; the last one may go on in the next.
+            place = [cols[k] for k in ("key", "lo", "hi")]
+            last = np.flatnonzero(np.logical_or.reduce([x != x[-1] for x in place]))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if not cut and held and any(h[k][-1] != x[0] for h in held[-1:] for k, x in zip(("key", "lo", "hi"), place, strict=True)):
+                yield from compared(held)
+                held = []
+            if cut:
+                yield from compared([*held, {k: v[:cut] for k, v in cols.items()}])
+                held = []
+            held.append({k: v[cut:] for k, v in cols.items()})
         if held:
-            yield compared(held)
+            yield from compared(held)
 
-    placed = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "id")
+    placed = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "own", "id")
     return placed.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -144,8 +276,11 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], p
     stars = members.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))
     first = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     tried = written(first, "tried")
+    spark = members.sparkSession
     edges = written(verify(tried), "linked")
+    release(spark)
     comp = components(edges)
+    release(spark)
 
     def apart(pairs: DataFrame) -> DataFrame:
         """Pairs not tried yet whose ends are in different components."""
@@ -156,6 +291,7 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], p
     second = written(apart(stars.distinct()), "tried")
     if not second.isEmpty():
         edges = edges.union(written(verify(second), "linked"))
+        release(spark)
         tried, comp = tried.union(second), components(edges)
     now = members.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     mixed = now.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("key")
@@ -164,5 +300,7 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], p
         third = written(pairs_of(rest).join(tried, ["a", "b"], "left_anti"), "tried")
         if not third.isEmpty():
             edges = edges.union(written(verify(third), "linked"))
+            release(spark)
             comp = components(edges)
+    discard(rest)
     return comp

@@ -13,22 +13,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.components import bucket_members, close_pairs, link_buckets
-from quern.llm.ordermin import mix
+from quern.llm.components import agreement, bucket_members, close_pairs, link_buckets, may_hold, number_filter
+from quern.llm.ordermin import distinct, mix
 from quern.llm.pretok import slices
-from quern.llm.shingles import sketch, sketch_limit
-from quern.session import written
+from quern.llm.shingles import mix32, one_permutation, sketch_least, sketches
+from quern.session import discard, release, written
 
 #: Characters of a shingle. Shorter lines are one shingle.
 WIDTH = 5
-#: A pair of similarity 0.8 is missed by all bands with a probability of (1 - 0.8^4)^19 < 1/20,000.
-BANDS, ROWS = 19, 4
+#: A pair of similarity 0.8 is missed by all bands with a probability of (1 - 0.8^5)^24 < 1/13,000.
+BANDS, ROWS = 24, 5
 BINS = BANDS * ROWS
+#: Lines are signed in slices of about so many characters, which stay in the processor's cache.
+CHARS = 200_000
 _P = np.uint64(0x9E3779B97F4A7C15)
-_EMPTY = np.iinfo(np.uint64).max
+_POWERS = [np.uint32(pow(0x9E3779B1, k, 1 << 32)) for k in range(WIDTH)]
 BLANK = " \t\n\x0b\x0c\r"
 
 
@@ -38,60 +41,38 @@ def lines_of(text: str) -> list[tuple[int, str]]:
 
 
 def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the character shingles of all lines, repeats included, and how many each line has."""
-    points = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+    """Hashes (32 bits) of the character shingles of all lines, repeats included, and how many each line has."""
+    raw = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-    begin = np.cumsum(sizes) - sizes
-    h = points[: max(0, len(points) - WIDTH + 1)].copy()
+    n, begin = len(raw), np.cumsum(sizes) - sizes
+    points = np.concatenate([raw + np.uint32(1), np.zeros(WIDTH - 1, np.uint32)])
+    h = points[:n] * _POWERS[WIDTH - 1]
     for j in range(1, WIDTH):
-        h = h * _P + points[j : j + len(h)]
-    counts = np.maximum(sizes - WIDTH + 1, 1)
-    ends = np.cumsum(counts)
-    at = np.arange(ends[-1]) + np.repeat(begin - (ends - counts), counts)
-    short = np.flatnonzero(sizes < WIDTH)
-    out = h[np.minimum(at, max(0, len(h) - 1))] if len(h) else np.zeros(len(at), np.uint64)
-    for k in short.tolist():
-        v = np.uint64(sizes[k])
-        with np.errstate(over="ignore"):
-            for p in points[begin[k] : begin[k] + sizes[k]]:
-                v = v * _P + p + np.uint64(0x51ED27)
-        out[ends[k] - 1] = v
-    return mix(out), counts
-
-
-def signatures(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """(lines, BINS): the least hash in each bin; an empty bin takes that of a filled bin chosen by a fixed walk."""
-    n = len(counts)
-    sig = np.full(n * BINS, _EMPTY, np.uint64)
-    bin_of = ((h >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)
-    np.minimum.at(sig, np.repeat(np.arange(n), counts) * BINS + bin_of.astype(np.int64), h)
-    sig = sig.reshape(n, BINS)
-    holes = sig == _EMPTY
-    some = np.flatnonzero(holes.any(axis=1))
-    if len(some):
-        part, empty = sig[some], holes[some]
-        filled = part.copy()
-        rows, cols = np.nonzero(empty)
-        step = 0
-        while len(rows):
-            step += 1
-            # past a bounded walk the next bins are tried in turn, so every hole is filled
-            walk = mix(cols.astype(np.uint64) * _P + np.uint64(step)) % np.uint64(BINS) if step <= 4 * BINS else (cols + step).astype(np.uint64) % np.uint64(BINS)
-            source = walk.astype(np.int64)
-            hit = ~empty[rows, source]
-            filled[rows[hit], cols[hit]] = mix(part[rows[hit], source[hit]] + np.uint64(step))
-            rows, cols = rows[~hit], cols[~hit]
-        sig[some] = filled
-    return sig
+        h += points[j : j + n] * _POWERS[WIDTH - 1 - j]
+    whole = np.ones(n, bool)
+    for j in range(1, WIDTH):  # no shingle begins so near to a line's end
+        whole[np.maximum(begin + sizes - j, begin)] = False
+    for k in np.flatnonzero(sizes < WIDTH).tolist():
+        v = int(sizes[k])
+        for p in points[begin[k] : begin[k] + sizes[k]].tolist():
+            v = (v * 0x9E3779B1 + p + 0x51ED27) & 0xFFFFFFFF
+        whole[begin[k] : begin[k] + sizes[k]] = False
+        h[begin[k]], whole[begin[k]] = v, True
+    return mix32(h[whole]), np.maximum(sizes - WIDTH + 1, 1)
+
+
+def signatures(lines: list[str]) -> np.ndarray:
+    """(lines, BINS) MinHash values."""
+    return one_permutation(*shingle_hashes(lines), BINS)
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
-    """(lines, BANDS) keys as signed 64-bit numbers."""
-    parts = sig.reshape(len(sig), BANDS, ROWS)
+    """(lines, BANDS) keys of 48 bits."""
+    parts = sig.reshape(len(sig), BANDS, ROWS).astype(np.uint64)
     key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), parts.shape[:2])
     for r in range(ROWS):
         key = mix(key * _P + parts[:, :, r])
-    return key.view(np.int64)
+    return (key >> np.uint64(16)).astype(np.int64)
 
 
 def line_id(line: str) -> int:
@@ -107,73 +88,129 @@ def text_id(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode(), seed=3) - (1 << 63)
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["id", "check", "doc_id", "text_id", "line"]
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document: the hashes of its lines and their numbers."""
     for b in batches:
-        at, ids = 0, b.column("doc_id")
+        at = 0
         for part in slices([t or "" for t in b.column("text").to_pylist()]):
             lines = [lines_of(t) for t in part]
-            n = np.fromiter(map(len, lines), np.int64, len(lines))
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(own) for own in lines])]).astype(np.int32))
             flat = [x for own in lines for _, x in own]
-            cols = [pa.array([line_id(x) for x in flat], pa.int64()), pa.array([line_check(x) for x in flat], pa.int64())]
-            cols += [ids.take(pa.array(np.repeat(np.arange(at, at + len(part)), n))), pa.array(np.repeat(np.array([text_id(t) for t in part], np.int64), n))]
-            cols.append(pa.array([k for own in lines for k, _ in own], pa.int32()))
+            cols = [b.column("doc_id").slice(at, len(part)), pa.array([text_id(t) for t in part], pa.int64())]
+            for values in (pa.array([line_id(x) for x in flat], pa.int64()), pa.array([line_check(x) for x in flat], pa.int64()), pa.array([k for own in lines for k, _ in own], pa.int32())):
+                cols.append(pa.ListArray.from_arrays(ends, values))
             at += len(part)
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_id", "ids", "checks", "numbers"])
+
 
+def _distinct_lines(batches: Iterator[pa.RecordBatch], only: Broadcast | None = None, seen_most: int = 200_000) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """Ids and lines in runs; those seen before by this task are left out as far as a bounded memory goes.
 
-def _distinct_lines(batches: Iterator[pa.RecordBatch], seen_most: int = 200_000) -> Iterator[tuple[list[int], list[str]]]:
-    """Ids and lines in runs; those seen before by this task are left out as far as a bounded memory goes."""
+    `only` is a filter of ids.
+    """
     seen: set[int] = set()
     for b in batches:
-        for part in slices([t or "" for t in b.column("text").to_pylist()]):
+        for part in slices([t or "" for t in b.column("text").to_pylist()], CHARS):
             ids, lines = [], []
             for t in part:
-                for _, x in lines_of(t):
-                    if (k := line_id(x)) not in seen:
+                for x in t.split("\n"):
+                    if x.strip(BLANK) and (k := line_id(x)) not in seen:
                         seen.add(k)
                         ids.append(k)
                         lines.append(x)
             if len(seen) > seen_most:
                 seen.clear()
+            found = np.array(ids, np.int64)
+            if only is not None and lines:
+                keep = np.flatnonzero(may_hold(only.value, found))
+                found, lines = found[keep], [lines[k] for k in keep.tolist()]
             if lines:
-                yield ids, lines
+                yield found, lines
+
 
+def _keyed(only: Broadcast | None):
+    """(key, id) of all lines; `only` is a filter of keys."""
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, lines in _distinct_lines(batches):
-        keys = band_keys(signatures(*shingle_hashes(lines)))
-        yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(np.array(ids, np.int64), BANDS))], names=["key", "id"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, lines in _distinct_lines(batches):
+            keys, ids = band_keys(signatures(lines)).reshape(-1), np.repeat(ids, BANDS)
+            if only is not None:
+                keep = may_hold(only.value, keys)
+                keys, ids = keys[keep], ids[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids)], names=["key", "id"])
+
+    return run
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, lines in _distinct_lines(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([line_check(x) for x in lines], pa.int64()), pa.array(lines, pa.string())], names=["id", "check", "text"])
+def _texts(only: Broadcast):
+    """(id, check, text, n) of the lines whose id the filter lets pass; n is the number of distinct shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, lines in _distinct_lines(batches, only):
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([line_check(x) for x in lines], pa.int64()), pa.array(lines, pa.string()), pa.array(distinct_shingles(lines, np.arange(len(lines)), len(lines)))], names=["id", "check", "text", "n"])
+
+    return run
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        n, bits = [], []
-        for part in slices(b.column("text").to_pylist()):
-            h, counts = shingle_hashes(part)
-            for own in np.split(h, np.cumsum(counts)[:-1]):
-                own = np.unique(own)
-                n.append(len(own))
-                bits.append(sketch(own))
-        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(bits, pa.list_(pa.int64()))], names=["id", "n", "sketch"])
+        at = 0
+        for lines in slices(b.column("text").to_pylist(), CHARS):
+            flat = pa.array(sketches(signatures(lines)).reshape(-1))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(lines) + 1, dtype=np.int32) * (BINS // 8)), flat)
+            yield pa.RecordBatch.from_arrays([b.column("id").slice(at, len(lines)), b.column("n").slice(at, len(lines)), lists], names=["id", "n", "sketch"])
+            at += len(lines)
+
+
+def distinct_shingles(lines: list[str], own: np.ndarray, n: int) -> np.ndarray:
+    """How many distinct shingles the lines of each of `n` owners have together. Exact, without hashes.
+
+    Code points are numbered within the call, so that an owner and a shingle fit into 64 bits. Where they do not, or a
+    line is shorter than a shingle, sets of strings do the work.
+    """
+    points = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
+    known = np.unique(points)
+    bits = int(len(known)).bit_length()
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    if WIDTH * bits + n.bit_length() > 64 or sizes.min() < WIDTH:
+        sets: list[set[str]] = [set() for _ in range(n)]
+        for k, x in zip(own.tolist(), lines, strict=True):
+            sets[k] |= _shingles(x)
+        return np.array([len(s) for s in sets])
+    table = np.zeros(int(known[-1]) + 1, np.uint64)
+    table[known] = np.arange(len(known), dtype=np.uint64)
+    code = table[points]
+    h = code[: len(code) - WIDTH + 1].copy()
+    for j in range(1, WIDTH):
+        h = (h << np.uint64(bits)) | code[j : j + len(h)]
+    begin, counts = np.cumsum(sizes) - sizes, sizes - WIDTH + 1
+    at = np.arange(counts.sum()) + np.repeat(begin - (np.cumsum(counts) - counts), counts)
+    shift = np.uint64(WIDTH * bits)
+    keys = distinct((np.repeat(own.astype(np.uint64), counts) << shift) | h[at])
+    return np.bincount((keys >> shift).astype(np.int64), minlength=n)
 
 
 def _verified(percent: int):
+    """Pairs that are alike: those that sizes and sketches allow are compared exactly."""
+    least = sketch_least(percent, BINS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            a, c = b.column("a").to_pylist(), b.column("b").to_pylist()
-            keep = []
-            for k, (x, y) in enumerate(zip(b.column("ta").to_pylist(), b.column("tb").to_pylist(), strict=True)):
-                s, t = _shingles(x), _shingles(y)
-                i = len(s & t)
-                if 100 * i >= percent * (len(s) + len(t) - i):
-                    keep.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in keep], pa.int64()), pa.array([c[k] for k in keep], pa.int64())], names=["a", "b"])
+            if not b.num_rows:
+                continue
+            sizes = np.stack([b.column(f"n{c}").to_numpy() for c in "ab"])
+            b = b.take(pa.array(np.flatnonzero(100 * sizes.min(axis=0) >= percent * sizes.max(axis=0))))
+            total = b.column("na").to_numpy() + b.column("nb").to_numpy()
+            texts, at = [b.column(f"t{c}").to_pylist() for c in "ab"], 0
+            for left in slices(texts[0], CHARS // 2):
+                right = texts[1][at : at + len(left)]
+                near = np.flatnonzero(agreement(sketches(signatures(left)), sketches(signatures(right))) >= least)
+                if len(near):
+                    lines = [x[k] for x in (left, right) for k in near.tolist()]
+                    union = distinct_shingles(lines, np.tile(np.arange(len(near)), 2), len(near))
+                    both = total[at + near] - union
+                    yield b.select(["a", "b"]).take(pa.array(at + near[100 * both >= percent * union]))
+                at += len(left)
 
     return run
 
@@ -190,23 +227,33 @@ def line_removals(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     first), then text_id, then line number. Rows of one doc_id and one text are one document and get the same lines.
     Null and empty texts have no lines.
     """
+    return _removals(df, percent, id_col, text_col)[1]
+
+
+def _removals(df: DataFrame, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """All documents (doc_id, text_id, ids, ...), and line_removals."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    lines = written(docs.mapInArrow(_occurrences, "id long, check long, doc_id long, text_id long, line int"), "lines")
+    whole = written(docs.mapInArrow(_documents, "doc_id long, text_id long, ids array<long>, checks array<long>, numbers array<int>"), "lines")
+    lines = whole.select("doc_id", "text_id", F.explode(F.arrays_zip("ids", "checks", "numbers")).alias("x"))
+    lines = lines.select(F.col("x.ids").alias("id"), F.col("x.checks").alias("check"), "doc_id", "text_id", F.col("x.numbers").alias("line"))
+    n_lines = whole.agg(F.sum(F.size("ids"))).first()[0] or 0
     place = F.struct("doc_id", "text_id", "line")
-    members = bucket_members(docs.select("text").mapInArrow(_keyed, "key long, id long"))
+    members = bucket_members(lambda only: docs.select("text").mapInArrow(_keyed(only), "key long, id long"), n_lines * BANDS)
 
+    # Texts of lines that share a key. The filter keeps most of the others out of the shuffle, the join all of them.
     wanted = members.select("id").distinct()
-    texts = docs.select("text").mapInArrow(_texts, "id long, check long, text string").join(wanted, "id", "left_semi")
-    texts = written(texts.groupBy("id").agg(F.min(F.struct("check", "text")).alias("t")).select("id", "t.*"), "texts")
+    texts = docs.select("text").mapInArrow(_texts(number_filter(wanted, "id")), "id long, check long, text string, n long").join(wanted, "id", "left_semi")
+    texts = written(texts.groupBy("id").agg(F.min(F.struct("check", "text", "n")).alias("t")).select("id", "t.*"), "texts")
+    release(df.sparkSession)
 
     def pairs_of(rest: DataFrame) -> DataFrame:
-        some = texts.select("id", "text").join(rest.select("id").distinct(), "id", "left_semi")
-        return close_pairs(rest, some.mapInArrow(_sketched, "id long, n long, sketch array<long>"), percent, sketch_limit(percent))
+        some = texts.select("id", "text", "n").join(rest.select("id").distinct(), "id", "left_semi")
+        return close_pairs(rest, some.mapInArrow(_sketched, "id long, n long, sketch array<long>"), percent, sketch_least(percent, BINS))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        left, right = (texts.select(F.col("id").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
+        left, right = (texts.select(F.col("id").alias(x), F.col("text").alias(f"t{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
         both = pairs.join(right, "b").join(left, "a")
-        return both.select("a", "b", "ta", "tb").mapInArrow(_verified(percent), "a long, b long")
+        return both.select("a", "b", "ta", "tb", "na", "nb").mapInArrow(_verified(percent), "a long, b long")
 
     linked = link_buckets(members, verify, pairs_of)
     # Occurrences of a line, or of lines that are linked, come together as counts and firsts only.
@@ -217,8 +264,9 @@ def line_removals(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text
     least = grouped.filter("component is not null").groupBy("component").agg(F.min("first").alias("least"))
     kept = grouped.join(least, "component", "left").select("id", "check", F.coalesce("least", "first").alias("keep"), (F.col("component").isNotNull() | (F.col("n") > 1)).alias("shared"))
     kept = written(kept.filter("shared").drop("shared"), "kept")
+    discard(members, texts, seen)
     gone = lines.join(kept, ["id", "check"]).filter(~place.eqNullSafe(F.col("keep")))
-    return gone.groupBy("doc_id", "text_id").agg(F.array_sort(F.collect_set("line")).alias("removed"))
+    return whole, gone.groupBy("doc_id", "text_id").agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
 
 def dedup_lines(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
@@ -228,10 +276,11 @@ def dedup_lines(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text_c
     stay as they are; other columns stay, whatever their names.
     """
     schema, names = df.schema, df.columns
-    key, cut = "_line_text_id", "_line_removed"
-    while {key, cut} & set(names):
-        key, cut = key + "_", cut + "_"
-    removals = line_removals(df, percent, id_col, text_col).select(F.col("doc_id").alias("_line_doc"), F.col("text_id").alias("_line_text"), F.col("removed").alias(cut))
+    own = ["_line_text_id", "_line_removed", "_line_doc", "_line_text"]
+    while set(own) & {c.lower() for c in names}:
+        own = [c + "_" for c in own]
+    key, cut, of_doc, of_text = own
+    removals = line_removals(df, percent, id_col, text_col).select(F.col("doc_id").alias(of_doc), F.col("text_id").alias(of_text), F.col("removed").alias(cut))
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -256,7 +305,7 @@ def dedup_lines(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([made.get(n, b.column(n)) for n in names], names=names)
 
     wide = df.mapInArrow(marked, df.select("*", F.lit(0).cast("long").alias(key)).schema)
-    on = wide[id_col].cast("long").eqNullSafe(F.col("_line_doc")) & (wide[key] == F.col("_line_text"))
+    on = wide[id_col].cast("long").eqNullSafe(F.col(of_doc)) & (wide[key] == F.col(of_text))
     return wide.join(removals, on, "left").select(*names, cut).mapInArrow(without, schema)
 
 
@@ -264,12 +313,8 @@ def op3_fuzzy_lines(spark, sf_dir: str) -> DataFrame:
     """For every document: how many lines it has and which of them go, as numbers from 0."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([text_id(t) for t in texts], pa.int64()), pa.array([len(lines_of(t)) for t in texts], pa.int64())], names=["doc_id", "text_id", "n_lines"])
-
-    sizes = docs.mapInArrow(counted, "doc_id long, text_id long, n_lines long")
-    gone = line_removals(docs).select(F.col("doc_id").alias("d"), F.col("text_id").alias("t"), "removed")
+    whole, gone = _removals(docs, 80, "doc_id", "text")
+    sizes = whole.select("doc_id", "text_id", F.size("ids").cast("long").alias("n_lines"))
+    gone = gone.select(F.col("doc_id").alias("d"), F.col("text_id").alias("t"), "removed")
     both = sizes.join(gone, sizes.doc_id.eqNullSafe(gone.d) & (sizes.text_id == gone.t), "left")
     return both.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed"))

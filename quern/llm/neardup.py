@@ -17,12 +17,13 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.components import bucket_members, close_pairs, link_buckets
+from quern.llm.components import bucket_members, close_pairs, link_buckets, may_hold
 from quern.llm.pretok import slices
-from quern.llm.shingles import minhash, set_digest, shingle_sets, sketch, sketch_limit
+from quern.llm.shingles import minhash, set_digest, shingle_sets, sketch, sketch_least
 from quern.session import written
 
 ERRORS = 1
@@ -79,13 +80,13 @@ def chunk_keys(signatures: np.ndarray, layout: Layout) -> np.ndarray:
     return out.reshape(len(signatures), -1)
 
 
-def first_shared_key(a: np.ndarray, b: np.ndarray, key: int, layout: Layout) -> np.ndarray:
-    """For pairs of packed signatures within the distance: whether `key` is the first of the keys that they share."""
+def first_shared_key(a: np.ndarray, b: np.ndarray, key: np.ndarray, layout: Layout) -> np.ndarray:
+    """For pairs of packed signatures within the distance: whether `key` is the first of the keys that the pair shares."""
     split = lambda x: np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1)[:, : layout.positions]
     chunks = (split(a) != split(b)).reshape(-1, layout.chunks, layout.values).sum(axis=2)
-    chunk, left_out = divmod(key >> (8 * (layout.values - 1)), layout.values)
+    chunk, left_out = np.divmod(key >> (8 * (layout.values - 1)), layout.values)
     first = (chunks <= ERRORS).argmax(axis=1) == chunk
-    return first & ((chunks[:, chunk] == ERRORS) | (left_out == 0)) & (chunks.sum(axis=1) <= layout.distance)
+    return first & ((chunks[np.arange(len(key)), chunk] == ERRORS) | (left_out == 0)) & (chunks.sum(axis=1) <= layout.distance)
 
 
 def distance(a: str, b: str, layout: Layout):
@@ -113,13 +114,17 @@ def _signed(layout: Layout):
     return run
 
 
-def _keyed(layout: Layout):
+def _keyed(layout: Layout, only: Broadcast | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
-                keys = chunk_keys(part.column("sig").flatten().to_numpy().reshape(-1, layout.longs), layout)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(part.column("id").to_numpy(), layout.positions))], names=["key", "id"])
+                keys = chunk_keys(part.column("sig").flatten().to_numpy().reshape(-1, layout.longs), layout).reshape(-1)
+                ids = np.repeat(part.column("id").to_numpy(), layout.positions)
+                if only is not None:
+                    keep = may_hold(only.value, keys)
+                    keys, ids = keys[keep], ids[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids)], names=["key", "id"])
 
     return run
 
@@ -150,7 +155,7 @@ def near_duplicates(df: DataFrame, percent: int = 85, id_col: str = "doc_id", te
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.min("sig").alias("sig"))
     # The ids are written, so that they are the same wherever the table is read.
     classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
-    members = bucket_members(classes.select("id", "sig").mapInArrow(_keyed(layout), "key long, id long"))
+    members = bucket_members(lambda only: classes.select("id", "sig").mapInArrow(_keyed(layout, only), "key long, id long"), classes.count() * layout.positions)
 
     wanted = classes.join(members.select("id").distinct(), "id", "left_semi").select("id", "digest", "doc_id")
     texts = docs.join(wanted, "doc_id").select("id", "digest", "text").mapInArrow(_sets, "id long, digest string, own string, shingles array<long>, sketch array<long>")
@@ -159,8 +164,7 @@ def near_duplicates(df: DataFrame, percent: int = 85, id_col: str = "doc_id", te
     short = classes.select("id", "n", "sig")
 
     def pairs_of(rest: DataFrame) -> DataFrame:
-        return close_pairs(rest, short.join(sets.select("id", "sketch"), "id"), percent, sketch_limit(percent), partial(first_shared_key, layout=layout))
-
+        return close_pairs(rest, short.join(sets.select("id", "sketch"), "id"), percent, sketch_least(percent), partial(first_shared_key, layout=layout))
 
     def verify(pairs: DataFrame) -> DataFrame:
         a, b = (short.select(*(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "sig"))) for x in "ab")
@@ -187,8 +191,11 @@ def drop_near_duplicates(df: DataFrame, percent: int = 85, id_col: str = "doc_id
     several texts goes if one of them goes.
     """
     groups = near_duplicates(df, percent, id_col, text_col)
-    gone = written(groups.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return df.join(gone, df[id_col].cast("long") == F.col("_gone"), "left_anti")
+    name = "_gone"
+    while name in {c.lower() for c in df.columns}:
+        name += "_"
+    gone = written(groups.filter("not kept").select(F.col("doc_id").alias(name)).distinct(), "gone")
+    return df.join(gone, df[id_col].cast("long") == F.col(name), "left_anti")
 
 
 def op6_hamming_neardup(spark, sf_dir: str) -> DataFrame:

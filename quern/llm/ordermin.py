@@ -32,6 +32,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct numbers of an array, sorted. (np.unique hashes; for numbers that hardly repeat sorting is faster.)"""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 @lru_cache(maxsize=4)
 def multipliers(n: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * _BASE) | np.uint64(1)

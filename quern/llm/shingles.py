@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import lru_cache
 
 import numpy as np
 
-from quern.llm.ordermin import mix, multipliers
+from quern.llm.ordermin import distinct, mix, multipliers
 
 _Q = np.uint64(0xD6E8FEB86659FD93)
 #: White space is U+0020 and U+0009 to U+000D; only A-Z are lower-cased.
@@ -17,8 +18,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[_LOWER]
 CELLS = 1_000_000
-#: Bits of a sketch: a second, finer signature for ids that share buckets.
-SKETCH = 2048
+#: Bytes of a sketch: a second, finer signature for ids that share buckets.
+SKETCH = 512
+_EMPTY = np.uint32(0xFFFFFFFF)
 
 
 def powers(n: int) -> np.ndarray:
@@ -54,7 +56,7 @@ def shingle_sets(texts: list[str], k: int = 5) -> list[np.ndarray]:
     run, out, at = mix(run), [], 0
     for n in counts.tolist():
         if n >= k:
-            out.append(np.unique(run[at : at + n - k + 1]))
+            out.append(distinct(run[at : at + n - k + 1]))
         elif n:
             with np.errstate(over="ignore"):
                 out.append(mix(np.add.reduce(words[at : at + n] * powers(n)[:n], keepdims=True) + np.uint64(n)))
@@ -73,15 +75,72 @@ def minhash(shingles: np.ndarray, positions: int) -> np.ndarray:
     return mix(out)
 
 
+#: So many bins are tried for all holes at once; what is left then is filled row by row.
+STEPS = 40
+
+
+@lru_cache(maxsize=4)
+def _orders(bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each bin an order of all bins, and the place of each bin in it."""
+    grid = mix(np.arange(1, bins * bins + 1, dtype=np.uint64) * _Q).reshape(bins, bins)
+    order = grid.argsort(axis=1)
+    return order, order.argsort(axis=1)
+
+
+def one_permutation(h: np.ndarray, counts: np.ndarray, bins: int) -> np.ndarray:
+    """(sets, bins) of the hashes (32 bits) of many sets, one after the other, `counts` to a set; repeats do not matter.
+
+    The least value in each bin; an empty bin takes that of the first filled one in its own fixed order of bins.
+    """
+    n = len(counts)
+    out = np.full(n * bins, _EMPTY, np.uint32)
+    place = np.repeat(np.arange(n, dtype=np.int64) * bins, counts)
+    place += ((h >> np.uint32(16)) * np.uint32(bins)) >> np.uint32(16)
+    np.minimum.at(out, place, h * np.uint32(0x9E3779B1))
+    filled = out != _EMPTY
+    some = filled.reshape(n, bins).any(axis=1)
+    holes = np.flatnonzero(~filled & np.repeat(some, bins))
+    order, rank = _orders(bins)
+    for step in range(STEPS):
+        if not len(holes):
+            break
+        cols = holes % bins
+        source = holes - cols + order[cols, step]
+        hit = filled[source]
+        out[holes[hit]] = mix32(out[source[hit]] + cols[hit].astype(np.uint32))
+        holes = holes[~hit]
+    if len(holes):
+        rows, cols = np.divmod(holes, bins)
+        cuts = np.flatnonzero(np.diff(rows)) + 1
+        for own, at in zip(np.split(cols, cuts), [0, *cuts.tolist()], strict=True):
+            base = int(rows[at]) * bins
+            have = np.flatnonzero(filled[base : base + bins])
+            source = have[rank[own][:, have].argmin(axis=1)]
+            out[base + own] = mix32(out[base + source] + own.astype(np.uint32))
+    return out.reshape(n, bins)
+
+
+def mix32(x: np.ndarray) -> np.ndarray:
+    """A bijection of 32-bit numbers that spreads their bits."""
+    x = (x ^ (x >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    x = (x ^ (x >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return x ^ (x >> np.uint32(16))
+
+
+def sketches(signatures: np.ndarray) -> np.ndarray:
+    """(sets, bins / 8) signed 64-bit numbers: a byte of each value of one_permutation."""
+    return (mix32(signatures) >> np.uint32(24)).astype(np.uint8).view(np.int64)
+
+
 def sketch(shingles: np.ndarray, positions: int = SKETCH) -> list[int]:
-    """One bit of each of many MinHash values, packed into signed 64-bit integers."""
-    return np.packbits((minhash(shingles, positions) & np.uint64(1)).astype(np.uint8)).view("<i8").tolist()
+    """The sketch of one set of 64-bit hashes."""
+    return sketches(one_permutation((shingles >> np.uint64(32)).astype(np.uint32), np.array([len(shingles)]), positions))[0].tolist()
 
 
-def sketch_limit(percent: int) -> int:
-    """A pair of this similarity differs in more bits with a probability of less than one in 100,000."""
-    share = (100 - percent) / 200
-    return math.ceil(SKETCH * share + 4.5 * math.sqrt(SKETCH * share * (1 - share)))
+def sketch_least(percent: int, positions: int = SKETCH) -> int:
+    """Fewer bytes than that are equal for one pair in 100,000 of this similarity, and less."""
+    share = percent / 100
+    return math.floor(positions * share - 4.5 * math.sqrt(positions * share * (1 - share)))
 
 
 def set_digest(shingles: np.ndarray) -> str:

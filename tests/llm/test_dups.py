@@ -185,7 +185,7 @@ def test_keys_of_many_rows_are_compared_in_blocks(spark, monkeypatch):
     from quern.llm.shingles import SKETCH
 
     rng = np.random.default_rng(3)
-    base = rng.integers(-(2**63), 2**63 - 1, (4, SKETCH // 64))
+    base = rng.integers(-(2**63), 2**63 - 1, (4, SKETCH // 8))
     rows = [(int(rng.integers(2)), k, int(rng.integers(4))) for k in range(60)]
     traits = [(k, int(rng.integers(80, 101)), [int(v) for v in base[rng.integers(4)]]) for k in range(60)]
     by_id = {t[0]: t for t in traits}
@@ -199,4 +199,4 @@ def test_keys_of_many_rows_are_compared_in_blocks(spark, monkeypatch):
     more = spark.createDataFrame(traits, "id long, n long, sketch array<long>")
     for block in (20_000, 7):
         monkeypatch.setattr(C, "BLOCK", block)
-        assert {tuple(r) for r in C.close_pairs(rest, more, 85, 100).collect()} == want
+        assert {tuple(r) for r in C.close_pairs(rest, more, 85, SKETCH - 9).collect()} == want
