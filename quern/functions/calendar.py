@@ -5,6 +5,8 @@ All of them are small tables of a few rows a day of the covered years; their siz
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +47,13 @@ def years(spark: SparkSession, config: PanelConfig = DEFAULT) -> DataFrame:
     return spark.range(config.first_year, config.last_year + 1, 1, 1).select(F.col("id").cast("int").alias("year"))
 
 
+def feasts(spark: SparkSession, config: PanelConfig = DEFAULT) -> DataFrame:
+    """(year, easter, bf): the days that others are counted from. A row a year of the configuration, so that they are
+    computed first and what follows is a small plan."""
+    rows = years(spark, config).select("year", easter(F.col("year")).alias("easter"), black_friday(F.col("year")).alias("bf")).collect()
+    return spark.createDataFrame(rows, "year int, easter date, bf date").coalesce(1)
+
+
 def easter(year: Column) -> Column:
     """Easter Sunday of the Gregorian calendar, by the anonymous computus."""
     div = lambda a, b: F.floor(a / b).cast("int")
@@ -74,7 +83,7 @@ def _named(rows: list[Column]) -> Column:
 
 def holidays(spark: SparkSession, config: PanelConfig = DEFAULT) -> DataFrame:
     """(date, name) of official holidays."""
-    y = years(spark, config).withColumn("easter", easter(F.col("year")))
+    y = feasts(spark, config)
     row = lambda d, n: F.struct(d.alias("date"), F.lit(n).alias("name"))
     moving = [row(F.date_add("easter", k), n) for k, n in EASTER_HOLIDAYS]
     fixed = [row(F.make_date("year", F.lit(m), F.lit(d)), n) for m, d, n in FIXED_HOLIDAYS]
@@ -84,11 +93,11 @@ def holidays(spark: SparkSession, config: PanelConfig = DEFAULT) -> DataFrame:
 
 def special_days(spark: SparkSession, config: PanelConfig = DEFAULT) -> DataFrame:
     """(date, name): of several names of a day the first of holiday, bridge, fixed day, Black Friday week, Christmas."""
-    y = years(spark, config)
+    y = feasts(spark, config)
     row = lambda p, d, n: F.struct(F.lit(p).alias("p"), d.alias("date"), F.lit(n).alias("name"))
-    more = [row(2, F.date_add(easter(F.col("year")), 40), "ascension_bridge")]
+    more = [row(2, F.date_add("easter", 40), "ascension_bridge")]
     more += [row(3, F.make_date("year", F.lit(m), F.lit(d)), n) for m, d, n in EXTRA_DAYS]
-    more += [row(4, F.date_add(black_friday(F.col("year")), k), f"bf{k:+d}") for k in BF_OFFSETS]
+    more += [row(4, F.date_add("bf", k), f"bf{k:+d}") for k in BF_OFFSETS]
     more += [row(5, F.make_date("year", F.lit(12), F.lit(d)), f"dec{d:02d}") for d in XMAS_DAYS]
     rest = y.select(_named(more).alias("h")).select("h.*")
     every = holidays(spark, config).select(F.lit(1).alias("p"), "date", "name").unionByName(rest)
@@ -97,26 +106,21 @@ def special_days(spark: SparkSession, config: PanelConfig = DEFAULT) -> DataFram
 
 def _damp_rows(spark: SparkSession, config: PanelConfig) -> DataFrame:
     """(ord, date, type, anchor) of all groups, before special days are taken out."""
-    y = years(spark, config)
     year = F.col("year")
 
-    def rows(order: int, start: Column, days: int, kind: Column, anchor: Column) -> DataFrame:
-        got = y.select(start.alias("s"), anchor.alias("anchor"), kind.alias("type"))
-        return got.select(F.lit(order).alias("ord"), F.explode(F.sequence(F.col("s"), F.date_add("s", days - 1))).alias("date"), "type", "anchor")
+    def span(order: int, start: Column, days: int, kind: str, anchor: Column) -> Column:
+        return F.struct(F.lit(order).alias("ord"), start.alias("start"), F.lit(days).alias("days"), F.lit(kind).alias("type"), anchor.alias("anchor"))
 
-    january = F.make_date(year, F.lit(1), F.lit(2))
-    ascension = F.date_add(easter(year), 36)
-    out = rows(0, january, 7, F.lit("jan_wk1"), january)
-    for w in range(3):
-        out = out.union(rows(2, F.date_add(ascension, 7 * w), 7, F.lit(f"asc_wk{w}"), ascension))
+    january, ascension = F.make_date(year, F.lit(1), F.lit(2)), F.date_add("easter", 36)
+    spans = [span(0, january, 7, "jan_wk1", january)]
+    spans += [span(2, F.date_add(ascension, 7 * w), 7, f"asc_wk{w}", ascension) for w in range(3)]
     for order, weeks, name in ((1, WINTER_WEEKS, "win"), (3, SUMMER_WEEKS, "sum"), (4, AUTUMN_WEEKS, "aut")):
-        for w in weeks:
-            out = out.union(rows(order, iso_monday(year, w), 7, F.lit(f"{name}_wk{w}"), iso_monday(year, weeks[0])))
+        spans += [span(order, iso_monday(year, w), 7, f"{name}_wk{w}", iso_monday(year, weeks[0])) for w in weeks]
     for m1, d1, m2, d2, name in RUNUP_BLOCKS:
-        start, end = F.make_date(year, F.lit(m1), F.lit(d1)), F.make_date(year, F.lit(m2), F.lit(d2))
-        got = y.select(F.lit(5).alias("ord"), F.explode(F.sequence(start, end)).alias("date"), F.lit(name).alias("type"), F.date_add(black_friday(year), -4).alias("anchor"))
-        out = out.union(got)
-    return out
+        days = (dt.date(2001, m2, d2) - dt.date(2001, m1, d1)).days + 1
+        spans.append(span(5, F.make_date(year, F.lit(m1), F.lit(d1)), days, name, F.date_add("bf", -4)))
+    out = feasts(spark, config).select(_named(spans).alias("s")).select("s.*")
+    return out.select("ord", F.explode(F.sequence(F.col("start"), F.date_add("start", F.col("days") - 1))).alias("date"), "type", "anchor")
 
 
 def damp_days(spark: SparkSession, config: PanelConfig = DEFAULT) -> DataFrame:

@@ -6,8 +6,6 @@ then only decides which evidence counts, and how much.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -141,9 +139,3 @@ def vacation_multipliers(p: DataFrame, special: DataFrame, damp: DataFrame, fact
     e = e.join(F.broadcast(factors), "type").filter("date <= cutoff")
     m = e.groupBy("cutoff", "series_id").agg(F.sum("y").alias("a"), F.sum(F.col("base") * F.col("damp")).alias("e"))
     return m.select("cutoff", "series_id", clip((F.col("a") + SERIES_K) / (F.col("e") + SERIES_K), *VACATION_CLIP).alias("mult"))
-
-
-def first_wins(frames: list[DataFrame], keys: list[str], value: str) -> DataFrame:
-    """Union of tables of which the first that has a key decides its value."""
-    every = reduce(lambda a, b: a.unionByName(b), (f.select(F.lit(k).alias("_p"), *keys, value) for k, f in enumerate(frames)))
-    return every.groupBy(*keys).agg(F.min(F.struct("_p", value)).alias("m")).select(*keys, F.col(f"m.{value}").alias(value))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.config import LAG_CAP, TARGET_CAP
+from quern.config import HALF_LIFE_DAYS, LAG_CAP, TARGET_CAP
 from quern.operators.rolling import first_active, masked, rolling_levels
 
 
@@ -60,7 +60,11 @@ def feature_rows(panel: DataFrame, special: DataFrame, day_type: DataFrame, edge
     )
 
 
-def labelled(rows: DataFrame) -> DataFrame:
-    """Training rows: base over 1 and a known target; label is the capped ratio, weight the base."""
+def labelled(rows: DataFrame, cutoff: Column | None = None) -> DataFrame:
+    """Training rows: base over 1 and a known target; label is the capped ratio, weight the base.
+
+    With `cutoff`, weights halve for each year between the reference and it.
+    """
     ok = rows.filter("base > 1.0 AND actual IS NOT NULL")
-    return ok.withColumns({"label": F.least(F.greatest(F.col("actual") / F.col("base"), F.lit(0.0)), F.lit(TARGET_CAP)), "weight": F.col("base")})
+    weight = F.col("base") if cutoff is None else F.col("base") * F.pow(F.lit(0.5), F.datediff(cutoff, "ref") / HALF_LIFE_DAYS)
+    return ok.withColumns({"label": F.least(F.greatest(F.col("actual") / F.col("base"), F.lit(0.0)), F.lit(TARGET_CAP)), "weight": weight})

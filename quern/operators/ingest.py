@@ -15,13 +15,19 @@ def shipments(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     return sold.join(live, sold.l_orderkey == live.o_orderkey).select("d", "acct")
 
 
-def membership(ship: DataFrame, config: PanelConfig = DEFAULT) -> DataFrame:
+def account_days(ship: DataFrame) -> DataFrame:
+    """(d, acct, n): shipments of each account and day. All later tables come from this one, so the fact is read once."""
+    return ship.groupBy("d", "acct").agg(F.count("*").alias("n"))
+
+
+def membership(days: DataFrame, config: PanelConfig = DEFAULT) -> DataFrame:
     """(acct, series_id, rank, n_ref, first_date) of the accounts of most shipments in the reference window.
 
     Ties go to the lesser account. Only as many accounts as have a rank are sorted in one place; their number is set by
     the configuration, so the result may be broadcast.
     """
-    volume = ship.groupBy("acct").agg(F.count(F.when(F.col("d").between(config.ref_start, config.ref_end), 1)).alias("n_ref"), F.min("d").alias("first_date"))
+    within = F.when(F.col("d").between(config.ref_start, config.ref_end), F.col("n")).otherwise(0)
+    volume = days.groupBy("acct").agg(F.sum(within).alias("n_ref"), F.min("d").alias("first_date"))
     leading = volume.filter("n_ref > 0").orderBy(F.desc("n_ref"), "acct").limit(max(config.ranked, config.top))
     ranked = leading.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n_ref"), "acct")))
     name = F.when(F.col("rank") <= config.top, F.concat(F.lit("c_"), F.col("acct").cast("string")))
@@ -30,10 +36,9 @@ def membership(ship: DataFrame, config: PanelConfig = DEFAULT) -> DataFrame:
     return ranked.select("acct", name.alias("series_id"), "rank", "n_ref", "first_date")
 
 
-def daily_counts(ship: DataFrame, member: DataFrame, config: PanelConfig = DEFAULT) -> DataFrame:
-    """(date, series_id, cnt). Counts are taken by account first, so the join sees a row for each account and day."""
-    by_account = ship.filter(F.col("d").between(config.start, config.end)).groupBy("d", "acct").agg(F.count("*").alias("n"))
-    named = by_account.join(F.broadcast(member.select("acct", "series_id")), "acct", "left")
+def daily_counts(days: DataFrame, member: DataFrame, config: PanelConfig = DEFAULT) -> DataFrame:
+    """(date, series_id, cnt) from (d, acct, n). The membership may be a given one; accounts outside it are the rest."""
+    named = days.filter(F.col("d").between(config.start, config.end)).join(F.broadcast(member.select("acct", "series_id")), "acct", "left")
     return named.groupBy(F.col("d").alias("date"), F.coalesce("series_id", F.lit(config.rest)).alias("series_id")).agg(F.sum("n").alias("cnt"))
 
 
@@ -60,14 +65,6 @@ def dense(days: DataFrame, names: DataFrame, daily: DataFrame) -> DataFrame:
     return grid.join(daily, ["date", "series_id"], "left").select("date", "series_id", F.coalesce("cnt", F.lit(0)).cast("int").alias("y"))
 
 
-def panel(spark: SparkSession, lineitem: DataFrame, orders: DataFrame, config: PanelConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """The dense panel and its series."""
-    ship = shipments(lineitem, orders)
-    member = membership(ship, config)
-    names = series(member, config)
-    return dense(spine(spark, config), names, daily_counts(ship, member, config)), names
-
-
 def network(p: DataFrame) -> DataFrame:
     """(date, net): all series together."""
     return p.groupBy("date").agg(F.sum("y").alias("net"))

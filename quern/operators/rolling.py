@@ -45,19 +45,29 @@ def rolling_levels(m: DataFrame) -> DataFrame:
     return out.withColumn("l14", F.coalesce("l14_raw", "l28", "l56"))
 
 
-def at_cutoffs(p: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """Panel rows known at each cutoff. Cutoffs are few and given by the configuration."""
-    return p.join(F.broadcast(cutoffs.select("cutoff")), F.col("date") <= F.col("cutoff"))
+def recent(p: DataFrame, cutoffs: DataFrame, days: int) -> DataFrame:
+    """Panel rows of the last `days` days up to each cutoff. The days are listed, so that this is an equi-join."""
+    listed = cutoffs.select("cutoff", F.explode(F.sequence(F.date_add("cutoff", 1 - days), F.col("cutoff"))).alias("date"))
+    return p.join(F.broadcast(listed), "date")
 
 
-def last_weekday_mean(p: DataFrame, cutoffs: DataFrame, k: int = SHAPE_OBS, days: int | None = None, keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
-    """(cutoff, series_id, weekday, profile): mean of the last k rows of each weekday, of the last `days` days if set."""
-    known = at_cutoffs(p, cutoffs)
-    if days:
-        known = known.filter(F.col("date") > F.date_add("cutoff", -days))
-    known = known.withColumn("weekday", F.weekday("date"))
-    w = Window.partitionBy("cutoff", *keys, "weekday").orderBy(F.desc("date"))
-    return known.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k).groupBy("cutoff", *keys, "weekday").agg(F.avg("y").alias("profile"))
+def last_weekday_mean(p: DataFrame, cutoffs: DataFrame, k: int = SHAPE_OBS, days: int | None = None) -> DataFrame:
+    """(cutoff, series_id, weekday, profile): mean of the last k rows of each weekday, of the last `days` days if set.
+
+    The last k rows are a window over the panel, computed once for each day. A row holds until the next one of its
+    series and weekday; the days it holds for are listed, and cutoffs read it by an equi-join. History is not
+    repeated for each cutoff.
+    """
+    at = Window.partitionBy("series_id", F.weekday("date")).orderBy("date")
+    known = p.select("series_id", "date", F.weekday("date").alias("weekday"), F.collect_list(F.struct("date", "y")).over(at.rowsBetween(1 - k, 0)).alias("last"), F.lead("date").over(at).alias("next"))
+    span = cutoffs.agg(F.min("cutoff").alias("from"), F.max("cutoff").alias("to"))
+    known = known.join(F.broadcast(span), (F.col("date") <= F.col("to")) & (F.col("next").isNull() | (F.col("next") > F.col("from"))))
+    holds = F.sequence(F.greatest("date", "from"), F.least(F.coalesce(F.date_add("next", -1), F.col("to")), F.col("to")))
+    read = known.withColumn("cutoff", F.explode(holds)).join(F.broadcast(cutoffs.select("cutoff").distinct()), "cutoff")
+    last = F.filter("last", lambda x: x["date"] > F.date_add("cutoff", -days)) if days else F.col("last")
+    read = read.select("cutoff", "series_id", "weekday", last.alias("last")).filter(F.size("last") > 0)
+    total = F.aggregate("last", F.lit(0).cast("long"), lambda a, x: a + x["y"])
+    return read.select("cutoff", "series_id", "weekday", (total / F.size("last")).alias("profile"))
 
 
 def weekday_shape(clean: DataFrame, cutoffs: DataFrame, k: int = SHAPE_OBS) -> DataFrame:
@@ -69,8 +79,7 @@ def weekday_shape(clean: DataFrame, cutoffs: DataFrame, k: int = SHAPE_OBS) -> D
 
 def special_level(clean: DataFrame, cutoffs: DataFrame, days: int = EVENT_DAYS) -> DataFrame:
     """(cutoff, series_id, special_level): clean mean from `days` days before the cutoff to it, both included."""
-    recent = at_cutoffs(clean, cutoffs).filter(F.col("date") >= F.date_add("cutoff", -days))
-    return recent.groupBy("cutoff", "series_id").agg(F.avg("y").alias("special_level"))
+    return recent(clean, cutoffs, days + 1).groupBy("cutoff", "series_id").agg(F.avg("y").alias("special_level"))
 
 
 def half_sums(clean: DataFrame, cutoffs: DataFrame, shape: DataFrame, day_factor: DataFrame | None = None, days: int = LEVEL_DAYS) -> DataFrame:
@@ -78,12 +87,12 @@ def half_sums(clean: DataFrame, cutoffs: DataFrame, shape: DataFrame, day_factor
 
     Numerators are y over the day's damp factor (cutoff, date, damp), denominators the weekday's shape.
     """
-    w = at_cutoffs(clean, cutoffs).filter(F.col("date") > F.date_add("cutoff", -days)).withColumn("weekday", F.weekday("date"))
+    w = recent(clean, cutoffs, days).withColumn("weekday", F.weekday("date"))
     w = w.join(shape, ["cutoff", "series_id", "weekday"], "left")
     w = w.join(day_factor, ["cutoff", "date"], "left") if day_factor is not None else w.withColumn("damp", F.lit(1.0))
     value, weight = F.col("y") / F.coalesce("damp", F.lit(1.0)), F.coalesce("shape", F.lit(0.0))
-    recent = F.col("date") > F.date_add("cutoff", -7)
-    sums = [F.sum(F.when(c, x).otherwise(0.0)).alias(n) for n, c, x in (("num_recent", recent, value), ("den_recent", recent, weight), ("num_prev", ~recent, value), ("den_prev", ~recent, weight))]
+    later = F.col("date") > F.date_add("cutoff", -7)
+    sums = [F.sum(F.when(c, x).otherwise(0.0)).alias(n) for n, c, x in (("num_recent", later, value), ("den_recent", later, weight), ("num_prev", ~later, value), ("den_prev", ~later, weight))]
     return w.groupBy("cutoff", "series_id").agg(*sums)
 
 
@@ -94,8 +103,7 @@ def ratio(num: Column, den: Column) -> Column:
 
 def burstiness(clean: DataFrame, cutoffs: DataFrame, days: int = 84) -> DataFrame:
     """(cutoff, series_id, rho): exact median over mean of clean days, 1 where the mean is not positive."""
-    recent = at_cutoffs(clean, cutoffs).filter(F.col("date") > F.date_add("cutoff", -days))
-    m = recent.groupBy("cutoff", "series_id").agg(F.median("y").alias("median"), F.avg("y").alias("mean"))
+    m = recent(clean, cutoffs, days).groupBy("cutoff", "series_id").agg(F.median("y").alias("median"), F.avg("y").alias("mean"))
     return m.select("cutoff", "series_id", F.when(F.col("mean") > 0, F.col("median") / F.col("mean")).otherwise(1.0).alias("rho"))
 
 

@@ -23,15 +23,21 @@ def cutoffs(spark: SparkSession, dates) -> DataFrame:
     return spark.createDataFrame([(d,) for d in days], "cutoff date")
 
 
-def stage_cutoffs(spark: SparkSession, config: PanelConfig, name: str, allow_locked: bool = False) -> DataFrame:
-    """Cutoffs of a stage; refuses a locked one, and horizons beyond the end of the panel."""
+def stage_days(config: PanelConfig, name: str, allow_locked: bool = False) -> list[dt.date]:
+    """Cutoffs of a stage; refuses an unknown or a locked one, and horizons beyond the end of the panel."""
+    if name not in config.stages:
+        raise ValueError(f"unknown stage {name}; known: {', '.join(config.stages)}")
     s: Stage = config.stages[name]
     if s.locked and not allow_locked:
         raise PermissionError(f"stage {name} is locked")
     days = mondays(s.first_cutoff, s.last_cutoff)
     if days[-1] + dt.timedelta(days=config.horizon) > dt.date.fromisoformat(config.end):
         raise ValueError("the horizon of the last cutoff ends after the panel")
-    return cutoffs(spark, days)
+    return days
+
+
+def stage_cutoffs(spark: SparkSession, config: PanelConfig, name: str, allow_locked: bool = False) -> DataFrame:
+    return cutoffs(spark, stage_days(config, name, allow_locked))
 
 
 def contract(predictions: DataFrame, series: DataFrame, targets: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ class Inputs:
     series: DataFrame
     cutoffs: DataFrame
     special: DataFrame
-    damp: DataFrame
+    damp: DataFrame | Callable[[], DataFrame]  # a function where few forecasters need it
     horizon: int = 14
 
     def targets(self) -> DataFrame:
@@ -39,6 +39,10 @@ class Inputs:
         t = self.targets().join(F.broadcast(self.special), "date", "left")
         return self.series.select("series_id").crossJoin(F.broadcast(t)).withColumn("weekday", F.weekday("date"))
 
+    @property
+    def damped(self) -> DataFrame:
+        return self.damp() if callable(self.damp) else self.damp
+
     @property
     def clean(self) -> DataFrame:
         return R.clean_days(self.panel, self.special)
@@ -117,8 +121,8 @@ def hand(x: Inputs, k: int = SHAPE_OBS, step: bool = True, mode: str = "drifting
     # Small tables that several parts read; the level's shape is read twice.
     shape = written(shape, "shape")
     factors = written(E.special_factors(E.event_evidence(x.net, x.special), x.cutoffs, mode), "factors")
-    damp = E.damp_factors(E.damp_pairs(x.net, x.special, x.damp), x.damp, x.cutoffs, mode)
-    by_day = E.damp_by_day(x.damp, damp)
+    damp = E.damp_factors(E.damp_pairs(x.net, x.special, x.damped), x.damped, x.cutoffs, mode)
+    by_day = E.damp_by_day(x.damped, damp)
     mult = E.series_multipliers(x.panel, x.special, factors, x.cutoffs, split, decayed)
     level = levels(x, shape, by_day, step and not trend)
     got = _special_parts(x, x.cells(), factors).withColumn("grp", multiplier_group(F.col("name"), split))
@@ -128,8 +132,8 @@ def hand(x: Inputs, k: int = SHAPE_OBS, step: bool = True, mode: str = "drifting
     if trend:
         normal = normal * F.pow(trend_growth(), F.col("lead") / 7.0)
     if vacation:
-        v = E.vacation_multipliers(x.panel, x.special, x.damp, damp, x.cutoffs).withColumnRenamed("mult", "vac")
-        days = E.day_damp(x.damp).select("date", F.lit(True).alias("is_damp"))
+        v = E.vacation_multipliers(x.panel, x.special, x.damped, damp, x.cutoffs).withColumnRenamed("mult", "vac")
+        days = E.day_damp(x.damped).select("date", F.lit(True).alias("is_damp"))
         got = got.join(v, ["cutoff", "series_id"], "left").join(F.broadcast(days), "date", "left")
         normal = normal * F.when(F.col("is_damp"), F.coalesce("vac", F.lit(1.0))).otherwise(1.0)
     special = F.col("special_level") * F.col("factor") * F.coalesce("mult", F.lit(1.0))

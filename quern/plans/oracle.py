@@ -160,6 +160,8 @@ CTES: dict[str, str] = {
       {" ".join(f"LEFT JOIN panel g{j} ON g{j}.series_id = r.series_id AND g{j}.date = r.date + k - 7 * (CASE WHEN k <= 7 THEN 1 ELSE 2 END + {j})" for j in range(4))})""",
     "scored": "SELECT f.series_id, s.kind, f.cutoff, f.date, CAST(f.date - f.cutoff AS INT) AS lead, p.y, greatest(f.yhat, 0) AS yhat FROM profiled f JOIN series s ON s.series_id = f.series_id AND s.first_date <= f.cutoff LEFT JOIN panel p ON p.series_id = f.series_id AND p.date = f.date",
     "payload_lines_": f"SELECT series_id, series_id || ',' || string_agg(y, ',' ORDER BY date) AS line FROM panel WHERE date BETWEEN DATE '{_PAYLOAD[0]}' AND DATE '{_PAYLOAD[1]}' GROUP BY series_id",
+    "payload_year_lines": "SELECT CAST(year(date) AS INT) AS year, series_id || ',' || string_agg(y, ',' ORDER BY date) AS line, min(date) AS a, max(date) AS b FROM panel GROUP BY 1, series_id",
+    "payload_years_": "SELECT year, 'v2,' || count(*) || ',' || (max(b) - min(a) + 1) || ',' || min(a) || ',' || max(b) || chr(10) || string_agg(line, chr(10) ORDER BY line) AS payload FROM payload_year_lines GROUP BY year",
     "payload_": f"SELECT 'v2,' || count(*) || ',366,{_PAYLOAD[0]},{_PAYLOAD[1]}' || chr(10) || string_agg(line, chr(10) ORDER BY line) AS payload FROM payload_lines_",
 }
 
@@ -186,6 +188,19 @@ _FINAL: dict[str, tuple[str, str]] = {
     "payload_lines": ("series_id, line", "payload_lines_"),
     "payload_md5": ("CAST(length(payload) AS INT) AS len, md5(payload) AS md5", "payload_"),
     "payload_slices": ("CAST(off AS INT) AS off, substr(payload, off, 4000) AS part", "(SELECT payload, unnest(generate_series(1, length(payload), 4000)) AS off FROM payload_)"),
+    "payload_years": ("year, CAST(length(payload) AS INT) AS len, md5(payload) AS md5", "payload_years_"),
+    "payload_reassembled": ("date, series_id, y", "panel"),
+    "membership_csv": ("acct AS core_account_id, series_id, rank, CAST(n_ref AS INT) AS n_ref, series_id AS name, first_date", "member"),
+    "catalogue_json": (
+        "series_id, kind, core_account_id, rank, n_ref, first_date, n_members",
+        f"""(SELECT series_id, 'customer' AS kind, acct AS core_account_id, rank, CAST(n_ref AS INT) AS n_ref, first_date, NULL::INT AS n_members FROM member WHERE series_id LIKE 'c_%'
+          UNION ALL SELECT series_id, 'tail_group', NULL, NULL, NULL, DATE '{_C.start}', CAST(count(*) AS INT) FROM member WHERE series_id NOT LIKE 'c_%' GROUP BY series_id
+          UNION ALL SELECT '{_C.rest}', 'tail_group', NULL, NULL, NULL, DATE '{_C.start}', NULL)""",
+    ),
+    "manifest": (
+        "2 AS extract_version, count(*) AS rows, CAST(sum(y) AS BIGINT) AS grand_total, CAST(count(DISTINCT series_id) AS INT) AS series, CAST(count(DISTINCT year(date)) AS INT) AS n_years, (SELECT md5(payload) FROM payload_years_ ORDER BY year LIMIT 1) AS first_md5",
+        "panel",
+    ),
     "payload_roundtrip": ("date, series_id, y", f"panel WHERE date BETWEEN DATE '{_PAYLOAD[0]}' AND DATE '{_PAYLOAD[1]}'"),
     "reconcile": ("series_id, CAST(sum(y) AS BIGINT) AS own, count(*) AS days, CAST(sum(y) + 1 AS BIGINT) AS total, count(*) AS n_days", "panel WHERE series_id = 'g5_tail' GROUP BY series_id"),
     "holidays": ("date, name", "holidays"),
@@ -288,4 +303,11 @@ _HAND_SCORED = CTES["scored"].replace("profiled f", "(SELECT cutoff, series_id,
 ORACLE: dict[str, str] = {k: statement(*v) for k, v in _FINAL.items()}
 ORACLE["stage1_backtest"] = statement(*_FINAL["per_cutoff"], ctes=_stage(_S1.first_cutoff, _S1.last_cutoff))
 ORACLE["stage3_hand_backtest"] = statement(*_FINAL["per_cutoff"], ctes=_stage(_S3.first_cutoff, _S3.last_cutoff) | {"scored": _HAND_SCORED})
+_SLICES = ", ".join(f"round({_W.format(w)}, 6) AS wmape_{n}" for n, w in (("lead_1_7", " FILTER (lead <= 7)"), ("lead_8_14", " FILTER (lead >= 8)"), ("customers", " FILTER (kind = 'customer')"), ("tail", " FILTER (kind = 'tail_group')")))
+_NETWORK = f"(SELECT {_WMAPE} FROM (SELECT sum(y) AS y, sum(yhat) AS yhat FROM scored GROUP BY cutoff, date))"
+_SUMMARY = f"round({_WMAPE}, 6) AS wmape, round(avg(abs(yhat - y)), 6) AS mae, round(sqrt(avg((yhat - y) * (yhat - y))), 6) AS rmse, round({_BIAS}, 6) AS bias, {_SLICES}, round({_NETWORK}, 6) AS network_wmape, count(*) AS n_cells, count(DISTINCT series_id) AS n_series, count(DISTINCT cutoff) AS n_cutoffs, 0 AS clipped_cells"
+ORACLE["evaluate_stage1"] = statement(f"'weekday_profile' AS experiment, 'stage1' AS stage, {_SUMMARY}", "scored", ctes=_stage(_S1.first_cutoff, _S1.last_cutoff))
+_PER = f"(SELECT string_agg(cutoff || ':' || printf('%.6f', w) || ':' || printf('%.6f', b) || ':' || n, ',' ORDER BY cutoff) FROM (SELECT cutoff, {_WMAPE} AS w, {_BIAS} AS b, count(DISTINCT series_id) AS n FROM scored GROUP BY cutoff))"
+_WORST = f"(SELECT string_agg(series_id || ':' || printf('%.6f', w) || ':' || v || ':' || printf('%.6f', b), ',' ORDER BY e DESC, series_id) FROM (SELECT series_id, {_WMAPE} AS w, CAST(sum(y) AS BIGINT) AS v, {_BIAS} AS b, round(sum(abs(yhat - y)), 6) AS e FROM scored GROUP BY series_id HAVING sum(y) > 0 ORDER BY e DESC, series_id LIMIT 20))"
+ORACLE["run_record"] = statement(f"'run' AS run_id, 'weekday_profile' AS experiment, 'six' AS stage, 0.0::DOUBLE AS runtime_s, '{{}}' AS params, '' AS eval_sha, '' AS snapshot_sha, '' AS notes, {_SUMMARY}, {_PER} AS per_cutoff, {_WORST} AS worst_series", "scored")
 ORACLE["streamed_daily_events"] = "SELECT CAST(ts AS DATE) AS date, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2"

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 from functools import cached_property
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,14 +20,18 @@ from quern.operators import ingest as I
 from quern.operators import rolling as R
 from quern.plans import backtest as B
 from quern.plans import forecast as P
+from quern.plans.evaluate import evaluate
 from quern.plans.oracle import ORACLE as ORACLE
 from quern.plans.trees import gradient_boosted
-from quern.session import table, written
+from quern.session import shared_dir, table, written
+from quern.sources import files as S
 from quern.sources import payload as Y
 from quern.sources import records as Z
 
 PAYLOAD = ("2000-01-01", "2000-12-31")
 SLICE = 4_000
+#: Cutoffs of the registered queries that train trees: a model each.
+TREE_CUTOFFS = ("1999-05-10",)
 
 
 class World:
@@ -39,9 +45,13 @@ class World:
     def ship(self) -> DataFrame:
         return I.shipments(table(self.spark, self.dir, "lineitem"), table(self.spark, self.dir, "orders"))
 
+    @cached_property
+    def account_days(self) -> DataFrame:
+        return written(I.account_days(self.ship), "account-days")
+
     @cached_property
     def member(self) -> DataFrame:
-        return I.membership(self.ship, self.config)
+        return written(I.membership(self.account_days, self.config).coalesce(1), "members")
 
     @cached_property
     def series(self) -> DataFrame:
@@ -49,7 +59,7 @@ class World:
 
     @cached_property
     def daily(self) -> DataFrame:
-        return I.daily_counts(self.ship, self.member, self.config)
+        return I.daily_counts(self.account_days, self.member, self.config)
 
     @cached_property
     def panel(self) -> DataFrame:
@@ -69,7 +79,7 @@ class World:
 
     @cached_property
     def inputs(self) -> P.Inputs:
-        return P.Inputs(self.panel, self.series, self.cutoffs, self.special, self.damp, self.config.horizon)
+        return P.Inputs(self.panel, self.series, self.cutoffs, self.special, lambda: self.damp, self.config.horizon)
 
     @cached_property
     def factors(self) -> DataFrame:
@@ -112,6 +122,11 @@ _QUERIES: dict[str, Callable[[World], DataFrame]] = {
     "payload_md5": lambda w: Y.encode(w.panel, *PAYLOAD).select("len", "md5"),
     "payload_slices": lambda w: Y.slices(Y.encode(w.panel, *PAYLOAD), SLICE),
     "payload_roundtrip": lambda w: Y.decode(Y.encode(w.panel, *PAYLOAD)),
+    "payload_years": lambda w: Y.encode_years(w.panel).select("year", "len", "md5"),
+    "payload_reassembled": lambda w: Y.decode(Y.reassemble(Y.slice_years(Y.encode_years(w.panel)))),
+    "membership_csv": lambda w: _round_trip(w, "csv"),
+    "catalogue_json": lambda w: _round_trip(w, "json"),
+    "manifest": lambda w: S.manifest(w.panel, Y.encode_years(w.panel)).select("extract_version", "rows", "grand_total", "series", F.size("years").alias("n_years"), F.element_at("years", 1)["md5"].alias("first_md5")),
     "reconcile": lambda w: Y.reconcile(w.panel, w.panel.groupBy("series_id").agg((F.sum("y") + F.when(F.col("series_id") == "g5_tail", 1).otherwise(0)).alias("total"), F.count("*").alias("n_days"))),
     "holidays": lambda w: C.holidays(w.spark, w.config),
     "special_days": lambda w: w.special,
@@ -164,37 +179,68 @@ _QUERIES: dict[str, Callable[[World], DataFrame]] = {
     "network_wmape": lambda w: M.network_wmape(w.scored()),
     "contract_checks": lambda w: B.contract(P.seasonal_naive(w.inputs).filter("NOT (series_id = 'g5_tail' AND date = DATE '1999-01-12')"), w.series, w.inputs.targets()),
     "leaderboard_row": lambda w: Z.leaderboard_row(Z.run_record(w.scored(), "run", "weekday_profile", "six", 0.0)).select("run_id", "experiment", "wmape", "network_wmape", "bias", "n_cells", "n_series", "n_cutoffs"),
-    "run_record": lambda w: Z.run_record(w.scored(), "run", "weekday_profile", "six", 0.0),
+    "run_record": lambda w: _flat_record(Z.run_record(w.scored(), "run", "weekday_profile", "six", 0.0)),
 }
 
 
+def _round_trip(w: World, kind: str) -> DataFrame:
+    """The membership as CSV, or the catalogue as JSON, written to the shared folder and read back."""
+    path = f"{shared_dir(w.spark)}/quern-{kind}-{uuid.uuid4().hex}"
+    if kind == "csv":
+        S.write_membership(w.member.select(F.col("acct").alias("core_account_id"), "series_id", "rank", "n_ref", F.col("series_id").alias("name"), "first_date"), path)
+        return S.read_membership(w.spark, path)
+    S.write_json(S.catalogue(w.member, w.config), path)
+    got = S.read_catalogue(w.spark, path)
+    return got.select("series_id", "kind", "core_account_id", "rank", "n_ref", "first_date", F.size("member_account_ids").alias("n_members"))
+
+
+def _flat_record(record: DataFrame) -> DataFrame:
+    """A record with its two arrays as text."""
+    text = lambda c, *parts: F.array_join(F.transform(c, lambda x: F.concat_ws(":", *(f(x) for f in parts))), ",").alias(c)
+    six = lambda k: lambda x: F.format_string("%.6f", x[k])
+    plain = lambda k: lambda x: x[k].cast("string")
+    flat = [c for c, t in record.dtypes if not t.startswith("array")]
+    return record.select(*flat, text("per_cutoff", plain("cutoff"), six("wmape"), six("bias"), plain("n_series")), text("worst_series", plain("series_id"), six("wmape"), plain("volume"), six("bias")))
+
+
+def evaluate_stage1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evaluator on the first stage: lock, contract, clip, mask, score, record. The lock is that of a file that is
+    written here, as there is no definition in the input folder."""
+    w = World(spark, sf_dir)
+    with tempfile.TemporaryDirectory() as folder:
+        definition, lock = f"{folder}/stages.txt", f"{folder}/lock"
+        Path(definition).write_text(repr(DEFAULT))
+        S.check_lock([definition], lock, write=True)
+        record = evaluate(w.inputs, DEFAULT, "stage1", "weekday_profile", ([definition], lock))
+    flat = [c for c in Z.LEADERBOARD if c not in ("run_id", "runtime_s", "eval_sha", "notes")]
+    return rounded(record.select(*flat))
+
+
 def _small(query: Callable[[World], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: rounded(query(World(spark, sf_dir)))
 
 
 def stage_backtest(spark: SparkSession, sf_dir: str, stage: str = "stage1", forecaster: str = "weekday_profile") -> DataFrame:
     """All cutoffs of a stage in one plan: metrics by cutoff."""
-    s = DEFAULT.stages[stage]
-    w = World(spark, sf_dir, dates=tuple(B.mondays(s.first_cutoff, s.last_cutoff)))
+    w = World(spark, sf_dir, dates=tuple(B.stage_days(DEFAULT, stage)))
     return rounded(M.per_cutoff(w.scored(forecaster)))
 
 
 def gbt_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tree forecasts for one cutoff, trained on all references before it."""
-    w = World(spark, sf_dir, dates=("1999-05-10",))
+    """Tree forecasts at TREE_CUTOFFS, each trained on all references before it."""
+    w = World(spark, sf_dir, dates=TREE_CUTOFFS)
     return gradient_boosted(w.inputs, C.day_types(spark, w.config), rounds=8)
 
 
 def full_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The blend of the hand-made head and two tree heads, of absolute and squared loss."""
-    w = World(spark, sf_dir, dates=("1999-05-10",))
+    w = World(spark, sf_dir, dates=TREE_CUTOFFS)
     heads = [gradient_boosted(w.inputs, C.day_types(spark, w.config), loss, rounds=5) for loss in ("absolute", "squared")]
     return P.bursty_blend(w.inputs, P.hand(w.inputs), *heads)
 
 
 def streamed_daily_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily counts of the events read as a stream of files, after all of them."""
-    from quern.session import shared_dir
     from quern.streaming.daily import daily_event_counts
 
     path = f"{sf_dir}/events.parquet"
@@ -215,6 +261,7 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _small(q) for name, q in _QUERIES.items()}
 QUERIES |= {
+    "evaluate_stage1": evaluate_stage1,
     "stage1_backtest": stage_backtest,
     "stage3_hand_backtest": lambda spark, sf_dir: stage_backtest(spark, sf_dir, "stage3", "hand"),
     "gbt_forecast": gbt_forecast,

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quern.functions.calendar import edge_distances
 from quern.operators.features import feature_rows, labelled, training_refs
 from quern.plans.forecast import Inputs
+from quern.session import written
 
 NUMBERS = ("lead", "weekday", "month", "to_special", "since_special", "l14_log", "l28_ratio", "l7_ratio", "lag0_ratio", "lag1_ratio", "lag2_ratio", "lag3_ratio", "age_days", "active_60")
 #: Features that may be missing get a flag, and -1 in place of the value.
@@ -22,28 +23,30 @@ def _filled(rows: DataFrame) -> DataFrame:
     return rows.withColumns(flags | {c: F.coalesce(F.col(c).cast("double"), F.lit(-1.0)) for c in NUMBERS})
 
 
-def gradient_boosted(x: Inputs, day_type: DataFrame, loss: str = "absolute", rounds: int = 10, depth: int = 5, step: float = 0.1, weekdays: tuple[int, ...] = (0, 3), refs_after: str | None = None) -> DataFrame:
+def gradient_boosted(x: Inputs, day_type: DataFrame, loss: str = "absolute", rounds: int = 10, depth: int = 5, step: float = 0.1, weekdays: tuple[int, ...] = (0, 3), decayed: bool = False, bins: int = 1024) -> DataFrame:
     """One model for each cutoff, as each may only see what was known then; the cutoffs are those of the configuration.
 
-    Training itself is distributed; rows without a level over 1 are forecast as 0.
+    Features of a reference day depend on the days up to it only (the target on the horizon after it). So they are
+    computed and written once for all references, and each cutoff trains on those whose horizon it knows. Training is
+    distributed; rows without a level over 1 are forecast as 0. `decayed` halves weights by age.
     """
     spark = x.panel.sparkSession
+    last = x.cutoffs.agg(F.max("cutoff").alias("cutoff"))
+    refs = training_refs(x.panel, last, weekdays).select("ref").union(x.cutoffs.select("cutoff")).distinct()
+    span = x.panel.select("date").distinct()
+    edges = edge_distances(span.union(span.select(F.date_add("date", 60))).distinct(), x.special)
+    rows = written(_filled(feature_rows(x.panel, x.special, day_type, edges, refs, x.horizon)), "features")
     out = None
     for (cutoff,) in x.cutoffs.orderBy("cutoff").collect():
+        day = F.lit(cutoff)
         one = spark.createDataFrame([(cutoff,)], "cutoff date")
-        known = x.panel.filter(F.col("date") <= F.lit(cutoff))
-        refs = training_refs(known, one, weekdays)
-        if refs_after:
-            refs = refs.filter(F.col("ref") >= F.lit(refs_after).cast("date"))
-        span = x.panel.select("date").distinct()
-        edges = edge_distances(span.union(span.select(F.date_add("date", 60))).distinct(), x.special)
-        train = _filled(labelled(feature_rows(known, x.special, day_type, edges, refs, x.horizon)))
-        ahead = _filled(feature_rows(known, x.special, day_type, edges, one.select(F.col("cutoff").alias("ref")), x.horizon))
+        train = labelled(rows.join(F.broadcast(training_refs(x.panel, one, weekdays).select("ref")), "ref", "left_semi"), day if decayed else None)
+        ahead = rows.filter(F.col("ref") == day)
         index = StringIndexer(inputCols=["day_type", "series_id"], outputCols=["type_ix", "series_ix"], handleInvalid="keep")
         vector = VectorAssembler(inputCols=["type_ix", "series_ix", *NUMBERS, *(f"{c}_missing" for c in GAPS)], outputCol="x")
-        trees = GBTRegressor(featuresCol="x", labelCol="label", weightCol="weight", lossType=loss, maxIter=rounds, maxDepth=depth, stepSize=step, maxBins=1024, seed=7)
+        trees = GBTRegressor(featuresCol="x", labelCol="label", weightCol="weight", lossType=loss, maxIter=rounds, maxDepth=depth, stepSize=step, maxBins=bins, seed=7)
         model = Pipeline(stages=[index, vector, trees]).fit(train)
         base = F.coalesce("base", F.lit(0.0))
-        got = model.transform(ahead).select(F.lit(cutoff).alias("cutoff"), "series_id", "date", F.when(base > 1.0, F.greatest("prediction", F.lit(0.0)) * base).otherwise(0.0).alias("yhat"))
+        got = model.transform(ahead).select(day.alias("cutoff"), "series_id", "date", F.when(base > 1.0, F.greatest("prediction", F.lit(0.0)) * base).otherwise(0.0).alias("yhat"))
         out = got if out is None else out.unionByName(got)
     return out

@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.config import Stage
+from quern.config import DEFAULT, PanelConfig, Stage
 
 PANEL = "date DATE, series_id STRING, y INT"
 MEMBERSHIP = "core_account_id BIGINT, series_id STRING, rank INT, n_ref INT, name STRING, first_date DATE"
@@ -42,6 +42,36 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("member_account_ids", F.from_json("member_account_ids", "array<bigint>"))
 
 
+def catalogue(member: DataFrame, config: PanelConfig = DEFAULT) -> DataFrame:
+    """One row with `series`, an array of all series: customers by rank, tail groups with their accounts, the rest.
+
+    Its size is set by the configuration (the accounts that have a rank).
+    """
+    fields = ("series_id", "kind", "core_account_id", "name", "rank", "n_ref", "first_date", "member_account_ids")
+    none = lambda kind: F.lit(None).cast(kind)
+    day = F.lit(config.start).cast("date")
+    one = member.filter(F.col("series_id").startswith("c_"))
+    one = one.select(F.lit(0).alias("p"), "series_id", F.lit("customer").alias("kind"), F.col("acct").cast("long").alias("core_account_id"), F.col("series_id").alias("name"), "rank", F.col("n_ref").cast("int").alias("n_ref"), "first_date", none("array<bigint>").alias("member_account_ids"))
+    many = member.filter(~F.col("series_id").startswith("c_")).groupBy("series_id").agg(F.array_sort(F.collect_list(F.col("acct").cast("long"))).alias("ids"))
+    rest = member.sparkSession.createDataFrame([(config.rest,)], "series_id string").select(F.lit(2).alias("p"), "series_id", none("array<bigint>").alias("ids"))
+    many = many.select(F.lit(1).alias("p"), "series_id", "ids").unionByName(rest)
+    many = many.select("p", "series_id", F.lit("tail_group").alias("kind"), none("bigint").alias("core_account_id"), none("string").alias("name"), none("int").alias("rank"), none("int").alias("n_ref"), day.alias("first_date"), F.col("ids").alias("member_account_ids"))
+    every = one.unionByName(many).withColumn("order", F.struct("p", F.coalesce("rank", F.lit(0)), "series_id"))
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("order", *fields))), lambda x: F.struct(*(x[f].alias(f) for f in fields))).alias("series"))
+
+
+def manifest(panel: DataFrame, payloads: DataFrame, version: int = 2) -> DataFrame:
+    """One row: version, totals of the panel, its digest, and length and MD5 of each year's payload (year, len, md5).
+
+    The digest is over the digests of days, so nothing but those meets in one place.
+    """
+    by_day = panel.groupBy("date").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(",", "series_id", F.col("y").cast("string")))), ";"), 256).alias("h"), F.sum("y").alias("y"), F.count("*").alias("n"))
+    digest = F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", F.col("date").cast("string"), "h"))), ";"), 256)
+    years = payloads.agg(F.array_sort(F.collect_list(F.struct("year", "len", "md5"))).alias("years"))
+    total = by_day.agg(F.sum("n").alias("rows"), F.sum("y").alias("grand_total"), digest.alias("snapshot_sha"))
+    return total.crossJoin(F.broadcast(years)).select(F.lit(version).alias("extract_version"), "*", F.lit(panel.select("series_id").distinct().count()).alias("series"))
+
+
 def write_json(df: DataFrame, path: str, mode: str = "append") -> None:
     df.write.mode(mode).json(path)
 
@@ -101,10 +131,12 @@ def definition_hash(paths: list[str]) -> str:
 
 
 def check_lock(paths: list[str], lock: str, write: bool = False) -> str:
-    """Compares the definition with the locked hash, or writes it; raises where they differ."""
+    """Compares the definition with the locked hash; raises where they differ or there is none. `write` sets the lock."""
     now, file = definition_hash(paths), Path(lock)
-    if write or not file.exists():
+    if write:
         file.write_text(now + "\n")
+    elif not file.exists():
+        raise FileNotFoundError(f"no lock at {lock}: it has to be written once, on purpose")
     elif file.read_text().strip() != now:
         raise ValueError("the definition has changed since it was locked")
     return now

@@ -31,6 +31,32 @@ def slices(payload: DataFrame, size: int = SLICE) -> DataFrame:
     return off.select("off", F.substring("payload", F.col("off"), F.lit(size)).alias("part"))
 
 
+def encode_years(panel: DataFrame, version: int = 2) -> DataFrame:
+    """(year, payload, len, md5) of every year of the panel; a payload holds the days of the year that the panel has."""
+    p = panel.withColumn("year", F.year("date"))
+    counts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("date", "y"))), lambda x: x["y"].cast("string")), ",")
+    body = p.groupBy("year", "series_id").agg(counts.alias("c"), F.min("date").alias("a"), F.max("date").alias("b"))
+    head = F.concat_ws(",", F.lit(f"v{version}"), F.count("*").cast("string"), (F.datediff(F.max("b"), F.min("a")) + 1).cast("string"), F.min("a").cast("string"), F.max("b").cast("string"))
+    out = body.groupBy("year").agg(head.alias("h"), F.array_join(F.array_sort(F.collect_list(F.concat_ws(",", "series_id", "c"))), "\n").alias("t"))
+    out = out.select("year", F.concat_ws("\n", "h", "t").alias("payload"))
+    return out.select("year", "payload", F.length("payload").alias("len"), F.md5("payload").alias("md5"))
+
+
+def slice_years(payloads: DataFrame, size: int = SLICE) -> DataFrame:
+    """(year, off, part, len, md5): slices from 1-based offsets, with the length and MD5 of the whole."""
+    off = payloads.select("*", F.explode(F.sequence(F.lit(1), F.length("payload"), F.lit(size))).alias("off"))
+    return off.select("year", "off", F.substring("payload", F.col("off"), F.lit(size)).alias("part"), "len", "md5")
+
+
+def reassemble(parts: DataFrame) -> DataFrame:
+    """(year, payload) of slices; a missing or repeated slice or a changed one is an error of the job."""
+    whole = parts.groupBy("year").agg(F.array_sort(F.collect_list(F.struct("off", "part"))).alias("p"), F.max("len").alias("len"), F.max("md5").alias("md5"))
+    text = F.array_join(F.transform("p", lambda x: x["part"]), "")
+    whole = whole.select("year", text.alias("payload"), "len", "md5")
+    sound = (F.length("payload") == F.col("len")) & (F.md5("payload") == F.col("md5"))
+    return whole.select("year", F.when(sound, F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("slices of a payload do not fit: "), F.col("year").cast("string"))).cast("string")).alias("payload"))
+
+
 def assemble(parts: DataFrame, length: int, md5: str, size: int = SLICE) -> str:
     """The payload of slices; raises for a missing slice, a wrong length or a wrong MD5."""
     got = {r.off: r.part for r in parts.collect()}

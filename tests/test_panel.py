@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -139,16 +140,142 @@ def test_registered_trees_train_on_all_references(spark, monkeypatch):
 
     seen = []
 
-    def rows(known, special, day_type, edges, refs, horizon):
+    def rows(panel, special, day_type, edges, refs, horizon):
         seen.append({r.ref for r in refs.select("ref").distinct().collect()})
         raise Stop
 
     monkeypatch.setattr(T, "feature_rows", rows)
     for query in (Q.gbt_forecast, Q.full_blend):
-        try:
-            query(spark, "/root/testdata/sf0.001")
-        except Stop:
-            pass
-    world = Q.World(spark, "/root/testdata/sf0.001", dates=("1999-05-10",))
+        with pytest.raises(Stop):
+            query(spark, SF)
+    world = Q.World(spark, SF, dates=Q.TREE_CUTOFFS)
     want = {r.ref for r in Q.X.training_refs(world.panel, world.cutoffs).collect()}
-    assert len(want) == 417 and seen == [want, want]
+    assert len(want) == 417 and seen == [want | {dt.date.fromisoformat(d) for d in Q.TREE_CUTOFFS}] * 2
+
+
+def small_inputs(spark):
+    """Two series of a weekly pattern over 300 days, one cutoff, no special days."""
+    start, cut = dt.date(1999, 1, 4), dt.date(1999, 9, 27)
+    rows = [(start + dt.timedelta(k), s, scale * (10 + 5 * (k % 7))) for k in range(300) for s, scale in (("a", 1), ("b", 3))]
+    panel = spark.createDataFrame(rows, "date date, series_id string, y int")
+    series = spark.createDataFrame([(s, "customer", start) for s in "ab"], "series_id string, kind string, first_date date")
+    special = spark.createDataFrame([(dt.date(1998, 12, 25), "Juledag")], "date date, name string")
+    return P.Inputs(panel, series, B.cutoffs(spark, [cut]), special, None), cut
+
+
+def test_trees_learn_a_weekly_pattern(spark):
+    """Features by hand, and the trees' error against the pattern's."""
+    from quern.operators import features as X
+    from quern.plans.trees import gradient_boosted
+
+    x, cut = small_inputs(spark)
+    types = spark.createDataFrame([], "date date, day_type string")
+    got = gradient_boosted(x, types, rounds=3, depth=4, step=0.02, bins=64).collect()
+    actual = {(r.series_id, r.date): r.y for r in x.panel.collect()}
+    assert len(got) == 28
+    assert sum(abs(r.yhat - actual[r.series_id, r.date]) for r in got) < 0.15 * sum(actual[r.series_id, r.date] for r in got)
+    days = x.panel.select("date").distinct()
+    edges = days.select("date", F.lit(10).alias("to_special"), F.lit(10).alias("since_special"))
+    one = next(r for r in X.feature_rows(x.panel, x.special, types, edges, x.cutoffs.select(F.col("cutoff").alias("ref"))).collect() if (r.series_id, r.lead) == ("b", 9))
+    level = sum(actual["b", cut - dt.timedelta(k)] for k in range(14)) / 14
+    assert one.base == pytest.approx(level) and one.l7_ratio == pytest.approx(1.0)
+    assert one.lag0_ratio == pytest.approx(actual["b", cut - dt.timedelta(5)] / level) and one.actual == actual["b", cut + dt.timedelta(9)]
+    old = X.labelled(spark.createDataFrame([(cut - dt.timedelta(730), 10.0, 20)], "ref date, base double, actual int"), F.lit(cut)).first()
+    assert old.weight == pytest.approx(10 * 0.5 ** (730 / 365.25)) and old.label == 2.0
+
+
+MODEL = """
+import pandas as pd
+PARAMS = {"weeks": 1}
+class Forecaster:
+    def fit_predict(self, history, cutoff, horizon, series_meta):
+        assert history["date"].max() == cutoff and len(series_meta["series"]) == 2
+        last = history[history["date"] > cutoff - pd.Timedelta(days=7)]
+        out = [(r.series_id, r.date + pd.Timedelta(days=7 * k), r.y - SHIFT) for r in last.itertuples() for k in (1, 2)]
+        return pd.DataFrame(out, columns=["series_id", "date", "yhat"])
+"""
+
+
+def test_evaluator(spark, tmp_path):
+    from quern.config import PanelConfig, Stage
+    from quern.plans.evaluate import evaluate
+    from quern.sources import records as Z
+
+    x, cut = small_inputs(spark)
+    stages = {"one": Stage("1999-02-01", cut.isoformat(), "1999-10-04"), "holdout": Stage("1999-02-01", cut.isoformat(), cut.isoformat(), locked=True)}
+    config = PanelConfig(start="1999-01-04", end="1999-10-30", stages=stages)
+    model, lock, results = tmp_path / "model.py", tmp_path / "lock", (str(tmp_path / "runs"), str(tmp_path / "board"))
+    model.write_text(MODEL.replace("SHIFT", "0"))
+    with pytest.raises(FileNotFoundError):
+        evaluate(x, config, "one", "seasonal_naive", ([str(model)], str(lock)))
+    assert not lock.exists()
+    files.check_lock([str(model)], str(lock), write=True)
+    own = evaluate(x, config, "one", str(model), ([str(model)], str(lock)), notes="n", results=results).first()
+    named = evaluate(x, config, "one", "seasonal_naive", ([str(model)], str(lock)), results=results).first()
+    assert (own.wmape, own.n_cells, own.n_cutoffs, own.clipped_cells) == (0.0, 56, 2, 0) == (named.wmape, named.n_cells, named.n_cutoffs, named.clipped_cells)
+    assert own.params == '{"weeks": 1}' and len(own.eval_sha) == 16
+    board = Z.read_leaderboard(spark, results[1]).orderBy("experiment").collect()
+    assert [r.experiment for r in board] == [str(model), "seasonal_naive"] and spark.read.json(results[0]).count() == 2
+    model.write_text(MODEL.replace("SHIFT", "30"))
+    with pytest.raises(ValueError, match="changed"):
+        evaluate(x, config, "one", str(model), ([str(model)], str(lock)))
+    assert evaluate(x, config, "one", str(model)).first().clipped_cells == 16
+    with pytest.raises(PermissionError):
+        evaluate(x, config, "holdout", "seasonal_naive")
+    with pytest.raises(ValueError, match="unknown"):
+        evaluate(x, config, "two", "seasonal_naive")
+    with pytest.raises(ValueError, match="no actual"):
+        evaluate(replace(x, panel=x.panel.filter("date <> DATE '1999-10-05'")), config, "one", lambda i: P.seasonal_naive(x.__class__(x.panel, i.series, i.cutoffs, i.special, None)))
+    model.write_text("import os  # data/snapshot\nclass Forecaster: pass\n")
+    with pytest.raises(ValueError, match="snapshot"):
+        evaluate(x, config, "one", str(model))
+
+
+def test_train_start_hides_older_days(spark):
+    from quern.config import PanelConfig, Stage
+    from quern.plans.evaluate import evaluate
+
+    x, cut = small_inputs(spark)
+    seen = []
+
+    def spy(i):
+        seen.append(i.panel.agg(F.min("date")).first()[0])
+        return P.seasonal_naive(i)
+
+    evaluate(x, PanelConfig(end="1999-10-30", stages={"s": Stage("1999-05-03", cut.isoformat(), cut.isoformat())}), "s", spy)
+    assert seen == [dt.date(1999, 5, 3)]
+
+
+def test_fact_is_scanned_once(spark):
+    w = World(spark, SF)
+    plan = w.account_days._jdf.queryExecution().optimizedPlan().toString()
+    assert "lineitem" not in plan
+    for df in (w.member, w.series, w.daily, w.panel):
+        assert "lineitem" not in df._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in R.weekday_shape(w.inputs.clean, w.cutoffs)._jdf.queryExecution().executedPlan().toString().replace("BroadcastNestedLoopJoin BuildRight, Inner, ((date", "")
+
+
+def test_slices_of_all_years(spark):
+    w = World(spark, SF)
+    parts = payload.slice_years(payload.encode_years(w.panel), 4000)
+    assert payload.decode(payload.reassemble(parts)).count() == w.panel.count()
+    with pytest.raises(Exception, match="do not fit"):
+        payload.reassemble(parts.filter("NOT (year = 1997 AND off = 1)")).collect()
+
+
+def test_shared_folder_is_required_on_a_cluster(spark, monkeypatch):
+    from quern import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf = {}
+        sparkContext = Context()
+
+    Session.conf = type("C", (), {"get": lambda self, k, d=None: d})()
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session())
