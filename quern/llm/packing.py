@@ -1,13 +1,17 @@
 """Variable-capacity best-fit packing of documents into training sequences.
 
 Several sequence lengths are permitted. Pieces are placed in order of falling length, each into the open sequence that
-it leaves least room in; where none has room, a new one is opened. Which length to open is settled jointly for all
-permitted lengths: every choice is packed, its sequences are cut down to the least permitted length that holds their
-contents, and the choice of least cost is taken. Rows are dealt to shards of bounded size, which pack on their own.
+it leaves least room in; where none has room, a new one is opened. Its length is settled there and then, jointly for
+all permitted lengths: for each, the pieces still to come that would fill it are looked up, and the one of least cost
+for a token is opened. At the end sequences are cut down to the least permitted length that holds their contents.
+Plans that open one length throughout are tried too, and the cheapest plan is taken. Rows are dealt to shards of
+bounded size, which pack on their own.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,15 +36,54 @@ def fitting(length: int, sizes: tuple[int, ...]) -> int:
     return next(s for s in sizes if s >= length)
 
 
-def best_fit(lengths: list[int], sizes: tuple[int, ...], opened: int) -> tuple[list[int], list[int], list[int]]:
-    """Packs lengths, which must fall, opening sequences of size `opened` or the least that fits if that is more.
+class Coming:
+    """The lengths of the pieces still to come: how many of each, and a bit for each that is there."""
+
+    def __init__(self, lengths: list[int]):
+        self.count = Counter(lengths)
+        self.bits = sum(1 << x for x in self.count)
+
+    def take(self, x: int) -> None:
+        self.count[x] -= 1
+        if not self.count[x]:
+            self.bits &= ~(1 << x)
+
+    def filling(self, room: int) -> int:
+        """How much of the room the pieces to come would fill, the longest that fit first."""
+        bits, left = self.bits, room
+        while fits := bits & ((2 << left) - 1):
+            x = fits.bit_length() - 1
+            n = min(self.count[x], left // x)
+            left -= n * x
+            bits &= (1 << x) - 1
+        return room - left
+
+
+def least_cost_size(x: int, sizes: tuple[int, ...], coming: Coming, overhead: int) -> int:
+    """The size to open for a piece: that of least cost for a token, with what would fill it and cut down to that."""
+    best = None
+    for size in sizes:
+        if size >= x:
+            content = x + coming.filling(size - x)
+            rate = cost(fitting(content, sizes), overhead) / content
+            if best is None or rate < best[0]:
+                best = rate, size
+    return best[1]
+
+
+def best_fit(lengths: list[int], sizes: tuple[int, ...], opened: int | None = None, overhead: int = OVERHEAD) -> tuple[list[int], list[int], list[int]]:
+    """Packs lengths, which must fall. A new sequence gets the size of least cost, or `opened` (the least that fits if
+    that is more).
 
     Returns the sequence and the offset of each piece, and the contents of each sequence.
     """
+    coming = Coming(lengths) if opened is None else None
     room: dict[int, list[int]] = {}  # free places -> open sequences
     free = 0  # bit r: some sequence has r free places
     where, offset, used = [], [], []
     for x in lengths:
+        if coming:
+            coming.take(x)
         fits = free >> x
         if fits:
             left = x + (fits & -fits).bit_length() - 1
@@ -49,7 +92,8 @@ def best_fit(lengths: list[int], sizes: tuple[int, ...], opened: int) -> tuple[l
             if not stack:
                 free &= ~(1 << left)
         else:
-            k, left = len(used), max(opened, fitting(x, sizes))
+            k = len(used)
+            left = least_cost_size(x, sizes, coming, overhead) if coming else max(opened, fitting(x, sizes))
             used.append(0)
         where.append(k)
         offset.append(used[k])
@@ -61,10 +105,13 @@ def best_fit(lengths: list[int], sizes: tuple[int, ...], opened: int) -> tuple[l
 
 
 def pack(lengths: list[int], sizes: tuple[int, ...] = SIZES, overhead: int = OVERHEAD) -> tuple[list[int], list[int], list[int]]:
-    """The packing of least cost over all sizes to open; returns sequence, offset, and the cut-down size of each."""
+    """The cheapest of the plan with a size chosen at each opening and those with one size throughout.
+
+    Returns sequence and offset of each piece, and the cut-down size of each sequence.
+    """
     best = None
-    for opened in sizes:
-        where, offset, used = best_fit(lengths, sizes, opened)
+    for opened in (None, *sizes):
+        where, offset, used = best_fit(lengths, sizes, opened, overhead)
         final = [fitting(u, sizes) for u in used]
         total = sum(cost(s, overhead) for s in final)
         if best is None or total < best[0]:
