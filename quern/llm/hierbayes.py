@@ -14,10 +14,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.pretok import slices
+from quern.llm.shingles import word_hashes
 from quern.session import written
 
 #: Most labelled documents that the text model is fitted on: those of least hash of doc_id.
@@ -42,11 +43,14 @@ for _c in ".,;:'\"()-`":
     _KIND[ord(_c)] = _POINT
 for _c in " \t\n\x0b\x0c\r":
     _KIND[ord(_c)] = _SPACE
-FEATURES = 14
+#: Surface measures, then shares of words by the bucket that their hash falls into.
+SURFACE, WORDS = 14, 128
+FEATURES = SURFACE + WORDS
 
 
 def features(texts: list[str]) -> np.ndarray:
-    """(texts, FEATURES): lengths, shares of kinds of characters, and measures of repetition. Empty texts: zeros."""
+    """(texts, FEATURES): lengths, shares of kinds of characters, measures of repetition, and hashed words with A-Z
+    lower-cased. Empty texts: zeros."""
     out = np.zeros((len(texts), FEATURES))
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     kinds = _KIND[np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)]
@@ -60,7 +64,7 @@ def features(texts: list[str]) -> np.ndarray:
             continue
         lines = [x for x in t.split("\n") if x.strip()]
         bigrams = set(zip(words, words[1:], strict=False))
-        out[k, 7:] = (
+        out[k, 7:SURFACE] = (
             math.log1p(n),
             math.log(sum(map(len, words)) / n),
             len(set(words)) / n,
@@ -69,6 +73,10 @@ def features(texts: list[str]) -> np.ndarray:
             1 - len(set(lines)) / len(lines),
             math.log1p(len(t) / len(lines)) / 5,
         )
+    hashes, counts = word_hashes(texts)
+    place = np.repeat(np.arange(len(texts)) * WORDS, counts) + (hashes % np.uint64(WORDS)).astype(np.int64)
+    found = np.bincount(place, minlength=WORDS * len(texts)).reshape(-1, WORDS)
+    out[:, SURFACE:] = np.sqrt(found / np.maximum(counts, 1)[:, None])
     return out
 
 
@@ -83,14 +91,15 @@ class Logistic(NamedTuple):
 
 
 def _expanded(x: np.ndarray) -> np.ndarray:
+    """Clipped values, the squares of the surface measures, and 1."""
     x = np.clip(x, -6, 6)
-    return np.column_stack([x, x * x, np.ones(len(x))])
+    return np.column_stack([x, x[:, :SURFACE] ** 2, np.ones(len(x))])
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> Logistic:
     """Newton's method with a ridge. Without both classes the model is the share of the one that is there."""
     if not len(y):
-        return Logistic(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(2 * FEATURES + 1))
+        return Logistic(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES + SURFACE + 1))
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
     a = _expanded((x - mean) / scale)
     w = np.zeros(a.shape[1])
@@ -111,6 +120,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     chosen = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).dropna().dropDuplicates(["id"])
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(sample)
     found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    # An id may have several rows or texts: the first text of each counts, so the bound holds for rows too.
+    found = found.groupBy("id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"), F.first("label").alias("label")).select("id", "label", "t.text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -150,6 +161,13 @@ def strength(n: float, total: float, squares: float, sites: float, mean: float)
     return min(max(within / between - 1, STRENGTHS[0]), STRENGTHS[1]) if between > 0 else STRENGTHS[1]
 
 
+def url_site(url: Column) -> tuple[Column, Column]:
+    """Host and first path segment of a URL, for tables that have one: a site and a part of it. Null for no URL."""
+    host = F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    path = F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*(/[^/?#]*)", 1)
+    return F.nullif(host, F.lit("")), F.when(url.isNotNull(), F.coalesce(F.nullif(path, F.lit("")), F.lit("/")))
+
+
 def site_posteriors(scored: DataFrame, host_col: str, path_col: str) -> tuple[DataFrame, float]:
     """(host, path, n, s, prior, k) for each path, and the mean of all documents.
 
