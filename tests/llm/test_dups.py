@@ -77,7 +77,7 @@ def test_near_duplicates_against_brute_force(spark):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(df).collect()}
     want = brute(rows)
     assert got == want
-    kept = {r.doc_id for r in drop_near_duplicates(df.withColumn("kept", F.lit("x"))).collect()}
+    kept = {r.doc_id for r in drop_near_duplicates(df.withColumns({"kept": F.lit("x"), "_gone": F.lit(1)})).collect()}
     assert kept == {i for i, (_, c) in want.items() if i == c}
 
 
@@ -147,7 +147,8 @@ def test_lines_against_brute_force(spark):
     got = {(r.doc_id, r.text_id): r.removed for r in L.line_removals(df).collect()}
     want = {(i, L.text_id(t or "")): gone for (i, t), gone in brute_lines(rows).items() if gone}
     assert got == want
-    clean = L.dedup_lines(df.select("*", F.lit(7).alias("_line_removed"), F.length("text").cast("long").alias("n_chars"))).collect()
+    odd = {c: F.lit(1) for c in ("_line_doc", "_LINE_TEXT", "_line_text_id")}
+    clean = L.dedup_lines(df.withColumns(odd).select("*", F.lit(7).alias("_line_removed"), F.length("text").cast("long").alias("n_chars"))).collect()
     for r in clean:
         gone = set(want.get((r.doc_id, L.text_id(next(t or "" for i, t in rows if i == r.doc_id))), ()))
         text = next(t for i, t in rows if i == r.doc_id)
@@ -173,6 +174,14 @@ def test_lines_of_one_changed_word_are_alike(spark):
     assert {r.doc_id: r.removed for r in L.line_removals(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
 
 
+def test_lines_of_a_table_against_an_exact_join(spark):
+    """All lines of sf0.01: the same lines go as by an inverted index of all shingles."""
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    want = {(i, L.text_id(t or "")): gone for (i, t), gone in brute_lines(rows).items() if gone}
+    got = {(r.doc_id, r.text_id): r.removed for r in L.line_removals(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == want
+
+
 def test_no_lines(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert L.line_removals(empty).count() == 0 and L.dedup_lines(empty).count() == 0

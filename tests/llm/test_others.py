@@ -144,6 +144,58 @@ def test_quality_rules_equal_sql(spark):
     assert sorted(tuple(r) for r in entry.queries()["op1_robust_quality"](spark, SF).collect()) == want
 
 
+def test_quality_verdicts_against_random_starts(spark):
+    """Minimum covariance determinant in numpy: 30 random starts to convergence, exact quantiles, no histograms."""
+    spark_rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    stats = R.text_statistics(spark_rows).drop("text")
+    rows = spark.sql(f"SELECT *, {R.VECTOR}, ({R.BASE}) AS base_failed FROM {{stats}}", stats=stats)
+    got = R.judged(R.written(rows, "stats")).filter("NOT base_failed").select("lang", "kept", "x1", "x2", "x3", "x4").toPandas()
+    rng, floors = np.random.default_rng(5), np.diag(np.square(np.array(R.FLOORS, float)))
+
+    def estimate(x):
+        def scatter(part):
+            return R.CONSISTENT * np.cov(part.T, bias=True) + floors
+
+        best = None
+        for _ in range(30):
+            part = x[rng.choice(len(x), 5 + len(x) // 2, replace=False)]
+            for _ in range(50):
+                m, s = part.mean(axis=0), scatter(part)
+                d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(s), x - m)
+                new = x[np.argsort(d, kind="stable")[: -(-len(x) * R.HALF // 100)]]
+                if np.array_equal(new, part):
+                    break
+                part = new
+            if best is None or np.linalg.det(s) < best[0]:
+                best = np.linalg.det(s), m, np.linalg.inv(s)
+        return best[1:]
+
+    every, differ = estimate(got[["x1", "x2", "x3", "x4"]].to_numpy(float)), 0
+    for lang, part in got.groupby("lang"):
+        x = part[["x1", "x2", "x3", "x4"]].to_numpy(float)
+        m, inverse = estimate(x) if len(x) >= R.LEAST_ROWS else every
+        differ += int((part.kept.to_numpy() != (np.einsum("ij,jk,ik->i", x - m, inverse, x - m) <= R.CUTOFF)).sum())
+    assert differ <= 0.005 * len(got)
+
+
+def test_quality_fit_shuffles_no_raw_rows_by_group(spark):
+    """With one group and no broadcast, estimates are joined by group and salt, and sums are made before rows move."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(2000).selectExpr("'en' AS lang", "'s' AS source", "false AS base_failed", "id % 100 AS x1", "id % 7 AS x2", "id % 5 AS x3", "id % 3 AS x4")
+        plan = R.judged(R.written(rows, "stats"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    exchanges = re.findall(r"hashpartitioning\((.*)", plan)
+    assert "SortMergeJoin" in plan and exchanges and all("salt" in x for x in exchanges)
+
+
+def test_statistics_keep_clashing_columns(spark):
+    df = spark.createDataFrame([("a b c", 1, 2)], "text string, _q_text int, _q__words int")
+    assert set(df.columns) <= set(R.text_statistics(df).columns)
+
+
 def test_quality_rules_on_odd_rows(spark):
     words = " ".join(f"word{k}" for k in range(40))
     rows = [(k, words + f" end{k}", "en", "s") for k in range(300)] + [(900, None, None, None), (901, "", "en", "s"), (902, "a b c d e " * 20, "en", "s"), (903, " ".join(f"w{k}#$%*" for k in range(60)), "en", "s"), (903, words, None, None)]
@@ -173,6 +225,76 @@ def test_sites_shrink(spark):
     assert H.strength(10, 100, 0.0, 1, 0.5) == H.STRENGTHS[1]
 
 
+def test_site_posteriors_against_brute_force(spark):
+    rng = random.Random(12)
+    rows = [(k, h, f"{h}/{p}", rng.randint(0, 1_000_000) if h != "b" else rng.randint(600_000, 1_000_000)) for k in range(600) for h, p in [(rng.choice("abcd"), rng.randint(0, 4))]]
+    sites, mean = H.site_posteriors(spark.createDataFrame(rows, "doc_id long, host string, path string, p long"), "host", "path")
+    paths, hosts = {}, {}
+    for _, h, q, p in rows:
+        for table, key in ((paths, (h, q)), (hosts, h)):
+            n, s = table.get(key, (0, 0.0))
+            table[key] = n + 1, s + p / 1e6
+    whole = sum(s for _, s in hosts.values()) / len(rows)
+    assert mean == pytest.approx(whole)
+
+    def strength(table, at):
+        within, squares = whole * (1 - whole), sum(n * (s / n - at(k)) ** 2 for k, (n, s) in table.items())
+        size = len(rows) - sum(n * n for n, _ in table.values()) / len(rows)
+        between = (squares - (len(table) - 1) * within) / size
+        return min(max(within / between - 1, 1.0), 1e6) if between > 0 else 1e6
+
+    host_k = strength(hosts, lambda _: whole)
+    prior = {h: (s + host_k * whole) / (n + host_k) for h, (n, s) in hosts.items()}
+    path_k = strength(paths, lambda k: prior[k[0]])
+    got = {(r.host, r.path): (r.n, r.s, r.prior, r.k) for r in sites.collect()}
+    assert got.keys() == paths.keys()
+    for key, (n, s) in paths.items():
+        assert got[key] == pytest.approx((n, s * 1e6, prior[key[0]], path_k), rel=1e-6)
+
+
+def test_url_sites_and_bounded_sample(spark):
+    urls = [("https://User@Example.org:80/a/b?c#d", ("example.org", "/a")), ("http://x.com", ("x.com", "/")), ("x.com/a", (None, "/")), (None, (None, None))]
+    df = spark.createDataFrame([(u,) for u, _ in urls], "url string").select(*H.url_site(F.col("url")))
+    assert [tuple(r) for r in df.collect()] == [w for _, w in urls]
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "c"), (1, None), (2, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert H.training_rows(docs, labels, sample=1).count() == 1 and H.training_rows(docs, labels).count() == 2
+
+
+def plain_signature(text, tuples):
+    """Order MinHash from its definition, on Python numbers: hashes of k-mers as the operator gives them."""
+    h = [int(x) for x in O.kmers(O.code_points(text))]
+    if not h:
+        return [0] * tuples
+    mask, seen, numbers = (1 << 64) - 1, {}, []
+    mix = lambda x: int(O.mix(np.array([x & mask], np.uint64))[0])
+    for x in h:
+        k = seen.get(x, 0)
+        seen[x] = k + 1
+        numbers.append(mix(x + k * int(O._BASE)) if k else x)
+    out = []
+    for a in O.multipliers(tuples).tolist():
+        order = sorted(range(len(h)), key=lambda i: (a * numbers[i]) & mask)
+        i, j = sorted((order + order)[:2]) if len(h) > 1 else (0, 0)
+        out.append(mix(h[i] * int(O._BASE) + mix(h[j])) >> 32)
+    return out
+
+
+def test_order_signature_from_its_definition(spark):
+    rng = random.Random(21)
+    texts = ["", "abc", "abcdefgh", "aaaaaaaaaaaaaaaaaaaa", *("".join(rng.choice("ab cd") for _ in range(rng.randint(9, 120))) for _ in range(12))]
+    for t in texts:
+        assert O.signature(O.kmers(O.code_points(t))).tolist() == plain_signature(t, O.TUPLES)
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r for r in O.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        n = texts[i - 1]
+        edited = t[: len(t) - len(t) // 3] + n[: len(t) // 3]
+        a, b, c = (plain_signature(x, O.TUPLES) for x in (t, edited, n))
+        same = lambda x, y: sum(u == v for u, v in zip(x, y, strict=True)) / O.TUPLES
+        assert (got[i].near_edited, got[i].near_next) == pytest.approx((same(a, b), same(a, c)))
+
+
 def test_classifier_on_odd_rows(spark):
     df = spark.createDataFrame([(1, None, None, None), (2, "", "en", "a"), (None, "some words here", "en", "a")], "doc_id long, text string, lang string, source string")
     labels = spark.createDataFrame([], "doc_id long, quality int")
@@ -209,6 +331,41 @@ def test_packing_against_plain_search(lengths):
     assert sum(map(K.cost, final)) <= min(sum(K.cost(K.fitting(u, sizes)) for u in K.best_fit(lengths, sizes, o)[2]) for o in sizes)
 
 
+def least_cost(lengths, sizes):
+    """By trying every way to share out the pieces."""
+    best = float("inf")
+
+    def go(k, bins):
+        nonlocal best
+        if k == len(lengths):
+            best = min(best, sum(K.cost(K.fitting(b, sizes)) for b in bins))
+            return
+        for j in range(len(bins)):
+            if bins[j] + lengths[k] <= sizes[-1]:
+                go(k + 1, [*bins[:j], bins[j] + lengths[k], *bins[j + 1 :]])
+        go(k + 1, [*bins, lengths[k]])
+
+    go(0, [])
+    return best
+
+
+def test_packing_cost_against_the_optimum():
+    rng, sizes, ratios = random.Random(3), (512, 1024, 2048), []
+    for _ in range(150):
+        lengths = sorted((rng.choice([rng.randint(1, 300), rng.randint(200, 1100), rng.randint(1000, 2048)]) for _ in range(rng.randint(1, 7))), reverse=True)
+        ratios.append(sum(map(K.cost, K.pack(lengths, sizes)[2])) / least_cost(lengths, sizes))
+    assert min(ratios) >= 1 - 1e-9 and max(ratios) < 1.35 and sum(ratios) / len(ratios) < 1.03
+
+
+def test_packing_cost_against_a_bound():
+    """No token costs less than in a full sequence of the cheapest size; sizes are mixed where that pays."""
+    rng = random.Random(4)
+    lengths = sorted((min(8192, int(rng.lognormvariate(5.5, 1.3)) + 1) for _ in range(20_000)), reverse=True)
+    bound = sum(lengths) * min(K.cost(s) / s for s in K.SIZES)
+    _, _, final = K.pack(lengths)
+    assert len(set(final)) > 1 and sum(map(K.cost, final)) < 1.06 * bound
+
+
 def test_packing_covers_every_token(spark):
     rng = random.Random(2)
     rows = [(k, rng.choice([0, 3, 500, 900, 5000, 20_000])) for k in range(400)] + [(None, 100), (1, None), (7, 50), (7, 50)]
