@@ -53,7 +53,8 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
     """Write `df` as Parquet into the shared folder and read it back: lineage ends here and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quern-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    # Small row groups: a writer holds one in memory, and texts are long.
+    df.write.option("compression", "zstd").option("parquet.block.size", str(32 << 20)).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quern_path = path
     return out
