@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.pretok import slices
+from quern.llm.pretok import lean, slices
 from quern.llm.shingles import word_hashes
 from quern.session import written
 
@@ -149,7 +149,7 @@ def document_scores(df: DataFrame, model: Logistic, text_col: str = "text") -> D
             p = np.rint(np.concatenate(parts or [np.empty(0)]) * UNIT).astype(np.int64)
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(p)], names=[*names, "p"])
 
-    return df.select(*names, text_col).mapInArrow(run, df.select(*names, F.lit(0).cast("long").alias("p")).schema)
+    return df.select(*names, text_col).mapInArrow(lean(run), df.select(*names, F.lit(0).cast("long").alias("p")).schema)
 
 
 def strength(n: float, total: float, squares: float, sites: float, mean: float) -> float:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.components import agreement, bucket_members, close_pairs, link_buckets, may_hold, number_filter
 from quern.llm.ordermin import distinct, mix
-from quern.llm.pretok import slices
+from quern.llm.pretok import lean, slices
 from quern.llm.shingles import mix32, one_permutation, sketch_least, sketches
 from quern.session import discard, release, written
 
@@ -233,27 +233,27 @@ def line_removals(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text
 def _removals(df: DataFrame, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """All documents (doc_id, text_id, ids, ...), and line_removals."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    whole = written(docs.mapInArrow(_documents, "doc_id long, text_id long, ids array<long>, checks array<long>, numbers array<int>"), "lines")
+    whole = written(docs.mapInArrow(lean(_documents), "doc_id long, text_id long, ids array<long>, checks array<long>, numbers array<int>"), "lines")
     lines = whole.select("doc_id", "text_id", F.explode(F.arrays_zip("ids", "checks", "numbers")).alias("x"))
     lines = lines.select(F.col("x.ids").alias("id"), F.col("x.checks").alias("check"), "doc_id", "text_id", F.col("x.numbers").alias("line"))
     n_lines = whole.agg(F.sum(F.size("ids"))).first()[0] or 0
     place = F.struct("doc_id", "text_id", "line")
-    members = bucket_members(lambda only: docs.select("text").mapInArrow(_keyed(only), "key long, id long"), n_lines * BANDS)
+    members = bucket_members(lambda only: docs.select("text").mapInArrow(lean(_keyed(only)), "key long, id long"), n_lines * BANDS)
 
     # Texts of lines that share a key. The filter keeps most of the others out of the shuffle, the join all of them.
     wanted = members.select("id").distinct()
-    texts = docs.select("text").mapInArrow(_texts(number_filter(wanted, "id")), "id long, check long, text string, n long").join(wanted, "id", "left_semi")
+    texts = docs.select("text").mapInArrow(lean(_texts(number_filter(wanted, "id"))), "id long, check long, text string, n long").join(wanted, "id", "left_semi")
     texts = written(texts.groupBy("id").agg(F.min(F.struct("check", "text", "n")).alias("t")).select("id", "t.*"), "texts")
     release(df.sparkSession)
 
     def pairs_of(rest: DataFrame) -> DataFrame:
         some = texts.select("id", "text", "n").join(rest.select("id").distinct(), "id", "left_semi")
-        return close_pairs(rest, some.mapInArrow(_sketched, "id long, n long, sketch array<long>"), percent, sketch_least(percent, BINS))
+        return close_pairs(rest, some.mapInArrow(lean(_sketched), "id long, n long, sketch array<long>"), percent, sketch_least(percent, BINS))
 
     def verify(pairs: DataFrame) -> DataFrame:
         left, right = (texts.select(F.col("id").alias(x), F.col("text").alias(f"t{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
         both = pairs.join(right, "b").join(left, "a")
-        return both.select("a", "b", "ta", "tb", "na", "nb").mapInArrow(_verified(percent), "a long, b long")
+        return both.select("a", "b", "ta", "tb", "na", "nb").mapInArrow(lean(_verified(percent)), "a long, b long")
 
     linked = link_buckets(members, verify, pairs_of)
     # Occurrences of a line, or of lines that are linked, come together as counts and firsts only.
@@ -304,9 +304,9 @@ def dedup_lines(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text_c
                 made[length_col] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(b.column(length_col).type)
             yield pa.RecordBatch.from_arrays([made.get(n, b.column(n)) for n in names], names=names)
 
-    wide = df.mapInArrow(marked, df.select("*", F.lit(0).cast("long").alias(key)).schema)
+    wide = df.mapInArrow(lean(marked), df.select("*", F.lit(0).cast("long").alias(key)).schema)
     on = wide[id_col].cast("long").eqNullSafe(F.col(of_doc)) & (wide[key] == F.col(of_text))
-    return wide.join(removals, on, "left").select(*names, cut).mapInArrow(without, schema)
+    return wide.join(removals, on, "left").select(*names, cut).mapInArrow(lean(without), schema)
 
 
 def op3_fuzzy_lines(spark, sf_dir: str) -> DataFrame:

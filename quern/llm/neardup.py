@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.components import bucket_members, close_pairs, link_buckets, may_hold
-from quern.llm.pretok import slices
+from quern.llm.pretok import lean, slices
 from quern.llm.shingles import minhash, set_digest, shingle_sets, sketch, sketch_least
 from quern.session import written
 
@@ -150,7 +150,7 @@ def near_duplicates(df: DataFrame, percent: int = 85, id_col: str = "doc_id", te
     """
     layout = layout_for(percent)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = written(docs.mapInArrow(_signed(layout), "doc_id long, n_shingles long, digest string, sig array<long>"), "signed")
+    signed = written(docs.mapInArrow(lean(_signed(layout)), "doc_id long, n_shingles long, digest string, sig array<long>"), "signed")
     known = signed.filter("digest is not null and doc_id is not null")
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.min("sig").alias("sig"))
     # The ids are written, so that they are the same wherever the table is read.
@@ -158,7 +158,7 @@ def near_duplicates(df: DataFrame, percent: int = 85, id_col: str = "doc_id", te
     members = bucket_members(lambda only: classes.select("id", "sig").mapInArrow(_keyed(layout, only), "key long, id long"), classes.count() * layout.positions)
 
     wanted = classes.join(members.select("id").distinct(), "id", "left_semi").select("id", "digest", "doc_id")
-    texts = docs.join(wanted, "doc_id").select("id", "digest", "text").mapInArrow(_sets, "id long, digest string, own string, shingles array<long>, sketch array<long>")
+    texts = docs.join(wanted, "doc_id").select("id", "digest", "text").mapInArrow(lean(_sets), "id long, digest string, own string, shingles array<long>, sketch array<long>")
     # A doc_id with several texts brings other sets too; a repeated row brings its set twice.
     sets = written(texts.filter("own = digest").dropDuplicates(["id"]).select("id", "shingles", "sketch"), "sets")
     short = classes.select("id", "n", "sig")

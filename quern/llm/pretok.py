@@ -7,11 +7,15 @@ so the two agree on every Unicode version.
 
 from __future__ import annotations
 
+import ctypes
 import json
+import sys
 from array import array
 from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 
 import numpy as np
+import pyarrow as pa
 
 LETTER, NUMBER, SPACE, OTHER, UNKNOWN = 0, 1, 2, 3, 255
 
@@ -130,7 +134,7 @@ class Splitter:
 class WordCache:
     """Remembers what `encode` gave for each pre-token. Holds at most two generations of `limit` entries."""
 
-    def __init__(self, encode: Callable[[list[str]], list], preset: dict | None = None, limit: int = 250_000, longest: int = 64):
+    def __init__(self, encode: Callable[[list[str]], list], preset: dict | None = None, limit: int = 100_000, longest: int = 64):
         self.encode, self.limit, self.longest = encode, limit, longest
         self.preset = dict(preset or {})
         self.new: dict = dict(self.preset)
@@ -151,6 +155,33 @@ class WordCache:
         return got
 
 
+#: Rows of a batch that are worked on at once.
+ROWS = 500
+
+
+@lru_cache(maxsize=1)
+def _libc() -> ctypes.CDLL | None:
+    return ctypes.CDLL("libc.so.6") if sys.platform == "linux" else None
+
+
+def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A mapInArrow function that sees batches of few rows and hands free memory back to the system when its task ends.
+
+    Workers live on between tasks; what they keep would be missing to the next stage.
+    """
+
+    @wraps(work)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS))
+        finally:
+            pa.default_memory_pool().release_unused()
+            if hasattr(_libc(), "malloc_trim"):
+                _libc().malloc_trim(0)
+
+    return run
+
+
 def slices(texts: list[str], chars: int = SLICE_CHARS) -> Iterator[list[str]]:
     """Runs of texts of about `chars` characters together; a longer text is a run of its own."""
     part, size = [], 0

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.automaton import Dfa, parse, reverse
-from quern.llm.pretok import slices
+from quern.llm.pretok import lean, slices
 
 
 class Rule(NamedTuple):
@@ -176,7 +176,7 @@ def scan_secrets(df: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[str
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *made], names=["doc_id", *(f"n_{k}" for k in base), "base_sha256", "spans"])
 
     schema = ", ".join(["doc_id long", *(f"n_{k} long" for k in base), "base_sha256 string", "spans string"])
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), schema)
 
 
 def redact_secrets(df: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
@@ -195,7 +195,7 @@ def redact_secrets(df: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str
                 made[length_col] = pa.array([None if t is None else len(c) for t, c in zip(texts, clean, strict=True)], pa.int64()).cast(b.column(length_col).type)
             yield pa.RecordBatch.from_arrays([made.get(n, b.column(n)) for n in b.schema.names], names=b.schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def op10_secret_scan(spark, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm.backtrack import BacktrackEncoder, OffsetDecoder, Vocabulary
-from quern.llm.pretok import Splitter, WordCache, library_words, slices
+from quern.llm.pretok import Splitter, WordCache, lean, library_words, slices
 from quern.llm.ranksync import RankSync
 
 
@@ -79,7 +79,7 @@ def _appended(df: DataFrame, text_col: str, fields: list[T.StructField], work) -
             made = [pa.array(x, t) for x, t in zip(work(texts), types, strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *made], names=[f.name for f in schema.fields])
 
-    return df.select(*{*names, text_col}).mapInArrow(run, schema)
+    return df.select(*{*names, text_col}).mapInArrow(lean(run), schema)
 
 
 def token_counts(df: DataFrame, path: str, text_col: str = "text", out_col: str = "n_tokens", bytes_col: str = "n_bytes") -> DataFrame:
