@@ -114,13 +114,16 @@ def brute_lines(rows, percent=80):
     for i, t in sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, L.text_id(r[1]))):
         for k, x in L.lines_of(t):
             first.setdefault(x, ((i is not None, i or 0), L.text_id(t), k))
-    sets, links, names = {x: L._shingles(x) for x in first}, [], list(first)
-    inverted = {}
-    for a in names:
-        for b, n in Counter(b for s in sets[a] for b in inverted.get(s, ())).items():
-            if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
+    sets, links = {x: L._shingles(x) for x in first}, []
+    often, inverted = Counter(s for own in sets.values() for s in own), {}
+    for a, own in sets.items():
+        # Alike lines share one of their rarest shingles: at most (100 - percent) percent of a set are not in the other.
+        rare = sorted(own, key=lambda s: (often[s], s))[: len(own) * (100 - percent) // 100 + 1]
+        for b in {b for s in rare for b in inverted.get(s, ())}:
+            n = len(own & sets[b])
+            if 100 * n >= percent * (len(own) + len(sets[b]) - n):
                 links.append((first[a], first[b]))
-        for s in sets[a]:
+        for s in rare:
             inverted.setdefault(s, []).append(a)
     root = roots(set(first.values()), links)
     return {(i, t): [k for k, x in L.lines_of(t or "") if root[first[x]] != ((i is not None, i or 0), L.text_id(t or ""), k)] for i, t in rows}
