@@ -265,19 +265,22 @@ def close_pairs(rest: DataFrame, traits: DataFrame, percent: int, least: int, fi
     return placed.mapInArrow(run, "a long, b long").distinct()
 
 
-def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], pairs_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], pairs_of: Callable[[DataFrame], DataFrame], first: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(node, component) of the ids that `verify` links, as if all pairs of ids with a common key had been verified.
 
     `verify` takes pairs (a, b) and returns those that are linked. A pair within a component tells nothing new, so:
     first each id meets the least of its leads, then its other leads, then, in keys that still hold several
     components, the ids of different components meet: `pairs_of` gives from rows (key, id, c) the pairs that can be
     linked at all. A large group of alike ids takes a pair for each id in the first two rounds, and none in the third.
+    A caller that has the pairs of the first round at hand gives them, and those of them that are linked, as `first`.
     """
     stars = members.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))
-    first = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    tried = written(first, "tried")
     spark = members.sparkSession
-    edges = written(verify(tried), "linked")
+    if first is None:
+        tried = written(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "tried")
+        edges = written(verify(tried), "linked")
+    else:
+        tried, edges = first[0], written(first[1], "linked")
     release(spark)
     comp = components(edges)
     release(spark)

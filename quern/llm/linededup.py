@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.components import agreement, bucket_members, close_pairs, link_buckets, may_hold, number_filter
@@ -240,22 +240,30 @@ def _removals(df: DataFrame, percent: int, id_col: str, text_col: str) -> tuple[
     place = F.struct("doc_id", "text_id", "line")
     members = bucket_members(lambda only: docs.select("text").mapInArrow(lean(_keyed(only)), "key long, id long"), n_lines * BANDS)
 
-    # Texts of lines that share a key. The filter keeps most of the others out of the shuffle, the join all of them.
-    wanted = members.select("id").distinct()
-    texts = docs.select("text").mapInArrow(lean(_texts(number_filter(wanted, "id"))), "id long, check long, text string, n long").join(wanted, "id", "left_semi")
-    texts = written(texts.groupBy("id").agg(F.min(F.struct("check", "text", "n")).alias("t")).select("id", "t.*"), "texts")
+    # Texts of lines that share a key, each with the least of its leads and whether it is a lead itself. The filter
+    # keeps most of the other lines out of the shuffle, the join all of them.
+    wanted = members.groupBy("id").agg(F.min("lead").alias("lead"), F.max(F.col("id") == F.col("lead")).alias("leads"))
+    texts = docs.select("text").mapInArrow(lean(_texts(number_filter(members, "id"))), "id long, check long, text string, n long").join(wanted, "id")
+    texts = written(texts.groupBy("id").agg(F.min(F.struct("check", "text", "n", "lead", "leads")).alias("t")).select("id", "t.*"), "texts")
     release(df.sparkSession)
 
+    def side(rows: DataFrame, x: str, *others: Column) -> DataFrame:
+        return rows.select(F.col("id").alias(x), F.col("text").alias(f"t{x}"), F.col("n").alias(f"n{x}"), *others)
+
+    def compared(both: DataFrame) -> DataFrame:
+        return both.select("a", "b", "ta", "tb", "na", "nb").mapInArrow(lean(_verified(percent)), "a long, b long")
+
     def pairs_of(rest: DataFrame) -> DataFrame:
         some = texts.select("id", "text", "n").join(rest.select("id").distinct(), "id", "left_semi")
         return close_pairs(rest, some.mapInArrow(lean(_sketched), "id long, n long, sketch array<long>"), percent, sketch_least(percent, BINS))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        left, right = (texts.select(F.col("id").alias(x), F.col("text").alias(f"t{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
-        both = pairs.join(right, "b").join(left, "a")
-        return both.select("a", "b", "ta", "tb", "na", "nb").mapInArrow(lean(_verified(percent)), "a long, b long")
+        return compared(pairs.join(side(texts, "b"), "b").join(side(texts, "a"), "a"))
 
-    linked = link_buckets(members, verify, pairs_of)
+    # Each line comes with its first partner, so that its text is shuffled once, and those of leads once.
+    stars = texts.filter("id <> lead")
+    linked = compared(side(stars, "b", F.col("lead").alias("a")).join(side(texts.filter("leads"), "a"), "a"))
+    linked = link_buckets(members, verify, pairs_of, (stars.select(F.col("lead").alias("a"), F.col("id").alias("b")), linked))
     # Occurrences of a line, or of lines that are linked, come together as counts and firsts only.
     seen = written(lines.groupBy("id", "check").agg(F.min(place).alias("first"), F.count("*").alias("n")), "seen")
     # The second hash ties a component to the line that was verified, should two lines have one id.
