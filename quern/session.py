@@ -6,6 +6,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -72,8 +73,10 @@ def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of tables that have been written and are no longer referred to.
 
     Spark does so when the driver's garbage is collected; between large shuffles that need not be left to chance.
+    The JVM hears of references that Python dropped from a thread that looks for them once a second.
     """
     gc.collect()
+    time.sleep(1.5)
     spark.sparkContext._jvm.System.gc()
 
 
