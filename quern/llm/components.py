@@ -301,6 +301,7 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], p
     rest = written(now.join(mixed, "key"), "mixed")
     if not rest.isEmpty():
         third = written(pairs_of(rest).join(tried, ["a", "b"], "left_anti"), "tried")
+        release(spark)
         if not third.isEmpty():
             edges = edges.union(written(verify(third), "linked"))
             release(spark)

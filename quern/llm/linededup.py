@@ -264,15 +264,19 @@ def _removals(df: DataFrame, percent: int, id_col: str, text_col: str) -> tuple[
     stars = texts.filter("id <> lead")
     linked = compared(side(stars, "b", F.col("lead").alias("a")).join(side(texts.filter("leads"), "a"), "a"))
     linked = link_buckets(members, verify, pairs_of, (stars.select(F.col("lead").alias("a"), F.col("id").alias("b")), linked))
+    # The second hash ties a component to the line that was verified, should two lines have one id. Written, the few
+    # linked lines have a measured size, and the joins need not shuffle all lines where it is small.
+    named = written(linked.join(texts.select("id", "check"), linked.node == texts.id).select("id", "check", "component"), "named")
+    discard(members, texts)
+    release(df.sparkSession)
     # Occurrences of a line, or of lines that are linked, come together as counts and firsts only.
     seen = written(lines.groupBy("id", "check").agg(F.min(place).alias("first"), F.count("*").alias("n")), "seen")
-    # The second hash ties a component to the line that was verified, should two lines have one id.
-    named = linked.join(texts, linked.node == texts.id).select("id", "check", "component")
+    release(df.sparkSession)
+    least = seen.join(named, ["id", "check"]).groupBy("component").agg(F.min("first").alias("least"))
     grouped = seen.join(named, ["id", "check"], "left")
-    least = grouped.filter("component is not null").groupBy("component").agg(F.min("first").alias("least"))
     kept = grouped.join(least, "component", "left").select("id", "check", F.coalesce("least", "first").alias("keep"), (F.col("component").isNotNull() | (F.col("n") > 1)).alias("shared"))
     kept = written(kept.filter("shared").drop("shared"), "kept")
-    discard(members, texts, seen)
+    discard(named, seen)
     gone = lines.join(kept, ["id", "check"]).filter(~place.eqNullSafe(F.col("keep")))
     return whole, gone.groupBy("doc_id", "text_id").agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
