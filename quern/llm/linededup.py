@@ -32,6 +32,8 @@ BINS = BANDS * ROWS
 CHARS = 200_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = [np.uint32(pow(0x9E3779B1, k, 1 << 32)) for k in range(WIDTH)]
+#: Parts that the lines of a component are dealt into where they are told its first line.
+SALTS = 32
 BLANK = " \t\n\x0b\x0c\r"
 
 
@@ -273,8 +275,10 @@ def _removals(df: DataFrame, percent: int, id_col: str, text_col: str) -> tuple[
     seen = written(lines.groupBy("id", "check").agg(F.min(place).alias("first"), F.count("*").alias("n")), "seen")
     release(df.sparkSession)
     least = seen.join(named, ["id", "check"]).groupBy("component").agg(F.min("first").alias("least"))
-    grouped = seen.join(named, ["id", "check"], "left")
-    kept = grouped.join(least, "component", "left").select("id", "check", F.coalesce("least", "first").alias("keep"), (F.col("component").isNotNull() | (F.col("n") > 1)).alias("shared"))
+    # A component may hold a large part of the linked lines: the one row of its first line is there for each salt.
+    salted = named.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    least = salted.join(least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["component", "salt"]).select("id", "check", "least")
+    kept = seen.join(least, ["id", "check"], "left").select("id", "check", F.coalesce("least", "first").alias("keep"), (F.col("least").isNotNull() | (F.col("n") > 1)).alias("shared"))
     kept = written(kept.filter("shared").drop("shared"), "kept")
     discard(named, seen)
     gone = lines.join(kept, ["id", "check"]).filter(~place.eqNullSafe(F.col("keep")))
