@@ -7,20 +7,22 @@ from functools import wraps
 
 from pyspark.sql import DataFrame
 
+from quern.llm.dialogue import op11_conversation_repair
 from quern.llm.hierbayes import op4_hierarchical_quality
 from quern.llm.linededup import op3_fuzzy_lines
 from quern.llm.neardup import op6_hamming_neardup
 from quern.llm.ordermin import op7_order_minhash
 from quern.llm.packing import op9_best_fit_packing
 from quern.llm.planes import op2_token_planes
+from quern.llm.resample import op12_importance_resampling
 from quern.llm.robust import ORACLE as QUALITY_SQL
 from quern.llm.robust import op1_robust_quality
 from quern.llm.secretscan import op10_secret_scan
+from quern.llm.tileproduct import op13_embedding_neardup
 from quern.llm.tokens import op5_token_counts, op8_bpe_codec
 from quern.session import ship
 
 
-
 def shipped(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """The query, after this package has been sent to the executors."""
 
@@ -43,6 +45,9 @@ _ALL = {
     "op8_bpe_codec": op8_bpe_codec,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_secret_scan": op10_secret_scan,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_embedding_neardup": op13_embedding_neardup,
 }
 QUERIES = {name: shipped(query) for name, query in _ALL.items()}
 
