@@ -60,11 +60,16 @@ def feature_rows(panel: DataFrame, special: DataFrame, day_type: DataFrame, edge
     )
 
 
+def age_decay(cutoff: Column) -> Column:
+    """Half for each year between the reference and the cutoff."""
+    return F.pow(F.lit(0.5), F.datediff(cutoff, "ref") / HALF_LIFE_DAYS)
+
+
 def labelled(rows: DataFrame, cutoff: Column | None = None) -> DataFrame:
     """Training rows: base over 1 and a known target; label is the capped ratio, weight the base.
 
     With `cutoff`, weights halve for each year between the reference and it.
     """
     ok = rows.filter("base > 1.0 AND actual IS NOT NULL")
-    weight = F.col("base") if cutoff is None else F.col("base") * F.pow(F.lit(0.5), F.datediff(cutoff, "ref") / HALF_LIFE_DAYS)
+    weight = F.col("base") if cutoff is None else F.col("base") * age_decay(cutoff)
     return ok.withColumns({"label": F.least(F.greatest(F.col("actual") / F.col("base"), F.lit(0.0)), F.lit(TARGET_CAP)), "weight": weight})

@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from quern.config import PanelConfig
 from quern.plans import backtest as B
-from quern.plans.forecast import FORECASTERS, Inputs
+from quern.plans.forecast import Inputs
+from quern.plans.trees import ALL as FORECASTERS
 from quern.session import discard, written
 from quern.sources.files import check_lock
 from quern.sources.records import append, run_record

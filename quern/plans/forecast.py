@@ -28,6 +28,7 @@ class Inputs:
     special: DataFrame
     damp: DataFrame | Callable[[], DataFrame]  # a function where few forecasters need it
     horizon: int = 14
+    types: DataFrame | Callable[[], DataFrame] | None = None  # (date, day_type), for tree models
 
     def targets(self) -> DataFrame:
         """(cutoff, date, lead) of all days ahead."""
@@ -43,6 +44,12 @@ class Inputs:
     def damped(self) -> DataFrame:
         return self.damp() if callable(self.damp) else self.damp
 
+    @property
+    def day_types(self) -> DataFrame:
+        if self.types is None:
+            raise ValueError("tree models need the types of days")
+        return self.types() if callable(self.types) else self.types
+
     @property
     def clean(self) -> DataFrame:
         return R.clean_days(self.panel, self.special)

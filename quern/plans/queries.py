@@ -21,8 +21,8 @@ from quern.operators import rolling as R
 from quern.plans import backtest as B
 from quern.plans import forecast as P
 from quern.plans.evaluate import evaluate
+from quern.plans import trees as T
 from quern.plans.oracle import ORACLE as ORACLE
-from quern.plans.trees import gradient_boosted
 from quern.session import shared_dir, table, written
 from quern.sources import files as S
 from quern.sources import payload as Y
@@ -30,8 +30,6 @@ from quern.sources import records as Z
 
 PAYLOAD = ("2000-01-01", "2000-12-31")
 SLICE = 4_000
-#: Cutoffs of the registered queries that train trees: a model each.
-TREE_CUTOFFS = ("1999-05-10",)
 
 
 class World:
@@ -79,7 +77,7 @@ class World:
 
     @cached_property
     def inputs(self) -> P.Inputs:
-        return P.Inputs(self.panel, self.series, self.cutoffs, self.special, lambda: self.damp, self.config.horizon)
+        return P.Inputs(self.panel, self.series, self.cutoffs, self.special, lambda: self.damp, self.config.horizon, lambda: C.day_types(self.spark, self.config))
 
     @cached_property
     def factors(self) -> DataFrame:
@@ -100,7 +98,7 @@ class World:
         return X.feature_rows(self.panel, self.special, C.day_types(self.spark, self.config), edges, self.cutoffs.select(F.col("cutoff").alias("ref")), self.config.horizon)
 
     def scored(self, name: str = "weekday_profile") -> DataFrame:
-        return B.scored_cells(P.FORECASTERS[name](self.inputs), self.panel, self.series)
+        return B.scored_cells(T.ALL[name](self.inputs), self.panel, self.series)
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -227,16 +225,20 @@ def stage_backtest(spark: SparkSession, sf_dir: str, stage: str = "stage1", fore
 
 
 def gbt_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tree forecasts at TREE_CUTOFFS, each trained on all references before it."""
-    w = World(spark, sf_dir, dates=TREE_CUTOFFS)
-    return gradient_boosted(w.inputs, C.day_types(spark, w.config), rounds=8)
+    """Tree forecasts of absolute loss at all cutoffs of the configuration, in the model's last form."""
+    return rounded(T.gradient_boosted(World(spark, sf_dir).inputs))
 
 
-def full_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The blend of the hand-made head and two tree heads, of absolute and squared loss."""
-    w = World(spark, sf_dir, dates=TREE_CUTOFFS)
-    heads = [gradient_boosted(w.inputs, C.day_types(spark, w.config), loss, rounds=5) for loss in ("absolute", "squared")]
-    return P.bursty_blend(w.inputs, P.hand(w.inputs), *heads)
+def tree_blends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(cutoff, series_id, date, l1, l2, thirds, full): both tree heads and their two blends with the hand-made one."""
+    x = World(spark, sf_dir).inputs
+    hand = written(P.hand(x), "head")
+    l1, l2 = (written(head, "head") for head in T.heads(x, T.FIRST))
+    out = None
+    for name, df in (("l1", l1), ("l2", l2), ("thirds", P.blend([(part, 1 / 3) for part in (hand, l1, l2)])), ("full", P.bursty_blend(x, hand, l1, l2))):
+        one = df.select("cutoff", "series_id", "date", F.col("yhat").alias(name))
+        out = one if out is None else out.join(one, ["cutoff", "series_id", "date"])
+    return rounded(out)
 
 
 def streamed_daily_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,7 +266,8 @@ QUERIES |= {
     "evaluate_stage1": evaluate_stage1,
     "stage1_backtest": stage_backtest,
     "stage3_hand_backtest": lambda spark, sf_dir: stage_backtest(spark, sf_dir, "stage3", "hand"),
+    "stage1_gbt_backtest": lambda spark, sf_dir: stage_backtest(spark, sf_dir, "stage1", "gbt_first"),
     "gbt_forecast": gbt_forecast,
-    "full_blend": full_blend,
+    "tree_blends": tree_blends,
     "streamed_daily_events": streamed_daily_events,
 }

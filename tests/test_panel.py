@@ -145,12 +145,12 @@ def test_registered_trees_train_on_all_references(spark, monkeypatch):
         raise Stop
 
     monkeypatch.setattr(T, "feature_rows", rows)
-    for query in (Q.gbt_forecast, Q.full_blend):
+    for query in (Q.gbt_forecast, Q.tree_blends):
         with pytest.raises(Stop):
             query(spark, SF)
-    world = Q.World(spark, SF, dates=Q.TREE_CUTOFFS)
+    world = Q.World(spark, SF)
     want = {r.ref for r in Q.X.training_refs(world.panel, world.cutoffs).collect()}
-    assert len(want) == 417 and seen == [want | {dt.date.fromisoformat(d) for d in Q.TREE_CUTOFFS}] * 2
+    assert len(want) > 417 and seen == [want | {dt.date.fromisoformat(d) for d in world.dates}] * 2
 
 
 def small_inputs(spark):
@@ -166,11 +166,15 @@ def small_inputs(spark):
 def test_trees_learn_a_weekly_pattern(spark):
     """Features by hand, and the trees' error against the pattern's."""
     from quern.operators import features as X
-    from quern.plans.trees import gradient_boosted
+    from quern.operators.boosting import Boosting
+    from quern.plans.trees import gradient_boosted, heads, thirds
 
     x, cut = small_inputs(spark)
     types = spark.createDataFrame([], "date date, day_type string")
-    got = gradient_boosted(x, types, rounds=3, depth=4, step=0.02, bins=64).collect()
+    with pytest.raises(ValueError):
+        gradient_boosted(x)
+    x = replace(x, types=types)
+    got = gradient_boosted(x, Boosting(rounds=40, leaves=15, step=0.2)).collect()
     actual = {(r.series_id, r.date): r.y for r in x.panel.collect()}
     assert len(got) == 28
     assert sum(abs(r.yhat - actual[r.series_id, r.date]) for r in got) < 0.15 * sum(actual[r.series_id, r.date] for r in got)
