@@ -51,19 +51,27 @@ def recent(p: DataFrame, cutoffs: DataFrame, days: int) -> DataFrame:
     return p.join(F.broadcast(listed), "date")
 
 
+def as_of(rows: DataFrame, keys: tuple[str, ...], cutoffs: DataFrame) -> DataFrame:
+    """`rows` with a cutoff: for each of `keys` and each cutoff the latest row, by date, up to it.
+
+    A row holds until the next one of its keys. The days between the first and the last cutoff that it holds for are
+    listed, and cutoffs read it by an equi-join, so rows are not joined with all later cutoffs.
+    """
+    low, high = (cutoffs.agg(f("cutoff")).scalar() for f in (F.min, F.max))
+    known = rows.withColumns({"until": F.date_add(F.lead("date").over(Window.partitionBy(*keys).orderBy("date")), -1), "low": low, "high": high})
+    known = known.filter((F.col("date") <= F.col("high")) & (F.col("until").isNull() | (F.col("until") >= F.greatest("low", "date"))))
+    holds = F.sequence(F.greatest("date", "low"), F.least(F.coalesce("until", "high"), "high"))
+    return known.withColumn("cutoff", F.explode(holds)).drop("until", "low", "high").join(F.broadcast(cutoffs.select("cutoff").distinct()), "cutoff")
+
+
 def last_weekday_mean(p: DataFrame, cutoffs: DataFrame, k: int = SHAPE_OBS, days: int | None = None) -> DataFrame:
     """(cutoff, series_id, weekday, profile): mean of the last k rows of each weekday, of the last `days` days if set.
 
-    The last k rows are a window over the panel, computed once for each day. A row holds until the next one of its
-    series and weekday; the days it holds for are listed, and cutoffs read it by an equi-join. History is not
-    repeated for each cutoff.
+    The last k rows are a window over the panel, computed once for each day and read as of each cutoff.
     """
     at = Window.partitionBy("series_id", F.weekday("date")).orderBy("date")
-    known = p.select("series_id", "date", F.weekday("date").alias("weekday"), F.collect_list(F.struct("date", "y")).over(at.rowsBetween(1 - k, 0)).alias("last"), F.lead("date").over(at).alias("next"))
-    span = cutoffs.agg(F.min("cutoff").alias("from"), F.max("cutoff").alias("to"))
-    known = known.join(F.broadcast(span), (F.col("date") <= F.col("to")) & (F.col("next").isNull() | (F.col("next") > F.col("from"))))
-    holds = F.sequence(F.greatest("date", "from"), F.least(F.coalesce(F.date_add("next", -1), F.col("to")), F.col("to")))
-    read = known.withColumn("cutoff", F.explode(holds)).join(F.broadcast(cutoffs.select("cutoff").distinct()), "cutoff")
+    known = p.select("series_id", "date", F.weekday("date").alias("weekday"), F.collect_list(F.struct("date", "y")).over(at.rowsBetween(1 - k, 0)).alias("last"))
+    read = as_of(known, ("series_id", "weekday"), cutoffs)
     last = F.filter("last", lambda x: x["date"] > F.date_add("cutoff", -days)) if days else F.col("last")
     read = read.select("cutoff", "series_id", "weekday", last.alias("last")).filter(F.size("last") > 0)
     total = F.aggregate("last", F.lit(0).cast("long"), lambda a, x: a + x["y"])
