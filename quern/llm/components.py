@@ -26,13 +26,24 @@ def _flat(parents: DataFrame) -> DataFrame:
         parents, before = jumped.select("node", "up"), jumped
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(node, component) for every node of `edges` (a, b); component is the least node that can be reached.
 
     Each round hooks every node that has a lesser neighbour to the least of them, flattens the hooks by pointer
     jumping, and replaces the edges by those between the roots; the number of rounds grows with the logarithm of the
-    nodes. Loops, repeats and both directions of an edge are allowed; edges with a null are ignored.
+    nodes. Loops, repeats and both directions of an edge are allowed; edges with a null are ignored. With `known`, a
+    result of earlier edges, the new ones join its components, whose nodes are not looked at one by one.
     """
+    if known is not None:
+        a, b = (known.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
+        both = edges.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        joined = components(both)
+        old = known.join(joined.select(F.col("node").alias("component"), F.col("component").alias("up")), "component", "left").select("node", F.coalesce("up", "component").alias("component"))
+        ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(known.select("node"), "node", "left_anti")
+        new = ends.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+        out = written(old.unionByName(new), "labels")
+        discard(joined)
+        return out
     e = edges.dropna(subset=["a", "b"]).select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
     e = written(e.filter("hi <> lo").distinct(), "edges")
     first, labels = e, None
@@ -89,30 +100,36 @@ def may_hold(table: np.ndarray, numbers: np.ndarray) -> np.ndarray:
 HELD = 1_000_000
 #: Times this, keys of any form are spread over 48 bits evenly; it can be undone.
 SPREAD = np.uint64(0x9E3779B97F4B)
+MASK = np.uint64((1 << 48) - 1)
+
+
+def _twice_at_most(x: np.ndarray) -> np.ndarray:
+    """The numbers of an array, sorted, with two of those that repeat."""
+    x = np.sort(x)
+    return x if len(x) < 3 else x[np.concatenate([[True, True], x[2:] != x[:-2]])]
 
 
 def shared_keys(rows: DataFrame, parts: int) -> DataFrame:
-    """(key): the keys of `rows` (key, id), 48 bits each, that more than one id has.
+    """(key): the keys of `rows` (key, id), 48 bits each, that more than one row has; no row may be there twice.
 
-    Nearly all keys have one id, so they travel packed: a row for each of `parts` ranges of keys holds many numbers,
-    each a key and 16 bits of its id. Equal ones are put together before the shuffle, so a hot key does not weigh more
-    than others. Two ids with a key in common are told apart but for one pair in 65,536.
+    Nearly all keys have one row, so they travel packed: a row for each of `parts` ranges of keys holds many, six bytes
+    each. A task sends a key twice at most, so a hot key does not weigh more than others.
     """
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def out() -> pa.RecordBatch:
-            x = distinct(np.concatenate(held))
-            at = np.searchsorted(x, np.array([(k << 64) // parts for k in range(parts + 1)][1:-1], np.uint64))
+            x = _twice_at_most(np.concatenate(held))
+            at = np.searchsorted(x, np.array([(k << 48) // parts for k in range(parts + 1)][1:-1], np.uint64))
             cut = [0, *at.tolist(), len(x)]
-            pieces = [(k, x[i:j].tobytes()) for k, (i, j) in enumerate(zip(cut, cut[1:], strict=False)) if i < j]
+            data = x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+            pieces = [(k, data[i:j].tobytes()) for k, (i, j) in enumerate(zip(cut, cut[1:], strict=False)) if i < j]
             return pa.RecordBatch.from_arrays([pa.array([k for k, _ in pieces], pa.int32()), pa.array([d for _, d in pieces], pa.binary())], names=["part", "data"])
 
         for b in batches:
             if b.num_rows:
-                spread = b.column("key").to_numpy().astype(np.uint64) * SPREAD  # the shift cuts it to 48 bits
-                held.append((spread << np.uint64(16)) | (mix(b.column("id").to_numpy().view(np.uint64)) >> np.uint64(48)))
+                held.append((b.column("key").to_numpy().astype(np.uint64) * SPREAD) & MASK)
                 size += b.num_rows
             if size > HELD:
                 yield out()
@@ -124,17 +141,19 @@ def shared_keys(rows: DataFrame, parts: int) -> DataFrame:
         part, held = None, []
 
         def out() -> pa.RecordBatch:
-            keys = distinct(np.concatenate(held)) >> np.uint64(16)
-            keys = distinct(keys[1:][keys[1:] == keys[:-1]]) * np.uint64(pow(int(SPREAD), -1, 1 << 48))
-            return pa.RecordBatch.from_arrays([pa.array((keys & np.uint64((1 << 48) - 1)).astype(np.int64))], names=["key"])
+            data = np.zeros((sum(map(len, held)) // 6, 8), np.uint8)
+            data[:, :6] = np.frombuffer(b"".join(held), np.uint8).reshape(-1, 6)
+            x = np.sort(data.reshape(-1).view("<u8"))
+            keys = (distinct(x[1:][x[1:] == x[:-1]]) * np.uint64(pow(int(SPREAD), -1, 1 << 48))) & MASK
+            return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64))], names=["key"])
 
         for b in batches:
-            for k, data in zip(b.column("part").to_pylist(), b.column("data"), strict=True):
+            for k, data in zip(b.column("part").to_pylist(), b.column("data").to_pylist(), strict=True):
                 if held and k != part:
                     yield out()
                     held = []
                 part = k
-                held.append(np.frombuffer(data.as_py(), np.uint64))
+                held.append(data)
         if held:
             yield out()
 
@@ -145,15 +164,15 @@ def shared_keys(rows: DataFrame, parts: int) -> DataFrame:
 def bucket_members(keys_of: Callable[[Broadcast | None], DataFrame], n_keys: int) -> DataFrame:
     """The rows (key, id) of keys that more than one id has, with the least of their ids as `lead`.
 
-    `keys_of` makes the rows, all or those that a filter lets pass; there are about `n_keys` of them. The keys that
-    are shared are found first. The rows are then made again without the others, and only those are joined.
+    `keys_of` makes the rows, all or those that a filter lets pass, each once; there are about `n_keys` of them. The
+    keys that are shared are found first. The rows are then made again without the others, and only those are joined.
     """
     spark = keys_of(None).sparkSession
     found = written(shared_keys(keys_of(None), max(64, n_keys // HELD)), "shared")
     rows = written(keys_of(number_filter(found, "key")), "keyed")
     release(spark)
     counted = rows.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last"))
-    members = written(rows.join(counted.filter("lead <> last").select("key", "lead"), "key").distinct(), "buckets")
+    members = written(rows.join(counted.filter("lead <> last").select("key", "lead"), "key"), "buckets")
     discard(found, rows)
     return members
 
@@ -181,7 +200,15 @@ def _near(rows: dict, p: np.ndarray, q: np.ndarray, least: int, percent: int, fi
     return p, q
 
 
-def _close(rows: dict, least: int, percent: int, first_key: Callable | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _one_each(p: np.ndarray, other: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Of pairs of a row and a component, the places of the nearest one for each."""
+    order = np.lexsort((-near, other, p))
+    first = np.ones(len(order), bool)
+    first[1:] = (p[order[1:]] != p[order[:-1]]) | (other[order[1:]] != other[order[:-1]])
+    return order[first]
+
+
+def _close(rows: dict, least: int, percent: int, first_key: Callable | None, nearest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Ids of the close pairs of many units (key, lo, hi), whose rows are sorted by (key, lo, hi, own).
 
     In a unit of one block each row meets those before it, in one of two blocks each row of the second meets all of
@@ -199,6 +226,10 @@ def _close(rows: dict, least: int, percent: int, first_key: Callable | None) ->
         p = np.searchsorted(upto, pair, side="right")
         q = begin[p] + pair - (upto[p] - partners[p])
         p, q = _near(rows, p, q, least, percent, first_key)
+        if nearest and len(p):
+            near = agreement(rows["sketch"][p], rows["sketch"][q])
+            some = distinct(np.concatenate([_one_each(p, rows["c"][q], near), _one_each(q, rows["c"][p], near)]))
+            p, q = p[some], q[some]
         yield rows["id"][p], rows["id"][q]
 
 
@@ -207,9 +238,10 @@ def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (np.ascontiguousarray(a).view(np.uint8) == np.ascontiguousarray(b).view(np.uint8)).sum(axis=1)
 
 
-def close_pairs(rest: DataFrame, traits: DataFrame, percent: int, least: int, first_key: Callable | None = None) -> DataFrame:
+def close_pairs(rest: DataFrame, traits: DataFrame, percent: int, least: int, first_key: Callable | None = None, nearest: bool = False) -> DataFrame:
     """(a, b): pairs of `rest` (key, id, c) with a common key and different c that `traits` (id, sketch[, n, sig]) allow:
-    sketches must agree in `least` bytes.
+    sketches must agree in `least` bytes. With `nearest`, of the pairs that are compared together each id gives one for
+    each other component.
 
     Pairs are compared within tasks and only those that remain are given out. The rows of a key are split into blocks
     by a hash of the id, those of its largest component and the others apart, and each pair of blocks is a task's work
@@ -231,13 +263,15 @@ def close_pairs(rest: DataFrame, traits: DataFrame, percent: int, least: int, fi
     def arrays(b: pa.RecordBatch) -> dict:
         out = {k: b.column(k).to_numpy() for k in ("key", "lo", "hi", "own", "id", "c", *(wide - {"sig"}))}
         for k in ("sketch", *(wide - {"n"})):
-            flat = b.column(k).flatten().to_numpy()
-            out[k] = flat.view(np.uint64).reshape(b.num_rows, -1)
+            # Binary values or lists of longs, all of one length.
+            kept = b.column(k)
+            flat = np.frombuffer(b"".join(kept.to_pylist()), np.uint8) if pa.types.is_binary(kept.type) else kept.flatten().to_numpy().view(np.uint64)
+            out[k] = flat.reshape(b.num_rows, -1)
         return out
 
     def compared(held: list[dict]) -> Iterator[pa.RecordBatch]:
         group = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
-        for a, b in _close(group, least, percent, first_key):
+        for a, b in _close(group, least, percent, first_key, nearest):
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
@@ -265,14 +299,15 @@ def close_pairs(rest: DataFrame, traits: DataFrame, percent: int, least: int, fi
     return placed.mapInArrow(run, "a long, b long").distinct()
 
 
-def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], pairs_of: Callable[[DataFrame], DataFrame], first: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], pairs_of: Callable[[DataFrame, bool], DataFrame], first: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(node, component) of the ids that `verify` links, as if all pairs of ids with a common key had been verified.
 
     `verify` takes pairs (a, b) and returns those that are linked. A pair within a component tells nothing new, so:
-    first each id meets the least of its leads, then its other leads, then, in keys that still hold several
-    components, the ids of different components meet: `pairs_of` gives from rows (key, id, c) the pairs that can be
-    linked at all. A large group of alike ids takes a pair for each id in the first two rounds, and none in the third.
-    A caller that has the pairs of the first round at hand gives them, and those of them that are linked, as `first`.
+    first each id meets the least of its leads, then its other leads. Then, in keys that still hold several components,
+    ids of different components meet: `pairs_of` gives from rows (key, id, c) the pairs that can be linked at all, once
+    the nearest ones for each id and component, and then all that these have left. A large group of alike ids takes a
+    pair for each id in the first rounds, and none in the last. A caller that has the pairs of the first round at hand
+    gives them, and those of them that are linked, as `first`.
     """
     stars = members.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))
     spark = members.sparkSession
@@ -283,7 +318,6 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], p
         tried, edges = first[0], written(first[1], "linked")
     release(spark)
     comp = components(edges)
-    release(spark)
 
     def apart(pairs: DataFrame) -> DataFrame:
         """Pairs not tried yet whose ends are in different components."""
@@ -291,20 +325,22 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], p
         new = pairs.join(tried, ["a", "b"], "left_anti").join(a, "a", "left").join(b, "b", "left")
         return new.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
-    second = written(apart(stars.distinct()), "tried")
-    if not second.isEmpty():
-        edges = edges.union(written(verify(second), "linked"))
-        release(spark)
-        tried, comp = tried.union(second), components(edges)
-    now = members.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    mixed = now.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("key")
-    rest = written(now.join(mixed, "key"), "mixed")
-    if not rest.isEmpty():
-        third = written(pairs_of(rest).join(tried, ["a", "b"], "left_anti"), "tried")
-        release(spark)
-        if not third.isEmpty():
-            edges = edges.union(written(verify(third), "linked"))
+    def take(pairs: DataFrame) -> None:
+        """Verifies pairs and joins what they link."""
+        nonlocal tried, edges, comp
+        if not pairs.isEmpty():
+            linked = written(verify(pairs), "linked")
+            before, edges, tried, comp = comp, edges.union(linked), tried.union(pairs), components(linked, comp)
+            discard(before)
             release(spark)
-            comp = components(edges)
-    discard(rest)
+
+    take(written(apart(stars.distinct()), "tried"))
+    for nearest in (True, False):
+        now = members.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+        mixed = now.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("key")
+        rest = written(now.join(mixed, "key"), "mixed")
+        if rest.isEmpty():
+            break
+        take(written(pairs_of(rest, nearest).join(tried, ["a", "b"], "left_anti"), "tried"))
+        discard(rest)
     return comp

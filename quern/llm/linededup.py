@@ -17,7 +17,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.components import agreement, bucket_members, close_pairs, link_buckets, may_hold, number_filter
+from quern.llm.components import bucket_members, close_pairs, link_buckets, may_hold, number_filter
 from quern.llm.ordermin import distinct, mix
 from quern.llm.pretok import lean, slices
 from quern.llm.shingles import mix32, one_permutation, sketch_least, sketches
@@ -32,6 +32,8 @@ BINS = BANDS * ROWS
 CHARS = 200_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = [np.uint32(pow(0x9E3779B1, k, 1 << 32)) for k in range(WIDTH)]
+#: Pairs whose ids may be broadcast: at most so many.
+FEW = 200_000
 #: Parts that the lines of a component are dealt into where they are told its first line.
 SALTS = 32
 BLANK = " \t\n\x0b\x0c\r"
@@ -130,38 +132,83 @@ def _distinct_lines(batches: Iterator[pa.RecordBatch], only: Broadcast | None =
                 yield found, lines
 
 
+#: Bytes of a key.
+KEY = 6
+
+
+def _packed(rows: np.ndarray) -> pa.Array:
+    """(n, bytes) -> n binary values."""
+    data = np.ascontiguousarray(rows)
+    ends = pa.py_buffer(np.arange(len(data) + 1, dtype=np.int32) * data.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(data), [None, ends, pa.py_buffer(data)])
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, keys) of all lines: the band keys, packed."""
+    for ids, lines in _distinct_lines(batches):
+        keys = band_keys(signatures(lines)).astype("<i8").view(np.uint8).reshape(len(ids), BANDS, 8)[:, :, :KEY]
+        yield pa.RecordBatch.from_arrays([pa.array(ids), _packed(keys.reshape(len(ids), -1))], names=["id", "keys"])
+
+
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows that are sorted by id one for each."""
+    last = None
+    for b in batches:
+        if b.num_rows:
+            ids = b.column("id").to_numpy()
+            new = np.concatenate([[last is None or ids[0] != last], ids[1:] != ids[:-1]])
+            last = ids[-1]
+            yield b.filter(pa.array(new))
+
+
 def _keyed(only: Broadcast | None):
-    """(key, id) of all lines; `only` is a filter of keys."""
+    """(key, id) of signed lines; `only` is a filter of keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, lines in _distinct_lines(batches):
-            keys, ids = band_keys(signatures(lines)).reshape(-1), np.repeat(ids, BANDS)
-            if only is not None:
-                keep = may_hold(only.value, keys)
-                keys, ids = keys[keep], ids[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids)], names=["key", "id"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 10_000):
+                b = whole.slice(at, 10_000)
+                wide = np.zeros((b.num_rows * BANDS, 8), np.uint8)
+                wide[:, :KEY] = np.frombuffer(b"".join(b.column("keys").to_pylist()), np.uint8).reshape(-1, KEY)
+                keys, ids = wide.view("<i8").reshape(-1), np.repeat(b.column("id").to_numpy(), BANDS)
+                if only is not None:
+                    keep = may_hold(only.value, keys)
+                    keys, ids = keys[keep], ids[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids)], names=["key", "id"])
 
     return run
 
 
 def _texts(only: Broadcast):
-    """(id, check, text, n) of the lines whose id the filter lets pass; n is the number of distinct shingles."""
+    """(id, check, text, n, sketch) of the lines whose id the filter lets pass; n is the number of distinct shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, lines in _distinct_lines(batches, only):
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([line_check(x) for x in lines], pa.int64()), pa.array(lines, pa.string()), pa.array(distinct_shingles(lines, np.arange(len(lines)), len(lines)))], names=["id", "check", "text", "n"])
+            checks = pa.array([line_check(x) for x in lines], pa.int64())
+            n = distinct_shingles(lines, np.arange(len(lines)), len(lines))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), checks, pa.array(lines, pa.string()), pa.array(n), _packed(sketches(signatures(lines)).view(np.uint8))], names=["id", "check", "text", "n", "sketch"])
 
     return run
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        at = 0
-        for lines in slices(b.column("text").to_pylist(), CHARS):
-            flat = pa.array(sketches(signatures(lines)).reshape(-1))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(lines) + 1, dtype=np.int32) * (BINS // 8)), flat)
-            yield pa.RecordBatch.from_arrays([b.column("id").slice(at, len(lines)), b.column("n").slice(at, len(lines)), lists], names=["id", "n", "sketch"])
-            at += len(lines)
+def _unpacked(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS)
+
+
+def _allowed(percent: int):
+    """(a, b): pairs that sizes and sketches allow."""
+    least = sketch_least(percent, BINS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 10_000):
+                b = whole.slice(at, 10_000)
+                n, m = (b.column(c).to_numpy() for c in ("na", "nb"))
+                ok = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+                ok &= (_unpacked(b.column("sa")) == _unpacked(b.column("sb"))).sum(axis=1) >= least
+                yield b.select(["a", "b"]).filter(pa.array(ok))
+
+    return run
 
 
 def distinct_shingles(lines: list[str], own: np.ndarray, n: int) -> np.ndarray:
@@ -193,25 +240,17 @@ def distinct_shingles(lines: list[str], own: np.ndarray, n: int) -> np.ndarray:
 
 
 def _verified(percent: int):
-    """Pairs that are alike: those that sizes and sketches allow are compared exactly."""
-    least = sketch_least(percent, BINS)
+    """Pairs that are alike, by their sets of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            sizes = np.stack([b.column(f"n{c}").to_numpy() for c in "ab"])
-            b = b.take(pa.array(np.flatnonzero(100 * sizes.min(axis=0) >= percent * sizes.max(axis=0))))
-            total = b.column("na").to_numpy() + b.column("nb").to_numpy()
             texts, at = [b.column(f"t{c}").to_pylist() for c in "ab"], 0
+            total = b.column("na").to_numpy() + b.column("nb").to_numpy()
             for left in slices(texts[0], CHARS // 2):
                 right = texts[1][at : at + len(left)]
-                near = np.flatnonzero(agreement(sketches(signatures(left)), sketches(signatures(right))) >= least)
-                if len(near):
-                    lines = [x[k] for x in (left, right) for k in near.tolist()]
-                    union = distinct_shingles(lines, np.tile(np.arange(len(near)), 2), len(near))
-                    both = total[at + near] - union
-                    yield b.select(["a", "b"]).take(pa.array(at + near[100 * both >= percent * union]))
+                union = distinct_shingles([*left, *right], np.tile(np.arange(len(left)), 2), len(left))
+                both = total[at : at + len(left)] - union
+                yield b.select(["a", "b"]).take(pa.array(at + np.flatnonzero(100 * both >= percent * union)))
                 at += len(left)
 
     return run
@@ -238,34 +277,41 @@ def _removals(df: DataFrame, percent: int, id_col: str, text_col: str) -> tuple[
     whole = written(docs.mapInArrow(lean(_documents), "doc_id long, text_id long, ids array<long>, checks array<long>, numbers array<int>"), "lines")
     lines = whole.select("doc_id", "text_id", F.explode(F.arrays_zip("ids", "checks", "numbers")).alias("x"))
     lines = lines.select(F.col("x.ids").alias("id"), F.col("x.checks").alias("check"), "doc_id", "text_id", F.col("x.numbers").alias("line"))
-    n_lines = whole.agg(F.sum(F.size("ids"))).first()[0] or 0
     place = F.struct("doc_id", "text_id", "line")
-    members = bucket_members(lambda only: docs.select("text").mapInArrow(lean(_keyed(only)), "key long, id long"), n_lines * BANDS)
-
-    # Texts of lines that share a key, each with the least of its leads and whether it is a lead itself. The filter
-    # keeps most of the other lines out of the shuffle, the join all of them.
-    wanted = members.groupBy("id").agg(F.min("lead").alias("lead"), F.max(F.col("id") == F.col("lead")).alias("leads"))
-    texts = docs.select("text").mapInArrow(lean(_texts(number_filter(members, "id"))), "id long, check long, text string, n long").join(wanted, "id")
-    texts = written(texts.groupBy("id").agg(F.min(F.struct("check", "text", "n", "lead", "leads")).alias("t")).select("id", "t.*"), "texts")
+    # Each distinct line is signed once and told by its id from then on.
+    signed = docs.select("text").mapInArrow(lean(_signed), "id long, keys binary").repartition("id").sortWithinPartitions("id")
+    signed = written(signed.mapInArrow(_once, "id long, keys binary"), "signed")
     release(df.sparkSession)
+    members = bucket_members(lambda only: signed.mapInArrow(_keyed(only), "key long, id long"), signed.count() * BANDS)
+    discard(signed)
 
-    def side(rows: DataFrame, x: str, *others: Column) -> DataFrame:
-        return rows.select(F.col("id").alias(x), F.col("text").alias(f"t{x}"), F.col("n").alias(f"n{x}"), *others)
+    # Texts of lines that share a key. The filter lets few others pass.
+    texts = docs.select("text").mapInArrow(lean(_texts(number_filter(members, "id"))), "id long, check long, text string, n long, sketch binary")
+    texts = written(texts.repartition("id").dropDuplicates(["id"]), "texts")
+    release(df.sparkSession)
 
-    def compared(both: DataFrame) -> DataFrame:
+    def side(x: str, *columns: str, of: DataFrame = texts) -> DataFrame:
+        return of.select(F.col("id").alias(x), *(F.col(c).alias(f"{c[0]}{x}") for c in columns))
+
+    def allowed(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(side("b", "n", "sketch"), "b").join(side("a", "n", "sketch"), "a")
+        return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_allowed(percent), "a long, b long")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """Only texts of these pairs are fetched; where the ids of the pairs are few they are sent to the texts."""
+        pairs = written(pairs, "near")
+        some = texts
+        if pairs.count() < FEW:
+            ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+            some = texts.join(F.broadcast(ids), "id", "left_semi")
+        both = pairs.join(side("b", "n", "text", of=some), "b").join(side("a", "n", "text", of=some), "a")
         return both.select("a", "b", "ta", "tb", "na", "nb").mapInArrow(lean(_verified(percent)), "a long, b long")
 
-    def pairs_of(rest: DataFrame) -> DataFrame:
-        some = texts.select("id", "text", "n").join(rest.select("id").distinct(), "id", "left_semi")
-        return close_pairs(rest, some.mapInArrow(lean(_sketched), "id long, n long, sketch array<long>"), percent, sketch_least(percent, BINS))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        return compared(pairs.join(side(texts, "b"), "b").join(side(texts, "a"), "a"))
+    def pairs_of(rest: DataFrame, nearest: bool) -> DataFrame:
+        traits = texts.select("id", "n", "sketch")
+        return close_pairs(rest, traits, percent, sketch_least(percent, BINS), nearest=nearest)
 
-    # Each line comes with its first partner, so that its text is shuffled once, and those of leads once.
-    stars = texts.filter("id <> lead")
-    linked = compared(side(stars, "b", F.col("lead").alias("a")).join(side(texts.filter("leads"), "a"), "a"))
-    linked = link_buckets(members, verify, pairs_of, (stars.select(F.col("lead").alias("a"), F.col("id").alias("b")), linked))
+    linked = link_buckets(members, lambda pairs: compared(allowed(pairs)), pairs_of)
     # The second hash ties a component to the line that was verified, should two lines have one id. Written, the few
     # linked lines have a measured size, and the joins need not shuffle all lines where it is small.
     named = written(linked.join(texts.select("id", "check"), linked.node == texts.id).select("id", "check", "component"), "named")

@@ -163,8 +163,8 @@ def near_duplicates(df: DataFrame, percent: int = 85, id_col: str = "doc_id", te
     sets = written(texts.filter("own = digest").dropDuplicates(["id"]).select("id", "shingles", "sketch"), "sets")
     short = classes.select("id", "n", "sig")
 
-    def pairs_of(rest: DataFrame) -> DataFrame:
-        return close_pairs(rest, short.join(sets.select("id", "sketch"), "id"), percent, sketch_least(percent), partial(first_shared_key, layout=layout))
+    def pairs_of(rest: DataFrame, nearest: bool) -> DataFrame:
+        return close_pairs(rest, short.join(sets.select("id", "sketch"), "id"), percent, sketch_least(percent), partial(first_shared_key, layout=layout), nearest)
 
     def verify(pairs: DataFrame) -> DataFrame:
         a, b = (short.select(*(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "sig"))) for x in "ab")
