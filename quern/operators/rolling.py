@@ -29,10 +29,14 @@ def rolling_mean(value: Column, days: int, least: int) -> Column:
     return F.when(F.count(value).over(w) >= least, F.avg(value).over(w))
 
 
+#: Days that the longest window of rolling_levels has.
+WINDOW = 60
+
+
 def rolling_levels(m: DataFrame) -> DataFrame:
     """(date, series_id, l7, l14_raw, l28, l56, l14, active_60) of a masked panel. l14 falls back to l28, then l56."""
     v = F.col("y_clean")
-    w = Window.partitionBy("series_id").orderBy("date").rowsBetween(-59, 0)
+    w = Window.partitionBy("series_id").orderBy("date").rowsBetween(1 - WINDOW, 0)
     out = m.select(
         "date",
         "series_id",

@@ -36,10 +36,6 @@ def stage_days(config: PanelConfig, name: str, allow_locked: bool = False) -> li
     return days
 
 
-def stage_cutoffs(spark: SparkSession, config: PanelConfig, name: str, allow_locked: bool = False) -> DataFrame:
-    return cutoffs(spark, stage_days(config, name, allow_locked))
-
-
 def contract(predictions: DataFrame, series: DataFrame, targets: DataFrame) -> DataFrame:
     """One row of counts, all 0 for a valid forecast: nulls, repeats, missing and unexpected cells; and negatives."""
     keys = ["cutoff", "series_id", "date"]

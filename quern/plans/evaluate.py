@@ -83,7 +83,7 @@ def evaluate(
     config: PanelConfig,
     stage: str,
     forecaster: str | Callable[[Inputs], DataFrame],
-    lock: tuple[list[str], str] | None = None,
+    lock: tuple[list[str], str],
     allow_locked: bool = False,
     snapshot_sha: str = "",
     notes: str = "",
@@ -91,10 +91,10 @@ def evaluate(
 ) -> DataFrame:
     """The run record of a forecaster (a name, a file, or a function) at a stage; the cutoffs of `x` are replaced.
 
-    `lock` is (files of the definition, file of the lock); the run is refused if they do not fit. `results` is where
+    `lock` is (files of the definition, file of the lock); a run is refused if there is no lock or it does not fit. `results` is where
     the record and the leaderboard's row are appended. History before the stage's train_start is not seen.
     """
-    sha = check_lock(*lock) if lock else ""
+    sha = check_lock(*lock)
     days, begun = B.stage_days(config, stage, allow_locked), time.time()
     params: dict = {}
     name = forecaster if isinstance(forecaster, str) else getattr(forecaster, "__name__", "forecaster")

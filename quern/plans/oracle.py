@@ -198,7 +198,8 @@ _FINAL: dict[str, tuple[str, str]] = {
           UNION ALL SELECT '{_C.rest}', 'tail_group', NULL, NULL, NULL, DATE '{_C.start}', NULL)""",
     ),
     "manifest": (
-        "2 AS extract_version, count(*) AS rows, CAST(sum(y) AS BIGINT) AS grand_total, CAST(count(DISTINCT series_id) AS INT) AS series, CAST(count(DISTINCT year(date)) AS INT) AS n_years, (SELECT md5(payload) FROM payload_years_ ORDER BY year LIMIT 1) AS first_md5",
+        "2 AS extract_version, count(*) AS rows, CAST(sum(y) AS BIGINT) AS grand_total, CAST(count(DISTINCT series_id) AS INT) AS series, CAST(count(DISTINCT year(date)) AS INT) AS n_years, (SELECT md5(payload) FROM payload_years_ ORDER BY year LIMIT 1) AS first_md5, "
+        "(SELECT sha256(string_agg(d, ';' ORDER BY d)) FROM (SELECT date || ':' || sha256(string_agg(c, ';' ORDER BY c)) AS d FROM (SELECT date, series_id || ',' || y AS c FROM panel) GROUP BY date)) AS snapshot_sha",
         "panel",
     ),
     "payload_roundtrip": ("date, series_id, y", f"panel WHERE date BETWEEN DATE '{_PAYLOAD[0]}' AND DATE '{_PAYLOAD[1]}'"),
@@ -242,6 +243,8 @@ _FINAL: dict[str, tuple[str, str]] = {
     "training_labels": ("ref, series_id, lead, round(least(greatest(actual / base, 0), 15), 6) AS label, round(base, 6) AS weight", "features WHERE base > 1 AND actual IS NOT NULL"),
     "seasonal_naive": ("cutoff, series_id, date, ROUND yhat", "naive"),
     "profile_forecast": ("cutoff, series_id, date, ROUND yhat", "profiled"),
+    "profile_by_sql": ("cutoff, series_id, date, ROUND yhat", "profiled"),
+    "naive_by_sql": ("cutoff, series_id, date, ROUND yhat", "naive"),
     "holiday_forecast": ("cutoff, series_id, date, ROUND yhat", "holidayed"),
     "shape_level_forecast": ("cutoff, series_id, date, ROUND yhat", "shaped"),
     "hand_forecast": ("cutoff, series_id, date, round(CASE WHEN name IS NULL THEN normal ELSE event END, 6) AS yhat", "hand_parts"),
@@ -250,6 +253,7 @@ _FINAL: dict[str, tuple[str, str]] = {
     "burstiness": ("cutoff, series_id, ROUND rho", "bursts"),
     "blend_weights": ("cutoff, series_id, ROUND rho, ROUND w_l1, ROUND w_other", "weights"),
     "blend_half": ("cutoff, series_id, date, round(0.5 * a.yhat + 0.5 * b.yhat, 6) AS yhat", "naive a JOIN profiled b USING (cutoff, series_id, date)"),
+    "blend_thirds": ("cutoff, series_id, date, round((a.yhat + b.yhat + c.yhat) / 3, 6) AS yhat", "naive a JOIN profiled b USING (cutoff, series_id, date) JOIN holidayed c USING (cutoff, series_id, date)"),
     "blend_forecast": (
         "cutoff, series_id, date, round(a.yhat * coalesce(w_other, 1.0 / 3) + b.yhat * coalesce(w_l1, 1.0 / 3) + c.yhat * coalesce(w_other, 1.0 / 3), 6) AS yhat",
         "shaped a JOIN naive b USING (cutoff, series_id, date) JOIN profiled c USING (cutoff, series_id, date) LEFT JOIN weights USING (cutoff, series_id)",
@@ -311,3 +315,5 @@ _PER = f"(SELECT string_agg(cutoff || ':' || printf('%.6f', w) || ':' || printf(
 _WORST = f"(SELECT string_agg(series_id || ':' || printf('%.6f', w) || ':' || v || ':' || printf('%.6f', b), ',' ORDER BY e DESC, series_id) FROM (SELECT series_id, {_WMAPE} AS w, CAST(sum(y) AS BIGINT) AS v, {_BIAS} AS b, round(sum(abs(yhat - y)), 6) AS e FROM scored GROUP BY series_id HAVING sum(y) > 0 ORDER BY e DESC, series_id LIMIT 20))"
 ORACLE["run_record"] = statement(f"'run' AS run_id, 'weekday_profile' AS experiment, 'six' AS stage, 0.0::DOUBLE AS runtime_s, '{{}}' AS params, '' AS eval_sha, '' AS snapshot_sha, '' AS notes, {_SUMMARY}, {_PER} AS per_cutoff, {_WORST} AS worst_series", "scored")
 ORACLE["streamed_daily_events"] = "SELECT CAST(ts AS DATE) AS date, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2"
+ORACLE["closed_daily_events"] = ORACLE["streamed_daily_events"].replace("FROM events", "FROM events WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 DAY FROM events)")
+ORACLE |= {copy: ORACLE[name] for copy, name in (("panel_files", "dense_panel"), ("panel_refreshed", "dense_panel"), ("captures_round_trip", "dense_panel"), ("levels_refreshed", "rolling_levels"))}

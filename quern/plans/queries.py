@@ -20,13 +20,17 @@ from quern.operators import ingest as I
 from quern.operators import rolling as R
 from quern.plans import backtest as B
 from quern.plans import forecast as P
+from quern.plans import tablefn as U
 from quern.plans.evaluate import evaluate
 from quern.plans import trees as T
 from quern.plans.oracle import ORACLE as ORACLE
 from quern.session import shared_dir, table, written
+from quern.sources import captures as K
 from quern.sources import files as S
 from quern.sources import payload as Y
 from quern.sources import records as Z
+from quern.sources import refresh as N
+from quern.streaming.daily import closed_daily_counts, daily_event_counts
 
 PAYLOAD = ("2000-01-01", "2000-12-31")
 SLICE = 4_000
@@ -115,6 +119,7 @@ _QUERIES: dict[str, Callable[[World], DataFrame]] = {
     "series_totals": lambda w: w.panel.groupBy("series_id").agg(F.sum("y").alias("total"), F.count("*").alias("n_days"), F.max("date").alias("last_date")),
     "yearly_totals": lambda w: w.panel.groupBy(F.year("date").alias("year")).agg(F.sum("y").alias("total"), F.countDistinct("series_id").alias("n_series"), F.count("*").alias("n_rows")),
     "network_daily": lambda w: I.network(w.panel),
+    "panel_files": lambda w: _round_trip(w, "panel"),
     "first_active": lambda w: R.first_active(w.panel),
     "payload_lines": lambda w: Y.lines(w.panel, *PAYLOAD),
     "payload_md5": lambda w: Y.encode(w.panel, *PAYLOAD).select("len", "md5"),
@@ -124,7 +129,7 @@ _QUERIES: dict[str, Callable[[World], DataFrame]] = {
     "payload_reassembled": lambda w: Y.decode(Y.reassemble(Y.slice_years(Y.encode_years(w.panel)))),
     "membership_csv": lambda w: _round_trip(w, "csv"),
     "catalogue_json": lambda w: _round_trip(w, "json"),
-    "manifest": lambda w: S.manifest(w.panel, Y.encode_years(w.panel)).select("extract_version", "rows", "grand_total", "series", F.size("years").alias("n_years"), F.element_at("years", 1)["md5"].alias("first_md5")),
+    "manifest": lambda w: S.manifest(w.panel, Y.encode_years(w.panel)).select("extract_version", "rows", "grand_total", "series", "snapshot_sha", F.size("years").alias("n_years"), F.element_at("years", 1)["md5"].alias("first_md5")),
     "reconcile": lambda w: Y.reconcile(w.panel, w.panel.groupBy("series_id").agg((F.sum("y") + F.when(F.col("series_id") == "g5_tail", 1).otherwise(0)).alias("total"), F.count("*").alias("n_days"))),
     "holidays": lambda w: C.holidays(w.spark, w.config),
     "special_days": lambda w: w.special,
@@ -160,6 +165,8 @@ _QUERIES: dict[str, Callable[[World], DataFrame]] = {
     "training_labels": lambda w: X.labelled(w.features).select("ref", "series_id", "lead", "label", "weight"),
     "seasonal_naive": lambda w: P.seasonal_naive(w.inputs),
     "profile_forecast": lambda w: P.weekday_profile(w.inputs),
+    "profile_by_sql": lambda w: U.by_sql(w.inputs, "weekday_profile({history} PARTITION BY (cutoff, series_id) ORDER BY (date), 14, 4, 42)", 42),
+    "naive_by_sql": lambda w: U.by_sql(w.inputs, "seasonal_naive({history}, 14)", 14),
     "holiday_forecast": lambda w: P.holiday_profile(w.inputs),
     "shape_level_forecast": lambda w: P.shape_level(w.inputs),
     "hand_forecast": lambda w: P.hand(w.inputs),
@@ -168,6 +175,7 @@ _QUERIES: dict[str, Callable[[World], DataFrame]] = {
     "burstiness": lambda w: R.burstiness(w.inputs.clean, w.cutoffs),
     "blend_weights": lambda w: P.blend_weights(w.inputs),
     "blend_half": lambda w: P.blend([(P.seasonal_naive(w.inputs), 0.5), (P.weekday_profile(w.inputs), 0.5)]),
+    "blend_thirds": lambda w: P.blend([(part(w.inputs), 1 / 3) for part in (P.seasonal_naive, P.weekday_profile, P.holiday_profile)]),
     "blend_forecast": lambda w: P.bursty_blend(w.inputs, P.shape_level(w.inputs), P.seasonal_naive(w.inputs), P.weekday_profile(w.inputs)),
     "scored_cells": lambda w: w.scored(),
     "metric_summary": lambda w: M.summary(w.scored()),
@@ -182,8 +190,11 @@ _QUERIES: dict[str, Callable[[World], DataFrame]] = {
 
 
 def _round_trip(w: World, kind: str) -> DataFrame:
-    """The membership as CSV, or the catalogue as JSON, written to the shared folder and read back."""
+    """The panel as Parquet, the membership as CSV, or the catalogue as JSON, written to the shared folder and read back."""
     path = f"{shared_dir(w.spark)}/quern-{kind}-{uuid.uuid4().hex}"
+    if kind == "panel":
+        S.write_panel(w.panel, path)
+        return S.read_panel(w.spark, path)
     if kind == "csv":
         S.write_membership(w.member.select(F.col("acct").alias("core_account_id"), "series_id", "rank", "n_ref", F.col("series_id").alias("name"), "first_date"), path)
         return S.read_membership(w.spark, path)
@@ -241,21 +252,69 @@ def tree_blends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out)
 
 
-def streamed_daily_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily counts of the events read as a stream of files, after all of them."""
-    from quern.streaming.daily import daily_event_counts
-
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of files."""
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
     # A folder or a file of its name: the stream reads all that matches.
-    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(path if _is_folder(spark, path) else f"{sf_dir}/event[s].parquet")
-    out = f"{shared_dir(spark)}/quern-stream-{next(tempfile._get_candidate_names())}"
-    counted = daily_event_counts(stream)
+    return spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(path if _is_folder(spark, path) else f"{sf_dir}/event[s].parquet")
+
+
+def streamed_daily_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily counts of the events read as a stream of files, after all of them."""
+    counted = daily_event_counts(_event_stream(spark, sf_dir))
+    out = f"{shared_dir(spark)}/quern-stream-{uuid.uuid4().hex}"
     store = lambda batch, _: batch.write.mode("overwrite").parquet(f"{out}/table")
     counted.writeStream.outputMode("complete").foreachBatch(store).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
     return rounded(spark.read.schema(counted.schema).parquet(f"{out}/table"))
 
 
+def closed_daily_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily counts of the days that have closed once all events have been read, appended as they close."""
+    counted = closed_daily_counts(_event_stream(spark, sf_dir))
+    out = f"{shared_dir(spark)}/quern-stream-{uuid.uuid4().hex}"
+    counted.writeStream.outputMode("append").format("parquet").option("path", f"{out}/table").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return rounded(spark.read.schema(counted.schema).parquet(f"{out}/table"))
+
+
+def refreshed(spark: SparkSession, sf_dir: str) -> tuple[str, World]:
+    """A panel frozen before some orders were cancelled, and brought up to date since: its folder."""
+    w = World(spark, sf_dir)
+    later = (F.col("o_orderdate") >= "1998-01-01") & (F.pmod("o_orderkey", F.lit(3)) == 0)
+    orders = table(spark, sf_dir, "orders").withColumn("o_orderstatus", F.when(later, "O").otherwise(F.col("o_orderstatus")))
+    early = I.account_days(I.shipments(table(spark, sf_dir, "lineitem"), orders))
+    before = I.dense(I.spine(spark, w.config), w.series, I.daily_counts(early, w.member, w.config))
+    path = f"{shared_dir(spark)}/quern-frozen-{uuid.uuid4().hex}"
+    N.freeze(before, path, w.special)
+    N.refresh(w.panel, path, w.special)
+    return path, w
+
+
+def panel_refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel after a refresh: as if it had been built anew."""
+    return N.read_months(spark, f"{refreshed(spark, sf_dir)[0]}/panel").select("date", "series_id", "y")
+
+
+def levels_refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The levels after a refresh."""
+    return rounded(N.read_months(spark, f"{refreshed(spark, sf_dir)[0]}/levels").select("date", "series_id", "l7", "l28", "l56"))
+
+
+def captures_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel from its payload's slices, each captured as a query's result: written under their hashes, read back by
+    kind and version, put together and checked."""
+    w = World(spark, sf_dir)
+    slices = Y.slice_years(Y.encode_years(w.panel))
+    mark = F.format_string("SELECT 1 /*SNAP kind=slice y=%d off=%d v=2*/", "year", "off")
+    result = F.to_json(F.struct(F.struct(F.array(F.array(*(F.col(c).cast("string") for c in ("part", "len", "md5")))).alias("data")).alias("result_set")))
+    capture = F.to_json(F.struct(F.struct(mark.alias("sql")).alias("tool_input"), F.array(F.struct(result.alias("text"))).alias("tool_response")))
+    path = f"{shared_dir(spark)}/quern-captures-{uuid.uuid4().hex}"
+    K.save_payloads(slices.select(capture.alias("payload")), path)
+    read = K.captures(spark, path).filter("kind = 'slice' AND version = 2")
+    one = F.element_at("data", 1)
+    return Y.decode(Y.reassemble(read.select("year", F.col("part").alias("off"), one[0].alias("part"), one[1].cast("int").alias("len"), one[2].alias("md5"))))
+
+
 def _is_folder(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
@@ -270,4 +329,8 @@ QUERIES |= {
     "gbt_forecast": gbt_forecast,
     "tree_blends": tree_blends,
     "streamed_daily_events": streamed_daily_events,
+    "closed_daily_events": closed_daily_events,
+    "panel_refreshed": panel_refreshed,
+    "levels_refreshed": levels_refreshed,
+    "captures_round_trip": captures_round_trip,
 }

@@ -110,18 +110,6 @@ def exactly_one(df: DataFrame, what: str):
     return rows[0]
 
 
-def save_payloads(df: DataFrame, path: str, column: str = "payload") -> None:
-    """Content-addressed and idempotent: each payload once, under its SHA-1; those already there are not written again."""
-    spark, named = df.sparkSession, df.select(F.sha1(column).alias("sha1"), F.col(column).alias("payload")).dropDuplicates(["sha1"])
-    try:
-        have = spark.read.schema("sha1 string, payload string").parquet(path)
-        named = named.join(have.select("sha1"), "sha1", "left_anti")
-    except Exception as e:  # the folder does not exist yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    named.write.mode("append").parquet(path)
-
-
 def definition_hash(paths: list[str]) -> str:
     """SHA-256 over files' names and contents."""
     h = hashlib.sha256()

@@ -57,21 +57,6 @@ def reassemble(parts: DataFrame) -> DataFrame:
     return whole.select("year", F.when(sound, F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("slices of a payload do not fit: "), F.col("year").cast("string"))).cast("string")).alias("payload"))
 
 
-def assemble(parts: DataFrame, length: int, md5: str, size: int = SLICE) -> str:
-    """The payload of slices; raises for a missing slice, a wrong length or a wrong MD5."""
-    got = {r.off: r.part for r in parts.collect()}
-    missing = [o for o in range(1, length + 1, size) if o not in got]
-    if missing:
-        raise ValueError(f"missing slices at {missing}")
-    text = "".join(got[o] for o in sorted(got))
-    if len(text) != length:
-        raise ValueError("the payload's length differs")
-    row = parts.sparkSession.createDataFrame([(text,)], "t string").select(F.md5("t").alias("m")).first()
-    if row.m != md5:
-        raise ValueError("the payload's MD5 differs")
-    return text
-
-
 def decode(payload: DataFrame) -> DataFrame:
     """(date, series_id, y) of payloads; a line whose counts are not as many as the header's days is an error."""
     rows = payload.select(F.split("payload", "\n").alias("r")).select(F.split(F.col("r")[0], ",").alias("h"), F.explode(F.slice("r", 2, F.greatest(F.size("r") - 1, F.lit(0)))).alias("line"), (F.size("r") - 1).alias("n"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import metrics as M
+from quern.sources.captures import append_leaderboard
 
 
 def run_record(scored: DataFrame, run_id: str, experiment: str, stage: str, runtime_s: float, params: str = "{}", clipped_cells: int = 0, eval_sha: str = "", snapshot_sha: str = "", notes: str = "") -> DataFrame:
@@ -35,10 +36,9 @@ def leaderboard_row(record: DataFrame) -> DataFrame:
 
 
 def append(record: DataFrame, runs: str, leaderboard: str) -> None:
-    """Appends the record as JSON and its row as CSV. Both are folders of files that Spark commits, each CSV file with
-    its header, so several runs may append at once."""
+    """Appends the record as JSON to a folder that Spark commits, and its row to the one CSV file of the leaderboard."""
     record.write.mode("append").json(runs)
-    leaderboard_row(record).coalesce(1).write.mode("append").option("header", True).csv(leaderboard)
+    append_leaderboard(leaderboard_row(record), leaderboard)
 
 
 def read_leaderboard(spark, path: str) -> DataFrame:

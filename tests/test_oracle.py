@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-NAMES = ("membership_rank", "dense_panel", "payload_md5", "special_days", "damp_calendar", "day_types", "edge_distances", "weekday_shape", "special_factors", "rolling_levels", "holiday_forecast", "metric_summary", "worst_series", "contract_checks", "payload_reassembled", "catalogue_json", "membership_csv", "manifest", "run_record")
+NAMES = ("membership_rank", "dense_panel", "payload_md5", "special_days", "damp_calendar", "day_types", "edge_distances", "weekday_shape", "special_factors", "rolling_levels", "holiday_forecast", "metric_summary", "worst_series", "contract_checks", "payload_reassembled", "catalogue_json", "membership_csv", "manifest", "run_record", "profile_by_sql", "naive_by_sql", "damp_factors", "series_multipliers", "closed_daily_events", "panel_refreshed", "captures_round_trip")
 
 
 def rows(names, values):

@@ -86,27 +86,24 @@ def test_contract(spark):
     with pytest.raises(ValueError):
         B.mondays("1999-05-11", "1999-05-17")
     with pytest.raises(PermissionError):
-        B.stage_cutoffs(spark, w.config, "holdout")
+        B.stage_days(w.config, "holdout")
 
 
 def test_payload(spark, tmp_path):
     text = "v2,2,3,2021-01-01,2021-01-03\na,1,2,3\nb,0,0,4"
     df = spark.createDataFrame([(text,)], "payload string")
     assert payload.decode(df).count() == 6
-    parts = payload.slices(df, 10)
-    assert payload.assemble(parts, 44, "04ee072dacabf9c5928f8e87fa4dee7d", 10) == text
-    with pytest.raises(ValueError, match="missing"):
-        payload.assemble(parts.filter("off <> 11"), 44, "04ee072dacabf9c5928f8e87fa4dee7d", 10)
-    with pytest.raises(ValueError, match="MD5"):
-        payload.assemble(parts, 44, "0" * 32, 10)
+    whole = df.select(F.lit(2021).alias("year"), "payload", F.length("payload").alias("len"), F.lit("04ee072dacabf9c5928f8e87fa4dee7d").alias("md5"))
+    parts = payload.slice_years(whole, 10)
+    assert parts.count() == 5 == payload.slices(df, 10).count() and payload.reassemble(parts).first().payload == text
+    for changed in (parts.filter("off <> 11"), parts.withColumn("md5", F.lit("0" * 32))):
+        with pytest.raises(Exception, match="do not fit"):
+            payload.reassemble(changed).collect()
     with pytest.raises(Exception, match="does not fit"):
         payload.decode(spark.createDataFrame([(text.replace("a,1,2,3", "a,1,2"),)], "payload string")).collect()
     panel = payload.decode(df)
     files.write_panel(panel, str(tmp_path / "p"))
     assert sorted(files.read_panel(spark, str(tmp_path / "p")).collect()) == sorted(panel.collect())
-    files.save_payloads(df, str(tmp_path / "s"))
-    files.save_payloads(df, str(tmp_path / "s"))
-    assert spark.read.parquet(str(tmp_path / "s")).count() == 1
 
 
 def test_captures_and_config(spark, tmp_path):
@@ -208,7 +205,12 @@ def test_evaluator(spark, tmp_path):
     x, cut = small_inputs(spark)
     stages = {"one": Stage("1999-02-01", cut.isoformat(), "1999-10-04"), "holdout": Stage("1999-02-01", cut.isoformat(), cut.isoformat(), locked=True)}
     config = PanelConfig(start="1999-01-04", end="1999-10-30", stages=stages)
-    model, lock, results = tmp_path / "model.py", tmp_path / "lock", (str(tmp_path / "runs"), str(tmp_path / "board"))
+    model, lock, results = tmp_path / "model.py", tmp_path / "lock", (str(tmp_path / "runs"), str(tmp_path / "board.csv"))
+    fits = [str(tmp_path / "stages.txt")], str(tmp_path / "stages.lock")
+    (tmp_path / "stages.txt").write_text("one")
+    files.check_lock(*fits, write=True)
+    with pytest.raises(TypeError):
+        evaluate(x, config, "one", "seasonal_naive")
     model.write_text(MODEL.replace("SHIFT", "0"))
     with pytest.raises(FileNotFoundError):
         evaluate(x, config, "one", "seasonal_naive", ([str(model)], str(lock)))
@@ -223,30 +225,33 @@ def test_evaluator(spark, tmp_path):
     model.write_text(MODEL.replace("SHIFT", "30"))
     with pytest.raises(ValueError, match="changed"):
         evaluate(x, config, "one", str(model), ([str(model)], str(lock)))
-    assert evaluate(x, config, "one", str(model)).first().clipped_cells == 16
+    assert evaluate(x, config, "one", str(model), fits).first().clipped_cells == 16
     with pytest.raises(PermissionError):
-        evaluate(x, config, "holdout", "seasonal_naive")
+        evaluate(x, config, "holdout", "seasonal_naive", fits)
     with pytest.raises(ValueError, match="unknown"):
-        evaluate(x, config, "two", "seasonal_naive")
+        evaluate(x, config, "two", "seasonal_naive", fits)
     with pytest.raises(ValueError, match="no actual"):
-        evaluate(replace(x, panel=x.panel.filter("date <> DATE '1999-10-05'")), config, "one", lambda i: P.seasonal_naive(x.__class__(x.panel, i.series, i.cutoffs, i.special, None)))
+        evaluate(replace(x, panel=x.panel.filter("date <> DATE '1999-10-05'")), config, "one", lambda i: P.seasonal_naive(x.__class__(x.panel, i.series, i.cutoffs, i.special, None)), fits)
     model.write_text("import os  # data/snapshot\nclass Forecaster: pass\n")
     with pytest.raises(ValueError, match="snapshot"):
-        evaluate(x, config, "one", str(model))
+        evaluate(x, config, "one", str(model), fits)
 
 
-def test_train_start_hides_older_days(spark):
+def test_train_start_hides_older_days(spark, tmp_path):
     from quern.config import PanelConfig, Stage
     from quern.plans.evaluate import evaluate
 
     x, cut = small_inputs(spark)
     seen = []
+    fits = [str(tmp_path / "stages.txt")], str(tmp_path / "stages.lock")
+    (tmp_path / "stages.txt").write_text("s")
+    files.check_lock(*fits, write=True)
 
     def spy(i):
         seen.append(i.panel.agg(F.min("date")).first()[0])
         return P.seasonal_naive(i)
 
-    evaluate(x, PanelConfig(end="1999-10-30", stages={"s": Stage("1999-05-03", cut.isoformat(), cut.isoformat())}), "s", spy)
+    evaluate(x, PanelConfig(end="1999-10-30", stages={"s": Stage("1999-05-03", cut.isoformat(), cut.isoformat())}), "s", spy, fits)
     assert seen == [dt.date(1999, 5, 3)]
 
 
@@ -256,7 +261,25 @@ def test_fact_is_scanned_once(spark):
     assert "lineitem" not in plan
     for df in (w.member, w.series, w.daily, w.panel):
         assert "lineitem" not in df._jdf.queryExecution().executedPlan().toString()
-    assert "NestedLoop" not in R.weekday_shape(w.inputs.clean, w.cutoffs)._jdf.queryExecution().executedPlan().toString().replace("BroadcastNestedLoopJoin BuildRight, Inner, ((date", "")
+
+
+def test_history_is_not_joined_with_all_later_cutoffs(spark):
+    """Estimates as of a cutoff are read by equality."""
+    w = World(spark, SF)
+    special, damp = w.special, w.damp
+    factors = w.factors
+    for df in (R.weekday_shape(w.inputs.clean, w.cutoffs), factors, w.damp_factors, E.series_multipliers(w.panel, special, factors, w.cutoffs), E.vacation_multipliers(w.panel, special, damp, w.damp_factors, w.cutoffs)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_as_of(spark):
+    day = lambda k: dt.date(2000, 1, 1) + dt.timedelta(k)
+    rows = spark.createDataFrame([("a", day(0), 1), ("a", day(5), 2), ("a", day(5), 3), ("b", day(40), 4), ("c", None, 5)], "k string, date date, v int")
+    cutoffs = B.cutoffs(spark, [day(4), day(5), day(30)])
+    got = sorted((r.k, r.cutoff, r.v) for r in R.as_of(rows, ("k",), cutoffs).collect())
+    assert [x[:2] for x in got] == [("a", day(4)), ("a", day(5)), ("a", day(30))] and got[0][2] == 1 and got[1][2] == got[2][2] in (2, 3)
+    assert R.as_of(rows, ("k",), cutoffs.limit(0)).count() == 0
 
 
 def test_slices_of_all_years(spark):
