@@ -109,8 +109,9 @@ def _twice_at_most(x: np.ndarray) -> np.ndarray:
     return x if len(x) < 3 else x[np.concatenate([[True, True], x[2:] != x[:-2]])]
 
 
-def shared_keys(rows: DataFrame, parts: int) -> DataFrame:
-    """(key): the keys of `rows` (key, id), 48 bits each, that more than one row has; no row may be there twice.
+def shared_keys(rows: DataFrame, keyed: Callable, parts: int) -> DataFrame:
+    """(key): the keys, 48 bits each, that more than one id has. `keyed` makes batches (key, id) of those of `rows`, each
+    key of an id once.
 
     Nearly all keys have one row, so they travel packed: a row for each of `parts` ranges of keys holds many, six bytes
     each. A task sends a key twice at most, so a hot key does not weigh more than others.
@@ -127,7 +128,7 @@ def shared_keys(rows: DataFrame, parts: int) -> DataFrame:
             pieces = [(k, data[i:j].tobytes()) for k, (i, j) in enumerate(zip(cut, cut[1:], strict=False)) if i < j]
             return pa.RecordBatch.from_arrays([pa.array([k for k, _ in pieces], pa.int32()), pa.array([d for _, d in pieces], pa.binary())], names=["part", "data"])
 
-        for b in batches:
+        for b in keyed(batches):
             if b.num_rows:
                 held.append((b.column("key").to_numpy().astype(np.uint64) * SPREAD) & MASK)
                 size += b.num_rows
@@ -161,24 +162,26 @@ def shared_keys(rows: DataFrame, parts: int) -> DataFrame:
     return placed.mapInArrow(shared, "key long")
 
 
-def bucket_members(keys_of: Callable[[Broadcast | None], DataFrame], n_keys: int) -> DataFrame:
-    """The rows (key, id) of keys that more than one id has, with the least of their ids as `lead`.
+def bucket_members(rows: DataFrame, keyed: Callable[[Broadcast | None], Callable], n_keys: int) -> DataFrame:
+    """The (key, id) of keys that more than one id has, with the least of their ids as `lead`.
 
-    `keys_of` makes the rows, all or those that a filter lets pass, each once; there are about `n_keys` of them. The
-    keys that are shared are found first. The rows are then made again without the others, and only those are joined.
+    `keyed` gives a function from batches of `rows` to batches (key, id), of all keys or those that a filter lets pass,
+    each key of an id once; there are about `n_keys`. The keys that are shared are found first, from packed numbers.
+    The rows are then made again without the others, and only those are joined.
     """
-    spark = keys_of(None).sparkSession
-    found = written(shared_keys(keys_of(None), max(64, n_keys // HELD)), "shared")
-    rows = written(keys_of(number_filter(found, "key")), "keyed")
-    release(spark)
-    counted = rows.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last"))
-    members = written(rows.join(counted.filter("lead <> last").select("key", "lead"), "key"), "buckets")
-    discard(found, rows)
+    found = written(shared_keys(rows, keyed(None), max(64, n_keys // HELD)), "shared")
+    some = written(rows.mapInArrow(keyed(number_filter(found, "key")), "key long, id long"), "keyed")
+    release(rows.sparkSession)
+    counted = some.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last"))
+    members = written(some.join(counted.filter("lead <> last").select("key", "lead"), "key"), "buckets")
+    discard(found, some)
     return members
 
 
 #: Rows of a key that one block holds; a key of more rows is compared block by block, in tasks of their own.
 BLOCK = 20_000
+#: Bytes of text that a block holds on average.
+BLOCK_BYTES = 16 << 20
 #: Pairs compared at once.
 PAIRS = 200_000
 
@@ -194,22 +197,44 @@ def _near(rows: dict, p: np.ndarray, q: np.ndarray, least: int, percent: int, fi
     if "n" in rows:
         n, m = rows["n"][p], rows["n"][q]
         keep(100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+    keep(agreement(rows["sketch"][p], rows["sketch"][q]) >= least)
     if first_key is not None and len(p):
         keep(first_key(rows["sig"][p], rows["sig"][q], rows["key"][p]))
-    keep(agreement(rows["sketch"][p], rows["sketch"][q]) >= least)
     return p, q
 
 
-def _one_each(p: np.ndarray, other: np.ndarray, near: np.ndarray) -> np.ndarray:
-    """Of pairs of a row and a component, the places of the nearest one for each."""
-    order = np.lexsort((-near, other, p))
+class Forest:
+    """Labels 0, 1, ..., n - 1 and which of them have been linked: a label's parent is the least one of its component."""
+
+    def __init__(self, n: int):
+        self.parent = np.arange(n)
+
+    def link(self, a: np.ndarray, b: np.ndarray) -> None:
+        while len(a):
+            x, y = self.parent[a], self.parent[b]
+            apart = x != y
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            if not len(a):
+                return
+            np.minimum.at(self.parent, np.maximum(x, y), np.minimum(x, y))
+            while True:
+                up = self.parent[self.parent]
+                if (up == self.parent).all():
+                    break
+                self.parent = up
+
+
+def _one_each(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The places of the first of each pair of two numbers, whatever their order."""
+    low, high = np.minimum(x, y), np.maximum(x, y)
+    order = np.lexsort((high, low))
     first = np.ones(len(order), bool)
-    first[1:] = (p[order[1:]] != p[order[:-1]]) | (other[order[1:]] != other[order[:-1]])
+    first[1:] = (low[order[1:]] != low[order[:-1]]) | (high[order[1:]] != high[order[:-1]])
     return order[first]
 
 
-def _close(rows: dict, least: int, percent: int, first_key: Callable | None, nearest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids of the close pairs of many units (key, lo, hi), whose rows are sorted by (key, lo, hi, own).
+def _close(rows: dict, least: int, percent: int, first_key: Callable | None, exact: Callable | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the close pairs of many units (key, lo, hi), whose rows are sorted by (key, lo, hi, own).
 
     In a unit of one block each row meets those before it, in one of two blocks each row of the second meets all of
     the first. Pairs are laid out for many small units, or for a part of a large one, at a time.
@@ -220,17 +245,23 @@ def _close(rows: dict, least: int, percent: int, first_key: Callable | None, nea
     firsts = np.bincount(begin, weights=rows["own"] == rows["lo"], minlength=n).astype(np.int64)[begin]
     partners = np.where(rows["lo"] == rows["hi"], np.arange(n) - begin, np.where(rows["own"] == rows["hi"], firsts, 0))
     upto = np.cumsum(partners)
+    forest, label = Forest(0), rows["c"]
+    if exact is not None:
+        names, label = np.unique(rows["c"], return_inverse=True)
+        forest = Forest(len(names))
     for t in range(0, int(upto[-1]) if n else 0, PAIRS):
         # Pairs t to t + PAIRS in the order of rows: whole rows, and parts of the first and the last.
         pair = np.arange(t, min(t + PAIRS, int(upto[-1])))
         p = np.searchsorted(upto, pair, side="right")
         q = begin[p] + pair - (upto[p] - partners[p])
         p, q = _near(rows, p, q, least, percent, first_key)
-        if nearest and len(p):
-            near = agreement(rows["sketch"][p], rows["sketch"][q])
-            some = distinct(np.concatenate([_one_each(p, rows["c"][q], near), _one_each(q, rows["c"][p], near)]))
+        if exact is not None and len(p):
+            apart = forest.parent[label[p]] != forest.parent[label[q]]  # not joined by pairs before
+            p, q = exact(rows, p[apart], q[apart])
+            some = _one_each(label[p], label[q])
             p, q = p[some], q[some]
-        yield rows["id"][p], rows["id"][q]
+            forest.link(label[p], label[q])
+        yield p, q
 
 
 def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -238,31 +269,45 @@ def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (np.ascontiguousarray(a).view(np.uint8) == np.ascontiguousarray(b).view(np.uint8)).sum(axis=1)
 
 
-def close_pairs(rest: DataFrame, traits: DataFrame, percent: int, least: int, first_key: Callable | None = None, nearest: bool = False) -> DataFrame:
-    """(a, b): pairs of `rest` (key, id, c) with a common key and different c that `traits` (id, sketch[, n, sig]) allow:
-    sketches must agree in `least` bytes. With `nearest`, of the pairs that are compared together each id gives one for
-    each other component.
+UNIT = ("key", "lo", "hi", "own", "id", "c")
+_UNIT = "key long, lo int, hi int, own int, id long, c long"
+
 
-    Pairs are compared within tasks and only those that remain are given out. The rows of a key are split into blocks
-    by a hash of the id, those of its largest component and the others apart, and each pair of blocks is a task's work
-    of its own, so neither memory nor time of a task grows with the key. Two blocks of the largest component have
-    nothing to compare, so a key whose ids are nearly all linked already takes work in proportion to its rows.
-    `first_key` picks one of several keys that a pair shares.
+def units(rest: DataFrame, traits: DataFrame) -> DataFrame:
+    """Rows of `rest` (key, id, c) with their `traits` (id, ...), for each pair of blocks (lo, hi) that they meet in.
+
+    The rows of a key are split into blocks by a hash of the id, those of its largest component and the others apart, and
+    each pair of blocks is a unit of work, so neither memory nor time of a task grows with the key. A block has a bounded
+    number of rows, and of `bytes` if the traits have them. Two blocks of the largest component have nothing to compare,
+    so a key whose ids are nearly all linked already takes work in proportion to its rows.
     """
-    kinds = rest.groupBy("key", "c").agg(F.count("*").alias("n"))
-    kinds = kinds.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all")).filter("all > most")
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    rows = rest.join(traits, "id")
+    size = F.col("bytes") if "bytes" in traits.columns else F.lit(0)
+    kinds = rows.groupBy("key", "c").agg(F.count("*").alias("n"), F.sum(size).alias("bytes"))
+    kinds = kinds.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"), F.sum("bytes").alias("total")).filter("all > most")
+    blocks = lambda n: F.ceil(F.greatest(n / BLOCK, F.col("total") / BLOCK_BYTES, F.lit(1))).cast("int")
     kinds = kinds.select("key", "main", blocks(F.col("most")).alias("m"), blocks(F.col("all") - F.col("most")).alias("g"))
-    rows = rest.join(traits, "id").join(kinds, "key").withColumn("spread", F.xxhash64("id"))
+    rows = rows.join(kinds, "key").withColumn("spread", F.xxhash64("id"))
     rows = rows.withColumn("own", F.when(F.col("c") == F.col("main"), F.pmod("spread", "m")).otherwise(F.col("m") + F.pmod("spread", "g")).cast("int"))
     first = F.when(F.col("own") < F.col("m"), F.col("m")).otherwise(0)
     rows = rows.withColumn("other", F.explode(F.sequence(first, F.col("m") + F.col("g") - 1)))
-    rows = rows.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("other", "main", "m", "g", "spread")
-    wide = {"sig", "n"} & set(rows.columns)
+    return rows.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("other", "main", "m", "g", "spread", "bytes")
+
+
+def compare_units(rows: DataFrame, percent: int, least: int, first_key: Callable | None, exact: Callable | None, rows_out: bool) -> DataFrame:
+    """Close pairs within units: of different c, of sizes n that allow `percent`, of sketches that agree in `least` bytes,
+    and in the unit of the key that `first_key` picks, if given (of several keys that a pair shares one).
+
+    With `rows_out`, the rows that have a close pair (UNIT columns); else (a, b). With `exact`, which picks the pairs that
+    are linked, one pair is given for each two components that are compared together: more would tell nothing new.
+    """
+    kinds, lists = dict(rows.dtypes), [c for c in ("sketch", "sig") if c in rows.columns]
 
     def arrays(b: pa.RecordBatch) -> dict:
-        out = {k: b.column(k).to_numpy() for k in ("key", "lo", "hi", "own", "id", "c", *(wide - {"sig"}))}
-        for k in ("sketch", *(wide - {"n"})):
+        out = {k: b.column(k).to_numpy() for k in (*UNIT, *(["n"] if "n" in kinds else []))}
+        if "text" in kinds:
+            out["text"] = np.array(b.column("text").to_pylist(), object)
+        for k in lists:
             # Binary values or lists of longs, all of one length.
             kept = b.column(k)
             flat = np.frombuffer(b"".join(kept.to_pylist()), np.uint8) if pa.types.is_binary(kept.type) else kept.flatten().to_numpy().view(np.uint64)
@@ -271,9 +316,15 @@ def close_pairs(rest: DataFrame, traits: DataFrame, percent: int, least: int, fi
 
     def compared(held: list[dict]) -> Iterator[pa.RecordBatch]:
         group = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
-        for a, b in _close(group, least, percent, first_key, nearest):
-            if len(a):
+        some = np.zeros(len(group["id"]), bool)
+        for p, q in _close(group, least, percent, first_key, exact):
+            if rows_out:
+                some[p] = some[q] = True
+            elif len(p):
+                a, b = group["id"][p], group["id"][q]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        if some.any():
+            yield pa.RecordBatch.from_arrays([pa.array(group[k][some]) for k in UNIT], names=list(UNIT))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -296,51 +347,49 @@ def close_pairs(rest: DataFrame, traits: DataFrame, percent: int, least: int, fi
             yield from compared(held)
 
     placed = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "own", "id")
-    return placed.mapInArrow(run, "a long, b long").distinct()
+    return placed.mapInArrow(run, _UNIT if rows_out else "a long, b long")
+
+
+def close_pairs(rest: DataFrame, traits: DataFrame, percent: int, least: int, first_key: Callable | None = None) -> DataFrame:
+    """(a, b): pairs of `rest` (key, id, c) with a common key and different c that `traits` (id, sketch[, n, sig]) allow."""
+    return compare_units(units(rest, traits), percent, least, first_key, None, False).distinct()
 
 
-def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], pairs_of: Callable[[DataFrame, bool], DataFrame], first: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def linked_pairs(rest: DataFrame, traits: DataFrame, texts: DataFrame, percent: int, least: int, first_key: Callable, exact: Callable) -> DataFrame:
+    """(a, b): links that join the components of `rest` (key, id, c), as many as it takes.
+
+    First by `traits` (id, n, sketch, bytes): rows that have no close pair in their unit go. Then the others' `texts` (id,
+    n, sketch, sig, text) meet in the same units. What is given out grows with rows, not with pairs.
+    """
+    near = written(compare_units(units(rest, traits), percent, least, None, None, True), "near")
+    return compare_units(near.join(texts, "id"), percent, least, first_key, exact, False).distinct()
+
+
+def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rest_of: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
     """(node, component) of the ids that `verify` links, as if all pairs of ids with a common key had been verified.
 
     `verify` takes pairs (a, b) and returns those that are linked. A pair within a component tells nothing new, so:
     first each id meets the least of its leads, then its other leads. Then, in keys that still hold several components,
-    ids of different components meet: `pairs_of` gives from rows (key, id, c) the pairs that can be linked at all, once
-    the nearest ones for each id and component, and then all that these have left. A large group of alike ids takes a
-    pair for each id in the first rounds, and none in the last. A caller that has the pairs of the first round at hand
-    gives them, and those of them that are linked, as `first`.
+    ids of different components meet: `rest_of` gives links of rows (key, id, c) that join them, with the pairs tried so
+    far at hand. A large group of alike ids takes a pair for each id in the first two rounds, and none in the third.
     """
     stars = members.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))
     spark = members.sparkSession
-    if first is None:
-        tried = written(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "tried")
-        edges = written(verify(tried), "linked")
-    else:
-        tried, edges = first[0], written(first[1], "linked")
+    tried = written(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "tried")
+    comp = components(written(verify(tried), "linked"))
     release(spark)
-    comp = components(edges)
-
-    def apart(pairs: DataFrame) -> DataFrame:
-        """Pairs not tried yet whose ends are in different components."""
-        a, b = (comp.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
-        new = pairs.join(tried, ["a", "b"], "left_anti").join(a, "a", "left").join(b, "b", "left")
-        return new.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-    def take(pairs: DataFrame) -> None:
-        """Verifies pairs and joins what they link."""
-        nonlocal tried, edges, comp
-        if not pairs.isEmpty():
-            linked = written(verify(pairs), "linked")
-            before, edges, tried, comp = comp, edges.union(linked), tried.union(pairs), components(linked, comp)
-            discard(before)
-            release(spark)
-
-    take(written(apart(stars.distinct()), "tried"))
-    for nearest in (True, False):
-        now = members.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-        mixed = now.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("key")
-        rest = written(now.join(mixed, "key"), "mixed")
-        if rest.isEmpty():
-            break
-        take(written(pairs_of(rest, nearest).join(tried, ["a", "b"], "left_anti"), "tried"))
-        discard(rest)
+
+    a, b = (comp.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
+    new = stars.distinct().join(tried, ["a", "b"], "left_anti").join(a, "a", "left").join(b, "b", "left")
+    second = written(new.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "tried")
+    if not second.isEmpty():
+        tried, comp = tried.union(second), components(written(verify(second), "linked"), comp)
+        release(spark)
+    now = members.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    mixed = now.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("key")
+    rest = written(now.join(mixed, "key"), "mixed")
+    if not rest.isEmpty():
+        comp = components(written(rest_of(rest, tried), "linked"), comp)
+        release(spark)
+    discard(rest)
     return comp

@@ -17,7 +17,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.components import bucket_members, close_pairs, link_buckets, may_hold, number_filter
+from quern.llm.components import bucket_members, link_buckets, linked_pairs, may_hold, number_filter
 from quern.llm.ordermin import distinct, mix
 from quern.llm.pretok import lean, slices
 from quern.llm.shingles import mix32, one_permutation, sketch_least, sketches
@@ -143,11 +143,15 @@ def _packed(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(data), [None, ends, pa.py_buffer(data)])
 
 
+def _key_bytes(sig: np.ndarray) -> pa.Array:
+    """The band keys of each line, packed."""
+    return _packed(band_keys(sig).astype("<i8").view(np.uint8).reshape(len(sig), BANDS, 8)[:, :, :KEY].reshape(len(sig), -1))
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, keys) of all lines: the band keys, packed."""
     for ids, lines in _distinct_lines(batches):
-        keys = band_keys(signatures(lines)).astype("<i8").view(np.uint8).reshape(len(ids), BANDS, 8)[:, :, :KEY]
-        yield pa.RecordBatch.from_arrays([pa.array(ids), _packed(keys.reshape(len(ids), -1))], names=["id", "keys"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids), _key_bytes(signatures(lines))], names=["id", "keys"])
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,6 +165,20 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.filter(pa.array(new))
 
 
+def _keys_of(packed: np.ndarray) -> np.ndarray:
+    """(lines, BANDS) keys of their bytes."""
+    wide = np.zeros((packed.size // KEY, 8), np.uint8)
+    wide[:, :KEY] = packed.reshape(-1, KEY)
+    return wide.view("<i8").reshape(-1, BANDS)
+
+
+def first_shared_key(a: np.ndarray, b: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """For pairs of lines with a common key, by the bytes of their keys: whether `key` is the first that they share."""
+    x, y = _keys_of(a), _keys_of(b)
+    at = (x == y).argmax(axis=1)
+    return x[np.arange(len(x)), at] == key
+
+
 def _keyed(only: Broadcast | None):
     """(key, id) of signed lines; `only` is a filter of keys."""
 
@@ -168,9 +186,8 @@ def _keyed(only: Broadcast | None):
         for whole in batches:
             for at in range(0, whole.num_rows, 10_000):
                 b = whole.slice(at, 10_000)
-                wide = np.zeros((b.num_rows * BANDS, 8), np.uint8)
-                wide[:, :KEY] = np.frombuffer(b"".join(b.column("keys").to_pylist()), np.uint8).reshape(-1, KEY)
-                keys, ids = wide.view("<i8").reshape(-1), np.repeat(b.column("id").to_numpy(), BANDS)
+                keys = _keys_of(np.frombuffer(b"".join(b.column("keys").to_pylist()), np.uint8)).reshape(-1)
+                ids = np.repeat(b.column("id").to_numpy(), BANDS)
                 if only is not None:
                     keep = may_hold(only.value, keys)
                     keys, ids = keys[keep], ids[keep]
@@ -180,13 +197,15 @@ def _keyed(only: Broadcast | None):
 
 
 def _texts(only: Broadcast):
-    """(id, check, text, n, sketch) of the lines whose id the filter lets pass; n is the number of distinct shingles."""
+    """(id, check, text, n, sketch, sig) of the lines whose id the filter lets pass; n is the number of distinct shingles,
+    sig the band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, lines in _distinct_lines(batches, only):
             checks = pa.array([line_check(x) for x in lines], pa.int64())
             n = distinct_shingles(lines, np.arange(len(lines)), len(lines))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), checks, pa.array(lines, pa.string()), pa.array(n), _packed(sketches(signatures(lines)).view(np.uint8))], names=["id", "check", "text", "n", "sketch"])
+            sig = signatures(lines)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), checks, pa.array(lines, pa.string()), pa.array(n), _packed(sketches(sig).view(np.uint8)), _key_bytes(sig)], names=["id", "check", "text", "n", "sketch", "sig"])
 
     return run
 
@@ -239,19 +258,24 @@ def distinct_shingles(lines: list[str], own: np.ndarray, n: int) -> np.ndarray:
     return np.bincount((keys >> shift).astype(np.int64), minlength=n)
 
 
+def _alike(left: list[str], right: list[str], total: np.ndarray, percent: int) -> np.ndarray:
+    """Places of the pairs of lines that are alike by their sets of shingles; `total` is the sum of both sets' sizes."""
+    found, at = [np.empty(0, np.int64)], 0
+    for part in slices(left, CHARS // 2):
+        union = distinct_shingles([*part, *right[at : at + len(part)]], np.tile(np.arange(len(part)), 2), len(part))
+        both = total[at : at + len(part)] - union
+        found.append(at + np.flatnonzero(100 * both >= percent * union))
+        at += len(part)
+    return np.concatenate(found)
+
+
 def _verified(percent: int):
-    """Pairs that are alike, by their sets of shingles."""
+    """Pairs that are alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, at = [b.column(f"t{c}").to_pylist() for c in "ab"], 0
             total = b.column("na").to_numpy() + b.column("nb").to_numpy()
-            for left in slices(texts[0], CHARS // 2):
-                right = texts[1][at : at + len(left)]
-                union = distinct_shingles([*left, *right], np.tile(np.arange(len(left)), 2), len(left))
-                both = total[at : at + len(left)] - union
-                yield b.select(["a", "b"]).take(pa.array(at + np.flatnonzero(100 * both >= percent * union)))
-                at += len(left)
+            yield b.select(["a", "b"]).take(pa.array(_alike(b.column("ta").to_pylist(), b.column("tb").to_pylist(), total, percent)))
 
     return run
 
@@ -282,11 +306,11 @@ def _removals(df: DataFrame, percent: int, id_col: str, text_col: str) -> tuple[
     signed = docs.select("text").mapInArrow(lean(_signed), "id long, keys binary").repartition("id").sortWithinPartitions("id")
     signed = written(signed.mapInArrow(_once, "id long, keys binary"), "signed")
     release(df.sparkSession)
-    members = bucket_members(lambda only: signed.mapInArrow(_keyed(only), "key long, id long"), signed.count() * BANDS)
+    members = bucket_members(signed, _keyed, signed.count() * BANDS)
     discard(signed)
 
     # Texts of lines that share a key. The filter lets few others pass.
-    texts = docs.select("text").mapInArrow(lean(_texts(number_filter(members, "id"))), "id long, check long, text string, n long, sketch binary")
+    texts = docs.select("text").mapInArrow(lean(_texts(number_filter(members, "id"))), "id long, check long, text string, n long, sketch binary, sig binary")
     texts = written(texts.repartition("id").dropDuplicates(["id"]), "texts")
     release(df.sparkSession)
 
@@ -307,11 +331,15 @@ def _removals(df: DataFrame, percent: int, id_col: str, text_col: str) -> tuple[
         both = pairs.join(side("b", "n", "text", of=some), "b").join(side("a", "n", "text", of=some), "a")
         return both.select("a", "b", "ta", "tb", "na", "nb").mapInArrow(lean(_verified(percent)), "a long, b long")
 
-    def pairs_of(rest: DataFrame, nearest: bool) -> DataFrame:
-        traits = texts.select("id", "n", "sketch")
-        return close_pairs(rest, traits, percent, sketch_least(percent, BINS), nearest=nearest)
+    def exact(rows: dict, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = _alike(rows["text"][p].tolist(), rows["text"][q].tolist(), rows["n"][p] + rows["n"][q], percent)
+        return p[at], q[at]
+
+    def rest_of(rest: DataFrame, tried: DataFrame) -> DataFrame:
+        traits = texts.select("id", "n", "sketch", F.octet_length("text").alias("bytes"))
+        return linked_pairs(rest, traits, texts.drop("check"), percent, sketch_least(percent, BINS), first_shared_key, exact)
 
-    linked = link_buckets(members, lambda pairs: compared(allowed(pairs)), pairs_of)
+    linked = link_buckets(members, lambda pairs: compared(allowed(pairs)), rest_of)
     # The second hash ties a component to the line that was verified, should two lines have one id. Written, the few
     # linked lines have a measured size, and the joins need not shuffle all lines where it is small.
     named = written(linked.join(texts.select("id", "check"), linked.node == texts.id).select("id", "check", "component"), "named")

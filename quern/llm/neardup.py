@@ -155,7 +155,7 @@ def near_duplicates(df: DataFrame, percent: int = 85, id_col: str = "doc_id", te
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.min("sig").alias("sig"))
     # The ids are written, so that they are the same wherever the table is read.
     classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
-    members = bucket_members(lambda only: classes.select("id", "sig").mapInArrow(_keyed(layout, only), "key long, id long"), classes.count() * layout.positions)
+    members = bucket_members(classes.select("id", "sig"), partial(_keyed, layout), classes.count() * layout.positions)
 
     wanted = classes.join(members.select("id").distinct(), "id", "left_semi").select("id", "digest", "doc_id")
     texts = docs.join(wanted, "doc_id").select("id", "digest", "text").mapInArrow(lean(_sets), "id long, digest string, own string, shingles array<long>, sketch array<long>")
@@ -163,9 +163,6 @@ def near_duplicates(df: DataFrame, percent: int = 85, id_col: str = "doc_id", te
     sets = written(texts.filter("own = digest").dropDuplicates(["id"]).select("id", "shingles", "sketch"), "sets")
     short = classes.select("id", "n", "sig")
 
-    def pairs_of(rest: DataFrame, nearest: bool) -> DataFrame:
-        return close_pairs(rest, short.join(sets.select("id", "sketch"), "id"), percent, sketch_least(percent), partial(first_shared_key, layout=layout), nearest)
-
     def verify(pairs: DataFrame) -> DataFrame:
         a, b = (short.select(*(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "sig"))) for x in "ab")
         near = pairs.join(a, F.col("a") == F.col("id_a")).join(b, F.col("b") == F.col("id_b"))
@@ -175,7 +172,11 @@ def near_duplicates(df: DataFrame, percent: int = 85, id_col: str = "doc_id", te
         common = both.select("a", "b", F.size(F.array_intersect("s_a", "s_b")).alias("i"), (F.size("s_a") + F.size("s_b")).alias("t"))
         return common.filter(F.lit(100) * F.col("i") >= F.lit(percent) * (F.col("t") - F.col("i"))).select("a", "b")
 
-    linked = link_buckets(members, verify, pairs_of)
+    def rest_of(rest: DataFrame, tried: DataFrame) -> DataFrame:
+        pairs = close_pairs(rest, short.join(sets.select("id", "sketch"), "id"), percent, sketch_least(percent), partial(first_shared_key, layout=layout))
+        return verify(written(pairs.join(tried, ["a", "b"], "left_anti"), "tried"))
+
+    linked = link_buckets(members, verify, rest_of)
     least = linked.join(classes.select(F.col("id").alias("node"), "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = linked.join(least, "component").select(F.col("node").alias("id"), "component_id")
     groups = written(classes.join(named, "id", "left").select("digest", F.coalesce("component_id", "doc_id").alias("group_id")), "groups")

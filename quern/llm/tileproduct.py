@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from quern.llm.components import components
+from quern.llm.components import Forest, components
 from quern.session import discard, written
 
 #: Most vectors of a tile, and most bytes of its int8 values.
@@ -100,27 +100,6 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return sum((a[:, k : k + EXACT] @ b[:, k : k + EXACT].T).astype(np.float64) for k in range(0, a.shape[1], EXACT))
 
 
-class Forest:
-    """Labels 0, 1, ..., n - 1 and which of them have been linked: a label's parent is the least one of its component."""
-
-    def __init__(self, n: int):
-        self.parent = np.arange(n)
-
-    def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        while len(a):
-            x, y = self.parent[a], self.parent[b]
-            apart = x != y
-            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-            if not len(a):
-                return
-            np.minimum.at(self.parent, np.maximum(x, y), np.minimum(x, y))
-            while True:
-                up = self.parent[self.parent]
-                if (up == self.parent).all():
-                    break
-                self.parent = up
-
-
 def tile_links(rows: dict, split: int, threshold: float, full: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a pair of tiles, the first `split` rows and the others (or of one tile, if `split` is 0): the links of each
     row, the labels, each label's parent, and which rows have a partner between the bounds.

@@ -234,15 +234,18 @@ def test_ids_that_agree_in_parts_of_their_hashes_share_keys(spark):
 
     def keys_of(only):
         if only is None:
-            return keyed
-        seen.append(keyed.mapInArrow(lambda batches: (b.filter(__import__("pyarrow").array(may_hold(only.value, b.column("key").to_numpy()))) for b in batches), "key long, id long"))
-        return seen[-1]
+            return lambda batches: batches
+        import pyarrow as pa
+
+        run = lambda batches: (b.filter(pa.array(may_hold(only.value, b.column("key").to_numpy()))) for b in batches)
+        seen.append(keyed.mapInArrow(run, "key long, id long"))
+        return run
 
     by_key = {}
     for key, i in rows:
         by_key.setdefault(key, set()).add(i)
     want = {(key, i, min(ids)) for key, ids in by_key.items() for i in ids if len(ids) > 1}
-    assert {tuple(r) for r in bucket_members(keys_of, len(rows)).collect()} == want
+    assert {tuple(r) for r in bucket_members(keyed, keys_of, len(rows)).collect()} == want
     assert seen[0].count() < len(rows) - 400  # keys of one id are left out before they are joined
 
 
@@ -256,12 +259,29 @@ def test_new_edges_join_known_components(spark):
     assert {r.node: r.component for r in components(edges([]), known).collect()} == {r.node: r.component for r in known.collect()}
 
 
-def test_nearest_pairs_of_each_component_come_first(spark):
-    """Two large groups of alike ids with one key: the first pass gives a pair for each id, not all pairs."""
-    from quern.llm.components import close_pairs
+def test_linked_pairs_within_blocks_join_components_once(spark, monkeypatch):
+    """Alike ids of three components under two keys: a pair for two components and block, not all pairs."""
+    import numpy as np
+
+    from quern.llm import components as C
 
-    rest = spark.createDataFrame([(1, k, k % 2) for k in range(200)], "key long, id long, c long")
-    traits = spark.createDataFrame([(k, 100, [7, 7]) for k in range(200)], "id long, n long, sketch array<long>")
-    few = {tuple(r) for r in close_pairs(rest, traits, 80, 16, nearest=True).collect()}
-    every = {tuple(r) for r in close_pairs(rest, traits, 80, 16).collect()}
-    assert len(every) == 100 * 100 and few < every and len(few) <= 400
+    rest = spark.createDataFrame([(key, k, k % 3) for k in range(200) for key in (1, 2)] + [(3, 500, 500), (3, 0, 0)], "key long, id long, c long")
+    rows = [(k, 100, [7, 7], [1, 2], "x" * (k % 5)) for k in range(200)] + [(500, 100, [8, 8], [3, 3], "")]
+    texts = spark.createDataFrame(rows, "id long, n long, sketch array<long>, sig array<long>, text string")
+    traits = texts.select("id", "n", "sketch", F.octet_length("text").alias("bytes"))
+    every = {tuple(r) for r in C.close_pairs(rest, texts.select("id", "n", "sketch"), 80, 16).collect()}
+    assert len(every) == (200**2 - 2 * 67**2 - 66**2) // 2
+    near = C.compare_units(C.units(rest, traits), 80, 16, None, None, True)
+    assert {(r.key, r.id) for r in near.collect()} == {(key, k) for key in (1, 2) for k in range(200)}
+
+    def equal(rows, p, q):
+        assert (rows["key"][p] == 1).all()  # each pair under the first key that it shares
+        ok = rows["text"][p] == rows["text"][q]
+        return p[ok], q[ok]
+
+    first = lambda a, b, key: a[:, 0].astype(np.int64) == key
+    for size in (16 << 20, 100):
+        monkeypatch.setattr(C, "BLOCK_BYTES", size)
+        few = {tuple(r) for r in C.linked_pairs(rest, traits, texts, 80, 16, first, equal).collect()}
+        assert few < every and {frozenset((a % 3, b % 3)) for a, b in few} == {frozenset(x) for x in ((0, 1), (0, 2), (1, 2))}
+        assert all(a % 5 == b % 5 for a, b in few) and len(few) <= 60

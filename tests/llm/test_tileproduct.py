@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 from quern.llm import tileproduct as T
-from quern.llm.tileproduct import Forest, embedding_duplicates, op13_embedding_neardup, quantised, tile_links, unit
+from quern.llm.components import Forest
+from quern.llm.tileproduct import embedding_duplicates, op13_embedding_neardup, quantised, tile_links, unit
 
 
 def brute(rows, least=0.9):
