@@ -72,9 +72,12 @@ def discard(*tables: DataFrame | None) -> None:
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of tables that have been written and are no longer referred to.
 
-    Spark does so when the driver's garbage is collected; between large shuffles that need not be left to chance.
-    The JVM hears of references that Python dropped from a thread that looks for them once a second.
+    Spark does so when the driver's garbage is collected; between large shuffles on a cluster that need not be left to
+    chance. The JVM hears of references that Python dropped from a thread that looks for them once a second. In local
+    mode, where nothing is large, there is no wait.
     """
+    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
+        return
     gc.collect()
     time.sleep(1.5)
     spark.sparkContext._jvm.System.gc()
