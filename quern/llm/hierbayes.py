@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -161,50 +162,77 @@ def strength(n: float, total: float, squares: float, sites: float, mean: float)
     return min(max(within / between - 1, STRENGTHS[0]), STRENGTHS[1]) if between > 0 else STRENGTHS[1]
 
 
-def url_site(url: Column) -> tuple[Column, Column]:
-    """Host and first path segment of a URL, for tables that have one: a site and a part of it. Null for no URL."""
+def url_site(url: Column, depth: int = 1) -> tuple[Column, ...]:
+    """Host of a URL and its first 1, 2, ..., `depth` path segments: a site and nested parts of it. Null for no URL."""
     host = F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    path = F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*(/[^/?#]*)", 1)
-    return F.nullif(host, F.lit("")), F.when(url.isNotNull(), F.coalesce(F.nullif(path, F.lit("")), F.lit("/")))
+    segments = lambda n: F.regexp_extract(url, rf"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*((?:/[^/?#]*){{1,{n}}})", 1)
+    parts = (F.when(url.isNotNull(), F.coalesce(F.nullif(segments(n + 1), F.lit("")), F.lit("/"))) for n in range(depth))
+    return F.nullif(host, F.lit("")), *parts
 
 
-def site_posteriors(scored: DataFrame, host_col: str, path_col: str) -> tuple[DataFrame, float]:
-    """(host, path, n, s, prior, k) for each path, and the mean of all documents.
+def page_text(html: Column) -> Column:
+    """The text of a page: without scripts, styles and comments; tags are breaks, the commonest entities characters."""
+    text = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", "\n")
+    text = F.regexp_replace(text, r"(?s)<[^>]*>", "\n")
+    for entity, character in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
+        text = F.replace(text, F.lit(entity), F.lit(character))
+    return F.trim(F.regexp_replace(text, r"\s*\n\s*", "\n"), F.lit(" \n"))
+
+
+def nested_posteriors(scored: DataFrame, levels: tuple[str, ...]) -> tuple[DataFrame, float]:
+    """(levels..., n, s, prior, k) for each innermost site, and the mean of all documents.
 
-    prior is the host's posterior mean, k the strength with which a path is drawn towards it. Paths are summed first,
-    hosts from paths; only the three moments of each level come to the driver.
+    `levels` go from the whole site to its innermost part. prior is the posterior mean of the part around a site, which
+    is itself drawn towards that around it, and so on up to the mean; k is the strength with which the innermost sites
+    are drawn. Innermost sites are summed first, those around from them; only three moments of each level come to the
+    driver.
     """
-    paths = scored.groupBy(F.col(host_col).alias("host"), F.col(path_col).alias("path")).agg(F.count("*").alias("n"), F.sum("p").alias("s"))
-    paths = written(paths, "paths")
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
-    whole = hosts.agg(F.sum("hn").alias("n"), F.sum("hs").alias("s")).first()
+    inner = written(scored.groupBy(*levels).agg(F.count("*").alias("n"), F.sum("p").alias("s")), "paths")
+    whole = inner.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     if not whole.n:
-        return paths.select("host", "path", "n", "s", F.lit(0.5).alias("prior"), F.lit(1.0).alias("k")), 0.5
+        return inner.select("*", F.lit(0.5).alias("prior"), F.lit(1.0).alias("k")), 0.5
     mean = min(max(whole.s / whole.n / UNIT, 1e-6), 1 - 1e-6)
 
-    def moments(df: DataFrame, n: str, s: str, at) -> float:
-        off = F.col(s) / F.col(n) / UNIT - at
-        m = df.agg(F.sum(F.col(n) * F.col(n)).cast("double").alias("nn"), F.sum(F.round(F.col(n) * off * off * 1e9).cast("decimal(30,0)")).alias("sq"), F.count("*").alias("c")).first()
+    def moments(df: DataFrame) -> float:
+        off = F.col("s") / F.col("n") / UNIT - F.col("prior")
+        m = df.agg(F.sum(F.col("n") * F.col("n")).cast("double").alias("nn"), F.sum(F.round(F.col("n") * off * off * 1e9).cast("decimal(30,0)")).alias("sq"), F.count("*").alias("c")).first()
         return strength(float(whole.n), float(m.nn), float(m.sq) / 1e9, float(m.c), mean)
 
-    host_k = moments(hosts, "hn", "hs", F.lit(mean))
-    posterior = (F.col("hs") / UNIT + F.lit(host_k * mean)) / (F.col("hn") + F.lit(host_k))
-    both = paths.join(hosts.withColumnRenamed("host", "h"), paths.host.eqNullSafe(F.col("h"))).drop("h").withColumn("prior", posterior)
-    path_k = moments(both, "n", "s", F.col("prior"))
-    return both.select("host", "path", "n", "s", "prior", F.lit(path_k).alias("k")), mean
+    around = None  # posteriors of the level before
+    for depth in range(1, len(levels) + 1):
+        own = levels[:depth]
+        level = inner if depth == len(levels) else inner.groupBy(*own).agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+        if around is None:
+            level = level.withColumn("prior", F.lit(mean))
+        else:
+            same = [level[c].eqNullSafe(around[f"{c}_"]) for c in own[:-1]]
+            level = level.join(around, reduce(Column.__and__, same)).drop(*(f"{c}_" for c in own[:-1]))
+        k = moments(level)
+        posterior = (F.col("s") / UNIT + F.lit(k) * F.col("prior")) / (F.col("n") + F.lit(k))
+        if depth < len(levels):
+            around = level.select(*(F.col(c).alias(f"{c}_") for c in own), posterior.alias("prior"))
+    return level.select(*levels, "n", "s", "prior", F.lit(k).alias("k")), mean
 
 
-def site_quality(df: DataFrame, model: Logistic, host_col: str = "source", path_col: str = "lang", threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def site_posteriors(scored: DataFrame, host_col: str, path_col: str) -> tuple[DataFrame, float]:
+    """(host, path, n, s, prior, k) for each path, and the mean of all documents: nested_posteriors of two levels."""
+    return nested_posteriors(scored.select(F.col(host_col).alias("host"), F.col(path_col).alias("path"), "p"), ("host", "path"))
+
+
+def site_quality(df: DataFrame, model: Logistic, host_col: str = "source", path_col: str = "lang", threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", deeper: tuple[str, ...] = ()) -> DataFrame:
     """One row for each row of `df`: doc_id, p_doc, p_site, p_quality, kept.
 
-    Null hosts and paths are sites of their own. Null and empty texts get the model's value for no text. Rows that are
-    repeated count each. Sites join by their keys; Spark broadcasts them if they are few and splits hot ones if not.
+    Sites nest: host, path, and the columns `deeper`. Null hosts and paths are sites of their own. Null and empty texts
+    get the model's value for no text. Rows that are repeated count each. Sites join by their keys; Spark broadcasts them
+    if they are few and splits hot ones if not. A text is worked on as a whole, whatever its length.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"))
+    columns = (host_col, path_col, *deeper)
+    levels = tuple(f"level{k}" for k in range(len(columns)))
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).cast("string").alias(x) for c, x in zip(columns, levels, strict=True)))
     scored = written(document_scores(rows, model), "scored")
-    sites, mean = site_posteriors(scored, "host", "path")
-    sites = written(sites.select(F.col("host").alias("h"), F.col("path").alias("q"), "n", "s", "prior", "k"), "sites")
-    both = scored.join(sites, scored.host.eqNullSafe(F.col("h")) & scored.path.eqNullSafe(F.col("q")))
+    sites, mean = nested_posteriors(scored, levels)
+    sites = written(sites.select(*(F.col(x).alias(f"{x}_") for x in levels), "n", "s", "prior", "k"), "sites")
+    both = scored.join(sites, reduce(Column.__and__, (scored[x].eqNullSafe(sites[f"{x}_"]) for x in levels)))
     p = F.greatest(F.least(F.col("p") / UNIT, F.lit(1 - 1e-6)), F.lit(1e-6))
     site = ((F.col("s") - F.col("p")) / UNIT + F.col("k") * F.col("prior")) / (F.col("n") - 1 + F.col("k"))
     site = F.greatest(F.least(site, F.lit(1 - 1e-6)), F.lit(1e-6))
@@ -218,3 +246,12 @@ def op4_hierarchical_quality(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
     model = fit_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return site_quality(docs, model)
+
+
+def page_site_quality(spark, sf_dir: str) -> DataFrame:
+    """Quality of every page from its text and the pages of its host, its first path segment, and its first two."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    model = fit_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    host, path, inner = url_site(F.col("url"), 2)
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", page_text(F.col("html")).alias("text"), host.alias("host"), path.alias("path"), inner.alias("inner"))
+    return site_quality(pages, model, "host", "path", id_col="page_id", deeper=("inner",)).withColumnRenamed("doc_id", "page_id")

@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame
 
 from quern.llm.dialogue import op11_conversation_repair
-from quern.llm.hierbayes import op4_hierarchical_quality
+from quern.llm.hierbayes import op4_hierarchical_quality, page_site_quality
 from quern.llm.linededup import op3_fuzzy_lines
 from quern.llm.neardup import op6_hamming_neardup
 from quern.llm.ordermin import op7_order_minhash
@@ -48,6 +48,7 @@ _ALL = {
     "op11_conversation_repair": op11_conversation_repair,
     "op12_importance_resampling": op12_importance_resampling,
     "op13_embedding_neardup": op13_embedding_neardup,
+    "page_site_quality": page_site_quality,
 }
 QUERIES = {name: shipped(query) for name, query in _ALL.items()}
 

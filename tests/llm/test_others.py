@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -252,6 +253,47 @@ def test_site_posteriors_against_brute_force(spark):
         assert got[key] == pytest.approx((n, s * 1e6, prior[key[0]], path_k), rel=1e-6)
 
 
+def test_pages_against_brute_force(spark):
+    """Host, first and first two path segments: three nested levels, with nulls and repeated rows."""
+    at = "/root/testdata/sf0.001"
+    got = {}
+    for r in H.page_site_quality(spark, at).collect():
+        got[r.page_id] = r
+    pages = spark.read.parquet(f"{at}/pages.parquet")
+    host, path, inner = H.url_site(F.col("url"), 2)
+    texts = {r.page_id: (r.t, (r.h, r.p, r.i)) for r in pages.select("page_id", H.page_text(F.col("html")).alias("t"), host.alias("h"), path.alias("p"), inner.alias("i")).collect()}
+    assert all(i.startswith(p) for _, (_, p, i) in texts.values()) and not any("<" in t and "script" in t for t, _ in texts.values())
+    model = H.fit_documents(spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet"))
+    rows = [(k, round(float(model.probability(H.features([t]))[0]) * 1e6), site) for k, (t, site) in texts.items()]
+    whole = sum(p for _, p, _ in rows) / len(rows) / 1e6
+    prior, k = {(): whole}, 0.0
+    for depth in (1, 2, 3):
+        sums: dict = {}
+        for _, p, site in rows:
+            n, s = sums.get(site[:depth], (0, 0.0))
+            sums[site[:depth]] = n + 1, s + p / 1e6
+        within, squares = whole * (1 - whole), sum(n * (s / n - prior[x[:-1]]) ** 2 for x, (n, s) in sums.items())
+        size = len(rows) - sum(n * n for n, _ in sums.values()) / len(rows)
+        between = (squares - (len(sums) - 1) * within) / size if size > 0 else 0
+        k = min(max(within / between - 1, 1.0), 1e6) if between > 0 else 1e6
+        around, prior = prior, {x: (s + k * prior[x[:-1]]) / (n + k) for x, (n, s) in sums.items()}
+    for page, p, site in rows:
+        n, s = sums[site]
+        own = (s - p / 1e6 + k * around[site[:-1]]) / (n - 1 + k)
+        odds = math.log(p / 1e6 / (1 - p / 1e6)) + math.log(own / (1 - own)) - math.log(whole / (1 - whole))
+        r = got[page]
+        assert (r.p_doc, r.p_site, r.p_quality) == pytest.approx((p / 1e6, own, 1 / (1 + math.exp(-odds))), abs=3e-6)
+    assert len(got) == len(rows) == pages.count()
+
+
+def test_page_text(spark):
+    html = "<html><style>p{x}</style><p>a &amp;lt; b</p><!-- no --><SCRIPT>var x='</p>';</SCRIPT><b>c</b>&nbsp;d</html>"
+    df = spark.createDataFrame([(html,), (None,), ("",)], "html string").select(H.page_text(F.col("html")).alias("t"))
+    assert [r.t for r in df.collect()] == ["a &lt; b\nc\n d", None, ""]
+    url = spark.createDataFrame([("http://A.b:80/x/y/z?q",), ("https://h",), (None,), ("nonsense",)], "url string").select(*(c.alias(f"c{k}") for k, c in enumerate(H.url_site(F.col("url"), 3))))
+    assert [tuple(r) for r in url.collect()] == [("a.b", "/x", "/x/y", "/x/y/z"), ("h", "/", "/", "/"), (None, None, None, None), (None, "/", "/", "/")]
+
+
 def test_url_sites_and_bounded_sample(spark):
     urls = [("https://User@Example.org:80/a/b?c#d", ("example.org", "/a")), ("http://x.com", ("x.com", "/")), ("x.com/a", (None, "/")), (None, (None, None))]
     df = spark.createDataFrame([(u,) for u, _ in urls], "url string").select(*H.url_site(F.col("url")))
