@@ -289,7 +289,7 @@ def test_pages_against_brute_force(spark):
 def test_page_text(spark):
     html = "<html><style>p{x}</style><p>a &amp;lt; b</p><!-- no --><SCRIPT>var x='</p>';</SCRIPT><b>c</b>&nbsp;d</html>"
     df = spark.createDataFrame([(html,), (None,), ("",)], "html string").select(H.page_text(F.col("html")).alias("t"))
-    assert [r.t for r in df.collect()] == ["a &lt; b\nc\n d", None, ""]
+    assert [r.t for r in df.collect()] == ["a &lt; b\nc\nd", None, ""]
     url = spark.createDataFrame([("http://A.b:80/x/y/z?q",), ("https://h",), (None,), ("nonsense",)], "url string").select(*(c.alias(f"c{k}") for k, c in enumerate(H.url_site(F.col("url"), 3))))
     assert [tuple(r) for r in url.collect()] == [("a.b", "/x", "/x/y", "/x/y/z"), ("h", "/", "/", "/"), (None, None, None, None), (None, "/", "/", "/")]
 
