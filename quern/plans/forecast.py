@@ -15,7 +15,7 @@ from quern.config import FACTOR_CLIP, LEVEL_DAYS, SHAPE_OBS, STEP_TAU, TREND_CLI
 from quern.functions.calendar import multiplier_group
 from quern.operators import events as E
 from quern.operators import rolling as R
-from quern.session import written
+from quern.session import written_together
 
 
 @dataclass
@@ -124,11 +124,12 @@ def levels(x: Inputs, shape: DataFrame, by_day: DataFrame | None, step: bool = T
 
 def hand(x: Inputs, k: int = SHAPE_OBS, step: bool = True, mode: str = "drifting", trend: bool = False, vacation: bool = False, split: bool = False, decayed: bool = True) -> DataFrame:
     """Shape, damp-aware level, event factors and series multipliers; the rest are variants, off by default."""
-    shape = R.weekday_shape(x.clean, x.cutoffs, k)
     # Small tables that several parts read; the level's shape is read twice.
-    shape = written(shape, "shape")
-    factors = written(E.special_factors(E.event_evidence(x.net, x.special), x.cutoffs, mode), "factors")
-    damp = E.damp_factors(E.damp_pairs(x.net, x.special, x.damped), x.damped, x.cutoffs, mode)
+    shape, factors, damp = written_together(
+        shape=R.weekday_shape(x.clean, x.cutoffs, k),
+        factors=E.special_factors(E.event_evidence(x.net, x.special), x.cutoffs, mode),
+        damp=E.damp_factors(E.damp_pairs(x.net, x.special, x.damped), x.damped, x.cutoffs, mode),
+    )
     by_day = E.damp_by_day(x.damped, damp)
     mult = E.series_multipliers(x.panel, x.special, factors, x.cutoffs, split, decayed)
     level = levels(x, shape, by_day, step and not trend)

@@ -24,7 +24,7 @@ from quern.plans import tablefn as U
 from quern.plans.evaluate import evaluate
 from quern.plans import trees as T
 from quern.plans.oracle import ORACLE as ORACLE
-from quern.session import shared_dir, table, written
+from quern.session import local, shared_dir, table, written
 from quern.sources import captures as K
 from quern.sources import files as S
 from quern.sources import payload as Y
@@ -37,7 +37,8 @@ SLICE = 4_000
 
 
 class World:
-    """Tables of one input folder. The panel and the calendars, which all estimates read many times, are written once."""
+    """Tables of one input folder. The panel, which all estimates read many times, is written once; the membership and the
+    calendars, whose size the configuration sets, are rows within the plans."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, config: PanelConfig = DEFAULT, dates: tuple | None = None):
         self.spark, self.dir, self.config = spark, sf_dir, config
@@ -53,7 +54,7 @@ class World:
 
     @cached_property
     def member(self) -> DataFrame:
-        return written(I.membership(self.account_days, self.config).coalesce(1), "members")
+        return local(I.membership(self.account_days, self.config))
 
     @cached_property
     def series(self) -> DataFrame:
@@ -69,11 +70,11 @@ class World:
 
     @cached_property
     def special(self) -> DataFrame:
-        return written(C.special_days(self.spark, self.config).coalesce(1), "special")
+        return local(C.special_days(self.spark, self.config))
 
     @cached_property
     def damp(self) -> DataFrame:
-        return written(C.damp_days(self.spark, self.config).coalesce(1), "damp")
+        return local(C.damp_days(self.spark, self.config))
 
     @cached_property
     def cutoffs(self) -> DataFrame:

@@ -9,6 +9,7 @@ import tempfile
 import time
 import uuid
 import zipfile
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,22 +52,45 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write `df` as Parquet into the shared folder and read it back: lineage ends here and survives lost executors."""
+    """Write `df` as Parquet into the shared folder and read it back: lineage ends here and survives lost executors.
+
+    A table that is not discarded before is deleted when the application ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quern-{name}-{uuid.uuid4().hex}"
     # Small row groups: a writer holds one in memory, and texts are long.
     df.write.option("compression", "zstd").option("parquet.block.size", str(32 << 20)).parquet(path)
+    _folder(spark, path).deleteOnExit(_hadoop_path(spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._quern_path = path
     return out
 
 
+def written_together(**tables: DataFrame) -> list[DataFrame]:
+    """Tables that do not depend on each other, planned and written at the same time."""
+    with ThreadPoolExecutor(len(tables)) as pool:
+        return list(pool.map(lambda item: written(item[1], item[0]), tables.items()))
+
+
+def local(df: DataFrame) -> DataFrame:
+    """A table whose size the configuration bounds (calendar days, ranked accounts), as rows within the plans that use it."""
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _folder(spark: SparkSession, path: str):
+    """The file system of a path."""
+    return _hadoop_path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete tables of `written` that nothing reads any more; anything else is left alone."""
     for t in tables:
         if path := getattr(t, "_quern_path", None):
-            p = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _folder(t.sparkSession, path).delete(_hadoop_path(t.sparkSession, path), True)
 
 
 def release(spark: SparkSession) -> None:
