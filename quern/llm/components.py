@@ -307,6 +307,10 @@ def compare_units(rows: DataFrame, percent: int, least: int, first_key: Callable
         out = {k: b.column(k).to_numpy() for k in (*UNIT, *(["n"] if "n" in kinds else []))}
         if "text" in kinds:
             out["text"] = np.array(b.column("text").to_pylist(), object)
+        if "set" in kinds:
+            column = b.column("set")
+            out["set"] = np.empty(b.num_rows, object)
+            out["set"][:] = np.split(column.flatten().to_numpy().view(np.uint64), np.cumsum(column.value_lengths().to_numpy())[:-1])
         for k in lists:
             # Binary values or lists of longs, all of one length.
             kept = b.column(k)
@@ -359,7 +363,7 @@ def linked_pairs(rest: DataFrame, traits: DataFrame, texts: DataFrame, percent:
     """(a, b): links that join the components of `rest` (key, id, c), as many as it takes.
 
     First by `traits` (id, n, sketch, bytes): rows that have no close pair in their unit go. Then the others' `texts` (id,
-    n, sketch, sig, text) meet in the same units. What is given out grows with rows, not with pairs.
+    n, sketch, sig, and text or set) meet in the same units. What is given out grows with rows, not with pairs.
     """
     near = written(compare_units(units(rest, traits), percent, least, None, None, True), "near")
     return compare_units(near.join(texts, "id"), percent, least, first_key, exact, False).distinct()

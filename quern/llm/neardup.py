@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.components import bucket_members, close_pairs, link_buckets, may_hold
+from quern.llm.components import bucket_members, link_buckets, linked_pairs, may_hold
 from quern.llm.pretok import lean, slices
 from quern.llm.shingles import minhash, set_digest, shingle_sets, sketch, sketch_least
 from quern.session import written
@@ -129,6 +129,15 @@ def _keyed(layout: Layout, only: Broadcast | None):
     return run
 
 
+def in_common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many numbers two sorted sets share."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return int((b[at] == a).sum())
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         at = 0
@@ -172,9 +181,16 @@ def near_duplicates(df: DataFrame, percent: int = 85, id_col: str = "doc_id", te
         common = both.select("a", "b", F.size(F.array_intersect("s_a", "s_b")).alias("i"), (F.size("s_a") + F.size("s_b")).alias("t"))
         return common.filter(F.lit(100) * F.col("i") >= F.lit(percent) * (F.col("t") - F.col("i"))).select("a", "b")
 
+    def exact(rows: dict, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        common = np.array([in_common(x, y) for x, y in zip(rows["set"][p], rows["set"][q], strict=True)], np.int64)
+        ok = 100 * common >= percent * (rows["n"][p] + rows["n"][q] - common)
+        return p[ok], q[ok]
+
     def rest_of(rest: DataFrame, tried: DataFrame) -> DataFrame:
-        pairs = close_pairs(rest, short.join(sets.select("id", "sketch"), "id"), percent, sketch_least(percent), partial(first_shared_key, layout=layout))
-        return verify(written(pairs.join(tried, ["a", "b"], "left_anti"), "tried"))
+        sketched = short.join(sets, "id")
+        traits = sketched.select("id", "n", "sketch", (F.col("n") * 8).alias("bytes"))
+        whole = sketched.select("id", "n", "sig", "sketch", F.col("shingles").alias("set"))
+        return linked_pairs(rest, traits, whole, percent, sketch_least(percent), partial(first_shared_key, layout=layout), exact)
 
     linked = link_buckets(members, verify, rest_of)
     least = linked.join(classes.select(F.col("id").alias("node"), "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
