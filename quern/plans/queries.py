@@ -24,7 +24,7 @@ from quern.plans import tablefn as U
 from quern.plans.evaluate import evaluate
 from quern.plans import trees as T
 from quern.plans.oracle import ORACLE as ORACLE
-from quern.session import local, shared_dir, table, written
+from quern.session import local, shared_dir, ship, table, written
 from quern.sources import captures as K
 from quern.sources import files as S
 from quern.sources import payload as Y
@@ -41,6 +41,7 @@ class World:
     calendars, whose size the configuration sets, are rows within the plans."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, config: PanelConfig = DEFAULT, dates: tuple | None = None):
+        ship(spark)  # for tree models, table functions and data sources, which run in Python workers
         self.spark, self.dir, self.config = spark, sf_dir, config
         self.dates = dates or config.cutoffs
 
