@@ -9,7 +9,7 @@ import time
 from quern.plans.queries import QUERIES
 from quern.session import get_spark
 
-HEADLINE = ("daily_counts", "dense_panel", "per_cutoff", "stage1_backtest", "rolling_levels", "special_factors", "damp_factors", "shape_level_forecast", "hand_forecast", "stage3_hand_backtest", "lag_features", "blend_forecast")
+HEADLINE = ("daily_counts", "dense_panel", "per_cutoff", "stage1_backtest", "rolling_levels", "special_factors", "damp_factors", "shape_level_forecast", "hand_forecast", "stage3_hand_backtest", "lag_features", "blend_forecast", "stage1_gbt_backtest")
 
 
 def main() -> None:
