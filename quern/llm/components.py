@@ -354,11 +354,6 @@ def compare_units(rows: DataFrame, percent: int, least: int, first_key: Callable
     return placed.mapInArrow(run, _UNIT if rows_out else "a long, b long")
 
 
-def close_pairs(rest: DataFrame, traits: DataFrame, percent: int, least: int, first_key: Callable | None = None) -> DataFrame:
-    """(a, b): pairs of `rest` (key, id, c) with a common key and different c that `traits` (id, sketch[, n, sig]) allow."""
-    return compare_units(units(rest, traits), percent, least, first_key, None, False).distinct()
-
-
 def linked_pairs(rest: DataFrame, traits: DataFrame, texts: DataFrame, percent: int, least: int, first_key: Callable, exact: Callable) -> DataFrame:
     """(a, b): links that join the components of `rest` (key, id, c), as many as it takes.
 
@@ -369,13 +364,12 @@ def linked_pairs(rest: DataFrame, traits: DataFrame, texts: DataFrame, percent:
     return compare_units(near.join(texts, "id"), percent, least, first_key, exact, False).distinct()
 
 
-def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rest_of: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rest_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, component) of the ids that `verify` links, as if all pairs of ids with a common key had been verified.
 
     `verify` takes pairs (a, b) and returns those that are linked. A pair within a component tells nothing new, so:
     first each id meets the least of its leads, then its other leads. Then, in keys that still hold several components,
-    ids of different components meet: `rest_of` gives links of rows (key, id, c) that join them, with the pairs tried so
-    far at hand. A large group of alike ids takes a pair for each id in the first two rounds, and none in the third.
+    ids of different components meet: `rest_of` gives links of rows (key, id, c) that join them. A large group of alike ids takes a pair for each id in the first two rounds, and none in the third.
     """
     stars = members.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))
     spark = members.sparkSession
@@ -387,13 +381,13 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], r
     new = stars.distinct().join(tried, ["a", "b"], "left_anti").join(a, "a", "left").join(b, "b", "left")
     second = written(new.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "tried")
     if not second.isEmpty():
-        tried, comp = tried.union(second), components(written(verify(second), "linked"), comp)
+        comp = components(written(verify(second), "linked"), comp)
         release(spark)
     now = members.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     mixed = now.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("key")
     rest = written(now.join(mixed, "key"), "mixed")
     if not rest.isEmpty():
-        comp = components(written(rest_of(rest, tried), "linked"), comp)
+        comp = components(written(rest_of(rest), "linked"), comp)
         release(spark)
     discard(rest)
     return comp

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.components import bucket_members, link_buckets, linked_pairs, may_hold, number_filter
@@ -335,7 +335,7 @@ def _removals(df: DataFrame, percent: int, id_col: str, text_col: str) -> tuple[
         at = _alike(rows["text"][p].tolist(), rows["text"][q].tolist(), rows["n"][p] + rows["n"][q], percent)
         return p[at], q[at]
 
-    def rest_of(rest: DataFrame, tried: DataFrame) -> DataFrame:
+    def rest_of(rest: DataFrame) -> DataFrame:
         traits = texts.select("id", "n", "sketch", F.octet_length("text").alias("bytes"))
         return linked_pairs(rest, traits, texts.drop("check"), percent, sketch_least(percent, BINS), first_shared_key, exact)
 

@@ -186,7 +186,7 @@ def near_duplicates(df: DataFrame, percent: int = 85, id_col: str = "doc_id", te
         ok = 100 * common >= percent * (rows["n"][p] + rows["n"][q] - common)
         return p[ok], q[ok]
 
-    def rest_of(rest: DataFrame, tried: DataFrame) -> DataFrame:
+    def rest_of(rest: DataFrame) -> DataFrame:
         sketched = short.join(sets, "id")
         traits = sketched.select("id", "n", "sketch", (F.col("n") * 8).alias("bytes"))
         whole = sketched.select("id", "n", "sig", "sketch", F.col("shingles").alias("set"))

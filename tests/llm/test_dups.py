@@ -211,7 +211,7 @@ def test_keys_of_many_rows_are_compared_in_blocks(spark, monkeypatch):
     more = spark.createDataFrame(traits, "id long, n long, sketch array<long>")
     for block in (20_000, 7):
         monkeypatch.setattr(C, "BLOCK", block)
-        assert {tuple(r) for r in C.close_pairs(rest, more, 85, SKETCH - 9).collect()} == want
+        assert {tuple(r) for r in C.compare_units(C.units(rest, more), 85, SKETCH - 9, None, None, False).collect()} == want
 
 
 def test_ids_that_agree_in_parts_of_their_hashes_share_keys(spark):
@@ -269,7 +269,7 @@ def test_linked_pairs_within_blocks_join_components_once(spark, monkeypatch):
     rows = [(k, 100, [7, 7], [1, 2], "x" * (k % 5)) for k in range(200)] + [(500, 100, [8, 8], [3, 3], "")]
     texts = spark.createDataFrame(rows, "id long, n long, sketch array<long>, sig array<long>, text string")
     traits = texts.select("id", "n", "sketch", F.octet_length("text").alias("bytes"))
-    every = {tuple(r) for r in C.close_pairs(rest, texts.select("id", "n", "sketch"), 80, 16).collect()}
+    every = {tuple(r) for r in C.compare_units(C.units(rest, texts.select("id", "n", "sketch")), 80, 16, None, None, False).collect()}
     assert len(every) == (200**2 - 2 * 67**2 - 66**2) // 2
     near = C.compare_units(C.units(rest, traits), 80, 16, None, None, True)
     assert {(r.key, r.id) for r in near.collect()} == {(key, k) for key in (1, 2) for k in range(200)}
