@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.config import FACTOR_CLIP, LEVEL_DAYS, SHAPE_OBS, STEP_TAU, TREND_CLIP, TREND_DAMP, TREND_K
+from quern.config import LEVEL_DAYS, SHAPE_OBS, STEP_TAU, TREND_CLIP, TREND_DAMP, TREND_K
 from quern.functions.calendar import multiplier_group
 from quern.operators import events as E
 from quern.operators import rolling as R

@@ -192,3 +192,18 @@ def test_later_days_do_not_change_a_cutoff(spark):
         got[dates] = {(r.series_id, r.date): r.yhat for r in T.gradient_boosted(w.inputs, p).collect() if r.cutoff == dt.date.fromisoformat(first)}
     a, b = got.values()
     assert len(a) == 210 and any(a.values()) and a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+
+
+def test_blends_of_heads(spark):
+    from quern.plans import forecast as P
+    from quern.plans import trees as T
+    from quern.plans.queries import World
+
+    x, p = World(spark, "/root/testdata/sf0.01", dates=("1999-05-10",)).inputs, Boosting(rounds=2, leaves=5)
+    by_cell = lambda df: {(r.series_id, r.date): r.yhat for r in df.collect()}
+    hand, l1, l2 = (by_cell(df) for df in (P.hand(x), *T.heads(x, p)))
+    thirds, full = by_cell(T.thirds(x, p)), by_cell(T.full_blend(x, p))
+    assert len(thirds) == len(full) == 210 and l1 != l2
+    assert all(abs(thirds[k] - (hand[k] + l1[k] + l2[k]) / 3) < 1e-9 for k in thirds)
+    assert all(min(hand[k], l1[k], l2[k]) - 1e-9 <= full[k] <= max(hand[k], l1[k], l2[k]) + 1e-9 for k in full)
+    assert {"gbt", "gbt_first", "gbt_squared", "thirds", "full_blend"} <= T.ALL.keys()
