@@ -281,9 +281,8 @@ def units(rest: DataFrame, traits: DataFrame) -> DataFrame:
     number of rows, and of `bytes` if the traits have them. Two blocks of the largest component have nothing to compare,
     so a key whose ids are nearly all linked already takes work in proportion to its rows.
     """
-    rows = rest.join(traits, "id")
-    size = F.col("bytes") if "bytes" in traits.columns else F.lit(0)
-    kinds = rows.groupBy("key", "c").agg(F.count("*").alias("n"), F.sum(size).alias("bytes"))
+    rows = rest.join(traits.select("id", "bytes"), "id") if "bytes" in traits.columns else rest.withColumn("bytes", F.lit(0))
+    kinds = rows.groupBy("key", "c").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
     kinds = kinds.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"), F.sum("bytes").alias("total")).filter("all > most")
     blocks = lambda n: F.ceil(F.greatest(n / BLOCK, F.col("total") / BLOCK_BYTES, F.lit(1))).cast("int")
     kinds = kinds.select("key", "main", blocks(F.col("most")).alias("m"), blocks(F.col("all") - F.col("most")).alias("g"))
@@ -291,7 +290,8 @@ def units(rest: DataFrame, traits: DataFrame) -> DataFrame:
     rows = rows.withColumn("own", F.when(F.col("c") == F.col("main"), F.pmod("spread", "m")).otherwise(F.col("m") + F.pmod("spread", "g")).cast("int"))
     first = F.when(F.col("own") < F.col("m"), F.col("m")).otherwise(0)
     rows = rows.withColumn("other", F.explode(F.sequence(first, F.col("m") + F.col("g") - 1)))
-    return rows.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("other", "main", "m", "g", "spread", "bytes")
+    rows = rows.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).select(*UNIT)
+    return rows.join(traits.drop("bytes"), "id")  # last, so that wide traits are dealt to their units only
 
 
 def compare_units(rows: DataFrame, percent: int, least: int, first_key: Callable | None, exact: Callable | None, rows_out: bool) -> DataFrame:
@@ -361,6 +361,7 @@ def linked_pairs(rest: DataFrame, traits: DataFrame, texts: DataFrame, percent:
     n, sketch, sig, and text or set) meet in the same units. What is given out grows with rows, not with pairs.
     """
     near = written(compare_units(units(rest, traits), percent, least, None, None, True), "near")
+    release(rest.sparkSession)
     return compare_units(near.join(texts, "id"), percent, least, first_key, exact, False).distinct()
 
 

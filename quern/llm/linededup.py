@@ -324,6 +324,7 @@ def _removals(df: DataFrame, percent: int, id_col: str, text_col: str) -> tuple[
     def compared(pairs: DataFrame) -> DataFrame:
         """Only texts of these pairs are fetched; where the ids of the pairs are few they are sent to the texts."""
         pairs = written(pairs, "near")
+        release(pairs.sparkSession)
         some = texts
         if pairs.count() < FEW:
             ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
