@@ -254,6 +254,11 @@ def tree_blends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out)
 
 
+def full_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blend of the hand-made head and two tree heads, of absolute and squared loss, by burstiness."""
+    return rounded(T.full_blend(World(spark, sf_dir).inputs, T.FIRST))
+
+
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream of files."""
     path = f"{sf_dir}/events.parquet"
@@ -330,6 +335,7 @@ QUERIES |= {
     "stage1_gbt_backtest": lambda spark, sf_dir: stage_backtest(spark, sf_dir, "stage1", "gbt_first"),
     "gbt_forecast": gbt_forecast,
     "tree_blends": tree_blends,
+    "full_blend": full_blend,
     "streamed_daily_events": streamed_daily_events,
     "closed_daily_events": closed_daily_events,
     "panel_refreshed": panel_refreshed,
