@@ -180,6 +180,8 @@ def bucket_members(rows: DataFrame, keyed: Callable[[Broadcast | None], Callable
 
 #: Rows of a key that one block holds; a key of more rows is compared block by block, in tasks of their own.
 BLOCK = 20_000
+#: A key of so many rows at most, and a block's bytes, is one unit: each row is there once.
+FEW = 64
 #: Bytes of text that a block holds on average.
 BLOCK_BYTES = 16 << 20
 #: Pairs compared at once.
@@ -199,7 +201,8 @@ def _near(rows: dict, p: np.ndarray, q: np.ndarray, least: int, percent: int, fi
         keep(100 * np.minimum(n, m) >= percent * np.maximum(n, m))
     keep(agreement(rows["sketch"][p], rows["sketch"][q]) >= least)
     if first_key is not None and len(p):
-        keep(first_key(rows["sig"][p], rows["sig"][q], rows["key"][p]))
+        sig = rows.get("sig", rows["sketch"])
+        keep(first_key(sig[p], sig[q], rows["key"][p]))
     return p, q
 
 
@@ -279,17 +282,18 @@ def units(rest: DataFrame, traits: DataFrame) -> DataFrame:
     The rows of a key are split into blocks by a hash of the id, those of its largest component and the others apart, and
     each pair of blocks is a unit of work, so neither memory nor time of a task grows with the key. A block has a bounded
     number of rows, and of `bytes` if the traits have them. Two blocks of the largest component have nothing to compare,
-    so a key whose ids are nearly all linked already takes work in proportion to its rows.
+    so a key whose ids are nearly all linked already takes work in proportion to its rows. A key of few rows is one unit.
     """
     rows = rest.join(traits.select("id", "bytes"), "id") if "bytes" in traits.columns else rest.withColumn("bytes", F.lit(0))
     kinds = rows.groupBy("key", "c").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
     kinds = kinds.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"), F.sum("bytes").alias("total")).filter("all > most")
     blocks = lambda n: F.ceil(F.greatest(n / BLOCK, F.col("total") / BLOCK_BYTES, F.lit(1))).cast("int")
-    kinds = kinds.select("key", "main", blocks(F.col("most")).alias("m"), blocks(F.col("all") - F.col("most")).alias("g"))
+    few = (F.col("all") <= min(FEW, BLOCK)) & (F.col("total") <= BLOCK_BYTES)
+    kinds = kinds.select("key", "main", blocks(F.col("most")).alias("m"), blocks(F.col("all") - F.col("most")).alias("g"), few.alias("few"))
     rows = rows.join(kinds, "key").withColumn("spread", F.xxhash64("id"))
-    rows = rows.withColumn("own", F.when(F.col("c") == F.col("main"), F.pmod("spread", "m")).otherwise(F.col("m") + F.pmod("spread", "g")).cast("int"))
+    rows = rows.withColumn("own", F.when(F.col("few"), 0).when(F.col("c") == F.col("main"), F.pmod("spread", "m")).otherwise(F.col("m") + F.pmod("spread", "g")).cast("int"))
     first = F.when(F.col("own") < F.col("m"), F.col("m")).otherwise(0)
-    rows = rows.withColumn("other", F.explode(F.sequence(first, F.col("m") + F.col("g") - 1)))
+    rows = rows.withColumn("other", F.explode(F.when(F.col("few"), F.array(F.lit(0))).otherwise(F.sequence(first, F.col("m") + F.col("g") - 1))))
     rows = rows.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).select(*UNIT)
     return rows.join(traits.drop("bytes"), "id")  # last, so that wide traits are dealt to their units only
 
@@ -298,10 +302,11 @@ def compare_units(rows: DataFrame, percent: int, least: int, first_key: Callable
     """Close pairs within units: of different c, of sizes n that allow `percent`, of sketches that agree in `least` bytes,
     and in the unit of the key that `first_key` picks, if given (of several keys that a pair shares one).
 
-    With `rows_out`, the rows that have a close pair (UNIT columns); else (a, b). With `exact`, which picks the pairs that
+    With `rows_out`, the rows that have a close pair (UNIT columns, and sketches if `first_key` is told these); else (a, b). With `exact`, which picks the pairs that
     are linked, one pair is given for each two components that are compared together: more would tell nothing new.
     """
     kinds, lists = dict(rows.dtypes), [c for c in ("sketch", "sig") if c in rows.columns]
+    with_sketch = rows_out and first_key is not None
 
     def arrays(b: pa.RecordBatch) -> dict:
         out = {k: b.column(k).to_numpy() for k in (*UNIT, *(["n"] if "n" in kinds else []))}
@@ -328,7 +333,10 @@ def compare_units(rows: DataFrame, percent: int, least: int, first_key: Callable
                 a, b = group["id"][p], group["id"][q]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
         if some.any():
-            yield pa.RecordBatch.from_arrays([pa.array(group[k][some]) for k in UNIT], names=list(UNIT))
+            cols = [pa.array(group[k][some]) for k in UNIT]
+            if with_sketch:
+                cols.append(pa.array([x.tobytes() for x in group["sketch"][some]], pa.binary()))
+            yield pa.RecordBatch.from_arrays(cols, names=[*UNIT, "sketch"][: len(cols)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -351,29 +359,37 @@ def compare_units(rows: DataFrame, percent: int, least: int, first_key: Callable
             yield from compared(held)
 
     placed = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "own", "id")
-    return placed.mapInArrow(run, _UNIT if rows_out else "a long, b long")
+    return placed.mapInArrow(run, _UNIT + ", sketch binary" * with_sketch if rows_out else "a long, b long")
 
 
-def linked_pairs(rest: DataFrame, traits: DataFrame, texts: DataFrame, percent: int, least: int, first_key: Callable, exact: Callable) -> DataFrame:
+def linked_pairs(rest: DataFrame, traits: DataFrame, texts: DataFrame | Callable[[DataFrame], DataFrame], percent: int, least: int, first_key: Callable, exact: Callable) -> DataFrame:
     """(a, b): links that join the components of `rest` (key, id, c), as many as it takes.
 
     First by `traits` (id, n, sketch, bytes): rows that have no close pair in their unit go. Then the others' `texts` (id,
-    n, sketch, sig, and text or set) meet in the same units. What is given out grows with rows, not with pairs.
+    n, sketch, sig, and text or set) meet in the same units. What is given out grows with rows, not with pairs. `texts`
+    may be a function of the rows (id) whose texts are wanted, to (id, n, text); then `first_key` is told sketches, so
+    that it picks the unit of a pair from the start.
     """
-    near = written(compare_units(units(rest, traits), percent, least, None, None, True), "near")
+    near = written(compare_units(units(rest, traits), percent, least, first_key if callable(texts) else None, None, True), "near")
     release(rest.sparkSession)
-    return compare_units(near.join(texts, "id"), percent, least, first_key, exact, False).distinct()
+    whole = texts(near.select("id")) if callable(texts) else texts
+    return compare_units(near.join(whole, "id"), percent, least, first_key, exact, False).distinct()
 
 
-def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rest_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rest_of: Callable[[DataFrame], DataFrame], sift: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, component) of the ids that `verify` links, as if all pairs of ids with a common key had been verified.
 
     `verify` takes pairs (a, b) and returns those that are linked. A pair within a component tells nothing new, so:
     first each id meets the least of its leads, then its other leads. Then, in keys that still hold several components,
-    ids of different components meet: `rest_of` gives links of rows (key, id, c) that join them. A large group of alike ids takes a pair for each id in the first two rounds, and none in the third.
+    ids of different components meet: `rest_of` gives links of rows (key, id, c) that join them. Leads have met all ids of
+    their keys by then and stay away. A large group of alike ids takes a pair for each id in the first two rounds, and
+    none in the third. `sift`, if given, leaves out pairs (lead, id) that cannot be linked before all that; what it
+    returns is written.
     """
     stars = members.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))
     spark = members.sparkSession
+    if sift is not None:
+        stars = sift(stars.distinct())
     tried = written(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "tried")
     comp = components(written(verify(tried), "linked"))
     release(spark)
@@ -384,7 +400,8 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], r
     if not second.isEmpty():
         comp = components(written(verify(second), "linked"), comp)
         release(spark)
-    now = members.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    others = members.filter("id <> lead")
+    now = others.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     mixed = now.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("key")
     rest = written(now.join(mixed, "key"), "mixed")
     if not rest.isEmpty():

@@ -17,8 +17,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.components import bucket_members, link_buckets, linked_pairs, may_hold, number_filter
-from quern.llm.ordermin import distinct, mix
+from quern.llm.components import agreement, bucket_members, link_buckets, linked_pairs, may_hold, number_filter
+from quern.llm.ordermin import distinct
 from quern.llm.pretok import lean, slices
 from quern.llm.shingles import mix32, one_permutation, sketch_least, sketches
 from quern.session import discard, release, written
@@ -30,10 +30,9 @@ BANDS, ROWS = 24, 5
 BINS = BANDS * ROWS
 #: Lines are signed in slices of about so many characters, which stay in the processor's cache.
 CHARS = 200_000
-_P = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = [np.uint32(pow(0x9E3779B1, k, 1 << 32)) for k in range(WIDTH)]
-#: Pairs whose ids may be broadcast: at most so many.
-FEW = 200_000
+#: Lines that a task remembers, so as not to sign them again.
+SEEN = 200_000
 #: Parts that the lines of a component are dealt into where they are told its first line.
 SALTS = 32
 BLANK = " \t\n\x0b\x0c\r"
@@ -70,13 +69,15 @@ def signatures(lines: list[str]) -> np.ndarray:
     return one_permutation(*shingle_hashes(lines), BINS)
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    """(lines, BANDS) keys of 48 bits."""
-    parts = sig.reshape(len(sig), BANDS, ROWS).astype(np.uint64)
-    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), parts.shape[:2])
-    for r in range(ROWS):
-        key = mix(key * _P + parts[:, :, r])
-    return (key >> np.uint64(16)).astype(np.int64)
+def band_keys(sketch: np.ndarray) -> np.ndarray:
+    """(lines, BANDS) keys of 48 bits: the number of the band and a byte of each of its values.
+
+    They come from the sketches, so lines that agree in a band's values share its key, and sketches are all that is kept.
+    """
+    wide = np.zeros((len(sketch), BANDS, 8), np.uint8)
+    wide[:, :, :ROWS] = sketch.reshape(-1, BANDS, ROWS)
+    wide[:, :, ROWS] = np.arange(1, BANDS + 1)
+    return wide.view("<i8")[:, :, 0]
 
 
 def line_id(line: str) -> int:
@@ -92,48 +93,41 @@ def text_id(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode(), seed=3) - (1 << 63)
 
 
+DOCUMENT = "doc_id long, text_id long, ids array<long>, checks array<long>, numbers array<int>, fresh array<long>, sizes array<int>, sketches binary"
+
+
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document: the hashes of its lines and their numbers."""
+    """A row for each document: the hashes of its lines and their numbers, and ids, bytes and sketches of the lines that
+    this task has not met before, as far as a bounded memory goes."""
+    seen: set[int] = set()
     for b in batches:
         at = 0
         for part in slices([t or "" for t in b.column("text").to_pylist()]):
             lines = [lines_of(t) for t in part]
-            ends = pa.array(np.concatenate([[0], np.cumsum([len(own) for own in lines])]).astype(np.int32))
             flat = [x for own in lines for _, x in own]
+            ids = [line_id(x) for x in flat]
+            fresh, counts, k = [], [], 0
+            for own in lines:
+                before = len(fresh)
+                for j in range(k, k + len(own)):
+                    if ids[j] not in seen:
+                        seen.add(ids[j])
+                        fresh.append(j)
+                k += len(own)
+                counts.append(len(fresh) - before)
+            if len(seen) > SEEN:
+                seen.clear()
+            new = [flat[j] for j in fresh]
+            packed = b"".join(sketches(signatures(some)).tobytes() for some in slices(new, CHARS))
+            ends, new_ends = (np.concatenate([[0], np.cumsum(x)]).astype(np.int32) for x in ([len(own) for own in lines], counts))
             cols = [b.column("doc_id").slice(at, len(part)), pa.array([text_id(t) for t in part], pa.int64())]
-            for values in (pa.array([line_id(x) for x in flat], pa.int64()), pa.array([line_check(x) for x in flat], pa.int64()), pa.array([k for own in lines for k, _ in own], pa.int32())):
-                cols.append(pa.ListArray.from_arrays(ends, values))
+            for values in (pa.array(ids, pa.int64()), pa.array([line_check(x) for x in flat], pa.int64()), pa.array([k for own in lines for k, _ in own], pa.int32())):
+                cols.append(pa.ListArray.from_arrays(pa.array(ends), values))
+            for values in (pa.array([ids[j] for j in fresh], pa.int64()), pa.array([len(x.encode()) for x in new], pa.int32())):
+                cols.append(pa.ListArray.from_arrays(pa.array(new_ends), values))
+            cols.append(pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(new_ends * np.int32(BINS)), pa.py_buffer(packed)]))
             at += len(part)
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_id", "ids", "checks", "numbers"])
-
-
-def _distinct_lines(batches: Iterator[pa.RecordBatch], only: Broadcast | None = None, seen_most: int = 200_000) -> Iterator[tuple[np.ndarray, list[str]]]:
-    """Ids and lines in runs; those seen before by this task are left out as far as a bounded memory goes.
-
-    `only` is a filter of ids.
-    """
-    seen: set[int] = set()
-    for b in batches:
-        for part in slices([t or "" for t in b.column("text").to_pylist()], CHARS):
-            ids, lines = [], []
-            for t in part:
-                for x in t.split("\n"):
-                    if x.strip(BLANK) and (k := line_id(x)) not in seen:
-                        seen.add(k)
-                        ids.append(k)
-                        lines.append(x)
-            if len(seen) > seen_most:
-                seen.clear()
-            found = np.array(ids, np.int64)
-            if only is not None and lines:
-                keep = np.flatnonzero(may_hold(only.value, found))
-                found, lines = found[keep], [lines[k] for k in keep.tolist()]
-            if lines:
-                yield found, lines
-
-
-#: Bytes of a key.
-KEY = 6
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_id", "ids", "checks", "numbers", "fresh", "sizes", "sketches"])
 
 
 def _packed(rows: np.ndarray) -> pa.Array:
@@ -143,69 +137,75 @@ def _packed(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(data), [None, ends, pa.py_buffer(data)])
 
 
-def _key_bytes(sig: np.ndarray) -> pa.Array:
-    """The band keys of each line, packed."""
-    return _packed(band_keys(sig).astype("<i8").view(np.uint8).reshape(len(sig), BANDS, 8)[:, :, :KEY].reshape(len(sig), -1))
+def _signed(batches: Iterator[pa.RecordBatch], twice: Broadcast, single: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, bytes and sketches of the lines in rows (fresh, sizes, sketches, settled). Lines of rows that are not settled
+    are left out if the filter `twice` lets them pass; with single=False the others are."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1000):
+            b = whole.slice(at, 1000)
+            ids, sizes = (b.column(c).flatten().to_numpy() for c in ("fresh", "sizes"))
+            packed = np.frombuffer(b"".join(b.column("sketches").to_pylist()), np.uint8).reshape(-1, BINS)
+            settled = np.repeat(b.column("settled").to_numpy(zero_copy_only=False), b.column("fresh").value_lengths().to_numpy())
+            repeated = may_hold(twice.value, ids) & ~settled
+            keep = np.flatnonzero(~repeated if single else repeated)
+            yield ids[keep], sizes[keep], packed[keep]
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, keys) of all lines: the band keys, packed."""
-    for ids, lines in _distinct_lines(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(ids), _key_bytes(signatures(lines))], names=["id", "keys"])
+def _keyed(twice: Broadcast, only: Broadcast | None):
+    """(key, id) of signed lines; `only` is a filter of keys."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, _, packed in _signed(batches, twice):
+            keys, ids = band_keys(packed).reshape(-1), np.repeat(ids, BANDS)
+            if only is not None:
+                keep = may_hold(only.value, keys)
+                keys, ids = keys[keep], ids[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids)], names=["key", "id"])
 
-def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows that are sorted by id one for each."""
-    last = None
-    for b in batches:
-        if b.num_rows:
-            ids = b.column("id").to_numpy()
-            new = np.concatenate([[last is None or ids[0] != last], ids[1:] != ids[:-1]])
-            last = ids[-1]
-            yield b.filter(pa.array(new))
+    return run
 
 
-def _keys_of(packed: np.ndarray) -> np.ndarray:
-    """(lines, BANDS) keys of their bytes."""
-    wide = np.zeros((packed.size // KEY, 8), np.uint8)
-    wide[:, :KEY] = packed.reshape(-1, KEY)
-    return wide.view("<i8").reshape(-1, BANDS)
+def _sketched(twice: Broadcast, only: Broadcast | None, single: bool = True):
+    """(id, bytes, sketch) of signed lines; `only` is a filter of ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, sizes, packed in _signed(batches, twice, single):
+            if only is not None:
+                keep = may_hold(only.value, ids)
+                ids, sizes, packed = ids[keep], sizes[keep], packed[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sizes), _packed(packed)], names=["id", "bytes", "sketch"])
+
+    return run
 
 
 def first_shared_key(a: np.ndarray, b: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """For pairs of lines with a common key, by the bytes of their keys: whether `key` is the first that they share."""
-    x, y = _keys_of(a), _keys_of(b)
+    """For pairs of lines with a common key, by their sketches: whether `key` is the first that they share."""
+    x, y = band_keys(a), band_keys(b)
     at = (x == y).argmax(axis=1)
     return x[np.arange(len(x)), at] == key
 
 
-def _keyed(only: Broadcast | None):
-    """(key, id) of signed lines; `only` is a filter of keys."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 10_000):
-                b = whole.slice(at, 10_000)
-                keys = _keys_of(np.frombuffer(b"".join(b.column("keys").to_pylist()), np.uint8)).reshape(-1)
-                ids = np.repeat(b.column("id").to_numpy(), BANDS)
-                if only is not None:
-                    keep = may_hold(only.value, keys)
-                    keys, ids = keys[keep], ids[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids)], names=["key", "id"])
-
-    return run
-
-
 def _texts(only: Broadcast):
-    """(id, check, text, n, sketch, sig) of the lines whose id the filter lets pass; n is the number of distinct shingles,
-    sig the band keys."""
+    """(id, check, text, n) of the lines whose id the filter lets pass, a line once for a task as far as a bounded memory
+    goes; n is the number of distinct shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, lines in _distinct_lines(batches, only):
-            checks = pa.array([line_check(x) for x in lines], pa.int64())
-            n = distinct_shingles(lines, np.arange(len(lines)), len(lines))
-            sig = signatures(lines)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), checks, pa.array(lines, pa.string()), pa.array(n), _packed(sketches(sig).view(np.uint8)), _key_bytes(sig)], names=["id", "check", "text", "n", "sketch", "sig"])
+        seen: set[int] = set()
+        for b in batches:
+            for part in slices([t or "" for t in b.column("text").to_pylist()], CHARS):
+                lines = [x for t in part for x in t.split("\n") if x.strip(BLANK)]
+                ids = np.array([line_id(x) for x in lines], np.int64)
+                some = []
+                for k in np.flatnonzero(may_hold(only.value, ids)).tolist():
+                    if (check := line_check(lines[k])) not in seen:
+                        seen.add(check)
+                        some.append((k, check))
+                if len(seen) > SEEN:
+                    seen.clear()
+                if some:
+                    found = [lines[k] for k, _ in some]
+                    n = distinct_shingles(found, np.arange(len(found)), len(found))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[[k for k, _ in some]]), pa.array([c for _, c in some], pa.int64()), pa.array(found, pa.string()), pa.array(n)], names=["id", "check", "text", "n"])
 
     return run
 
@@ -215,16 +215,14 @@ def _unpacked(column: pa.Array) -> np.ndarray:
 
 
 def _allowed(percent: int):
-    """(a, b): pairs that sizes and sketches allow."""
+    """(a, b): pairs that sketches allow."""
     least = sketch_least(percent, BINS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 10_000):
                 b = whole.slice(at, 10_000)
-                n, m = (b.column(c).to_numpy() for c in ("na", "nb"))
-                ok = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
-                ok &= (_unpacked(b.column("sa")) == _unpacked(b.column("sb"))).sum(axis=1) >= least
+                ok = agreement(_unpacked(b.column("sa")), _unpacked(b.column("sb"))) >= least
                 yield b.select(["a", "b"]).filter(pa.array(ok))
 
     return run
@@ -298,38 +296,44 @@ def line_removals(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text
 def _removals(df: DataFrame, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """All documents (doc_id, text_id, ids, ...), and line_removals."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    whole = written(docs.mapInArrow(lean(_documents), "doc_id long, text_id long, ids array<long>, checks array<long>, numbers array<int>"), "lines")
+    whole = written(docs.mapInArrow(lean(_documents), DOCUMENT), "lines")
     lines = whole.select("doc_id", "text_id", F.explode(F.arrays_zip("ids", "checks", "numbers")).alias("x"))
     lines = lines.select(F.col("x.ids").alias("id"), F.col("x.checks").alias("check"), "doc_id", "text_id", F.col("x.numbers").alias("line"))
     place = F.struct("doc_id", "text_id", "line")
-    # Each distinct line is signed once and told by its id from then on.
-    signed = docs.select("text").mapInArrow(lean(_signed), "id long, keys binary").repartition("id").sortWithinPartitions("id")
-    signed = written(signed.mapInArrow(_once, "id long, keys binary"), "signed")
+    # Few lines are signed by more than one task. Only they travel to become one; the others are read where they were made.
+    counts = whole.select(F.explode("fresh").alias("id")).groupBy("id").count()
+    twice = number_filter(counts.filter("count > 1"), "id")
+    own = whole.select("fresh", "sizes", "sketches", F.lit(False).alias("settled"))
+    again = written(own.mapInArrow(_sketched(twice, None, False), "id long, bytes int, sketch binary").dropDuplicates(["id"]), "again")
+    signed = own.unionByName(again.select(F.array("id").alias("fresh"), F.array("bytes").alias("sizes"), F.col("sketch").alias("sketches"), F.lit(True).alias("settled")))
     release(df.sparkSession)
-    members = bucket_members(signed, _keyed, signed.count() * BANDS)
-    discard(signed)
-
-    # Texts of lines that share a key. The filter lets few others pass.
-    texts = docs.select("text").mapInArrow(lean(_texts(number_filter(members, "id"))), "id long, check long, text string, n long, sketch binary, sig binary")
-    texts = written(texts.repartition("id").dropDuplicates(["id"]), "texts")
+    n_lines = whole.agg(F.sum(F.size("fresh")).alias("n")).first().n or 0
+    members = bucket_members(signed, lambda only: _keyed(twice, only), n_lines * BANDS)
+    sketched = written(signed.mapInArrow(_sketched(twice, number_filter(members, "id")), "id long, bytes int, sketch binary"), "sketches")
+    discard(again)
     release(df.sparkSession)
 
-    def side(x: str, *columns: str, of: DataFrame = texts) -> DataFrame:
-        return of.select(F.col("id").alias(x), *(F.col(c).alias(f"{c[0]}{x}") for c in columns))
+    fetched: list[DataFrame] = []
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        """(id, check, text, n) of lines; should two lines have one id, the one of the lesser check."""
+        rows = docs.select("text").mapInArrow(lean(_texts(number_filter(ids, "id"))), "id long, check long, text string, n long")
+        rows = rows.groupBy("id").agg(F.min(F.struct("check", "text", "n")).alias("x")).select("id", "x.check", "x.text", "x.n")
+        fetched.append(written(rows, "texts"))
+        release(df.sparkSession)
+        return fetched[-1]
 
-    def allowed(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(side("b", "n", "sketch"), "b").join(side("a", "n", "sketch"), "a")
-        return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_allowed(percent), "a long, b long")
+    def close(stars: DataFrame) -> DataFrame:
+        """The pairs that sketches allow. The texts of these alone are fetched."""
+        left, right = (sketched.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}")) for x in "ab")
+        pairs = written(stars.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(_allowed(percent), "a long, b long"), "near")
+        release(df.sparkSession)
+        texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")))
+        return pairs
 
     def compared(pairs: DataFrame) -> DataFrame:
-        """Only texts of these pairs are fetched; where the ids of the pairs are few they are sent to the texts."""
-        pairs = written(pairs, "near")
-        release(pairs.sparkSession)
-        some = texts
-        if pairs.count() < FEW:
-            ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-            some = texts.join(F.broadcast(ids), "id", "left_semi")
-        both = pairs.join(side("b", "n", "text", of=some), "b").join(side("a", "n", "text", of=some), "a")
+        left, right = (fetched[0].select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("text").alias(f"t{x}")) for x in "ab")
+        both = pairs.join(right, "b").join(left, "a")
         return both.select("a", "b", "ta", "tb", "na", "nb").mapInArrow(lean(_verified(percent)), "a long, b long")
 
     def exact(rows: dict, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -337,25 +341,30 @@ def _removals(df: DataFrame, percent: int, id_col: str, text_col: str) -> tuple[
         return p[at], q[at]
 
     def rest_of(rest: DataFrame) -> DataFrame:
-        traits = texts.select("id", "n", "sketch", F.octet_length("text").alias("bytes"))
-        return linked_pairs(rest, traits, texts.drop("check"), percent, sketch_least(percent, BINS), first_shared_key, exact)
-
-    linked = link_buckets(members, lambda pairs: compared(allowed(pairs)), rest_of)
-    # The second hash ties a component to the line that was verified, should two lines have one id. Written, the few
-    # linked lines have a measured size, and the joins need not shuffle all lines where it is small.
-    named = written(linked.join(texts.select("id", "check"), linked.node == texts.id).select("id", "check", "component"), "named")
-    discard(members, texts)
+        return linked_pairs(rest, sketched, lambda near: texts_of(near).drop("check"), percent, sketch_least(percent, BINS), first_shared_key, exact)
+
+    linked = link_buckets(members, compared, rest_of, close)
+    # The second hash ties a component to the line that was verified, should two lines have one id.
+    checks = fetched[0].select("id", "check")
+    for more in fetched[1:]:
+        checks = checks.unionByName(more.select("id", "check"))
+    named = written(linked.join(checks.distinct(), linked.node == F.col("id")).select("id", "check", "component"), "named")
+    discard(members, sketched, *fetched)
     release(df.sparkSession)
-    # Occurrences of a line, or of lines that are linked, come together as counts and firsts only.
-    seen = written(lines.groupBy("id", "check").agg(F.min(place).alias("first"), F.count("*").alias("n")), "seen")
+    # Occurrences of a line, or of lines that are linked, come together as counts and firsts only, and only lines that
+    # occur again or are linked go on.
+    seen = lines.groupBy("id", "check").agg(F.min(place).alias("first"), F.count("*").alias("n")).join(named, ["id", "check"], "left")
+    seen = written(seen.filter("component is not null or n > 1").select("id", "check", "first", "component"), "seen")
+    discard(named)
     release(df.sparkSession)
-    least = seen.join(named, ["id", "check"]).groupBy("component").agg(F.min("first").alias("least"))
+    least = seen.filter("component is not null").groupBy("component").agg(F.min("first").alias("least"))
     # A component may hold a large part of the linked lines: the one row of its first line is there for each salt.
-    salted = named.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    least = salted.join(least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["component", "salt"]).select("id", "check", "least")
-    kept = seen.join(least, ["id", "check"], "left").select("id", "check", F.coalesce("least", "first").alias("keep"), (F.col("least").isNotNull() | (F.col("n") > 1)).alias("shared"))
-    kept = written(kept.filter("shared").drop("shared"), "kept")
-    discard(named, seen)
+    salted = seen.filter("component is not null").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    least = salted.join(least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["component", "salt"])
+    kept = least.select("id", "check", F.col("least").alias("keep")).unionByName(seen.filter("component is null").select("id", "check", F.col("first").alias("keep")))
+    kept = written(kept, "kept")
+    discard(seen)
+    release(df.sparkSession)
     gone = lines.join(kept, ["id", "check"]).filter(~place.eqNullSafe(F.col("keep")))
     return whole, gone.groupBy("doc_id", "text_id").agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
@@ -371,12 +380,22 @@ def dedup_lines(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text_c
     while set(own) & {c.lower() for c in names}:
         own = [c + "_" for c in own]
     key, cut, of_doc, of_text = own
-    removals = line_removals(df, percent, id_col, text_col).select(F.col("doc_id").alias(of_doc), F.col("text_id").alias(of_text), F.col("removed").alias(cut))
+    removals = written(line_removals(df, percent, id_col, text_col).select(F.col("doc_id").alias(of_doc), F.col("text_id").alias(of_text), F.col("removed").alias(cut)), "removals")
+    release(df.sparkSession)
+    losing = number_filter(removals, of_doc)
 
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = pa.array([text_id(t or "") for t in b.column(text_col).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), ids], names=[*names, key])
+    def split(lose: bool):
+        """Documents that may lose lines, with the hash of their text; or the others, which stay where they are."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ids = b.column(of_doc)
+                some = may_hold(losing.value, ids.fill_null(0).to_numpy()) | ids.is_null().to_numpy(zero_copy_only=False)
+                b = b.select(names).filter(pa.array(some == lose))
+                hashes = [pa.array([text_id(t or "") for t in b.column(text_col).to_pylist()], pa.int64())] if lose else []
+                yield pa.RecordBatch.from_arrays([*b.columns, *hashes], names=[*names, *([key] if lose else [])])
+
+        return run
 
     def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -395,9 +414,11 @@ def dedup_lines(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text_c
                 made[length_col] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(b.column(length_col).type)
             yield pa.RecordBatch.from_arrays([made.get(n, b.column(n)) for n in names], names=names)
 
-    wide = df.mapInArrow(lean(marked), df.select("*", F.lit(0).cast("long").alias(key)).schema)
-    on = wide[id_col].cast("long").eqNullSafe(F.col(of_doc)) & (wide[key] == F.col(of_text))
-    return wide.join(removals, on, "left").select(*names, cut).mapInArrow(lean(without), schema)
+    wide = df.select("*", F.col(id_col).cast("long").alias(of_doc))
+    some = wide.mapInArrow(lean(split(True)), df.select("*", F.lit(0).cast("long").alias(key)).schema)
+    on = some[id_col].cast("long").eqNullSafe(F.col(of_doc)) & (some[key] == F.col(of_text))
+    changed = some.join(removals, on, "left").select(*names, cut).mapInArrow(lean(without), schema)
+    return wide.mapInArrow(lean(split(False)), schema).unionByName(changed)
 
 
 def op3_fuzzy_lines(spark, sf_dir: str) -> DataFrame:

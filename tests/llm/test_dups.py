@@ -285,3 +285,45 @@ def test_linked_pairs_within_blocks_join_components_once(spark, monkeypatch):
         few = {tuple(r) for r in C.linked_pairs(rest, traits, texts, 80, 16, first, equal).collect()}
         assert few < every and {frozenset((a % 3, b % 3)) for a, b in few} == {frozenset(x) for x in ((0, 1), (0, 2), (1, 2))}
         assert all(a % 5 == b % 5 for a, b in few) and len(few) <= 60
+
+
+def test_leads_have_met_their_keys_and_stay_away_from_the_last_round(spark):
+    """No row of a key that has two ids, and no lead, is compared again; links without a lead are still found."""
+    from quern.llm.components import link_buckets
+
+    rows = [(1, 10, 10), (1, 11, 10), (2, 20, 20), (2, 21, 20), (2, 22, 20), (3, 30, 30), (3, 31, 30), (3, 32, 30)]
+    members = spark.createDataFrame(rows, "key long, id long, lead long")
+    alike, asked, rest = {(21, 22), (30, 31)}, [], []
+
+    def verify(pairs):
+        asked.extend(tuple(r) for r in pairs.select("a", "b").collect())
+        return pairs.filter(F.concat_ws(",", "a", "b").isin([f"{a},{b}" for a, b in alike]))
+
+    def rest_of(some):
+        rest.extend((r.key, r.id) for r in some.collect())
+        return spark.createDataFrame([(21, 22)], "a long, b long")
+
+    got = {r.node: r.component for r in link_buckets(members, verify, rest_of).collect()}
+    assert sorted(rest) == [(2, 21), (2, 22), (3, 31), (3, 32)]
+    assert got[21] == got[22] == 21 and got[30] == got[31] == 30
+    asked.clear()
+    assert {r.node for r in link_buckets(members, verify, rest_of, lambda stars: stars.filter("a = 30")).collect()} >= {21, 22, 30, 31}
+    assert set(asked) == {(30, 31), (30, 32)}
+
+
+def test_rows_of_small_keys_are_dealt_once(spark):
+    from quern.llm.components import units
+
+    rest = spark.createDataFrame([(1, k, k // 3) for k in range(12)], "key long, id long, c long")
+    traits = spark.createDataFrame([(k, 5) for k in range(12)], "id long, bytes long")
+    assert units(rest, traits).count() == 12
+
+
+def test_documents_that_lose_no_line_are_not_joined(spark):
+    """They are read past the join with removed lines, whatever their doc_id."""
+    line = "one line that stands in two documents and goes from the second"
+    rows = [(1, f"{line}\nfirst of its kind, alone", 5), (2, f"{line}\nnothing like the others here", 5), (None, "a row without an id", 5), (3, None, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    out = L.dedup_lines(docs)
+    assert sorted(((r.doc_id or 0, r.text) for r in out.collect()), key=str) == sorted([(0, "a row without an id"), (1, rows[0][1]), (2, "nothing like the others here"), (3, None)], key=str)
+    assert "Union" in out._jdf.queryExecution().toString()
