@@ -83,10 +83,30 @@ class Splitter:
 
     def words(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """All pre-tokens of all texts in order, and how many each text has."""
+        whole, starts, counts = self._pieces(texts)
+        at = starts.tolist()
+        return [whole[a:b] for a, b in zip(at, [*at[1:], len(whole)], strict=False)], counts
+
+    def distinct_words(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The distinct pre-tokens of all texts, for each pre-token in order its place among them, and how many pre-tokens
+        each text has."""
+        whole, starts, counts = self._pieces(texts)
+        if not len(starts):
+            return [], np.empty(0, np.int64), counts
+        data = whole.encode()
+        if len(data) > len(whole):  # places of characters -> places of bytes
+            heads = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
+            starts = heads[starts]
+        ends = np.append(starts, len(data)).astype(np.int64)
+        coded = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(ends), pa.py_buffer(data)).dictionary_encode()
+        return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), counts
+
+    def _pieces(self, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
+        """All texts together, where their pre-tokens begin, and how many each text has."""
         parts = [(k, p) for k, t in enumerate(texts) for p in self._cut(t) if p]
         counts = np.zeros(len(texts), np.int64)
         if not parts:
-            return [], counts
+            return "", np.empty(0, np.int64), counts
         whole = "".join(p for _, p in parts)
         sizes = np.fromiter((len(p) for _, p in parts), np.int64, len(parts))
         begins = np.cumsum(sizes) - sizes
@@ -94,8 +114,7 @@ class Splitter:
         owner = np.fromiter((k for k, _ in parts), np.int64, len(parts))
         per_part = np.add.reduceat(starts, begins, dtype=np.int64)
         np.add.at(counts, owner, per_part)
-        at = np.flatnonzero(starts).tolist()
-        return [whole[a:b] for a, b in zip(at, [*at[1:], len(whole)], strict=True)], counts
+        return whole, np.flatnonzero(starts), counts
 
     def _starts(self, whole: str, begins: np.ndarray, is_added: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
@@ -134,7 +153,7 @@ class Splitter:
 class WordCache:
     """Remembers what `encode` gave for each pre-token. Holds at most two generations of `limit` entries."""
 
-    def __init__(self, encode: Callable[[list[str]], list], preset: dict | None = None, limit: int = 100_000, longest: int = 64):
+    def __init__(self, encode: Callable[[list[str]], list], preset: dict | None = None, limit: int = 250_000, longest: int = 64):
         self.encode, self.limit, self.longest = encode, limit, longest
         self.preset = dict(preset or {})
         self.new: dict = dict(self.preset)
@@ -144,14 +163,18 @@ class WordCache:
         got = list(map(self.new.get, words))
         if None not in got:
             return got
-        missing = {w for w, g in zip(words, got, strict=True) if g is None}
-        fresh = {w: self.old[w] for w in missing if w in self.old}
-        if rest := [w for w in missing if w not in fresh]:
+        places = [k for k, g in enumerate(got) if g is None]
+        missing = [words[k] for k in places]
+        fresh = dict(zip(missing, map(self.old.get, missing), strict=True))
+        if rest := [w for w, g in fresh.items() if g is None]:
             fresh.update(zip(rest, self.encode(rest), strict=True))
-        got = [fresh[w] if g is None else g for w, g in zip(words, got, strict=True)]
+        for k, w in zip(places, missing, strict=True):
+            got[k] = fresh[w]
         if len(self.new) + len(fresh) > self.limit:
             self.old, self.new = self.new, dict(self.preset)
-        self.new.update((w, v) for w, v in fresh.items() if len(w) <= self.longest)
+        if max(map(len, fresh)) > self.longest:
+            fresh = {w: v for w, v in fresh.items() if len(w) <= self.longest}
+        self.new.update(fresh)
         return got
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -42,12 +42,20 @@ def special_bytes(s: Splitter) -> dict[str, bytes]:
     return {t: np.array([i], "<u4").tobytes() for t, i in s.added.items()}
 
 
-def count_texts(texts: list[str], path: str) -> list[int]:
+@lru_cache(maxsize=2)
+def library_counter(path: str) -> tuple[Splitter, WordCache]:
+    """Per Python worker: splitter and cached counts of pre-tokens by the tokenizers library."""
+    s = Splitter(path)
+    words = library_words(s)
+    return s, WordCache(lambda some: [len(raw) // 4 for raw in words(some)], dict.fromkeys(s.added, 1))
+
+
+def count_texts(texts: list[str], path: str, counter: Callable[[str], tuple[Splitter, WordCache]] = counter) -> list[int]:
     split, cache = counter(path)
     out: list[int] = []
     for part in slices(texts):
-        words, sizes = split.words(part)
-        each = np.concatenate([[0], np.cumsum(np.array(cache(words), np.int64))])
+        words, places, sizes = split.distinct_words(part)
+        each = np.concatenate([[0], np.cumsum(np.array(cache(words), np.int64)[places])])
         ends = np.cumsum(sizes)
         out += (each[ends] - each[ends - sizes]).tolist()
     return out
@@ -56,11 +64,15 @@ def count_texts(texts: list[str], path: str) -> list[int]:
 def encode_texts(texts: list[str], split: Splitter, cache: WordCache) -> Iterator[bytes]:
     """Ids of each text as little-endian unsigned 32-bit integers."""
     for part in slices(texts):
-        words, sizes = split.words(part)
-        got, at = cache(words), 0
-        for n in sizes.tolist():
-            yield b"".join(got[at : at + n])
-            at += n
+        words, places, sizes = split.distinct_words(part)
+        got = cache(words)
+        lengths = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        flat, begins, each = np.frombuffer(b"".join(got), "<u4"), np.cumsum(lengths) - lengths, lengths[places]
+        upto = np.concatenate([[0], np.cumsum(each)])
+        ids = flat[np.arange(upto[-1]) + np.repeat(begins[places] - upto[:-1], each)]
+        ends = np.cumsum(sizes)
+        for a, b in zip(upto[ends - sizes].tolist(), upto[ends].tolist(), strict=True):
+            yield ids[a:b].tobytes()
 
 
 def _appended(df: DataFrame, text_col: str, fields: list[T.StructField], work) -> DataFrame:
@@ -82,8 +94,8 @@ def _appended(df: DataFrame, text_col: str, fields: list[T.StructField], work) -
     return df.select(*{*names, text_col}).mapInArrow(lean(run), schema)
 
 
-def token_counts(df: DataFrame, path: str, text_col: str = "text", out_col: str = "n_tokens", bytes_col: str = "n_bytes") -> DataFrame:
-    """`df` with the token count and UTF-8 length of each text.
+def token_counts(df: DataFrame, path: str, text_col: str = "text", out_col: str = "n_tokens", bytes_col: str = "n_bytes", counter: Callable[[str], tuple[Splitter, WordCache]] = counter) -> DataFrame:
+    """`df` with the token count and UTF-8 length of each text; `counter` gives splitter and counts of pre-tokens.
 
     Null and empty texts have 0 of both. No shuffle: rows stay where they are. Special strings of the tokenizer count
     as one token. Repeated rows each get their count.
@@ -91,7 +103,7 @@ def token_counts(df: DataFrame, path: str, text_col: str = "text", out_col: str
     fields = [T.StructField(bytes_col, T.LongType()), T.StructField(out_col, T.LongType())]
 
     def work(texts: list[str]):
-        return [len(t.encode()) for t in texts], count_texts(texts, path)
+        return [len(t.encode()) for t in texts], count_texts(texts, path, counter)
 
     return _appended(df, text_col, fields, work)
 

@@ -107,3 +107,27 @@ def test_plane_files_in_order(spark):
 
 def test_counter_is_kept():
     assert counter(PATH) is counter(PATH)
+
+
+@given(st.lists(st.text(alphabet=st.sampled_from(list("ab 1'st.\n\té世😀")), max_size=60), max_size=8))
+@settings(max_examples=60, deadline=None)
+def test_each_distinct_word_is_looked_up_once(texts):
+    split, _ = counter(PATH)
+    words, counts = split.words(texts)
+    distinct, places, same = split.distinct_words(texts)
+    assert [distinct[k] for k in places] == words and len(set(distinct)) == len(distinct) and same.tolist() == counts.tolist()
+    asked = []
+
+    def lengths(some):
+        asked.extend(some)
+        return [len(w) for w in some]
+
+    cache = WordCache(lengths, limit=5)
+    assert cache(distinct) == list(map(len, distinct)) and sorted(asked) == sorted(distinct)
+
+
+def test_packing_counts_as_the_library_does():
+    from quern.llm.tokens import library_counter
+
+    texts = ["", "Hello there, it's 2024!", "étionan ñasasll  \n\n x", "<|endoftext|> a <|endoftext|>", "aaaa" * 50]
+    assert count_texts(texts, PATH, library_counter) == count_texts(texts, PATH)
