@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.tokens import token_counts
+from quern.llm.tokens import library_counter, token_counts
 from quern.session import written
 
 SIZES = (512, 1024, 2048, 4096, 8192)
@@ -155,7 +155,7 @@ def pack_sequences(counts: DataFrame, sizes: tuple[int, ...] = SIZES, overhead:
 
 def pack_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Counts the tokens of all whole texts and packs them; see pack_sequences."""
-    counted = token_counts(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), tokenizer)
+    counted = token_counts(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), tokenizer, counter=library_counter)
     return pack_sequences(counted.select("doc_id", "n_tokens"), **options)
 
 
