@@ -178,6 +178,93 @@ def bucket_members(rows: DataFrame, keyed: Callable[[Broadcast | None], Callable
     return members
 
 
+#: Keys of so many rows at most are compared pair by pair where they come together.
+MEET = 256
+#: The two lowest bits of each byte of a sketch of up to 128, by planes.
+PLANES = ("p0", "p1", "p2", "p3")
+
+
+def low_bits(sketch: np.ndarray) -> np.ndarray:
+    """(n, 4) signed 64-bit numbers of the two lowest bits of each byte of (n, up to 128) sketches."""
+    planes = np.zeros((2, len(sketch), 16), np.uint8)
+    for bit in range(2):
+        planes[bit, :, : -(-sketch.shape[1] // 8)] = np.packbits((sketch >> bit) & 1, axis=1)
+    return np.concatenate(list(planes.view(np.int64)), axis=1)
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many bytes sketches differ at least, by their low_bits as unsigned numbers."""
+    x = a ^ b
+    return np.bitwise_count(x[:, :2] | x[:, 2:]).sum(axis=1, dtype=np.int64)
+
+
+def _sieved(key: np.ndarray, ids: np.ndarray, bits: np.ndarray, most: int) -> pa.RecordBatch:
+    """Rows of whole keys, sorted by (key, id) -> rows of sieved_members."""
+    n = len(key)
+    begin = np.maximum.accumulate(np.where(np.concatenate([[True], key[1:] != key[:-1]]), np.arange(n), 0))
+    place, size = np.arange(n) - begin, np.bincount(begin, minlength=n)[begin]
+    near = (place > 0) & (apart(bits, bits[begin]) <= most)
+    other = (place > 0) & (size > MEET)
+    partners = np.where(size <= MEET, np.maximum(place - 1, 0), 0)
+    upto = np.cumsum(partners)
+    for t in range(0, int(upto[-1]), PAIRS):
+        pair = np.arange(t, min(t + PAIRS, int(upto[-1])))
+        p = np.searchsorted(upto, pair, side="right")
+        q = begin[p] + 1 + pair - (upto[p] - partners[p])
+        ok = apart(bits[p], bits[q]) <= most
+        other[p[ok]] = other[q[ok]] = True
+    return _members(key, ids, ids[begin], near, other)
+
+
+def _members(key: np.ndarray, ids: np.ndarray, lead: np.ndarray, near: np.ndarray, other: np.ndarray) -> pa.RecordBatch:
+    some = np.flatnonzero(near | other)
+    return pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (key, ids, lead, near, other)], names=["key", "id", "lead", "near", "other"])
+
+
+def sieved_members(rows: DataFrame, keyed: Callable[[Broadcast | None, bool], Callable], n_keys: int, most: int) -> DataFrame:
+    """As bucket_members, without rows whose sketches cannot agree with others of their key: (key, id, lead, near, other).
+
+    `keyed` gives a function of batches to (key, id), and if told so with the low_bits of the id's sketch. Sketches that
+    differ in more than `most` bytes by those bits do so by all, so no pair is lost. `near`: the row may be close to the
+    lead; `other`: to a third row, or the key has more than MEET. Leads have no row. A key's rows come sorted, so a task
+    holds a batch and MEET rows, however large the key is.
+    """
+    found = written(shared_keys(rows, keyed(None, False), max(64, n_keys // HELD)), "shared")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, large = None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            now = b.column("key").to_numpy(), b.column("id").to_numpy(), np.stack([b.column(c).to_numpy() for c in PLANES], axis=1).view(np.uint64)
+            if large is not None:  # the key of the rows before goes on
+                n = int(np.searchsorted(now[0], large[0], side="right"))
+                yield _members(now[0][:n], now[1][:n], np.full(n, large[1]), apart(now[2][:n], large[2]) <= most, np.ones(n, bool))
+                now = tuple(x[n:] for x in now)
+                if not len(now[0]):
+                    continue
+                large = None
+            if held is not None:
+                now = tuple(np.concatenate(x) for x in zip(held, now, strict=True))
+            cut = int(np.searchsorted(now[0], now[0][-1]))
+            if cut:
+                yield _sieved(*(x[:cut] for x in now), most)
+            held = tuple(x[cut:] for x in now)
+            if len(held[0]) > MEET:
+                large = held[0][0], held[1][0], held[2][:1]
+                n = len(held[0]) - 1
+                yield _members(held[0][1:], held[1][1:], np.full(n, large[1]), apart(held[2][1:], large[2]) <= most, np.ones(n, bool))
+                held = None
+        if held is not None:
+            yield _sieved(*held, most)
+
+    wide = rows.mapInArrow(keyed(number_filter(found, "key"), True), "key long, id long, " + ", ".join(f"{c} long" for c in PLANES))
+    placed = wide.repartition("key").sortWithinPartitions("key", "id")
+    members = written(placed.mapInArrow(run, "key long, id long, lead long, near boolean, other boolean"), "buckets")
+    discard(found)
+    return members
+
+
 #: Rows of a key that one block holds; a key of more rows is compared block by block, in tasks of their own.
 BLOCK = 20_000
 #: A key of so many rows at most, and a block's bytes, is one unit: each row is there once.
@@ -382,11 +469,12 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], r
     `verify` takes pairs (a, b) and returns those that are linked. A pair within a component tells nothing new, so:
     first each id meets the least of its leads, then its other leads. Then, in keys that still hold several components,
     ids of different components meet: `rest_of` gives links of rows (key, id, c) that join them. Leads have met all ids of
-    their keys by then and stay away. A large group of alike ids takes a pair for each id in the first two rounds, and
+    their keys by then and stay away. Members may be sieved: then only their near pairs and other rows meet. A large group of alike ids takes a pair for each id in the first two rounds, and
     none in the third. `sift`, if given, leaves out pairs (lead, id) that cannot be linked before all that; what it
     returns is written.
     """
-    stars = members.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))
+    sieved = "near" in members.columns
+    stars = members.filter("near" if sieved else "id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))
     spark = members.sparkSession
     if sift is not None:
         stars = sift(stars.distinct())
@@ -400,7 +488,7 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], r
     if not second.isEmpty():
         comp = components(written(verify(second), "linked"), comp)
         release(spark)
-    others = members.filter("id <> lead")
+    others = members.filter("other" if sieved else "id <> lead")
     now = others.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     mixed = now.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("key")
     rest = written(now.join(mixed, "key"), "mixed")

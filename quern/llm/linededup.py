@@ -17,7 +17,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.components import agreement, bucket_members, link_buckets, linked_pairs, may_hold, number_filter
+from quern.llm.components import PLANES, agreement, link_buckets, linked_pairs, low_bits, may_hold, number_filter, sieved_members
 from quern.llm.ordermin import distinct
 from quern.llm.pretok import lean, slices
 from quern.llm.shingles import mix32, one_permutation, sketch_least, sketches
@@ -151,16 +151,17 @@ def _signed(batches: Iterator[pa.RecordBatch], twice: Broadcast, single: bool =
             yield ids[keep], sizes[keep], packed[keep]
 
 
-def _keyed(twice: Broadcast, only: Broadcast | None):
-    """(key, id) of signed lines; `only` is a filter of keys."""
+def _keyed(twice: Broadcast, only: Broadcast | None, bits: bool):
+    """(key, id) of signed lines, with `bits` also the low bits of their sketches; `only` is a filter of keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, _, packed in _signed(batches, twice):
-            keys, ids = band_keys(packed).reshape(-1), np.repeat(ids, BANDS)
+            keys, own = band_keys(packed).reshape(-1), np.repeat(np.arange(len(ids)), BANDS)
             if only is not None:
                 keep = may_hold(only.value, keys)
-                keys, ids = keys[keep], ids[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids)], names=["key", "id"])
+                keys, own = keys[keep], own[keep]
+            planes = low_bits(packed)[own].T if bits else ()
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, ids[own], *planes)], names=["key", "id", *PLANES[: len(planes)]])
 
     return run
 
@@ -308,8 +309,9 @@ def _removals(df: DataFrame, percent: int, id_col: str, text_col: str) -> tuple[
     signed = own.unionByName(again.select(F.array("id").alias("fresh"), F.array("bytes").alias("sizes"), F.col("sketch").alias("sketches"), F.lit(True).alias("settled")))
     release(df.sparkSession)
     n_lines = whole.agg(F.sum(F.size("fresh")).alias("n")).first().n or 0
-    members = bucket_members(signed, lambda only: _keyed(twice, only), n_lines * BANDS)
-    sketched = written(signed.mapInArrow(_sketched(twice, number_filter(members, "id")), "id long, bytes int, sketch binary"), "sketches")
+    members = sieved_members(signed, lambda only, bits: _keyed(twice, only, bits), n_lines * BANDS, BINS - sketch_least(percent, BINS))
+    met = members.select(F.explode(F.array("id", "lead")).alias("id"))
+    sketched = written(signed.mapInArrow(_sketched(twice, number_filter(met, "id")), "id long, bytes int, sketch binary"), "sketches")
     discard(again)
     release(df.sparkSession)
 

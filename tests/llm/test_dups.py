@@ -327,3 +327,56 @@ def test_documents_that_lose_no_line_are_not_joined(spark):
     out = L.dedup_lines(docs)
     assert sorted(((r.doc_id or 0, r.text) for r in out.collect()), key=str) == sorted([(0, "a row without an id"), (1, rows[0][1]), (2, "nothing like the others here"), (3, None)], key=str)
     assert "Union" in out._jdf.queryExecution().toString()
+
+
+def test_rows_that_sketches_keep_apart_are_no_members(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    from quern.llm import components as C
+
+    rng = np.random.default_rng(5)
+    rows, sketch, most = [], {}, 44
+    for key, n in [(k, int(rng.integers(1, 12))) for k in range(1, 80)] + [(100, C.MEET), (101, C.MEET + 1), (102, 900), (103, 3)]:
+        base = rng.integers(0, 256, 120).astype(np.uint8)
+        for _ in range(n):
+            own = base.copy()
+            if key != 103:  # from nearly equal to unlike
+                change = rng.random(120) < rng.choice([0.1, 0.3, 0.5, 1])
+                own[change] = rng.integers(0, 256, int(change.sum()))
+            i = int(rng.integers(-(1 << 62), 1 << 62))
+            sketch[i] = own
+            rows.append((key, i, own.tobytes()))
+
+    def keyed(only, bits):
+        def run(batches):
+            for b in batches:
+                packed = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint8).reshape(-1, 120)
+                keep = np.ones(len(packed), bool) if only is None else C.may_hold(only.value, b.column("key").to_numpy())
+                b = b.filter(pa.array(keep))
+                planes = [pa.array(x) for x in C.low_bits(packed[keep]).T] if bits else []
+                yield pa.RecordBatch.from_arrays([b.column("key"), b.column("id"), *planes], names=["key", "id", *C.PLANES[: len(planes)]])
+
+        return run
+
+    table = spark.createDataFrame(rows, "key long, id long, sketch binary").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = {(r.key, r.id): (r.lead, r.near, r.other) for r in C.sieved_members(table, keyed, len(rows), most).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+    groups, close = {}, lambda a, b: int((sketch[a] != sketch[b]).sum()) <= most
+    for key, i, _ in rows:
+        groups.setdefault(key, []).append(i)
+    dropped = 0
+    for key, ids in groups.items():
+        lead, *rest = sorted(ids)
+        for i in rest:
+            near, other = close(i, lead), len(ids) > C.MEET or any(close(i, j) for j in rest if j != i)
+            if near or other:  # no close pair is lost
+                assert got[key, i][0] == lead and got[key, i][1] >= near and got[key, i][2] >= other
+            dropped += (key, i) not in got
+        assert (key, lead) not in got
+    assert dropped > 50
+    assert int(C.apart(*(C.low_bits(x[None]).view(np.uint64) for x in (sketch[groups[103][0]], sketch[groups[103][1]])))[0]) == 0
