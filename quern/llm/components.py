@@ -273,6 +273,8 @@ FEW = 64
 BLOCK_BYTES = 16 << 20
 #: Pairs compared at once.
 PAIRS = 200_000
+#: Bytes of sketches compared at once.
+CELLS = 8 << 20
 
 
 def _near(rows: dict, p: np.ndarray, q: np.ndarray, least: int, percent: int, first_key: Callable | None) -> tuple[np.ndarray, np.ndarray]:
@@ -286,7 +288,9 @@ def _near(rows: dict, p: np.ndarray, q: np.ndarray, least: int, percent: int, fi
     if "n" in rows:
         n, m = rows["n"][p], rows["n"][q]
         keep(100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-    keep(agreement(rows["sketch"][p], rows["sketch"][q]) >= least)
+    step = max(1, CELLS // (rows["sketch"].itemsize * rows["sketch"].shape[1]))  # wide sketches of all pairs would take a third of a GB
+    parts = [agreement(rows["sketch"][p[t : t + step]], rows["sketch"][q[t : t + step]]) >= least for t in range(0, len(p), step)]
+    keep(np.concatenate(parts) if parts else np.zeros(0, bool))
     if first_key is not None and len(p):
         sig = rows.get("sig", rows["sketch"])
         keep(first_key(sig[p], sig[q], rows["key"][p]))

@@ -380,3 +380,27 @@ def test_rows_that_sketches_keep_apart_are_no_members(spark):
         assert (key, lead) not in got
     assert dropped > 50
     assert int(C.apart(*(C.low_bits(x[None]).view(np.uint64) for x in (sketch[groups[103][0]], sketch[groups[103][1]])))[0]) == 0
+
+
+def test_wide_sketches_of_many_pairs_take_bounded_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    from quern.llm import components as C
+
+    rng = np.random.default_rng(1)
+    sketch = rng.integers(0, 2, (500, 512)).astype(np.uint8)
+    rows = {"c": np.arange(500), "sketch": sketch.view(np.uint64)}
+    p, q = rng.integers(0, 500, (2, C.PAIRS))
+    tracemalloc.start()
+    try:
+        x, y = C._near(rows, p, q, 260, 80, None)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    print(f"peak {peak / 1e6:.0f} MB")
+    assert peak < 64 << 20
+    some = rng.integers(0, C.PAIRS, 3000)
+    want = [(int(p[k]), int(q[k])) for k in some if p[k] != q[k] and (sketch[p[k]] == sketch[q[k]]).sum() >= 260]
+    assert set(want) <= set(zip(x.tolist(), y.tolist(), strict=True)) and ((sketch[x[:3000]] == sketch[y[:3000]]).sum(axis=1) >= 260).all()
