@@ -68,32 +68,82 @@ def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
 FILTER_BITS = 1 << 26
 
 
-def filter_places(numbers: np.ndarray) -> np.ndarray:
-    return (mix(numbers.astype(np.int64).view(np.uint64)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+def filter_places(numbers: np.ndarray, tables: int = 1, table: int = 0) -> np.ndarray:
+    """The bit of each number in one of the tables that share FILTER_BITS bits."""
+    h = mix(numbers.astype(np.int64).view(np.uint64)) >> np.uint64(26 * table)
+    return (h & np.uint64(FILTER_BITS // tables - 1)).astype(np.int64)
 
 
-def number_filter(df: DataFrame, column: str) -> Broadcast:
+#: Ranges that a filter's bits are put together in, and tasks that do so.
+RANGES, JOINING = 64, 12
+
+
+def number_filter(df: DataFrame, column: str, tables: int = 1) -> Broadcast:
     """A filter of FILTER_BITS bits (8 MiB) that lets all numbers of a column pass, and few others.
 
-    Bits are put together by Spark, 64 to a row, so what comes to the driver and is sent out has a fixed bound.
+    Places of bits travel packed, four bytes each, a row for each range of bits; Spark puts each range together. So what
+    comes to the driver and is sent out has a fixed bound. Two tables of half the bits, each with a hash of its own, let
+    far fewer others pass, as long as there are few numbers for the bits (`filter_tables`).
     """
+    width = FILTER_BITS // RANGES
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            x = distinct(np.concatenate(held))
+            cut = np.searchsorted(x, np.arange(RANGES + 1) * width).tolist()
+            pieces = [(k, (x[i:j] - k * width).astype("<i4").tobytes()) for k, (i, j) in enumerate(zip(cut, cut[1:], strict=False)) if i < j]
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in pieces], pa.int32()), pa.array([d for _, d in pieces], pa.binary())], names=["part", "data"])
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = filter_places(b.column(0).to_numpy())
-            bits = np.left_shift(np.uint64(1), (at & 63).astype(np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array((at >> 6).astype(np.int32)), pa.array(bits)], names=["word", "bits"])
+            if b.num_rows:
+                held += [filter_places(b.column(0).to_numpy(), tables, k) + k * (FILTER_BITS // tables) for k in range(tables)]
+                size += b.num_rows * tables
+            if size > HELD:
+                yield out()
+                held, size = [], 0
+        if held:
+            yield out()
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, bits = None, np.zeros(width, bool)
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["part", "data"])
+
+        for b in batches:
+            for k, data in zip(b.column("part").to_pylist(), b.column("data").to_pylist(), strict=True):
+                if part is not None and k != part:
+                    yield out()
+                    bits[:] = False
+                part = k
+                bits[np.frombuffer(data, "<i4")] = True
+        if part is not None:
+            yield out()
+
+    placed = df.select(F.col(column).cast("long")).dropna().mapInArrow(packed, "part int, data binary").repartition("part").sortWithinPartitions("part").coalesce(JOINING)
+    table = np.zeros((RANGES, width // 64), np.int64)
+    found = placed.mapInArrow(joined, "part int, data binary").toArrow()
+    for k, data in zip(found.column("part").to_pylist(), found.column("data").to_pylist(), strict=True):
+        table[k] = np.frombuffer(data, "<i8")
+    return df.sparkSession.sparkContext.broadcast(table.reshape(tables, -1))
+
 
-    found = df.select(F.col(column).cast("long")).dropna().mapInArrow(words, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    table = np.zeros(FILTER_BITS // 64, np.int64)
-    table[found.column("word").to_numpy()] = found.column("bits").to_numpy()
-    return df.sparkSession.sparkContext.broadcast(table)
+def filter_tables(n: int) -> int:
+    """How many tables let the fewest others pass in a filter of `n` numbers."""
+    return 2 if n < 0.48 * FILTER_BITS else 1
 
 
-def may_hold(table: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+def may_hold(tables: np.ndarray, numbers: np.ndarray) -> np.ndarray:
     """Whether the filter lets each number pass."""
-    at = filter_places(numbers)
-    return (table[at >> 6] >> (at & 63)) & 1 == 1
+    at = filter_places(numbers, len(tables))
+    out = (tables[0][at >> 6] >> (at & 63)) & 1 == 1
+    for k in range(1, len(tables)):
+        some = np.flatnonzero(out)
+        at = filter_places(numbers[some], len(tables), k)
+        out[some] = (tables[k][at >> 6] >> (at & 63)) & 1 == 1
+    return out
 
 
 #: Numbers that a task holds before it hands them out.
@@ -170,7 +220,7 @@ def bucket_members(rows: DataFrame, keyed: Callable[[Broadcast | None], Callable
     The rows are then made again without the others, and only those are joined.
     """
     found = written(shared_keys(rows, keyed(None), max(64, n_keys // HELD)), "shared")
-    some = written(rows.mapInArrow(keyed(number_filter(found, "key")), "key long, id long"), "keyed")
+    some = written(rows.mapInArrow(keyed(number_filter(found, "key", filter_tables(found.count()))), "key long, id long"), "keyed")
     release(rows.sparkSession)
     counted = some.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last"))
     members = written(some.join(counted.filter("lead <> last").select("key", "lead"), "key"), "buckets")
@@ -258,7 +308,7 @@ def sieved_members(rows: DataFrame, keyed: Callable[[Broadcast | None, bool], Ca
         if held is not None:
             yield _sieved(*held, most)
 
-    wide = rows.mapInArrow(keyed(number_filter(found, "key"), True), "key long, id long, " + ", ".join(f"{c} long" for c in PLANES))
+    wide = rows.mapInArrow(keyed(number_filter(found, "key", filter_tables(found.count())), True), "key long, id long, " + ", ".join(f"{c} long" for c in PLANES))
     placed = wide.repartition("key").sortWithinPartitions("key", "id")
     members = written(placed.mapInArrow(run, "key long, id long, lead long, near boolean, other boolean"), "buckets")
     discard(found)

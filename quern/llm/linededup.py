@@ -17,7 +17,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.components import PLANES, agreement, link_buckets, linked_pairs, low_bits, may_hold, number_filter, sieved_members
+from quern.llm.components import CELLS, PLANES, agreement, link_buckets, linked_pairs, low_bits, may_hold, number_filter, sieved_members
 from quern.llm.ordermin import distinct
 from quern.llm.pretok import lean, slices
 from quern.llm.shingles import mix32, one_permutation, sketch_least, sketches
@@ -31,6 +31,8 @@ BINS = BANDS * ROWS
 #: Lines are signed in slices of about so many characters, which stay in the processor's cache.
 CHARS = 200_000
 _POWERS = [np.uint32(pow(0x9E3779B1, k, 1 << 32)) for k in range(WIDTH)]
+#: Bits that shingles are noted in where many pairs of lines are compared.
+BITS = 1024
 #: Lines that a task remembers, so as not to sign them again.
 SEEN = 200_000
 #: Parts that the lines of a component are dealt into where they are told its first line.
@@ -81,53 +83,70 @@ def band_keys(sketch: np.ndarray) -> np.ndarray:
 
 
 def line_id(line: str) -> int:
-    return xxhash.xxh3_64_intdigest(line.encode()) - (1 << 63)
+    return xxhash.xxh3_64_intdigest(line) - (1 << 63)
 
 
 def line_check(line: str) -> int:
     """A second hash; lines are equal if both are."""
-    return xxhash.xxh64_intdigest(line.encode(), seed=7) - (1 << 63)
+    return xxhash.xxh64_intdigest(line, seed=7) - (1 << 63)
 
 
 def text_id(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text.encode(), seed=3) - (1 << 63)
+    return xxhash.xxh3_64_intdigest(text, seed=3) - (1 << 63)
 
 
-DOCUMENT = "doc_id long, text_id long, ids array<long>, checks array<long>, numbers array<int>, fresh array<long>, sizes array<int>, sketches binary"
+def _hashes(values: list[str], digest, *seed: int) -> np.ndarray:
+    """As line_id, line_check and text_id, of many."""
+    return (np.fromiter((digest(x, *seed) for x in values), np.uint64, len(values)) ^ np.uint64(1 << 63)).view(np.int64)
+
+
+#: ids, checks and numbers are those of all lines, packed.
+DOCUMENT = "doc_id long, text_id long, n_lines long, ids binary, checks binary, numbers binary, again array<long>, fresh array<long>, sizes array<int>, sketches binary"
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document: the hashes of its lines and their numbers, and ids, bytes and sketches of the lines that
-    this task has not met before, as far as a bounded memory goes."""
+    this task has not met before, as far as a bounded memory goes; `again` are the ids of the others."""
     seen: set[int] = set()
     for b in batches:
         at = 0
         for part in slices([t or "" for t in b.column("text").to_pylist()]):
             lines = [lines_of(t) for t in part]
             flat = [x for own in lines for _, x in own]
-            ids = [line_id(x) for x in flat]
-            fresh, counts, k = [], [], 0
+            hashes = _hashes(flat, xxhash.xxh3_64_intdigest)
+            ids = hashes.tolist()
+            fresh, counts, again, again_counts, k = [], [], [], [], 0
             for own in lines:
-                before = len(fresh)
+                before, again_before = len(fresh), len(again)
                 for j in range(k, k + len(own)):
-                    if ids[j] not in seen:
-                        seen.add(ids[j])
+                    x = ids[j]
+                    if x in seen:
+                        again.append(x)
+                    else:
+                        seen.add(x)
                         fresh.append(j)
                 k += len(own)
                 counts.append(len(fresh) - before)
+                again_counts.append(len(again) - again_before)
             if len(seen) > SEEN:
                 seen.clear()
             new = [flat[j] for j in fresh]
             packed = b"".join(sketches(signatures(some)).tobytes() for some in slices(new, CHARS))
-            ends, new_ends = (np.concatenate([[0], np.cumsum(x)]).astype(np.int32) for x in ([len(own) for own in lines], counts))
-            cols = [b.column("doc_id").slice(at, len(part)), pa.array([text_id(t) for t in part], pa.int64())]
-            for values in (pa.array(ids, pa.int64()), pa.array([line_check(x) for x in flat], pa.int64()), pa.array([k for own in lines for k, _ in own], pa.int32())):
-                cols.append(pa.ListArray.from_arrays(pa.array(ends), values))
-            for values in (pa.array([ids[j] for j in fresh], pa.int64()), pa.array([len(x.encode()) for x in new], pa.int32())):
+            ends, new_ends, again_ends = (np.concatenate([[0], np.cumsum(x)]).astype(np.int32) for x in ([len(own) for own in lines], counts, again_counts))
+            cols = [b.column("doc_id").slice(at, len(part)), pa.array(_hashes(part, xxhash.xxh3_64_intdigest, 3)), pa.array(np.diff(ends).astype(np.int64))]
+            for values in (hashes, _hashes(flat, xxhash.xxh64_intdigest, 7), np.array([k for own in lines for k, _ in own], np.int32)):
+                cols.append(_cut(values, ends))
+            cols.append(pa.ListArray.from_arrays(pa.array(again_ends), pa.array(again, pa.int64())))
+            for values in (pa.array([ids[j] for j in fresh], pa.int64()), pa.array([len(x) if x.isascii() else len(x.encode()) for x in new], pa.int32())):
                 cols.append(pa.ListArray.from_arrays(pa.array(new_ends), values))
-            cols.append(pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(new_ends * np.int32(BINS)), pa.py_buffer(packed)]))
+            cols.append(_cut(np.frombuffer(packed, np.dtype((np.void, BINS))), new_ends))
             at += len(part)
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_id", "ids", "checks", "numbers", "fresh", "sizes", "sketches"])
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_id", "n_lines", "ids", "checks", "numbers", "again", "fresh", "sizes", "sketches"])
+
+
+def _cut(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Values of one width as binary values of the pieces between `ends`."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends * np.int32(values.itemsize)), pa.py_buffer(values.tobytes())])
 
 
 def _packed(rows: np.ndarray) -> pa.Array:
@@ -179,6 +198,21 @@ def _sketched(twice: Broadcast, only: Broadcast | None, single: bool = True):
     return run
 
 
+def _occurrences(*some: Broadcast):
+    """(id, check, doc_id, text_id, line) of the lines in rows (doc_id, text_id, n_lines, ids, checks, numbers) whose id one of
+    the filters lets pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, checks, numbers = (np.frombuffer(b"".join(b.column(c).to_pylist()), kind) for c, kind in (("ids", np.int64), ("checks", np.int64), ("numbers", np.int32)))
+            keep = np.flatnonzero(np.logical_or.reduce([may_hold(f.value, ids) for f in some]))
+            own = pa.array(np.repeat(np.arange(b.num_rows), b.column("n_lines").to_numpy())[keep])
+            cols = [pa.array(ids[keep]), pa.array(checks[keep]), b.column("doc_id").take(own), b.column("text_id").take(own), pa.array(numbers[keep])]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "check", "doc_id", "text_id", "line"])
+
+    return run
+
+
 def first_shared_key(a: np.ndarray, b: np.ndarray, key: np.ndarray) -> np.ndarray:
     """For pairs of lines with a common key, by their sketches: whether `key` is the first that they share."""
     x, y = band_keys(a), band_keys(b)
@@ -195,7 +229,7 @@ def _texts(only: Broadcast):
         for b in batches:
             for part in slices([t or "" for t in b.column("text").to_pylist()], CHARS):
                 lines = [x for t in part for x in t.split("\n") if x.strip(BLANK)]
-                ids = np.array([line_id(x) for x in lines], np.int64)
+                ids = _hashes(lines, xxhash.xxh3_64_intdigest)
                 some = []
                 for k in np.flatnonzero(may_hold(only.value, ids)).tolist():
                     if (check := line_check(lines[k])) not in seen:
@@ -236,7 +270,9 @@ def distinct_shingles(lines: list[str], own: np.ndarray, n: int) -> np.ndarray:
     line is shorter than a shingle, sets of strings do the work.
     """
     points = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
-    known = np.unique(points)
+    met = np.zeros(int(points.max(initial=0)) + 1, bool)
+    met[points] = True
+    known = np.flatnonzero(met)
     bits = int(len(known)).bit_length()
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
     if WIDTH * bits + n.bit_length() > 64 or sizes.min() < WIDTH:
@@ -244,7 +280,7 @@ def distinct_shingles(lines: list[str], own: np.ndarray, n: int) -> np.ndarray:
         for k, x in zip(own.tolist(), lines, strict=True):
             sets[k] |= _shingles(x)
         return np.array([len(s) for s in sets])
-    table = np.zeros(int(known[-1]) + 1, np.uint64)
+    table = np.zeros(len(met), np.uint64)
     table[known] = np.arange(len(known), dtype=np.uint64)
     code = table[points]
     h = code[: len(code) - WIDTH + 1].copy()
@@ -257,6 +293,29 @@ def distinct_shingles(lines: list[str], own: np.ndarray, n: int) -> np.ndarray:
     return np.bincount((keys >> shift).astype(np.int64), minlength=n)
 
 
+def shingle_bits(lines: list[str]) -> np.ndarray:
+    """(lines, BITS / 64): a bit is set for each shingle of a line, by its hash."""
+    out = [np.empty((0, BITS // 64), np.uint64)]
+    for part in slices(lines, CHARS // 4):
+        h, counts = shingle_hashes(part)
+        bits = np.zeros(len(part) * BITS, bool)
+        bits[np.repeat(np.arange(len(part)) * BITS, counts) + h % np.uint32(BITS)] = True
+        out.append(np.packbits(bits).reshape(len(part), -1).view(np.uint64))
+    return np.concatenate(out)
+
+
+def may_be_alike(bits: np.ndarray, n: np.ndarray, p: np.ndarray, q: np.ndarray, percent: int) -> np.ndarray:
+    """Whether pairs (p, q) of lines may be alike, by all lines' shingle_bits and numbers of shingles. No alike pair is left
+    out: a bit that only one of two lines has comes from a shingle that only this one has."""
+    ok, step = np.zeros(len(p), bool), CELLS // (BITS // 8)
+    for t in range(0, len(p), step):
+        i, j = p[t : t + step], q[t : t + step]
+        alone = [np.bitwise_count(bits[x] & ~bits[y]).sum(axis=1, dtype=np.int64) for x, y in ((i, j), (j, i))]
+        both = np.minimum(n[i] - alone[0], n[j] - alone[1])
+        ok[t : t + step] = 100 * both >= percent * (n[i] + n[j] - both)
+    return ok
+
+
 def _alike(left: list[str], right: list[str], total: np.ndarray, percent: int) -> np.ndarray:
     """Places of the pairs of lines that are alike by their sets of shingles; `total` is the sum of both sets' sizes."""
     found, at = [np.empty(0, np.int64)], 0
@@ -298,8 +357,6 @@ def _removals(df: DataFrame, percent: int, id_col: str, text_col: str) -> tuple[
     """All documents (doc_id, text_id, ids, ...), and line_removals."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     whole = written(docs.mapInArrow(lean(_documents), DOCUMENT), "lines")
-    lines = whole.select("doc_id", "text_id", F.explode(F.arrays_zip("ids", "checks", "numbers")).alias("x"))
-    lines = lines.select(F.col("x.ids").alias("id"), F.col("x.checks").alias("check"), "doc_id", "text_id", F.col("x.numbers").alias("line"))
     place = F.struct("doc_id", "text_id", "line")
     # Few lines are signed by more than one task. Only they travel to become one; the others are read where they were made.
     counts = whole.select(F.explode("fresh").alias("id")).groupBy("id").count()
@@ -317,20 +374,17 @@ def _removals(df: DataFrame, percent: int, id_col: str, text_col: str) -> tuple[
 
     fetched: list[DataFrame] = []
 
-    def texts_of(ids: DataFrame) -> DataFrame:
-        """(id, check, text, n) of lines; should two lines have one id, the one of the lesser check."""
-        rows = docs.select("text").mapInArrow(lean(_texts(number_filter(ids, "id"))), "id long, check long, text string, n long")
-        rows = rows.groupBy("id").agg(F.min(F.struct("check", "text", "n")).alias("x")).select("id", "x.check", "x.text", "x.n")
-        fetched.append(written(rows, "texts"))
-        release(df.sparkSession)
-        return fetched[-1]
-
     def close(stars: DataFrame) -> DataFrame:
-        """The pairs that sketches allow. The texts of these alone are fetched."""
+        """The pairs that sketches allow. Texts (id, check, text, n) are fetched of these and of the rows that may meet in
+        the last round, so that documents are read for them once; should two lines have one id, the one of the lesser check."""
         left, right = (sketched.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}")) for x in "ab")
         pairs = written(stars.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(_allowed(percent), "a long, b long"), "near")
         release(df.sparkSession)
-        texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")))
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(members.filter("other").select("id"))
+        rows = docs.select("text").mapInArrow(lean(_texts(number_filter(wanted, "id"))), "id long, check long, text string, n long")
+        rows = rows.groupBy("id").agg(F.min(F.struct("check", "text", "n")).alias("x")).select("id", "x.check", "x.text", "x.n")
+        fetched.append(written(rows, "texts"))
+        release(df.sparkSession)
         return pairs
 
     def compared(pairs: DataFrame) -> DataFrame:
@@ -339,22 +393,26 @@ def _removals(df: DataFrame, percent: int, id_col: str, text_col: str) -> tuple[
         return both.select("a", "b", "ta", "tb", "na", "nb").mapInArrow(lean(_verified(percent)), "a long, b long")
 
     def exact(rows: dict, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if "bits" not in rows:
+            rows["bits"] = shingle_bits(rows["text"].tolist())
+        ok = may_be_alike(rows["bits"], rows["n"], p, q, percent)
+        p, q = p[ok], q[ok]
         at = _alike(rows["text"][p].tolist(), rows["text"][q].tolist(), rows["n"][p] + rows["n"][q], percent)
         return p[at], q[at]
 
     def rest_of(rest: DataFrame) -> DataFrame:
-        return linked_pairs(rest, sketched, lambda near: texts_of(near).drop("check"), percent, sketch_least(percent, BINS), first_shared_key, exact)
+        return linked_pairs(rest, sketched, lambda near: fetched[0].drop("check"), percent, sketch_least(percent, BINS), first_shared_key, exact)
 
     linked = link_buckets(members, compared, rest_of, close)
     # The second hash ties a component to the line that was verified, should two lines have one id.
-    checks = fetched[0].select("id", "check")
-    for more in fetched[1:]:
-        checks = checks.unionByName(more.select("id", "check"))
-    named = written(linked.join(checks.distinct(), linked.node == F.col("id")).select("id", "check", "component"), "named")
+    named = written(linked.join(fetched[0], linked.node == F.col("id")).select("id", "check", "component"), "named")
     discard(members, sketched, *fetched)
     release(df.sparkSession)
-    # Occurrences of a line, or of lines that are linked, come together as counts and firsts only, and only lines that
-    # occur again or are linked go on.
+    # Only lines that occur again or are linked go on. One that occurs again does so within a task or in several; what
+    # filters let pass besides is left out below. Occurrences come together as counts and firsts only.
+    some = number_filter(named.select("id").unionByName(whole.select(F.explode("again").alias("id"))), "id")
+    lines = whole.select("doc_id", "text_id", "n_lines", "ids", "checks", "numbers").mapInArrow(_occurrences(twice, some), "id long, check long, doc_id long, text_id long, line int")
+    lines = written(lines, "occurrences")
     seen = lines.groupBy("id", "check").agg(F.min(place).alias("first"), F.count("*").alias("n")).join(named, ["id", "check"], "left")
     seen = written(seen.filter("component is not null or n > 1").select("id", "check", "first", "component"), "seen")
     discard(named)
@@ -428,7 +486,7 @@ def op3_fuzzy_lines(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
     whole, gone = _removals(docs, 80, "doc_id", "text")
-    sizes = whole.select("doc_id", "text_id", F.size("ids").cast("long").alias("n_lines"))
+    sizes = whole.select("doc_id", "text_id", "n_lines")
     gone = gone.select(F.col("doc_id").alias("d"), F.col("text_id").alias("t"), "removed")
     both = sizes.join(gone, sizes.doc_id.eqNullSafe(gone.d) & (sizes.text_id == gone.t), "left")
     return both.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed"))

@@ -80,11 +80,11 @@ STEPS = 40
 
 
 @lru_cache(maxsize=4)
-def _orders(bins: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each bin an order of all bins, and the place of each bin in it."""
+def _orders(bins: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each bin an order of all bins, the place of each bin in it, and for each of STEPS how far away the next one is."""
     grid = mix(np.arange(1, bins * bins + 1, dtype=np.uint64) * _Q).reshape(bins, bins)
     order = grid.argsort(axis=1)
-    return order, order.argsort(axis=1)
+    return order, order.argsort(axis=1), np.ascontiguousarray((order - np.arange(bins)[:, None])[:, :STEPS].T)
 
 
 def one_permutation(h: np.ndarray, counts: np.ndarray, bins: int) -> np.ndarray:
@@ -100,17 +100,18 @@ def one_permutation(h: np.ndarray, counts: np.ndarray, bins: int) -> np.ndarray:
     filled = out != _EMPTY
     some = filled.reshape(n, bins).any(axis=1)
     holes = np.flatnonzero(~filled & np.repeat(some, bins))
-    order, rank = _orders(bins)
+    order, rank, ahead = _orders(bins)
+    cols = holes % bins
     for step in range(STEPS):
         if not len(holes):
             break
-        cols = holes % bins
-        source = holes - cols + order[cols, step]
-        hit = filled[source]
-        out[holes[hit]] = mix32(out[source[hit]] + cols[hit].astype(np.uint32))
-        holes = holes[~hit]
+        source = holes + ahead[step].take(cols)
+        hit = filled.take(source)
+        out[holes[hit]] = mix32(out.take(source[hit]) + cols[hit].astype(np.uint32))
+        left = np.flatnonzero(~hit)
+        holes, cols = holes.take(left), cols.take(left)
     if len(holes):
-        rows, cols = np.divmod(holes, bins)
+        rows = holes // bins
         cuts = np.flatnonzero(np.diff(rows)) + 1
         for own, at in zip(np.split(cols, cuts), [0, *cuts.tolist()], strict=True):
             base = int(rows[at]) * bins

@@ -404,3 +404,82 @@ def test_wide_sketches_of_many_pairs_take_bounded_memory():
     some = rng.integers(0, C.PAIRS, 3000)
     want = [(int(p[k]), int(q[k])) for k in some if p[k] != q[k] and (sketch[p[k]] == sketch[q[k]]).sum() >= 260]
     assert set(want) <= set(zip(x.tolist(), y.tolist(), strict=True)) and ((sketch[x[:3000]] == sketch[y[:3000]]).sum(axis=1) >= 260).all()
+
+
+def chained_lines():
+    """Lines of which each is alike to the next only, so that leads do not link them all."""
+    rng = random.Random(12)
+    rows, i = [], 0
+    for _ in range(25):
+        words = [f"w{rng.randrange(10**5)}" for _ in range(24)]
+        for k in range(8):
+            rows.append((i, " ".join(words) + f"\nonce {rng.random()} {i}"))
+            words[3 * k % 24], i = f"x{rng.randrange(10**5)}", i + 1
+    return rows
+
+
+def test_documents_are_read_once_for_the_texts_of_close_lines(spark, monkeypatch):
+    rows, calls, asked = chained_lines(), [], []
+    texts, linked = L._texts, L.linked_pairs
+    monkeypatch.setattr(L, "_texts", lambda only: calls.append(1) or texts(only))
+    monkeypatch.setattr(L, "linked_pairs", lambda *a: asked.append(1) or linked(*a))
+    got = {(r.doc_id, r.text_id): r.removed for r in L.line_removals(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {(i, L.text_id(t)): gone for (i, t), gone in brute_lines(rows).items() if gone}
+    assert asked and len(calls) == 1
+
+
+def test_lines_that_occur_once_and_are_not_linked_stay_where_they_are(spark, monkeypatch):
+    rng = random.Random(14)
+    line = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(12))
+    often, twice = line(), line()
+    rows = [(i, "\n".join([line(), line(), *([often] if i % 10 == 0 else []), *([twice, "", twice] if i == 7 else [])])) for i in range(200)]
+    rows.append((None, rows[5][1]))
+    count, write = {}, L.written
+
+    def spied(df, name="t"):
+        out = write(df, name)
+        count[name] = out.count()
+        return out
+
+    monkeypatch.setattr(L, "written", spied)
+    got = {(r.doc_id, r.text_id): r.removed for r in L.line_removals(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {(i, L.text_id(t)): gone for (i, t), gone in brute_lines(rows).items() if gone}
+    assert 26 <= count["occurrences"] < 30  # of 426 lines
+
+
+def test_filter_of_numbers(spark):
+    import numpy as np
+
+    from quern.llm import components as C
+
+    df = spark.range(0, 2_000_000, 1, 5).select(F.when(F.col("id") > 0, F.xxhash64("id")).alias("x"))
+    x = df.dropna().toArrow().column("x").to_numpy()
+    others, passed = np.random.default_rng(5).integers(-(2**63), 2**63 - 1, 200_000), []
+    for tables in (1, 2):
+        table = C.number_filter(df, "x", tables).value
+        assert table.nbytes == 8 << 20 and len(table) == tables and C.may_hold(table, x).all()
+        want = np.zeros(C.FILTER_BITS, bool)
+        for k in range(tables):
+            want[C.filter_places(x, tables, k) + k * (C.FILTER_BITS // tables)] = True
+        assert (np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool) == want).all()
+        passed.append(C.may_hold(table, others).mean())
+    assert 0.025 < passed[0] < 0.034 and passed[1] < 0.005
+    assert C.filter_tables(len(x)) == 2 and C.filter_tables(C.FILTER_BITS) == 1
+    assert not C.may_hold(C.number_filter(df.filter("x is null"), "x").value, others).any()
+
+
+def test_bits_of_shingles_leave_out_no_alike_pair():
+    import numpy as np
+
+    rng = random.Random(16)
+    lines = ["ab", "a", "abcd", "aaaaaaaaaaaa", "aaaaaaaaaaa"]
+    for _ in range(60):
+        base = [rng.choice("abcdefghijklmnopqrstuvwxyzé日") for _ in range(rng.randint(5, 300))]
+        lines += ["".join(x if rng.random() > share else "#" for x in base) for share in (0, 0.005, 0.02, 0.05, 0.1)]
+    sets = [L._shingles(x) for x in lines]
+    n, bits = np.array([len(s) for s in sets]), L.shingle_bits(lines)
+    p, q = (x.ravel() for x in np.triu_indices(len(lines), 1))
+    ok = L.may_be_alike(bits, n, p, q, 80)
+    both = np.array([len(sets[i] & sets[j]) for i, j in zip(p.tolist(), q.tolist(), strict=True)])
+    alike, far = 100 * both >= 80 * (n[p] + n[q] - both), 100 * both < 60 * (n[p] + n[q] - both)
+    assert alike.sum() > 100 and ok[alike].all() and ok[far].mean() < 0.01
